@@ -203,3 +203,42 @@ na
 
 def week_stats_sql() -> str:
     return with_ctes(WEEK_STATS.replace("{targets}", targets_cols("wt2.kg")))
+
+
+def _token_sort_sql(expr: str, lower: bool) -> str:
+    x = f"lower(trim({expr}))" if lower else f"trim({expr})"
+    return (f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')), ' ')")
+
+
+def fuzzy_sql(queries: str, qcol: str, choices: str, ccol: str, ocol: str, cutoff: float,
+              lower: bool, keys: tuple[str, ...] = (), payload: tuple[str, ...] = ()) -> str:
+    """Brute-force best match over all (query, choice) pairs with the same
+    keys: CTE text ``fz_best`` with keys, query, matched, ord, payload, score."""
+    kq = ", ".join(f"q.{k}" for k in keys)
+    kj = " and ".join(f"q.{k} = c.{k}" for k in keys) or "true"
+    ksel = (kq + ", ") if keys else ""
+    pay = "".join(f", c.{p}" for p in payload)
+    pay_b = "".join(f", b.{p}" for p in payload)
+    part = ", ".join([f"q.{k}" for k in keys] + ["q.q"])
+    lj = " and ".join([f"b.{k} = d.{k}" for k in keys] + ["b.q = d.q"])
+    return f"""
+, fz_q as (select distinct {ksel}{qcol} as q from {queries} q where {qcol} is not null),
+fz_qn as (select *, {_token_sort_sql('q', lower)} as qn from fz_q),
+fz_c as (select *, {_token_sort_sql(ccol, False)} as cn from {choices}),
+fz_cm as (select *, length(cn) as cl,
+  map_from_entries(list_transform(list_distinct(string_split(cn, '')), lambda ch: {{'k': ch,
+    'v': list_reduce(list_transform(range(length(cn)), lambda i: case when cn[i + 1] = ch then (1::bigint << i) else 0::bigint end),
+                     lambda a, b: a | b, 0::bigint)}})) as masks from fz_c),
+fz_p as (
+  select {ksel}q.q, c.{ccol} as matched, c.{ocol} as ord{pay}, length(q.qn) as ql, c.cl,
+    c.cl - bit_count(list_reduce(string_split(q.qn, ''),
+      lambda v, ch: ((v + (v & coalesce(c.masks[ch], 0::bigint))) | (v - (v & coalesce(c.masks[ch], 0::bigint))))
+                    & ((1::bigint << c.cl) - 1), (1::bigint << c.cl) - 1)) as lcs
+  from fz_qn q join fz_cm c on {kj}),
+fz_s as (
+  select q.*, 200.0 * lcs / (ql + cl) as score,
+    row_number() over (partition by {part} order by 200.0 * lcs / (ql + cl) desc, ord) as rn
+  from fz_p q where 200 * lcs >= {cutoff} * (ql + cl)),
+fz_best as (
+  select {", ".join(f"d.{k}" for k in keys) + ", " if keys else ""}d.q, b.matched, b.ord{pay_b}, b.score
+  from fz_q d left join (select * from fz_s where rn = 1) b on {lj})"""

@@ -118,3 +118,63 @@ def q_week_stats(spark, sf_dir):
         fx.profile(spark, sf_dir), fx.weights(spark, sf_dir), food_rows(spark, sf_dir),
         fx.workout_log(spark, sf_dir), band_daily(spark, sf_dir),
         fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir))
+
+
+# -------------------------------------------------------------- matching
+
+MENTION_SQL = """(select distinct case l.l_linenumber when 1 then c.choice when 2 then '  ' || upper(c.choice) || ' '
+    when 3 then c.choice || 's' when 4 then substr(c.choice, 1, length(c.choice) - 1)
+    when 5 then 'homemade ' || c.choice when 6 then p.p_name else c.choice || ' fresh' end as mention
+  from lineitem l join part p on l.l_partkey = p.p_partkey join food_choice c on l.l_partkey % 121 = c.ord)"""
+
+
+def _food_match_sql():
+    return oracle.with_ctes(
+        oracle.fuzzy_sql(MENTION_SQL, "mention", "food_choice", "choice", "ord", 85, True, payload=("food_id",))
+        + """
+select b.q as mention, b.matched, b.ord, b.food_id, b.score, case when b.food_id is not null then 'built-in' end as source
+from fz_best b""")
+
+
+@register("food_match", _food_match_sql)
+def q_food_match(spark, sf_dir):
+    from ..operators import fuzzy
+    ch = dims.food_choice_df(spark)
+    return fuzzy.match_food(fx.food_mentions(spark, sf_dir, ch), ch)
+
+
+EX_MENTION_SQL = """(select distinct case l.l_suppkey % 3 when 0 then 'Full gym' when 1 then 'Dumbbells at home' else 'Bodyweight only' end as equipment,
+    case l.l_linenumber when 1 then e.name when 2 then lower(e.name) when 3 then e.name || 's'
+      when 4 then substr(e.name, 1, length(e.name) - 1)
+      when 5 then array_to_string(list_reverse(string_split(e.name, ' ')), ' ')
+      when 6 then p.p_name else upper(e.name) end as mention
+  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id
+  where l.l_returnflag = 'R')"""
+ALLOWED_SQL = "(select k.profile as equipment, e.name, e.exercise_id from exercise e join equipment_kind k on e.equipment = k.kind)"
+
+
+@register("exercise_match", lambda: oracle.with_ctes(
+    oracle.fuzzy_sql(EX_MENTION_SQL, "mention", ALLOWED_SQL, "name", "exercise_id", 90, False, keys=("equipment",))
+    + "\nselect b.equipment, b.q as mention, b.matched, b.ord, b.score from fz_best b"))
+def q_exercise_match(spark, sf_dir):
+    from ..operators import fuzzy, workouts
+    lib = dims.exercise_df(spark)
+    allowed = workouts.allowed_exercises(lib, dims.equipment_kind_df(spark))
+    return fuzzy.match_exercise(fx.exercise_mentions(spark, sf_dir, lib), allowed)
+
+
+MARKER_MENTION_SQL = """(select distinct o.o_custkey as user_id, trim(case l.l_linenumber when 1 then p.p_type when 2 then lower(p.p_type)
+    when 3 then p.p_type || 'S' when 4 then substr(p.p_type, 1, length(p.p_type) - 1)
+    when 5 then upper(substr(p.p_type, 1, 1)) || lower(substr(p.p_type, 2)) when 6 then p.p_name
+    else ' ' || p.p_type || ' ' end) as mention
+  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey)"""
+KNOWN_SQL = """(select user_id, marker, dense_rank() over (partition by user_id order by marker) as ord
+  from (select distinct user_id, marker from lab_results))"""
+
+
+@register("marker_canonicalise", lambda: oracle.with_ctes(
+    oracle.fuzzy_sql(MARKER_MENTION_SQL, "mention", KNOWN_SQL, "marker", "ord", 90, False, keys=("user_id",))
+    + "\nselect b.user_id, b.q as mention, coalesce(b.matched, b.q) as marker, b.score from fz_best b"))
+def q_marker_canonicalise(spark, sf_dir):
+    from ..operators import fuzzy
+    return fuzzy.canonical_marker(fx.marker_mentions(spark, sf_dir), fx.lab_results(spark, sf_dir))

@@ -156,3 +156,70 @@ def lab_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.col("l_orderkey").alias("report_id"),
               ))
 
+
+
+def food_mentions(spark: SparkSession, sf_dir: str, choices: DataFrame) -> DataFrame:
+    """Free-text food names as a meal parser would emit them: each line item
+    picks a choice string (``l_partkey % 121``) and a spelling variant by line
+    number -- exact, padded upper case, plural, truncated, prefixed, noise (the
+    part name) or suffixed."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"])
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    c = F.broadcast(choices.select("ord", "choice"))
+    ch, ln = F.col("choice"), F.col("l_linenumber")
+    mention = (F.when(ln == 1, ch)
+                .when(ln == 2, F.concat(F.lit("  "), F.upper(ch), F.lit(" ")))
+                .when(ln == 3, F.concat(ch, F.lit("s")))
+                .when(ln == 4, F.expr("substring(choice, 1, length(choice) - 1)"))
+                .when(ln == 5, F.concat(F.lit("homemade "), ch))
+                .when(ln == 6, F.col("p_name"))
+                .otherwise(F.concat(ch, F.lit(" fresh"))))
+    return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .join(c, F.col("l_partkey") % 121 == F.col("ord"))
+              .select(F.col("l_suppkey").alias("user_id"), _day_from_orderkey(F.col("l_orderkey")).alias("day"),
+                      "l_orderkey", "l_linenumber", "l_quantity", mention.alias("mention")))
+
+
+def exercise_mentions(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFrame:
+    """Exercise names as a plan generator would emit them, per workout row:
+    library name by ``l_partkey % 48``, variant by line number (exact, lower
+    case, plural, truncated, tokens reversed, noise, upper case); equipment
+    profile by ``l_suppkey % 3``."""
+    li = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
+          .where(F.col("l_returnflag") == "R"))
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    lib = F.broadcast(library.select("exercise_id", "name"))
+    nm, ln = F.col("name"), F.col("l_linenumber")
+    mention = (F.when(ln == 1, nm)
+                .when(ln == 2, F.lower(nm))
+                .when(ln == 3, F.concat(nm, F.lit("s")))
+                .when(ln == 4, F.expr("substring(name, 1, length(name) - 1)"))
+                .when(ln == 5, F.array_join(F.reverse(F.split(nm, " ")), " "))
+                .when(ln == 6, F.col("p_name"))
+                .otherwise(F.upper(nm)))
+    profile = (F.when(F.col("l_suppkey") % 3 == 0, "Full gym")
+                .when(F.col("l_suppkey") % 3 == 1, "Dumbbells at home").otherwise("Bodyweight only"))
+    return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .join(lib, F.col("l_partkey") % 48 == F.col("exercise_id"))
+              .select(F.col("l_suppkey").alias("user_id"), profile.alias("equipment"), mention.alias("mention")))
+
+
+def marker_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marker names as a report extractor would emit them, per lab row:
+    variant of ``p_type`` by line number (exact, lower case, plural,
+    truncated, title case, noise, padded)."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_name"])
+    t, ln = F.col("p_type"), F.col("l_linenumber")
+    mention = (F.when(ln == 1, t)
+                .when(ln == 2, F.lower(t))
+                .when(ln == 3, F.concat(t, F.lit("S")))
+                .when(ln == 4, F.expr("substring(p_type, 1, length(p_type) - 1)"))
+                .when(ln == 5, F.initcap(t))
+                .when(ln == 6, F.col("p_name"))
+                .otherwise(F.concat(F.lit(" "), t, F.lit(" "))))
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .select(F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("report_id"),
+                      F.col("l_linenumber").alias("line"), mention.alias("mention")))
