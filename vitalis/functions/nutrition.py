@@ -40,7 +40,7 @@ def targets(weight_kg, height_cm, age, sex, activity, deficit_pct, protein_g_per
 def canonical_unit(unit) -> Column:
     """Lower-cased, stripped unit (default ``serving``) through the synonym
     table."""
-    u = F.lower(F.trim(F.coalesce(F.when(F.trim(col(unit)) != "", col(unit)), F.lit("serving"))))
+    u = F.lower(F.trim(F.coalesce(F.when(col(unit) != "", col(unit)), F.lit("serving"))))
     syn = F.create_map(*[x for a, c in dims.UNIT_SYNONYMS for x in (F.lit(a), F.lit(c))])
     return F.coalesce(F.try_element_at(syn, u), u)
 
@@ -59,18 +59,35 @@ def to_grams(quantity, unit, food_units) -> Column:
     serving = F.try_element_at(fu, F.lit("serving"))
     fb = F.create_map(*[x for k, g in dims.FALLBACK_GRAMS for x in (F.lit(k), F.lit(float(g)))])
     fallback = F.coalesce(F.try_element_at(fb, u), F.lit(float(dims.DEFAULT_FALLBACK_GRAMS)))
-    grams = (F.when(u.isin("g", "ml"), q)
-              .when(u.isin("kg", "l"), q * 1000)
-              .when(own.isNotNull(), q * own)
-              .when(u.isin("piece", "plate", "serving") & serving.isNotNull(), q * serving)
-              .otherwise(q * fallback))
+    qd = dec(q)
+    grams = (F.when(u.isin("g", "ml"), qd)
+              .when(u.isin("kg", "l"), qd * 1000)
+              .when(own.isNotNull(), qd * dec(own))
+              .when(u.isin("piece", "plate", "serving") & serving.isNotNull(), qd * dec(serving))
+              .otherwise(qd * dec(fallback)))
     exact = u.isin("g", "ml", "kg", "l") | own.isNotNull()
-    return F.struct(grams.cast("double").alias("grams"), exact.alias("exact"))
+    return F.struct(grams.cast("double").alias("grams"), F.bround(grams, 1).cast("double").alias("grams_1dp"),
+                    exact.alias("exact"))
+
+
+DEC = "decimal(18,4)"
+
+
+def dec(x) -> Column:
+    """Exact decimal view of a double with at most 4 decimals."""
+    return col(x).cast(DEC)
+
+
+def round1(x) -> Column:
+    """Half-even rounding to 1 decimal done in DECIMAL arithmetic, so a value
+    such as 14.85 is a true tie whatever its binary approximation is."""
+    return F.bround(dec(x), 1).cast("double")
 
 
 def total(per100, grams) -> Column:
-    """Nutrient amount for ``grams`` from a per-100 g value, 1 decimal."""
-    return F.bround(col(per100) * col(grams) / 100, 1)
+    """Nutrient amount for ``grams`` from a per-100 g value, 1 decimal
+    (decimal arithmetic: per100 * grams * 0.01, half-even)."""
+    return F.bround(dec(per100) * dec(grams) * F.lit(0.01).cast("decimal(3,2)"), 1).cast("double")
 
 
 def macro_progress(eaten, target) -> Column:

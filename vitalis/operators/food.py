@@ -51,3 +51,20 @@ def progress(eaten: DataFrame, targets: DataFrame) -> DataFrame:
         out += [F.col(n).alias(f"{n}_eaten"), p["remaining"].alias(f"{n}_remaining"),
                 p["progress"].alias(f"{n}_progress")]
     return j.select(*out)
+
+
+def resolve_meal_items(items: DataFrame, matches: DataFrame, foods: DataFrame) -> DataFrame:
+    """Parsed items -> stored food rows: match the name (``matches`` from
+    ``fuzzy.match_food``), convert the quantity to grams (1 decimal), label
+    the source, and compute the four totals from the rounded grams. Items
+    without a match are dropped (no estimate available)."""
+    from ..functions.nutrition import source_label, to_grams
+    m = matches.select(F.col("mention"), "food_id", "source")
+    f = F.broadcast(foods.select("food_id", F.col("name").alias("item"), "units",
+                                 *[F.col(n).alias(f"_p_{n}") for n in NUTRIENTS]))
+    j = items.join(m, "mention").join(f, "food_id")
+    g = to_grams("quantity", "unit", "units")
+    j = j.withColumn("_g", g).withColumn("grams", F.col("_g.grams_1dp"))
+    return j.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
+                    source_label("source", "_g.exact").alias("source"),
+                    *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])

@@ -68,12 +68,20 @@ DIM_CTES = {
     "equipment_kind": dims.equipment_kind_sql,
 }
 
+
+
+def tot(per100: str, grams: str) -> str:
+    """Nutrient total, 1 decimal, half-even in decimal arithmetic."""
+    return (f"cast(round_even(cast({per100} as decimal(18,4)) * cast({grams} as decimal(18,4)) * 0.01, 1) "
+            "as double)")
+
+
 # Derived layers shared by several oracle queries.
 LAYER_CTES = {
-    "food_rows": """
+    "food_rows": f"""
 select f.user_id, f.day, f.food_id, f.grams, f.line, d.name as item,
-  round_even(d.kcal * f.grams / 100, 1) as kcal, round_even(d.protein * f.grams / 100, 1) as protein,
-  round_even(d.carbs * f.grams / 100, 1) as carbs, round_even(d.fat * f.grams / 100, 1) as fat
+  {tot('d.kcal', 'f.grams')} as kcal, {tot('d.protein', 'f.grams')} as protein,
+  {tot('d.carbs', 'f.grams')} as carbs, {tot('d.fat', 'f.grams')} as fat
 from food_log f join food d on f.food_id = d.food_id""",
     "sleep_x": """
 select user_id, sleep_score, st + to_minutes(off) as s, en + to_minutes(off) as e from (

@@ -178,3 +178,117 @@ KNOWN_SQL = """(select user_id, marker, dense_rank() over (partition by user_id
 def q_marker_canonicalise(spark, sf_dir):
     from ..operators import fuzzy
     return fuzzy.canonical_marker(fx.marker_mentions(spark, sf_dir), fx.lab_results(spark, sf_dir))
+
+
+# ------------------------------------------------------------ meal rows
+
+def _meal_items_sql():
+    units = ", ".join("NULL" if u is None else "'" + u + "'" for u in fx.MEAL_UNITS)
+    meals = ", ".join("'" + m + "'" for m in dims.MEALS)
+    return f"""(select l.l_suppkey as user_id, date '2024-01-01' + cast(l.l_orderkey % 30 as int) as day,
+    [{meals}][cast(l.l_orderkey % {len(dims.MEALS)} + 1 as int)] as meal, l.l_orderkey as meal_id, l.l_linenumber as line,
+    case l.l_linenumber when 1 then c.choice when 2 then '  ' || upper(c.choice) || ' '
+      when 3 then c.choice || 's' when 4 then substr(c.choice, 1, length(c.choice) - 1)
+      when 5 then 'homemade ' || c.choice when 6 then p.p_name else c.choice || ' fresh' end as mention,
+    l.l_quantity / 2 as quantity, [{units}][cast(l.l_orderkey % {len(fx.MEAL_UNITS)} + 1 as int)] as unit
+  from lineitem l join part p on l.l_partkey = p.p_partkey join food_choice c on l.l_partkey % 121 = c.ord)"""
+
+
+def _resolved_sql():
+    """CTE ``resolved``: the stored food rows of the meal items."""
+    return oracle.fuzzy_sql(_meal_items_sql(), "mention", "food_choice", "choice", "ord", 85, True,
+                            payload=("food_id",)) + f"""
+, items as {_meal_items_sql()},
+mu as (select i.*, b.food_id, 'built-in' as src,
+    lower(trim(coalesce(case when i.unit <> '' then i.unit end, 'serving'))) as u0
+  from items i join fz_best b on b.q = i.mention where b.food_id is not null),
+mu2 as (select mu.*, coalesce(s.unit, mu.u0) as cu from mu left join unit_synonym s on s.alias = mu.u0),
+mg as (select mu2.*, fu.grams as own, sv.grams as serving, coalesce(fb.grams, 100.0) as fallback
+  from mu2 left join food_unit fu on fu.food_id = mu2.food_id and fu.unit = mu2.cu
+  left join food_unit sv on sv.food_id = mu2.food_id and sv.unit = 'serving'
+  left join fallback_grams fb on fb.unit = mu2.cu),
+mr as (select mg.*, cast(round_even(case when cu in ('g', 'ml') then cast(quantity as decimal(18,4))
+      when cu in ('kg', 'l') then cast(quantity as decimal(18,4)) * 1000
+      when own is not null then cast(quantity as decimal(18,4)) * cast(own as decimal(18,4))
+      when cu in ('piece', 'plate', 'serving') and serving is not null
+      then cast(quantity as decimal(18,4)) * cast(serving as decimal(18,4))
+      else cast(quantity as decimal(18,4)) * cast(fallback as decimal(18,4)) end, 1) as double) as grams,
+    (cu in ('g', 'ml', 'kg', 'l') or own is not null) as exact from mg),
+resolved as (select mr.user_id, mr.day, mr.meal, mr.meal_id, mr.line, d.name as item, mr.quantity, mr.unit, mr.grams,
+    case when exact then src else src || ' (check grams)' end as source,
+    {oracle.tot('d.kcal', 'mr.grams')} as kcal, {oracle.tot('d.protein', 'mr.grams')} as protein,
+    {oracle.tot('d.carbs', 'mr.grams')} as carbs, {oracle.tot('d.fat', 'mr.grams')} as fat
+  from mr join food d on d.food_id = mr.food_id)"""
+
+
+def resolved_rows(spark, sf_dir):
+    from ..operators import fuzzy
+    ch = dims.food_choice_df(spark)
+    items = fx.meal_items(spark, sf_dir, ch)
+    return food.resolve_meal_items(items, fuzzy.match_food(items, ch), dims.food_df(spark))
+
+
+@register("meal_resolve", lambda: oracle.with_ctes(_resolved_sql() + """
+select user_id, cast(day as varchar) as day, meal, meal_id, line, item, quantity, unit, grams, source,
+  kcal, protein, carbs, fat from resolved"""))
+def q_meal_resolve(spark, sf_dir):
+    return resolved_rows(spark, sf_dir)
+
+
+@register("meal_total", lambda: oracle.with_ctes(_resolved_sql() + """
+select user_id, cast(day as varchar) as day, meal,
+  cast(sum(cast(kcal as decimal(18,1))) as double) as kcal, cast(sum(cast(protein as decimal(18,1))) as double) as protein,
+  cast(sum(cast(carbs as decimal(18,1))) as double) as carbs, cast(sum(cast(fat as decimal(18,1))) as double) as fat
+from resolved group by user_id, day, meal"""))
+def q_meal_total(spark, sf_dir):
+    return food.meal_totals(resolved_rows(spark, sf_dir))
+
+
+@register("food_daily", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, cast(sum(cast(kcal as decimal(18,1))) as double) as kcal,
+  cast(sum(cast(protein as decimal(18,1))) as double) as protein from food_rows group by user_id, day"""))
+def q_food_daily(spark, sf_dir):
+    d = food.daily_totals(food_rows(spark, sf_dir), ("kcal", "protein"))
+    return d.select("user_id", "day", F.col("kcal").cast("double").alias("kcal"),
+                    F.col("protein").cast("double").alias("protein"))
+
+
+DAY_SPINE_SQL = "(select user_id, day from weights union select user_id, day from food_rows)"
+DAY_MACROS_SQL = f"""
+, spine as {DAY_SPINE_SQL},
+dm as (select s.user_id, s.day,
+  coalesce(cast(sum(cast(f.kcal as decimal(18,1))) as double), 0.0) as kcal,
+  coalesce(cast(sum(cast(f.protein as decimal(18,1))) as double), 0.0) as protein,
+  coalesce(cast(sum(cast(f.carbs as decimal(18,1))) as double), 0.0) as carbs,
+  coalesce(cast(sum(cast(f.fat as decimal(18,1))) as double), 0.0) as fat
+  from spine s left join food_rows f on f.user_id = s.user_id and f.day = s.day group by s.user_id, s.day)"""
+
+
+def _day_macros(spark, sf_dir):
+    rows = food_rows(spark, sf_dir)
+    spine = fx.weights(spark, sf_dir).select("user_id", "day").unionByName(rows.select("user_id", "day")).distinct()
+    return food.day_macros(spine, rows)
+
+
+@register("day_macros", lambda: oracle.with_ctes(DAY_MACROS_SQL + """
+select user_id, cast(day as varchar) as day, kcal, protein, carbs, fat from dm"""))
+def q_day_macros(spark, sf_dir):
+    return _day_macros(spark, sf_dir)
+
+
+@register("macro_progress", lambda: oracle.with_ctes(DAY_MACROS_SQL + f"""
+, lw as (select user_id, arg_max(kg, day) as kg from weights group by user_id),
+tg as (select p.user_id, {oracle.targets_cols('lw.kg')} from profile p join lw on lw.user_id = p.user_id
+       left join activity_dim a on a.activity = p.activity)
+select dm.user_id, cast(dm.day as varchar) as day,
+  dm.kcal as kcal_eaten, tg.kcal - dm.kcal as kcal_remaining,
+  case when tg.kcal is null or tg.kcal = 0 then 0.0 else least(dm.kcal / tg.kcal, 1.0) end as kcal_progress,
+  dm.protein as protein_eaten, tg.protein - dm.protein as protein_remaining,
+  case when tg.protein is null or tg.protein = 0 then 0.0 else least(dm.protein / tg.protein, 1.0) end as protein_progress,
+  dm.carbs as carbs_eaten, tg.carbs - dm.carbs as carbs_remaining,
+  case when tg.carbs is null or tg.carbs = 0 then 0.0 else least(dm.carbs / tg.carbs, 1.0) end as carbs_progress,
+  dm.fat as fat_eaten, tg.fat - dm.fat as fat_remaining,
+  case when tg.fat is null or tg.fat = 0 then 0.0 else least(dm.fat / tg.fat, 1.0) end as fat_progress
+from dm join tg on tg.user_id = dm.user_id"""))
+def q_macro_progress(spark, sf_dir):
+    return food.progress(_day_macros(spark, sf_dir), q_targets(spark, sf_dir))

@@ -223,3 +223,24 @@ def marker_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(p, F.col("l_partkey") == F.col("p_partkey"))
               .select(F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("report_id"),
                       F.col("l_linenumber").alias("line"), mention.alias("mention")))
+
+
+# Unit spellings a meal parser emits (legal units, synonyms, odd case and
+# padding, unknown, missing); picked per line item by ``l_orderkey % 24``.
+MEAL_UNITS = ["g", "ml", "kg", "l", "piece", "pcs", "katori", "bowl", "cup", "plate", "serving", None,
+              "scoop", "tbsp", "slice", "handful", "glass", "can", "pack", "tsp", "Cups", " Gms ", "", "spoon"]
+
+
+def meal_items(spark: SparkSession, sf_dir: str, choices: DataFrame) -> DataFrame:
+    """Parsed meal items: (user_id, day, meal, meal_id, line, mention,
+    quantity, unit). Quantity is half the line quantity; meal by order key."""
+    from . import dims
+    m = food_mentions(spark, sf_dir, choices)
+    units = F.array(*[F.lit(u) for u in MEAL_UNITS])
+    meals = F.array(*[F.lit(x) for x in dims.MEALS])
+    return m.select(
+        "user_id", "day",
+        F.element_at(meals, (F.col("l_orderkey") % len(dims.MEALS) + 1).cast("int")).alias("meal"),
+        F.col("l_orderkey").alias("meal_id"), F.col("l_linenumber").alias("line"), "mention",
+        (F.col("l_quantity") / 2).alias("quantity"),
+        F.element_at(units, (F.col("l_orderkey") % len(MEAL_UNITS) + 1).cast("int")).alias("unit"))
