@@ -292,3 +292,238 @@ select dm.user_id, cast(dm.day as varchar) as day,
 from dm join tg on tg.user_id = dm.user_id"""))
 def q_macro_progress(spark, sf_dir):
     return food.progress(_day_macros(spark, sf_dir), q_targets(spark, sf_dir))
+
+
+# --------------------------------------------------------------- weights
+
+AS_OF = "2024-01-30"
+
+
+@register("weight_rolling_7d", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, kg,
+  cast(sum(cast(kg as decimal(18,4))) over w as double) / count(kg) over w as avg_7d
+from (select *, count(*) over (partition by user_id) as n from weights) x where n >= 2
+window w as (partition by user_id order by day range between interval 6 days preceding and current row)"""))
+def q_weight_rolling(spark, sf_dir):
+    return weights.rolling_7d(fx.weights(spark, sf_dir))
+
+
+@register("weight_trend", lambda: oracle.with_ctes("""
+, e as (select user_id, max(day) as end_day from weights group by user_id),
+g as (select w.user_id, e.end_day,
+  case when count(case when e.end_day - w.day < 7 then kg end) > 0 then
+    cast(sum(case when e.end_day - w.day < 7 then cast(kg as decimal(18,4)) end) as double)
+    / count(case when e.end_day - w.day < 7 then kg end) end as recent_mean,
+  case when count(case when e.end_day - w.day >= 7 and e.end_day - w.day < 14 then kg end) > 0 then
+    cast(sum(case when e.end_day - w.day >= 7 and e.end_day - w.day < 14 then cast(kg as decimal(18,4)) end) as double)
+    / count(case when e.end_day - w.day >= 7 and e.end_day - w.day < 14 then kg end) end as prior_mean
+  from weights w join e on e.user_id = w.user_id group by w.user_id, e.end_day)
+select user_id, cast(end_day as varchar) as end_day, recent_mean, prior_mean, recent_mean - prior_mean as rate_kg_per_week,
+  100 * (recent_mean - prior_mean) / prior_mean as pct, 100 * (recent_mean - prior_mean) / prior_mean < -1 as fast_cut
+from g where recent_mean is not null and prior_mean is not null"""))
+def q_weight_trend(spark, sf_dir):
+    return weights.trend(fx.weights(spark, sf_dir))
+
+
+@register("latest_weight", lambda: oracle.with_ctes(
+    "select user_id, cast(max(day) as varchar) as day, arg_max(kg, day) as kg from weights group by user_id"))
+def q_latest_weight(spark, sf_dir):
+    return weights.latest(fx.weights(spark, sf_dir))
+
+
+@register("weight_asof_week_end", lambda: oracle.with_ctes("""
+, pts as (select distinct user_id, cast(date_trunc('week', day) as date) + 6 as point_day from food_rows
+          union select distinct user_id, cast(date_trunc('week', day) as date) + 6 from weights)
+select p.user_id, cast(p.point_day as varchar) as point_day,
+  (select arg_max(w.kg, w.day) from weights w where w.user_id = p.user_id and w.day <= p.point_day) as asof_kg
+from pts p"""))
+def q_weight_asof(spark, sf_dir):
+    from ..functions.time import week_start
+    w = fx.weights(spark, sf_dir)
+    pts = (food_rows(spark, sf_dir).select("user_id", "day").unionByName(w.select("user_id", "day"))
+           .select("user_id", F.date_add(week_start("day"), 6).alias("point_day")))
+    return weights.asof(w, pts, "point_day")
+
+
+# -------------------------------------------------------------- training
+
+@register("e1rm_trend", lambda: oracle.with_ctes("""
+select w.user_id, e.name as exercise, cast(w.day as varchar) as day,
+  max(case when w.weight_kg is not null and w.weight_kg <> 0 and w.reps is not null and w.reps <> 0
+      then w.weight_kg * (1 + w.reps / 30) else 0.0 end) as e1rm
+from workout_log w join exercise e on e.exercise_id = w.exercise_id group by w.user_id, e.name, w.day"""))
+def q_e1rm_trend(spark, sf_dir):
+    from ..operators import workouts
+    return workouts.e1rm_trend(fx.workout_log(spark, sf_dir), dims.exercise_df(spark))
+
+
+@register("known_exercises", lambda: oracle.with_ctes("""
+select distinct w.user_id, e.name as exercise from workout_log w join exercise e on e.exercise_id = w.exercise_id"""))
+def q_known_exercises(spark, sf_dir):
+    from ..operators import workouts
+    return workouts.known_exercises(fx.workout_log(spark, sf_dir), dims.exercise_df(spark))
+
+
+# ------------------------------------------------------------------ labs
+
+LAB_FLAG_SQL = """case when ref_low is not null and value < ref_low then 'Low'
+  when ref_high is not null and value > ref_high then 'High' else 'In range' end"""
+
+
+@register("lab_flag", lambda: oracle.with_ctes(f"""
+select user_id, cast(test_date as varchar) as test_date, marker, value, ref_low, ref_high, line, report_id,
+  {LAB_FLAG_SQL} as flag from lab_results"""))
+def q_lab_flag(spark, sf_dir):
+    from ..operators import labs
+    return labs.with_flag(fx.lab_results(spark, sf_dir))
+
+
+LATEST_SQL = """(select l.* from lab_results l join (select user_id, max(test_date) as md from lab_results group by user_id) m
+  on m.user_id = l.user_id and m.md = l.test_date)"""
+
+
+@register("latest_lab_report", lambda: oracle.with_ctes(f"""
+select user_id, cast(test_date as varchar) as test_date, marker, value, ref_low, ref_high, line, report_id,
+  {LAB_FLAG_SQL} as flag from {LATEST_SQL}"""))
+def q_latest_lab_report(spark, sf_dir):
+    from ..operators import labs
+    return labs.with_flag(labs.latest_report(fx.lab_results(spark, sf_dir)))
+
+
+@register("flagged_lines", lambda: oracle.with_ctes(f"""
+, f as (select *, {LAB_FLAG_SQL} as flag from {LATEST_SQL}),
+g as (select *, marker || ': ' || coalesce(cast(value as varchar), 'None') || ' ' || '' || ' (range '
+    || coalesce(cast(ref_low as varchar), 'None') || '-' || coalesce(cast(ref_high as varchar), 'None') || ') -> ' || flag as ln
+  from f where flag <> 'In range')
+select user_id, cast(test_date as varchar) as test_date, count(*) as n_flagged,
+  string_agg(ln, chr(10) order by report_id, line, ln) as flagged from g group by user_id, test_date"""))
+def q_flagged_lines(spark, sf_dir):
+    from ..operators import labs
+    return labs.flagged_lines(labs.latest_report(fx.lab_results(spark, sf_dir)))
+
+
+@register("lab_trend", lambda: oracle.with_ctes("""
+select user_id, marker, cast(test_date as varchar) as test_date, count(*) as n,
+  cast(min(value) as double) as min_value, cast(max(value) as double) as max_value
+from lab_results group by user_id, marker, test_date"""))
+def q_lab_trend(spark, sf_dir):
+    """Per (user, marker, test date) the values plotted on the trend chart,
+    summarised by count, min and max."""
+    r = fx.lab_results(spark, sf_dir)
+    return r.groupBy("user_id", "marker", "test_date").agg(
+        F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
+@register("known_markers", lambda: oracle.with_ctes("select distinct user_id, marker from lab_results"))
+def q_known_markers(spark, sf_dir):
+    return fx.lab_results(spark, sf_dir).select("user_id", "marker").distinct()
+
+
+@register("text_chunks", """
+select doc_id, cast(i as bigint) as chunk, substr(text, cast(i * 6000 + 1 as bigint), 6000) as text
+from (select doc_id, text, unnest(range(0, cast(ceil(length(text) / 6000) as bigint))) as i from documents)""")
+def q_text_chunks(spark, sf_dir):
+    from ..operators import labs
+    from ..sources.tables import read_table
+    c = labs.text_chunks(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text")
+
+
+@register("short_text_guard", """
+select doc_id, cast(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as int) as stripped_chars,
+  length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 50 as accepted from documents""")
+def q_short_text_guard(spark, sf_dir):
+    from ..operators import labs
+    from ..sources.tables import read_table
+    return labs.short_text_guard(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@register("report_date", """
+select report_id, arg_min(test_date, chunk) as test_date from (
+  select l_orderkey as report_id, l_linenumber as chunk,
+    case when l_linenumber % 3 = 1 then '' else cast(cast(o_orderdate as date) + l_linenumber as varchar) end as test_date
+  from lineitem join orders on l_orderkey = o_orderkey) x
+where test_date is not null and trim(test_date) <> '' group by report_id""")
+def q_report_date(spark, sf_dir):
+    from ..operators import labs
+    return labs.report_date(fx.chunk_dates(spark, sf_dir))
+
+
+@register("lab_dedupe_first", lambda: oracle.with_ctes(
+    oracle.fuzzy_sql(MARKER_MENTION_SQL, "mention", KNOWN_SQL, "marker", "ord", 90, False, keys=("user_id",))
+    + """
+, ext as (select o.o_custkey as user_id, l.l_orderkey as report_id, (l.l_linenumber - 1) // 4 as chunk, l.l_linenumber as pos,
+    trim(case l.l_linenumber when 1 then p.p_type when 2 then lower(p.p_type)
+    when 3 then p.p_type || 'S' when 4 then substr(p.p_type, 1, length(p.p_type) - 1)
+    when 5 then upper(substr(p.p_type, 1, 1)) || lower(substr(p.p_type, 2)) when 6 then p.p_name
+    else ' ' || p.p_type || ' ' end) as mention, l.l_quantity as value
+  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey),
+c as (select e.report_id, coalesce(b.matched, e.mention) as marker, e.chunk, e.pos, e.value
+  from ext e join fz_best b on b.user_id = e.user_id and b.q = e.mention),
+r as (select *, row_number() over (partition by report_id, marker order by chunk, pos, value) as rn from c)
+select report_id, marker, chunk, pos, value from r where rn = 1"""))
+def q_lab_dedupe_first(spark, sf_dir):
+    from ..operators import fuzzy, labs
+    ext = fx.lab_extract_rows(spark, sf_dir)
+    canon = fuzzy.canonical_marker(ext.select("user_id", "mention"), fx.lab_results(spark, sf_dir))
+    rows = (ext.withColumn("mention", F.trim("mention"))
+               .join(canon.select("user_id", "mention", "marker"), ["user_id", "mention"])
+               .select("report_id", "marker", "chunk", "pos", "value"))
+    return labs.dedupe_first(rows)
+
+
+# ----------------------------------------------------------- supplements
+
+@register("supplement_log_join", lambda: oracle.with_ctes("""
+select l.user_id, cast(l.day as varchar) as day, l.supplement_id, s.name, l.taken
+from supplement_log l join supplements s on s.supplement_id = l.supplement_id"""))
+def q_supplement_log_join(spark, sf_dir):
+    from ..operators import supplements as sup
+    return sup.log_join(fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir))
+
+
+@register("supplement_checklist", lambda: oracle.with_ctes("""
+, sp as (select distinct user_id, day from supplement_log),
+a as (select * from supplements where active = 1)
+select sp.user_id, cast(sp.day as varchar) as day, a.supplement_id, a.timing, a.name,
+  trim(coalesce(a.name, '') || ' · ' || coalesce(a.dose, '') || ' · ' || coalesce(a.timing, ''), ' ·') as label,
+  coalesce(l.taken, 0) as taken
+from sp join a on true
+left join supplement_log l on l.user_id = sp.user_id and l.day = sp.day and l.supplement_id = a.supplement_id"""))
+def q_supplement_checklist(spark, sf_dir):
+    from ..operators import supplements as sup
+    log = fx.supplement_log(spark, sf_dir)
+    return sup.checklist(log.select("user_id", "day").distinct(), log, fx.supplements(spark, sf_dir))
+
+
+@register("adherence_14d", lambda: oracle.with_ctes(f"""
+select l.user_id, s.name, cast(sum(l.taken) as bigint) as taken
+from supplement_log l join supplements s on s.supplement_id = l.supplement_id
+where l.day >= date '{AS_OF}' - 14 group by l.user_id, s.name"""))
+def q_adherence_14d(spark, sf_dir):
+    from ..operators import supplements as sup
+    return sup.adherence_recent(fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir), AS_OF, 14)
+
+
+@register("active_supplements", lambda: oracle.with_ctes(
+    "select supplement_id, name, dose, timing from supplements where active = 1"))
+def q_active_supplements(spark, sf_dir):
+    from ..operators import supplements as sup
+    return sup.active(fx.supplements(spark, sf_dir)).select("supplement_id", "name", "dose", "timing")
+
+
+@register("week_supplement_adherence", lambda: oracle.with_ctes("""
+, n as (select count(*) filter (where active = 1) as n from supplements)
+select user_id, cast(cast(date_trunc('week', day) as date) as varchar) as week_start, cast(sum(taken) as bigint) as taken,
+  case when max(n.n) > 0 then cast(round_even(100 * sum(taken) / (7 * max(n.n)), 0) as bigint) end as supplement_adherence_pct
+from supplement_log, n group by user_id, cast(date_trunc('week', day) as date)"""))
+def q_week_supplement_adherence(spark, sf_dir):
+    from ..operators import supplements as sup
+    return sup.week_adherence(fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir))
+
+
+@register("band_last_30d", lambda: oracle.with_ctes(f"""
+select user_id, cast(day as varchar) as day, sleep_hours, sleep_score, resting_hr, steps, stress
+from band_daily where day >= date '{AS_OF}' - 30"""))
+def q_band_last_30d(spark, sf_dir):
+    return band.last_days(band_daily(spark, sf_dir), AS_OF, 30)

@@ -204,6 +204,17 @@ def exercise_mentions(spark: SparkSession, sf_dir: str, library: DataFrame) -> D
               .select(F.col("l_suppkey").alias("user_id"), profile.alias("equipment"), mention.alias("mention")))
 
 
+def _marker_spelling():
+    t, ln = F.col("p_type"), F.col("l_linenumber")
+    return (F.when(ln == 1, t)
+             .when(ln == 2, F.lower(t))
+             .when(ln == 3, F.concat(t, F.lit("S")))
+             .when(ln == 4, F.expr("substring(p_type, 1, length(p_type) - 1)"))
+             .when(ln == 5, F.initcap(t))
+             .when(ln == 6, F.col("p_name"))
+             .otherwise(F.concat(F.lit(" "), t, F.lit(" "))))
+
+
 def marker_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marker names as a report extractor would emit them, per lab row:
     variant of ``p_type`` by line number (exact, lower case, plural,
@@ -211,14 +222,7 @@ def marker_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_name"])
-    t, ln = F.col("p_type"), F.col("l_linenumber")
-    mention = (F.when(ln == 1, t)
-                .when(ln == 2, F.lower(t))
-                .when(ln == 3, F.concat(t, F.lit("S")))
-                .when(ln == 4, F.expr("substring(p_type, 1, length(p_type) - 1)"))
-                .when(ln == 5, F.initcap(t))
-                .when(ln == 6, F.col("p_name"))
-                .otherwise(F.concat(F.lit(" "), t, F.lit(" "))))
+    mention = _marker_spelling()
     return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(p, F.col("l_partkey") == F.col("p_partkey"))
               .select(F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("report_id"),
@@ -244,3 +248,29 @@ def meal_items(spark: SparkSession, sf_dir: str, choices: DataFrame) -> DataFram
         F.col("l_orderkey").alias("meal_id"), F.col("l_linenumber").alias("line"), "mention",
         (F.col("l_quantity") / 2).alias("quantity"),
         F.element_at(units, (F.col("l_orderkey") % len(MEAL_UNITS) + 1).cast("int")).alias("unit"))
+
+
+def chunk_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per report chunk (order, line) the test date a report extractor would
+    return: empty on every third chunk, else the order date plus the line."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    ln = F.col("l_linenumber")
+    td = F.when(ln % 3 == 1, F.lit("")).otherwise(
+        F.date_add(F.col("o_orderdate").cast("date"), ln.cast("int")).cast("string"))
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .select(F.col("l_orderkey").alias("report_id"), ln.alias("chunk"), td.alias("test_date")))
+
+
+def lab_extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted result rows of each report (order): chunk = (line - 1) div 4,
+    position = line, the marker spelling of ``marker_mentions`` and the value."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_name"])
+    ln = F.col("l_linenumber")
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .select(F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("report_id"),
+                      ((ln - 1) / 4).cast("int").alias("chunk"), ln.alias("pos"), _marker_spelling().alias("mention"),
+                      F.col("l_quantity").alias("value")))
