@@ -527,3 +527,71 @@ select user_id, cast(day as varchar) as day, sleep_hours, sleep_score, resting_h
 from band_daily where day >= date '{AS_OF}' - 30"""))
 def q_band_last_30d(spark, sf_dir):
     return band.last_days(band_daily(spark, sf_dir), AS_OF, 30)
+
+
+# ----------------------------------------------------------- model output
+
+def _meal_json_base_sql():
+    units = ", ".join("'" + u + "'" for u in dims.UNITS)
+    return f"""(select l.l_suppkey as user_id, l.l_orderkey as meal_id, l.l_linenumber as line, l.l_orderkey % 6 as v,
+    case l.l_linenumber when 1 then c.choice when 2 then '  ' || upper(c.choice) || ' '
+      when 3 then c.choice || 's' when 4 then substr(c.choice, 1, length(c.choice) - 1)
+      when 5 then 'homemade ' || c.choice when 6 then p.p_name else c.choice || ' fresh' end as name,
+    l.l_quantity / 2 as q, [{units}][cast(l.l_orderkey % {len(dims.UNITS)} + 1 as int)] as u
+  from lineitem l join part p on l.l_partkey = p.p_partkey join food_choice c on l.l_partkey % 121 = c.ord)"""
+
+
+@register("model_json_repair", lambda: oracle.with_ctes(f"""
+select user_id, meal_id, line, case when v = 1 then 'repaired' when v = 5 and line % 2 = 1 then 'rejected'
+  else 'parsed' end as status from {_meal_json_base_sql()}"""))
+def q_model_json_repair(spark, sf_dir):
+    from ..sources import model_json
+    o = fx.meal_outputs(spark, sf_dir, dims.food_choice_df(spark))
+    return o.select("user_id", "meal_id", "line", model_json.parse_status("text").alias("status"))
+
+
+@register("meal_items_normalise", lambda: oracle.with_ctes(f"""
+, b as {_meal_json_base_sql()}
+select user_id, meal_id, line, cast(case when v = 4 then 1 else 0 end as int) as item_pos, trim(name) as name,
+  case when v in (0, 1, 2, 3) then q else 1.0 end as quantity,
+  case when v in (0, 1, 3) then u when v = 5 then '5' else 'serving' end as unit
+from b where not (v = 3 and line = 3) and not (v = 5 and line % 2 = 1)"""))
+def q_meal_items_normalise(spark, sf_dir):
+    from ..sources import model_json
+    o = fx.meal_outputs(spark, sf_dir, dims.food_choice_df(spark))
+    return model_json.meal_items(o, ["user_id", "meal_id", "line"])
+
+
+ESTIMATE_BASE_SQL = """(select p_partkey, p_name as name, p_partkey % 5 as v,
+    cast(case when p_partkey % 5 = 2 then 0 when p_partkey % 5 = 4 then p_size * 30 else p_size * 10 end as double) as k,
+    cast(case when p_partkey % 5 = 3 then 0 else p_size % 30 end as double) as pr,
+    cast(p_size % 45 as double) as cb,
+    cast(case when p_partkey % 5 = 1 then 0 else p_size % 20 end as double) as ft, p_size
+  from part)"""
+
+
+@register("food_estimate_clean", lambda: oracle.with_ctes(f"""
+, b as {ESTIMATE_BASE_SQL},
+a as (select *, pr * 4 + cb * 4 + ft * 9 as atw from b)
+select p_partkey, name, case when atw <> 0 and abs(k - atw) / atw > 0.25 then atw else k end as kcal,
+  pr as protein, cb as carbs, ft as fat,
+  cast(case v when 0 then (case when p_size > 0 and p_size < 2000 then 1 else 0 end) + 1 when 1 then 1
+       when 4 then (case when p_size * 7.5 > 0 and p_size * 7.5 < 2000 then 1 else 0 end) else 0 end as int) as n_units
+from a"""))
+def q_food_estimate_clean(spark, sf_dir):
+    from ..sources import model_json
+    e = model_json.food_estimates(fx.estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
+    return e.select("p_partkey", "name", "kcal", "protein", "carbs", "fat", F.size("units").alias("n_units"))
+
+
+@register("food_estimate_units", """
+select p_partkey, unit, grams from (
+  select p_partkey, 'piece' as unit, cast(p_size as double) as grams from part where p_partkey % 5 = 0
+  union all select p_partkey, 'serving', 100.0 from part where p_partkey % 5 = 0
+  union all select p_partkey, 'cup', 240.0 from part where p_partkey % 5 = 1
+  union all select p_partkey, 'bowl', p_size * 7.5 from part where p_partkey % 5 = 4) x
+where grams > 0 and grams < 2000""")
+def q_food_estimate_units(spark, sf_dir):
+    from ..sources import model_json
+    e = model_json.food_estimates(fx.estimate_outputs(spark, sf_dir), ["p_partkey"])
+    return e.select("p_partkey", F.explode("units").alias("unit", "grams"))

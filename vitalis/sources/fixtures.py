@@ -274,3 +274,57 @@ def lab_extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select(F.col("o_custkey").alias("user_id"), F.col("l_orderkey").alias("report_id"),
                       ((ln - 1) / 4).cast("int").alias("chunk"), ln.alias("pos"), _marker_spelling().alias("mention"),
                       F.col("l_quantity").alias("value")))
+
+
+def meal_outputs(spark: SparkSession, sf_dir: str, choices: DataFrame) -> DataFrame:
+    """Meal-parser output text per line item, clean or damaged by
+    ``l_orderkey % 6``: clean; wrapped in prose; null unit; quantity as text
+    (unparsable on line 3); an item without a name plus one with quantity 0
+    and empty unit; not JSON at all on odd lines, else quantity true and a
+    numeric unit."""
+    from . import dims
+    m = food_mentions(spark, sf_dir, choices)
+    units = F.array(*[F.lit(u) for u in dims.UNITS])
+    q = (F.col("l_quantity") / 2).cast("string")
+    u = F.element_at(units, (F.col("l_orderkey") % len(dims.UNITS) + 1).cast("int"))
+    name = F.col("mention")
+    item = F.concat(F.lit('{"name": "'), name, F.lit('", "quantity": '), q, F.lit(', "unit": "'), u, F.lit('"}'))
+    v = F.col("l_orderkey") % 6
+    ln = F.col("l_linenumber")
+    text = (F.when(v == 0, F.concat(F.lit('{"items": ['), item, F.lit("]}")))
+             .when(v == 1, F.concat(F.lit('Sure, here you go: {"items": ['), item, F.lit("]} Enjoy!")))
+             .when(v == 2, F.concat(F.lit('{"items": [{"name": "'), name, F.lit('", "quantity": '), q,
+                                    F.lit(', "unit": null}]}')))
+             .when(v == 3, F.concat(F.lit('{"items": [{"name": "'), name, F.lit('", "quantity": "'),
+                                    F.when(ln == 3, F.lit("two")).otherwise(q), F.lit('", "unit": "'), u,
+                                    F.lit('"}]}')))
+             .when(v == 4, F.concat(F.lit('{"items": [{"quantity": '), q, F.lit(', "unit": "'), u,
+                                    F.lit('"}, {"name": "'), name, F.lit('", "quantity": 0, "unit": ""}]}')))
+             .when(ln % 2 == 1, F.lit("Sorry, I could not read that meal."))
+             .otherwise(F.concat(F.lit('{"items": [{"name": "'), name, F.lit('", "quantity": true, "unit": 5}]}'))))
+    return m.select("user_id", F.col("l_orderkey").alias("meal_id"), F.col("l_linenumber").alias("line"),
+                    text.alias("text"))
+
+
+def estimate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Food-estimate output text per part, clean or damaged by
+    ``p_partkey % 5``: clean; negative fat and a text unit; missing kcal with
+    out-of-range units; prose around text kcal and null protein; kcal far
+    from the macros."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
+    s = F.col("p_size")
+    K, P, C, Fa = (s * 10).cast("string"), (s % 30).cast("string"), (s % 45).cast("string"), (s % 20).cast("string")
+    v = F.col("p_partkey") % 5
+    text = (F.when(v == 0, F.concat(F.lit('{"kcal": '), K, F.lit(', "protein": '), P, F.lit(', "carbs": '), C,
+                                    F.lit(', "fat": '), Fa, F.lit(', "units": {"piece": '), s.cast("string"),
+                                    F.lit(', "serving": 100}}')))
+             .when(v == 1, F.concat(F.lit('{"kcal": '), K, F.lit(', "protein": '), P, F.lit(', "carbs": '), C,
+                                    F.lit(', "fat": -3, "units": {"piece": "50", "cup": 240}}')))
+             .when(v == 2, F.concat(F.lit('{"protein": '), P, F.lit(', "carbs": '), C, F.lit(', "fat": '), Fa,
+                                    F.lit(', "units": {"pack": 2500, "slice": 0}}')))
+             .when(v == 3, F.concat(F.lit('Here: {"kcal": "'), K, F.lit('", "protein": null, "carbs": '), C,
+                                    F.lit(', "fat": '), Fa, F.lit("} thanks")))
+             .otherwise(F.concat(F.lit('{"kcal": '), (s * 30).cast("string"), F.lit(', "protein": '), P,
+                                 F.lit(', "carbs": '), C, F.lit(', "fat": '), Fa, F.lit(', "units": {"bowl": '),
+                                 (s * 7.5).cast("string"), F.lit("}}"))))
+    return p.select("p_partkey", F.col("p_name").alias("name"), text.alias("text"))
