@@ -595,3 +595,27 @@ def q_food_estimate_units(spark, sf_dir):
     from ..sources import model_json
     e = model_json.food_estimates(fx.estimate_outputs(spark, sf_dir), ["p_partkey"])
     return e.select("p_partkey", F.explode("units").alias("unit", "grams"))
+
+
+# ------------------------------------------------------------ band files
+
+@register("band_csv_parse", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, max(sleep_hours) as sleep_hours, max(sleep_score) as sleep_score,
+  max(resting_hr) as resting_hr, cast(null as bigint) as steps, cast(null as double) as stress from (
+  select user_id, day, sleep_hours, sleep_score, null::double as resting_hr from sleep_daily where user_id % 4 <> 3
+  union all select user_id, day, null, null, resting_hr from heart_daily) u group by user_id, day"""))
+def q_band_csv_parse(spark, sf_dir):
+    from ..sources import band_csv
+    return band_csv.daily_from_lines(fx.band_export_lines(spark, sf_dir))
+
+
+@register("import_summary", lambda: oracle.with_ctes("""
+, d as (select user_id, day from sleep_daily where user_id % 4 <> 3 union select user_id, day from heart_daily),
+f as (select user_id, count(*) as files_used from (
+  select distinct user_id, 's' as k from sleep_daily where user_id % 4 <> 3
+  union all select distinct user_id, 'h' from heart_daily) x group by user_id)
+select coalesce(a.user_id, f.user_id) as user_id, a.days_saved, f.files_used
+from (select user_id, count(*) as days_saved from d group by user_id) a full outer join f on f.user_id = a.user_id"""))
+def q_import_summary(spark, sf_dir):
+    from ..sources import band_csv
+    return band_csv.import_summary(fx.band_export_lines(spark, sf_dir))

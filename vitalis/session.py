@@ -31,7 +31,8 @@ def build_session(master: str | None = None, app: str = "vitalis",
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
+        # Local runs: the driver JVM is the only executor.
+        b = b.master(master).config("spark.driver.memory", "16g")
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     conf = dict(_DEFAULTS)
     if shuffle_partitions:

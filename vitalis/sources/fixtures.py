@@ -328,3 +328,59 @@ def estimate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.lit(', "carbs": '), C, F.lit(', "fat": '), Fa, F.lit(', "units": {"bowl": '),
                                  (s * 7.5).cast("string"), F.lit("}}"))))
     return p.select("p_partkey", F.col("p_name").alias("name"), text.alias("text"))
+
+
+def band_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw export CSV lines (file, user_id, line_no, text) per user: a sleep
+    file, a heart-rate file and an ignored sleep-stage file.
+
+    Sleep file variant by ``user_id % 4``: 0 metadata line + header, text
+    times; 1 no metadata line, epoch-millisecond times; 2 BOM, metadata,
+    header with a repeated start_time and a trailing extra field on every
+    line; 3 no end_time column (the file yields nothing).
+    """
+    from pyspark.sql import Window
+    s = sleep_session(spark, sf_dir)
+    v = F.col("user_id") % 4
+    ms = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1000).cast("long").cast("string")
+    txt = lambda c: F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSS")
+    score = F.coalesce(F.col("sleep_score").cast("string"), F.lit(""))
+    off = F.coalesce(F.col("time_offset"), F.lit(""))
+    pre = "com.samsung.health.sleep."
+    header = (F.when(v == 2, F.lit(f"{pre}start_time,{pre}end_time,{pre}sleep_score,{pre}time_offset,{pre}start_time"))
+               .when(v == 3, F.lit(f"{pre}start_time,{pre}sleep_score,{pre}time_offset"))
+               .otherwise(F.lit(f"{pre}start_time,{pre}end_time,{pre}sleep_score,{pre}time_offset")))
+    data = (F.when(v == 1, F.concat_ws(",", ms("start_time"), ms("end_time"), score, off))
+             .when(v == 2, F.concat_ws(",", txt("start_time"), txt("end_time"), score, off, F.lit("x")))
+             .when(v == 3, F.concat_ws(",", txt("start_time"), score, off))
+             .otherwise(F.concat_ws(",", txt("start_time"), txt("end_time"), score, off)))
+    sleep_file = F.concat(F.lit("export/user_id="), F.col("user_id").cast("string"),
+                          F.lit("/com.samsung.shealth.sleep.csv"))
+    stage_file = F.concat(F.lit("export/user_id="), F.col("user_id").cast("string"),
+                          F.lit("/com.samsung.shealth.sleep_stage.csv"))
+    has_meta = v != 1
+    sd = s.select("user_id", F.col("event_id").alias("_o"), sleep_file.alias("file"), data.alias("text"),
+                  header.alias("_h"), has_meta.alias("_m"))
+    stage = s.select("user_id", F.col("event_id").alias("_o"), stage_file.alias("file"),
+                     F.concat_ws(",", txt("start_time"), txt("end_time"), score, off).alias("text"),
+                     F.lit(f"{pre}start_time,{pre}end_time,{pre}sleep_score,{pre}time_offset").alias("_h"),
+                     F.lit(True).alias("_m"))
+    r = band_reading(spark, sf_dir).where(F.col("metric") == "heart_rate")
+    hp = "com.samsung.health.heart_rate."
+    heart = r.select("user_id", F.col("reading_id").alias("_o"),
+                     F.concat(F.lit("export/user_id="), F.col("user_id").cast("string"),
+                              F.lit("/com.samsung.shealth.tracker.heart_rate.csv")).alias("file"),
+                     F.concat_ws(",", txt("ts"), F.col("value").cast("string"), F.lit("")).alias("text"),
+                     F.lit(f"{hp}start_time,{hp}heart_rate,{hp}time_offset").alias("_h"), F.lit(True).alias("_m"))
+    body = sd.unionByName(stage).unionByName(heart)
+    w = Window.partitionBy("file").orderBy("_o")
+    body = body.withColumn("_rn", F.row_number().over(w))
+    first = body.where(F.col("_rn") == 1)
+    bom = F.when((F.col("user_id") % 4 == 2) & F.col("file").endswith("sleep.csv"), F.lit("﻿")).otherwise(F.lit(""))
+    meta = first.where(F.col("_m")).select(
+        "file", "user_id", F.lit(0).alias("line_no"), F.concat(bom, F.lit("com.samsung.shealth.export,6313")).alias("text"))
+    head = first.select("file", "user_id", F.when(F.col("_m"), 1).otherwise(0).alias("line_no"),
+                        F.when(F.col("_m"), F.col("_h")).otherwise(F.concat(bom, F.col("_h"))).alias("text"))
+    rows = body.select("file", "user_id",
+                       F.when(F.col("_m"), F.col("_rn") + 1).otherwise(F.col("_rn")).alias("line_no"), "text")
+    return meta.unionByName(head).unionByName(rows)
