@@ -619,3 +619,131 @@ from (select user_id, count(*) as days_saved from d group by user_id) a full out
 def q_import_summary(spark, sf_dir):
     from ..sources import band_csv
     return band_csv.import_summary(fx.band_export_lines(spark, sf_dir))
+
+
+# ------------------------------------------------------------- snapshots
+
+def _weights_old_new(spark, sf_dir):
+    w = fx.weights(spark, sf_dir)
+    old = w.where(F.dayofmonth("day") % 3 != 0)
+    new = w.where(F.dayofmonth("day") % 2 == 0).withColumn("kg", F.col("kg") + 0.5)
+    return w, old, new
+
+
+@register("upsert_replace", lambda: oracle.with_ctes("""
+, o as (select * from weights where day(day) % 3 <> 0),
+n as (select user_id, day, kg + 0.5 as kg from weights where day(day) % 2 = 0)
+select user_id, cast(day as varchar) as day, kg from n
+union all select user_id, cast(day as varchar), kg from o
+  where not exists (select 1 from n where n.user_id = o.user_id and n.day = o.day)"""))
+def q_upsert_replace(spark, sf_dir):
+    from ..operators import snapshot
+    _w, old, new = _weights_old_new(spark, sf_dir)
+    return snapshot.upsert_replace(old, new, ["user_id", "day"])
+
+
+@register("band_upsert_coalesce", lambda: oracle.with_ctes("""
+, o as (select * from band_daily where day(day) % 2 = 0),
+n as (select user_id, day, null::double as sleep_hours, null::double as sleep_score, resting_hr + 1 as resting_hr,
+        steps, stress from band_daily where day(day) % 3 = 0)
+select coalesce(n.user_id, o.user_id) as user_id, cast(coalesce(n.day, o.day) as varchar) as day,
+  coalesce(n.sleep_hours, o.sleep_hours) as sleep_hours, coalesce(n.sleep_score, o.sleep_score) as sleep_score,
+  coalesce(n.resting_hr, o.resting_hr) as resting_hr, coalesce(n.steps, o.steps) as steps,
+  coalesce(n.stress, o.stress) as stress
+from o full outer join n on n.user_id = o.user_id and n.day = o.day"""))
+def q_band_upsert_coalesce(spark, sf_dir):
+    d = band_daily(spark, sf_dir)
+    old = d.where(F.dayofmonth("day") % 2 == 0)
+    new = (d.where(F.dayofmonth("day") % 3 == 0)
+            .withColumn("sleep_hours", F.lit(None).cast("double")).withColumn("sleep_score", F.lit(None).cast("double"))
+            .withColumn("resting_hr", F.col("resting_hr") + 1))
+    return band.upsert_coalesce(old, new)
+
+
+@register("delete_rows", lambda: oracle.with_ctes(
+    "select user_id, cast(day as varchar) as day, kg from weights where day(day) % 5 <> 0"))
+def q_delete_rows(spark, sf_dir):
+    from ..operators import snapshot
+    w = fx.weights(spark, sf_dir)
+    return snapshot.delete_keys(w, w.where(F.dayofmonth("day") % 5 == 0), ["user_id", "day"])
+
+
+@register("update_rows", lambda: oracle.with_ctes("""
+select s.supplement_id, s.name,
+  case when s.supplement_id % 3 = 0 then 'x' || cast(p.p_size as varchar) else s.dose end as dose,
+  case when s.supplement_id % 3 = 0 then 'Morning' else s.timing end as timing,
+  case when s.supplement_id % 3 = 0 then 1 - s.active else s.active end as active
+from supplements s join part p on p.p_partkey = s.supplement_id"""))
+def q_update_rows(spark, sf_dir):
+    from ..operators import snapshot
+    from ..sources.tables import read_table
+    s = fx.supplements(spark, sf_dir)
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"]).where(F.col("p_partkey") < 10)
+    patch = (p.join(s.select("supplement_id", "active"), F.col("p_partkey") == F.col("supplement_id"))
+              .where(F.col("supplement_id") % 3 == 0)
+              .select("supplement_id", F.concat(F.lit("x"), F.col("p_size").cast("string")).alias("dose"),
+                      F.lit("Morning").alias("timing"), (1 - F.col("active")).alias("active")))
+    return snapshot.update_by_key(s, patch, ["supplement_id"], ["dose", "timing", "active"])
+
+
+@register("append_rows", lambda: oracle.with_ctes(
+    "select user_id, cast(day as varchar) as day, food_id, grams, line, item, kcal, protein, carbs, fat from food_rows"))
+def q_append_rows(spark, sf_dir):
+    from ..operators import snapshot
+    rows = food_rows(spark, sf_dir)
+    cut = F.lit("2024-01-15").cast("date")
+    return snapshot.append(rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut)).select(
+        "user_id", "day", "food_id", "grams", "line", "item", "kcal", "protein", "carbs", "fat")
+
+
+# --------------------------------------------------------------- quality
+
+@register("validate_profile", lambda: oracle.with_ctes("""
+select user_id, v as violations from (
+  select user_id, concat_ws(',',
+    case when not coalesce(age between 14 and 90, false) then 'age_14_90' end,
+    case when not coalesce(height_cm between 120 and 230, false) then 'height_120_230' end,
+    case when not coalesce(sex in ('Male', 'Female'), false) then 'sex_known' end,
+    case when not coalesce(activity in ('Sedentary', 'Light (1-3 workouts/week)', 'Moderate (3-5 workouts/week)',
+      'Very active (6-7 workouts/week)', 'Athlete (2x/day or physical job)'), false) then 'activity_known' end,
+    case when not coalesce(deficit_pct between 0 and 30, false) then 'deficit_0_30' end,
+    case when not coalesce(protein_g_per_kg between 1.2 and 2.6, false) then 'protein_1.2_2.6' end) as v
+  from profile) x where v <> ''"""))
+def q_validate_profile(spark, sf_dir):
+    from ..operators import quality
+    _good, bad = quality.split(fx.profile(spark, sf_dir), quality.PROFILE_RULES)
+    return bad.select("user_id", "violations")
+
+
+@register("validate_workouts", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, exercise_id, sets, reps, weight_kg, v as violations from (
+  select *, concat_ws(',',
+    case when not coalesce(sets between 1 and 10, false) then 'sets_1_10' end,
+    case when not coalesce(reps between 1 and 50, false) then 'reps_1_50' end,
+    case when not coalesce(weight_kg between 0 and 400, false) then 'kg_0_400' end) as v
+  from workout_log) x where v <> ''"""))
+def q_validate_workouts(spark, sf_dir):
+    from ..operators import quality
+    _good, bad = quality.split(fx.workout_log(spark, sf_dir), quality.WORKOUT_RULES)
+    return bad.select("user_id", "day", "exercise_id", "sets", "reps", "weight_kg", "violations")
+
+
+@register("key_violations", lambda: oracle.with_ctes("""
+select 'weights' as table_name, (select count(*) from (select user_id, day from weights group by all having count(*) > 1)) as duplicate_keys
+union all select 'supplement_log', (select count(*) from (select user_id, day, supplement_id from supplement_log group by all having count(*) > 1))
+union all select 'band_daily', (select count(*) from (select user_id, day from band_daily group by all having count(*) > 1))
+union all select 'profile', (select count(*) from (select user_id from profile group by all having count(*) > 1))
+union all select 'food_log_line', (select count(*) from (select user_id, day, line, food_id, grams from food_log group by all having count(*) > 1))"""))
+def q_key_violations(spark, sf_dir):
+    from ..operators import quality
+    checks = [("weights", fx.weights(spark, sf_dir), ["user_id", "day"]),
+              ("supplement_log", fx.supplement_log(spark, sf_dir), ["user_id", "day", "supplement_id"]),
+              ("band_daily", band_daily(spark, sf_dir), ["user_id", "day"]),
+              ("profile", fx.profile(spark, sf_dir), ["user_id"]),
+              ("food_log_line", fx.food_log(spark, sf_dir), ["user_id", "day", "line", "food_id", "grams"])]
+    out = None
+    for name, df, key in checks:
+        c = quality.duplicate_keys(df, key).agg(F.count("*").alias("duplicate_keys")).select(
+            F.lit(name).alias("table_name"), "duplicate_keys")
+        out = c if out is None else out.unionByName(c)
+    return out
