@@ -1,13 +1,17 @@
-"""Band (wearable) data: readings -> per-file daily metrics -> merged daily
-table -> snapshot upsert -> readiness.
-
-Shuffle plan. Each per-kind daily aggregate groups by (file, user, day); a
-hot user is spread over its days and the aggregate is partial (map-side)
-except the resting-HR percentile, which buffers the readings of one
-user-day only. The cross-file merge is one more group by (user, day) over the
-union of the four small daily frames -- no joins. Readiness partitions by
-user over the *daily* table (at most one row per user-day), so its window
-state is bounded by the length of a user's history, not by reading volume.
+"""Band (wearable) data: readings -> daily metrics -> merged daily table ->
+snapshot upsert -> readiness.
+
+Shuffle plan. All kinds (sleep sessions, heart rate, steps, stress) become
+long rows and one aggregation by (file, user, day) computes every metric: a
+hot user is spread over its days, the sums / counts / max are partial
+(map-side) aggregates, and the resting-HR percentile buffers the readings of
+one user-day only. The cross-file merge is one more group by (user, day), and
+only when several files feed an import. Readiness partitions by user over the
+*daily* table (at most one row per user-day), so its window state is bounded
+by the length of a user's history, not by reading volume.
+
+The per-kind functions (``sleep_daily`` ...) state each rule on its own and
+give the same numbers as ``daily_metrics``.
 """
 from __future__ import annotations
 
@@ -95,16 +99,65 @@ def merge_daily(*frames: DataFrame) -> DataFrame:
              .agg(*[F.max(c).alias(c) for c in DAILY_COLS]))
 
 
+def sleep_rows(sessions: DataFrame, keys=("user_id",)) -> DataFrame:
+    """Sleep sessions -> long rows (keys, day, kind='sleep', us, score):
+    offset-shifted, 0 < hours < 16, day = local wake-up date."""
+    off = offset_minutes("time_offset") if "time_offset" in sessions.columns else F.lit(0)
+    score = F.col("sleep_score") if "sleep_score" in sessions.columns else F.lit(None).cast("double")
+    df = (sessions.withColumn("_off", off)
+                  .withColumn("_s", shift_minutes("start_time", "_off"))
+                  .withColumn("_e", shift_minutes("end_time", "_off"))
+                  .withColumn("_us", micros_between("_s", "_e")))
+    return (df.where((F.col("_us") > 0) & (F.col("_us") < 16 * MICROS_PER_HOUR))
+              .select(*keys, F.to_date("_e").alias("day"), F.lit("sleep").alias("kind"), F.col("_us").alias("us"),
+                      score.cast("double").alias("score"), F.lit(None).cast("double").alias("value")))
+
+
+def reading_rows(readings: DataFrame, keys=("user_id",)) -> DataFrame:
+    """Readings (keys, ts, kind in heart/steps/stress, value) -> long rows."""
+    return readings.select(*keys, F.to_date("ts").alias("day"), "kind", F.lit(None).cast("long").alias("us"),
+                           F.lit(None).cast("double").alias("score"), F.col("value").cast("double").alias("value"))
+
+
+def daily_metrics(rows: DataFrame, keys=("user_id",), min_readings: int = 6) -> DataFrame:
+    """Long rows of every kind -> one row per (keys, day) with all five
+    metrics, in a single aggregation (one shuffle for all kinds).
+
+    Same rules as the per-kind functions: sleep hours summed and score
+    averaged; resting HR = 5th percentile of readings in (30, 220) on days
+    with at least ``min_readings`` of them; steps = max; stress = mean. A day
+    is kept when any kind contributes to it (a heart-only day needs enough
+    readings).
+    """
+    k, v = F.col("kind"), F.col("value")
+    hv = F.when((k == "heart") & (v > 30) & (v < 220), v)
+    g = (rows.where(F.col("day").isNotNull())
+             .groupBy(*keys, "day")
+             .agg((F.sum(F.when(k == "sleep", F.col("us"))) / MICROS_PER_HOUR).alias("sleep_hours"),
+                  exact_mean(F.when(k == "sleep", F.col("score"))).alias("sleep_score"),
+                  F.percentile(hv, 0.05).alias("_p"), F.count(hv).alias("_nh"),
+                  F.bround(F.max(F.when(k == "steps", v)), 0).cast("long").alias("steps"),
+                  exact_mean(F.when(k == "stress", v)).alias("stress"),
+                  F.count_if(k == "sleep").alias("_ns"), F.count_if(k == "steps").alias("_nst"),
+                  F.count_if(k == "stress").alias("_nsr")))
+    keep = (F.col("_ns") > 0) | (F.col("_nh") >= min_readings) | (F.col("_nst") > 0) | (F.col("_nsr") > 0)
+    return g.where(keep).select(
+        *keys, "day", "sleep_hours", "sleep_score",
+        F.when(F.col("_nh") >= min_readings, F.bround("_p", 4)).alias("resting_hr"), "steps", "stress")
+
+
+METRIC_KIND = {"heart_rate": "heart", "steps": "steps", "stress": "stress"}
+
+
 def band_daily_from_readings(readings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Long-format readings (metric in heart_rate/steps/stress) plus sleep
-    sessions -> the merged daily table."""
-    r = readings.select("user_id", "ts", "metric", "value")
-    return merge_daily(
-        sleep_daily(sessions),
-        resting_hr_daily(r.where(F.col("metric") == "heart_rate")),
-        steps_daily(r.where(F.col("metric") == "steps")),
-        stress_daily(r.where(F.col("metric") == "stress")),
-    )
+    sessions -> the daily table. Each metric has one source here, so the
+    cross-file maximum is the identity and one aggregation does it all."""
+    kind = F.col("metric")
+    for m, kd in METRIC_KIND.items():
+        kind = F.when(F.col("metric") == m, F.lit(kd)).otherwise(kind)
+    r = readings.select("user_id", "ts", kind.alias("kind"), "value")
+    return daily_metrics(sleep_rows(sessions).unionByName(reading_rows(r)))
 
 
 def upsert_coalesce(old: DataFrame, new: DataFrame, key=("user_id", "day"), cols=DAILY_COLS) -> DataFrame:

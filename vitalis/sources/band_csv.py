@@ -102,54 +102,58 @@ def _field(arr, p):
     return F.when(F.col(p).isNotNull(), F.try_element_at(arr, (F.col(p) + 1).cast("int")))
 
 
-def parse(lines: DataFrame) -> dict[str, DataFrame]:
-    """Lines -> {kind: per-file daily frame} (sleep, heart, steps, stress).
-    A file lacking a kind's required columns yields nothing."""
+def parse_long(lines: DataFrame) -> DataFrame:
+    """Lines -> long rows (file, user_id, day, kind, us, score, value) in one
+    projection: sleep rows carry the session length in microseconds (offset
+    shifted, 0 < hours < 16, day = local wake-up date); heart, steps and
+    stress rows carry the reading and the local day. A file lacking a kind's
+    required columns yields nothing."""
     h = headers(lines)
     body = lines.join(h, "file").where(F.col("line_no") >= F.col("data_from"))
     key_cols = ["file", "user_id"] if "user_id" in lines.columns else ["file"]
     rec = body.withColumn("_a", csv_fields("text"))
     a = F.col("_a")
+    kind = F.col("kind")
 
     def num(p):
         return F.trim(_field(a, p)).try_cast("double")
 
-    sl = (rec.where((F.col("kind") == "sleep") & F.col("p_start_time").isNotNull() & F.col("p_end_time").isNotNull())
-             .select(*key_cols, parse_band_time(_field(a, "p_start_time")).alias("start_time"),
-                     parse_band_time(_field(a, "p_end_time")).alias("end_time"),
-                     num("p_sleep_score").alias("sleep_score"), _field(a, "p_time_offset").alias("time_offset")))
-    ts_off = offset_minutes(_field(a, "p_time_offset"))
-    hr = (rec.where((F.col("kind") == "heart") & F.col("p_heart_rate").isNotNull() & F.col("p_start_time").isNotNull())
-             .select(*key_cols, shift_minutes(parse_band_time(_field(a, "p_start_time")), ts_off).alias("ts"),
-                     num("p_heart_rate").alias("value")))
+    off = offset_minutes(_field(a, "p_time_offset"))
     step_pos = F.coalesce(F.col("p_count"), F.col("p_step_count"))
-    st = (rec.where((F.col("kind") == "steps") & step_pos.isNotNull() & F.col("p_day_time").isNotNull())
-             .select(*key_cols, shift_minutes(parse_band_time(_field(a, "p_day_time")), ts_off).alias("ts"),
-                     F.trim(F.try_element_at(a, (step_pos + 1).cast("int"))).try_cast("double").alias("value")))
-    sr = (rec.where((F.col("kind") == "stress") & F.col("p_score").isNotNull() & F.col("p_start_time").isNotNull())
-             .select(*key_cols, shift_minutes(parse_band_time(_field(a, "p_start_time")), ts_off).alias("ts"),
-                     num("p_score").alias("value")))
-    return {
-        "sleep": band.sleep_daily(sl, file_col="file"),
-        "heart": band.resting_hr_daily(hr, file_col="file"),
-        "steps": band.steps_daily(st, file_col="file"),
-        "stress": band.stress_daily(sr, file_col="file"),
-    }
+    required = (F.when(kind == "sleep", F.col("p_start_time").isNotNull() & F.col("p_end_time").isNotNull())
+                 .when(kind == "heart", F.col("p_heart_rate").isNotNull() & F.col("p_start_time").isNotNull())
+                 .when(kind == "steps", step_pos.isNotNull() & F.col("p_day_time").isNotNull())
+                 .when(kind == "stress", F.col("p_score").isNotNull() & F.col("p_start_time").isNotNull())
+                 .otherwise(F.lit(False)))
+    time_pos = F.when(kind == "steps", F.col("p_day_time")).otherwise(F.col("p_start_time"))
+    t0 = shift_minutes(parse_band_time(F.try_element_at(a, (time_pos + 1).cast("int"))), off)
+    t1 = shift_minutes(parse_band_time(_field(a, "p_end_time")), off)
+    us = F.when(kind == "sleep", F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp")))
+    value_pos = (F.when(kind == "heart", F.col("p_heart_rate")).when(kind == "steps", step_pos)
+                  .when(kind == "stress", F.col("p_score")))
+    value = F.trim(F.try_element_at(a, (value_pos + 1).cast("int"))).try_cast("double")
+    day = F.when(kind == "sleep", F.to_date(t1)).otherwise(F.to_date(t0))
+    x = rec.where(required).select(*key_cols, day.alias("day"), "kind", us.alias("us"),
+                                   F.when(kind == "sleep", num("p_sleep_score")).alias("score"),
+                                   F.when(kind != "sleep", value).alias("value"))
+    return x.where((F.col("kind") != "sleep")
+                   | ((F.col("us") > 0) & (F.col("us") < 16 * band.MICROS_PER_HOUR)))
+
+
+def per_file_daily(lines: DataFrame) -> DataFrame:
+    """One row per (file, user, day) with the file's metrics."""
+    keys = ("file", "user_id") if "user_id" in lines.columns else ("file",)
+    return band.daily_metrics(parse_long(lines), keys=keys)
 
 
 def daily_from_lines(lines: DataFrame) -> DataFrame:
     """Lines of one import -> merged daily table (max across files)."""
-    p = parse(lines)
-    return band.merge_daily(p["sleep"], p["heart"], p["steps"], p["stress"])
+    return band.merge_daily(per_file_daily(lines))
 
 
 def import_summary(lines: DataFrame) -> DataFrame:
     """Days saved and files used per user for one import."""
-    p = parse(lines)
-    used = None
-    for f in p.values():
-        u = f.select("user_id", "file").distinct()
-        used = u if used is None else used.unionByName(u)
-    files = used.groupBy("user_id").agg(F.countDistinct("file").alias("files_used"))
-    days = daily_from_lines(lines).groupBy("user_id").agg(F.count("*").alias("days_saved"))
+    per_file = per_file_daily(lines)
+    files = per_file.groupBy("user_id").agg(F.countDistinct("file").alias("files_used"))
+    days = per_file.groupBy("user_id").agg(F.countDistinct("day").alias("days_saved"))
     return days.join(files, "user_id", "full_outer")
