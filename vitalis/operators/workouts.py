@@ -5,7 +5,7 @@ The exercise library and equipment profiles are fixed-size dimensions
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.training import e1rm
@@ -28,3 +28,63 @@ def e1rm_trend(workouts: DataFrame, library: DataFrame) -> DataFrame:
 def known_exercises(workouts: DataFrame, library: DataFrame) -> DataFrame:
     w = workouts.join(F.broadcast(library.select("exercise_id", F.col("name").alias("exercise"))), "exercise_id")
     return w.select("user_id", "exercise").distinct()
+
+
+def normalise_plan(raw: DataFrame, allowed: DataFrame, id_cols: list[str], cutoff: float = 90) -> DataFrame:
+    """Raw plan rows (``model_json.plan_days`` + an ``equipment`` column) ->
+    library-checked plan rows: each exercise name replaced by its library
+    match for the equipment profile (cutoff 90, case kept), unmatched
+    exercises dropped, days left without exercises dropped (an inner join
+    does both). ``weekday_idx`` gives the Mon..Sun order."""
+    from ..sources import dims
+    from . import fuzzy
+    m = fuzzy.match_exercise(raw.select("equipment", F.col("raw_name").alias("mention")), allowed, cutoff)
+    m = m.where(F.col("matched").isNotNull()).select("equipment", F.col("mention").alias("raw_name"), "matched")
+    j = raw.join(m, ["equipment", "raw_name"])
+    idx = F.array_position(F.array(*[F.lit(d) for d in dims.WEEKDAYS]), F.col("day")).cast("int") - 1
+    doc = ["_doc"] if "_doc" in raw.columns else list(id_cols)
+    w = Window.partitionBy(*doc, "day_pos").orderBy("ex_pos")
+    return j.select(*id_cols, "day_pos", idx.alias("weekday_idx"), "day", "focus",
+                    (F.row_number().over(w) - 1).alias("ex_pos"), F.col("matched").alias("name"),
+                    "sets", "reps", "rest_sec", "notes")
+
+
+def current_plan(plans: DataFrame) -> DataFrame:
+    """Each user's last saved plan (highest plan_id): saving replaces the
+    previous plan."""
+    last = plans.groupBy("user_id").agg(F.max("plan_id").alias("plan_id"))
+    return plans.join(last, ["user_id", "plan_id"])
+
+
+def plan_for_day(days: DataFrame, plan: DataFrame) -> DataFrame:
+    """(user_id, day) -> the first plan entry whose label is the date's
+    weekday: focus and number of exercises; rest days get no row."""
+    from ..sources import dims
+    labels = F.array(*[F.lit(d) for d in dims.WEEKDAYS])
+    d = days.select("user_id", "day", F.element_at(labels, (F.dayofweek("day") + 5) % 7 + 1).alias("label"))
+    entries = (plan.groupBy("user_id", "day_pos", F.col("day").alias("label"), "focus")
+                   .agg(F.count("*").alias("n_exercises")))
+    first = (entries.groupBy("user_id", "label")
+                    .agg(F.min_by(F.struct("focus", "n_exercises"), "day_pos").alias("_e")))
+    return d.join(first, ["user_id", "label"]).select("user_id", "day", "label", "_e.focus", "_e.n_exercises")
+
+
+def exercise_options(days: DataFrame, plan: DataFrame) -> DataFrame:
+    """(user_id, day) -> ordered exercise choices: the day's planned
+    exercises first (in plan order, repeats kept), then library exercises not
+    already planned, in library order. The library is a fixed 48-name
+    constant array."""
+    from ..sources import dims
+    labels = F.array(*[F.lit(d) for d in dims.WEEKDAYS])
+    d = days.select("user_id", "day", F.element_at(labels, (F.dayofweek("day") + 5) % 7 + 1).alias("label"))
+    first_entry = (plan.groupBy("user_id", F.col("day").alias("label"))
+                       .agg(F.min("day_pos").alias("day_pos")))
+    planned = (plan.join(first_entry.withColumnRenamed("label", "day"), ["user_id", "day", "day_pos"])
+                   .groupBy("user_id", F.col("day").alias("label"))
+                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("ex_pos", "name"))),
+                                    lambda s: s["name"]).alias("planned")))
+    lib = F.array(*[F.lit(n) for n, _m, _e in dims.LIBRARY])
+    j = d.join(planned, ["user_id", "label"], "left")
+    p = F.coalesce(F.col("planned"), F.array().cast("array<string>"))
+    opts = F.concat(p, F.filter(lib, lambda n: ~F.array_contains(p, n)))
+    return j.select("user_id", "day", F.posexplode(opts).alias("pos", "name"))

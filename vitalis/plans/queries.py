@@ -757,3 +757,90 @@ def q_key_violations(spark, sf_dir):
             F.lit(name).alias("table_name"), "duplicate_keys")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ----------------------------------------------------------------- plans
+
+def _plan_base_sql():
+    wd = ", ".join("'" + d + "'" for d in dims.WEEKDAYS)
+    return f"""(select l.l_suppkey as user_id, l.l_orderkey * 8 + l.l_linenumber as plan_id, l.l_linenumber as ln,
+    l.l_orderkey % 5 as v, p.p_type as focus,
+    case l.l_suppkey % 3 when 0 then 'Full gym' when 1 then 'Dumbbells at home' else 'Bodyweight only' end as equipment,
+    case l.l_linenumber when 1 then e.name when 2 then lower(e.name) when 3 then e.name || 's'
+      when 4 then substr(e.name, 1, length(e.name) - 1)
+      when 5 then array_to_string(list_reverse(string_split(e.name, ' ')), ' ')
+      when 6 then p.p_name else upper(e.name) end as mention,
+    case when l.l_orderkey % 5 = 3 then 'Sun'
+      else [{wd}][isodow(date '2024-01-01' + cast(l.l_orderkey % 30 as int))] end as label
+  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id
+  where l.l_returnflag = 'R')"""
+
+
+def _plan_rows_sql():
+    wd = ", ".join("'" + d + "'" for d in dims.WEEKDAYS)
+    req = ", ".join("'" + d + "'" for d in fx.REQUESTED_DAYS)
+    return oracle.fuzzy_sql(EX_MENTION_SQL, "mention", ALLOWED_SQL, "name", "exercise_id", 90, False,
+                            keys=("equipment",)) + f"""
+, pb as {_plan_base_sql()},
+plan_rows as (
+  select pb.user_id, pb.plan_id, 0 as day_pos, list_position([{wd}], pb.label) - 1 as weekday_idx, pb.label as day,
+    pb.focus, 0 as ex_pos, b.matched as name,
+    cast(case pb.v when 0 then least(greatest(pb.ln + 2, 1), 6) when 1 then 4 when 4 then 6 else 3 end as int) as sets,
+    case pb.v when 1 then '10' else '8-10' end as reps,
+    cast(case pb.v when 0 then 120 when 3 then 60 else 90 end as int) as rest_sec,
+    case pb.v when 0 then 'go' when 2 then 'None' else '' end as notes
+  from pb join fz_best b on b.equipment = pb.equipment and b.q = pb.mention
+  where b.matched is not null and pb.label in ({req}))"""
+
+
+def plan_rows(spark, sf_dir):
+    from ..operators import workouts
+    from ..sources import model_json
+    lib = dims.exercise_df(spark)
+    out = fx.plan_outputs(spark, sf_dir, lib)
+    raw = model_json.plan_days(out, ["user_id", "plan_id", "equipment"], fx.REQUESTED_DAYS)
+    allowed = workouts.allowed_exercises(lib, dims.equipment_kind_df(spark))
+    return workouts.normalise_plan(raw, allowed, ["user_id", "plan_id"])
+
+
+@register("plan_normalise", lambda: oracle.with_ctes(_plan_rows_sql() + """
+select user_id, plan_id, day_pos, weekday_idx, day, focus, ex_pos, name, sets, reps, rest_sec, notes from plan_rows"""))
+def q_plan_normalise(spark, sf_dir):
+    return plan_rows(spark, sf_dir)
+
+
+CURRENT_PLAN_SQL = """
+, cp as (select r.* from plan_rows r join (select user_id, max(plan_id) as plan_id from plan_rows group by user_id) m
+  on m.user_id = r.user_id and m.plan_id = r.plan_id),
+wd as (select distinct user_id, day, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(day)] as label from workout_log)"""
+
+
+@register("plan_for_day", lambda: oracle.with_ctes(_plan_rows_sql() + CURRENT_PLAN_SQL + """
+, ent as (select user_id, day_pos, day as label, focus, count(*) as n_exercises from cp group by all),
+fe as (select user_id, label, arg_min(focus, day_pos) as focus, arg_min(n_exercises, day_pos) as n_exercises
+  from ent group by user_id, label)
+select wd.user_id, cast(wd.day as varchar) as day, wd.label, fe.focus, fe.n_exercises
+from wd join fe on fe.user_id = wd.user_id and fe.label = wd.label"""))
+def q_plan_for_day(spark, sf_dir):
+    from ..operators import workouts
+    days = fx.workout_log(spark, sf_dir).select("user_id", "day").distinct()
+    return workouts.plan_for_day(days, workouts.current_plan(plan_rows(spark, sf_dir)))
+
+
+def _exercise_options_sql():
+    lib = ", ".join("'" + n + "'" for n, _m, _e in dims.LIBRARY)
+    return oracle.with_ctes(_plan_rows_sql() + CURRENT_PLAN_SQL + f"""
+, fe as (select user_id, day as label, min(day_pos) as day_pos from cp group by all),
+pl as (select cp.user_id, cp.day as label, list(cp.name order by cp.ex_pos) as planned
+  from cp join fe on fe.user_id = cp.user_id and fe.label = cp.day and fe.day_pos = cp.day_pos group by all),
+o as (select wd.user_id, wd.day, list_concat(coalesce(pl.planned, []::varchar[]),
+    list_filter([{lib}], lambda n: not list_contains(coalesce(pl.planned, []::varchar[]), n))) as opts
+  from wd left join pl on pl.user_id = wd.user_id and pl.label = wd.label)
+select user_id, cast(day as varchar) as day, cast(unnest(range(len(opts))) as int) as pos, unnest(opts) as name from o""")
+
+
+@register("exercise_options", _exercise_options_sql)
+def q_exercise_options(spark, sf_dir):
+    from ..operators import workouts
+    days = fx.workout_log(spark, sf_dir).select("user_id", "day").distinct()
+    return workouts.exercise_options(days, workouts.current_plan(plan_rows(spark, sf_dir)))

@@ -384,3 +384,45 @@ def band_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = body.select("file", "user_id",
                        F.when(F.col("_m"), F.col("_rn") + 1).otherwise(F.col("_rn")).alias("line_no"), "text")
     return meta.unionByName(head).unionByName(rows)
+
+
+REQUESTED_DAYS = ["Mon", "Tue", "Thu", "Fri", "Sat"]
+
+
+def plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFrame:
+    """Plan-generator output text per workout row: one day (the weekday of
+    the row's date) with the row's exercise spelling and an exercise outside
+    the library. Field variants by ``l_orderkey % 5``: clean; text sets,
+    numeric reps, text rest; unusable sets, missing reps, null rest and
+    notes; day forced to Sun; fractional sets and zero rest."""
+    from . import dims
+    li = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
+          .where(F.col("l_returnflag") == "R"))
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type"])
+    lib = F.broadcast(library.select("exercise_id", "name"))
+    nm, ln = F.col("name"), F.col("l_linenumber")
+    mention = (F.when(ln == 1, nm).when(ln == 2, F.lower(nm)).when(ln == 3, F.concat(nm, F.lit("s")))
+                .when(ln == 4, F.expr("substring(name, 1, length(name) - 1)"))
+                .when(ln == 5, F.array_join(F.reverse(F.split(nm, " ")), " "))
+                .when(ln == 6, F.col("p_name")).otherwise(F.upper(nm)))
+    day = _day_from_orderkey(F.col("l_orderkey"))
+    labels = F.array(*[F.lit(d) for d in dims.WEEKDAYS])
+    label = F.element_at(labels, (F.dayofweek(day) + 5) % 7 + 1)
+    v = F.col("l_orderkey") % 5
+    label = F.when(v == 3, F.lit("Sun")).otherwise(label)
+    sets = (F.when(v == 0, (ln + 2).cast("string")).when(v == 1, F.lit('"4"')).when(v == 2, F.lit('"heavy"'))
+             .when(v == 3, F.lit("3")).otherwise(F.lit("9.7")))
+    rest = (F.when(v == 0, F.lit(', "rest_sec": 120')).when(v == 1, F.lit(', "rest_sec": "90 sec"'))
+             .when(v == 2, F.lit(', "rest_sec": null')).when(v == 3, F.lit(', "rest_sec": 60'))
+             .otherwise(F.lit(', "rest_sec": 0')))
+    reps = (F.when(v == 1, F.lit(', "reps": 10')).when(v == 2, F.lit("")).otherwise(F.lit(', "reps": "8-10"')))
+    notes = (F.when(v == 0, F.lit(', "notes": "go"')).when(v == 2, F.lit(', "notes": null')).otherwise(F.lit("")))
+    ex = F.concat(F.lit('{"name": "'), mention, F.lit('", "sets": '), sets, reps, rest, notes, F.lit("}"))
+    text = F.concat(F.lit('{"days": [{"day": "'), label, F.lit('", "focus": "'), F.col("p_type"),
+                    F.lit('", "exercises": ['), ex, F.lit(', {"name": "Mystery Move", "sets": 3}]}]}'))
+    profile = (F.when(F.col("l_suppkey") % 3 == 0, "Full gym")
+                .when(F.col("l_suppkey") % 3 == 1, "Dumbbells at home").otherwise("Bodyweight only"))
+    return (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .join(lib, F.col("l_partkey") % 48 == F.col("exercise_id"))
+              .select(F.col("l_suppkey").alias("user_id"), (F.col("l_orderkey") * 8 + ln).alias("plan_id"),
+                      profile.alias("equipment"), text.alias("text")))

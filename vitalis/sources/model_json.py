@@ -113,3 +113,51 @@ def food_estimates(outputs: DataFrame, id_cols: list[str], text_col: str = "text
     units_d = F.transform_values(kept, lambda k, g: F.try_variant_get(g, "$", "double"))
     out = d.select(*id_cols, *[vals[k].alias(k) for k in NUTRIENT_KEYS], units_d.alias("units"))
     return out.withColumn("kcal", atwater_kcal("kcal", "protein", "carbs", "fat"))
+
+
+def _int_of_variant(v) -> Column:
+    """``int(x)`` for numbers (truncated), booleans and integer text; else
+    NULL."""
+    k = _kind(v)
+    txt = F.trim(F.try_variant_get(v, "$", "string"))
+    return (F.when(_is_number(k), F.try_variant_get(v, "$", "double").cast("long"))
+             .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
+             .when((k == "STRING") & txt.rlike(r"^[+-]?[0-9]+$"), txt.cast("long")))
+
+
+def plan_days(outputs: DataFrame, id_cols: list[str], requested_days: list[str],
+              text_col: str = "text") -> DataFrame:
+    """Plan-generator outputs -> one row per (plan, day entry, exercise) with
+    the raw exercise name, before library matching.
+
+    Only days whose label is one of ``requested_days`` are kept. sets:
+    ``int`` of the value, 3 when missing or unusable, clamped to 1..6; reps:
+    text, default ``8-10``; rest_sec: ``int``, 90 when falsy or unusable (the
+    original would fail the whole plan on text such as "90 sec"); notes and
+    focus: text, default empty.
+    """
+    # _doc identifies one output document (callers' ids need not be unique);
+    # it is assigned in the scan stage, before any shuffle.
+    d = outputs.select(*id_cols, F.monotonically_increasing_id().alias("_doc"), repair_json(text_col).alias("_v"))
+    days = F.try_variant_get("_v", "$.days", "array<variant>")
+    x = d.select(*id_cols, "_doc",
+                 F.posexplode(F.coalesce(days, F.array().cast("array<variant>"))).alias("day_pos", "_d"))
+    label = F.try_variant_get("_d", "$.day", "string")
+    label_v = F.try_variant_get("_d", "$.day", "variant")
+    x = x.where((_kind(label_v) == "STRING") & label.isin(*requested_days))
+    focus_v = F.try_variant_get("_d", "$.focus", "variant")
+    x = x.select(*id_cols, "_doc", "day_pos", label.alias("day"),
+                 F.when(focus_v.isNull(), F.lit("")).otherwise(str_of_variant(focus_v)).alias("focus"),
+                 F.posexplode(F.coalesce(F.try_variant_get("_d", "$.exercises", "array<variant>"),
+                                         F.array().cast("array<variant>"))).alias("ex_pos", "_e"))
+    g = lambda k: F.try_variant_get("_e", f"$.{k}", "variant")
+    name_v, sets_v, reps_v, rest_v, notes_v = g("name"), g("sets"), g("reps"), g("rest_sec"), g("notes")
+    sets = F.when(sets_v.isNull(), F.lit(3)).otherwise(F.coalesce(_int_of_variant(sets_v), F.lit(3)))
+    rest = F.when(truthy_variant(rest_v), F.coalesce(_int_of_variant(rest_v), F.lit(90))).otherwise(F.lit(90))
+    return x.select(
+        *id_cols, "_doc", "day_pos", "day", "focus", "ex_pos",
+        F.when(name_v.isNull(), F.lit("")).otherwise(str_of_variant(name_v)).alias("raw_name"),
+        F.greatest(F.lit(1), F.least(sets, F.lit(6))).cast("int").alias("sets"),
+        F.when(reps_v.isNull(), F.lit("8-10")).otherwise(str_of_variant(reps_v)).alias("reps"),
+        rest.cast("int").alias("rest_sec"),
+        F.when(notes_v.isNull(), F.lit("")).otherwise(str_of_variant(notes_v)).alias("notes"))
