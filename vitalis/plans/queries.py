@@ -844,3 +844,33 @@ def q_exercise_options(spark, sf_dir):
     from ..operators import workouts
     days = fx.workout_log(spark, sf_dir).select("user_id", "day").distinct()
     return workouts.exercise_options(days, workouts.current_plan(plan_rows(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ check-in
+
+def _payload_sql():
+    fields = [c for c in weekly.WEEK_STATS_COLUMNS if c not in ("user_id", "week_start")]
+    obj = ", ".join(f"'{c}', ws.{c}" for c in fields)
+    return oracle.week_stats_sql().replace("\nselect wk.user_id, cast(wk.week_start as varchar) as week_start,",
+                                           "\n, ws as (select wk.user_id, cast(wk.week_start as varchar) as week_start,", 1) \
+        + f")\nselect ws.user_id, ws.week_start, cast(json_object({obj}) as varchar) as payload from ws"
+
+
+@register("stats_payload", _payload_sql)
+def q_stats_payload(spark, sf_dir):
+    return weekly.stats_payload(q_week_stats(spark, sf_dir).withColumn("week_start", F.col("week_start").cast("string")))
+
+
+@register("recent_notes", lambda: _payload_sql().replace(
+    "\nselect ws.user_id, ws.week_start, cast(json_object(",
+    "\n, nt as (select ws.user_id, ws.week_start, cast(json_object(", 1) + """)
+select user_id, week_start, payload as note from (
+  select *, row_number() over (partition by user_id order by week_start desc) as rn from nt) x where rn <= 6""")
+def q_recent_notes(spark, sf_dir):
+    """The six newest weekly notes per user (notes hold the week's stats
+    payload; writing prose is not part of this engine)."""
+    from pyspark.sql import Window
+    notes = q_stats_payload(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy(F.col("week_start").desc())
+    return (notes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 6)
+                 .select("user_id", "week_start", F.col("payload").alias("note")))
