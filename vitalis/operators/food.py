@@ -5,9 +5,11 @@ per-user custom foods are joined on (user_id, name) with a shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import dims
+
 from ..functions.expr import exact_sum
 from ..functions.nutrition import NUTRIENTS, macro_progress, total
 
@@ -68,3 +70,81 @@ def resolve_meal_items(items: DataFrame, matches: DataFrame, foods: DataFrame) -
     return j.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
                     source_label("source", "_g.exact").alias("source"),
                     *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])
+
+
+def food_dictionary(custom: DataFrame, foods: DataFrame) -> DataFrame:
+    """Per-user dictionary entries that differ from the shared built-in
+    table: custom foods, labelled ``built-in`` when they override a built-in
+    key and ``custom`` otherwise. Built-in rows are not copied per user."""
+    keys = F.broadcast(foods.select(F.col("name").alias("_k")))
+    j = custom.join(keys, custom["name"] == F.col("_k"), "left")
+    return j.select("user_id", "name", "kcal", "protein", "carbs", "fat",
+                    F.when(F.col("_k").isNotNull(), "built-in").otherwise("custom").alias("source"))
+
+
+def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame, custom: DataFrame,
+                        estimates: DataFrame, cutoff: float = 85) -> DataFrame:
+    """Parsed items -> stored food rows with per-user custom foods and
+    estimates.
+
+    Choice list of a user: the built-in strings in order, then the user's
+    new custom names (save order). A custom name equal to a built-in string
+    keeps that position but maps to the custom row; a custom row named like a
+    built-in key replaces that key's values (for its aliases too). Built-in
+    strings are scored once per distinct name; custom strings per (user,
+    name), joined on user_id. Unmatched items take the estimate for their
+    lower-cased name (source ``AI estimate``); without one they are skipped.
+    """
+    from ..functions.nutrition import source_label, to_grams
+    from . import fuzzy
+    n_builtin = len(dims.food_choices())
+    b = fuzzy.best_match(items, choices, query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
+                         lower_query=True, payload=("food_id",))
+    b = b.select("mention", F.col("matched").alias("b_choice"), F.col("ord").alias("b_ord"),
+                 F.col("score").alias("b_score"), "food_id")
+    bchoice = F.broadcast(choices.select(F.col("choice").alias("_bc")))
+    new_custom = (custom.join(bchoice, custom["name"] == F.col("_bc"), "left_anti")
+                        .withColumn("ord", F.lit(n_builtin) + F.dense_rank().over(
+                            Window.partitionBy("user_id").orderBy("cpos")) - 1))
+    c = fuzzy.best_match(items.select("user_id", "mention"), new_custom.select("user_id", "name", "ord"),
+                         query_col="mention", choice_col="name", ord_col="ord", cutoff=cutoff, keys=("user_id",),
+                         lower_query=True)
+    c = c.select("user_id", "mention", F.col("matched").alias("c_name"), F.col("score").alias("c_score"))
+    fnames = F.broadcast(foods.select("food_id", F.col("name").alias("b_key")))
+    it = (items.join(b, "mention", "left").join(fnames, "food_id", "left")
+               .join(c, ["user_id", "mention"], "left"))
+    use_c = F.col("c_score").isNotNull() & (F.col("b_score").isNull() | (F.col("c_score") > F.col("b_score")))
+    cu = custom.select("user_id", "name", *[F.col(x).alias(f"cu_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
+    # key: custom new name; or a built-in choice string the user re-saved;
+    # or the built-in key of the matched string.
+    it = it.join(cu.withColumnRenamed("name", "b_choice").select("user_id", "b_choice", F.lit(1).alias("_own")),
+                 ["user_id", "b_choice"], "left")
+    key = (F.when(use_c, F.col("c_name"))
+            .when(F.col("b_score").isNotNull() & F.col("_own").isNotNull(), F.col("b_choice"))
+            .when(F.col("b_score").isNotNull(), F.col("b_key")))
+    it = it.withColumn("item_key", key)
+    bf = F.broadcast(foods.select(F.col("name").alias("item_key"),
+                                  *[F.col(x).alias(f"bf_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")]))
+    it = (it.join(cu.withColumnRenamed("name", "item_key"), ["user_id", "item_key"], "left")
+            .join(bf, "item_key", "left"))
+    est = estimates.select(F.col("name_key").alias("_ek"),
+                           *[F.col(x).alias(f"es_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
+    it = it.withColumn("_ek", F.lower(F.trim("mention"))).join(est, "_ek", "left")
+    matched = F.col("item_key").isNotNull()
+    src = (F.when(matched & F.col("bf_kcal").isNull(), F.lit("custom"))
+            .when(matched, F.lit("built-in")).otherwise(F.lit("AI estimate")))
+
+    def pick(x):
+        return (F.when(matched, F.coalesce(F.col(f"cu_{x}"), F.col(f"bf_{x}")) if x != "units" else
+                       F.when(F.col("cu_kcal").isNotNull(), F.col("cu_units")).otherwise(F.col("bf_units")))
+                 .otherwise(F.col(f"es_{x}")))
+    it = it.where(matched | F.col("es_kcal").isNotNull())
+    it = it.select("user_id", "day", "meal", "meal_id", "line",
+                   F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
+                   "quantity", "unit", src.alias("_src"),
+                   *[pick(x).alias(f"_p_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
+    g = to_grams("quantity", "unit", "_p_units")
+    it = it.withColumn("_g", g).withColumn("grams", F.col("_g.grams_1dp"))
+    return it.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
+                     source_label("_src", "_g.exact").alias("source"),
+                     *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])

@@ -219,7 +219,7 @@ def _token_sort_sql(expr: str, lower: bool) -> str:
 
 
 def fuzzy_sql(queries: str, qcol: str, choices: str, ccol: str, ocol: str, cutoff: float,
-              lower: bool, keys: tuple[str, ...] = (), payload: tuple[str, ...] = ()) -> str:
+              lower: bool, keys: tuple[str, ...] = (), payload: tuple[str, ...] = (), prefix: str = "fz") -> str:
     """Brute-force best match over all (query, choice) pairs with the same
     keys: CTE text ``fz_best`` with keys, query, matched, ord, payload, score."""
     kq = ", ".join(f"q.{k}" for k in keys)
@@ -229,7 +229,7 @@ def fuzzy_sql(queries: str, qcol: str, choices: str, ccol: str, ocol: str, cutof
     pay_b = "".join(f", b.{p}" for p in payload)
     part = ", ".join([f"q.{k}" for k in keys] + ["q.q"])
     lj = " and ".join([f"b.{k} = d.{k}" for k in keys] + ["b.q = d.q"])
-    return f"""
+    return (f"""
 , fz_q as (select distinct {ksel}{qcol} as q from {queries} q where {qcol} is not null),
 fz_qn as (select *, {_token_sort_sql('q', lower)} as qn from fz_q),
 fz_c as (select *, {_token_sort_sql(ccol, False)} as cn from {choices}),
@@ -249,4 +249,4 @@ fz_s as (
   from fz_p q where 200 * lcs >= {cutoff} * (ql + cl)),
 fz_best as (
   select {", ".join(f"d.{k}" for k in keys) + ", " if keys else ""}d.q, b.matched, b.ord{pay_b}, b.score
-  from fz_q d left join (select * from fz_s where rn = 1) b on {lj})"""
+  from fz_q d left join (select * from fz_s where rn = 1) b on {lj})""").replace("fz_", prefix + "_")

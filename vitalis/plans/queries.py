@@ -874,3 +874,101 @@ def q_recent_notes(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.col("week_start").desc())
     return (notes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 6)
                  .select("user_id", "week_start", F.col("payload").alias("note")))
+
+
+# --------------------------------------------------- custom foods, estimates
+
+ESTIMATE_VALUES_SQL = f"""(select p_partkey, name, case when atw <> 0 and abs(k - atw) / atw > 0.25 then atw else k end as kcal,
+    pr as protein, cb as carbs, ft as fat from (select *, pr * 4 + cb * 4 + ft * 9 as atw from {ESTIMATE_BASE_SQL}))"""
+ESTIMATE_UNITS_SQL = """(select p_partkey, unit, grams from (
+  select p_partkey, 'piece' as unit, cast(p_size as double) as grams from part where p_partkey % 5 = 0
+  union all select p_partkey, 'serving', 100.0 from part where p_partkey % 5 = 0
+  union all select p_partkey, 'cup', 240.0 from part where p_partkey % 5 = 1
+  union all select p_partkey, 'bowl', p_size * 7.5 from part where p_partkey % 5 = 4) x
+where grams > 0 and grams < 2000)"""
+CUSTOM_SQL = f"""
+, eb as {ESTIMATE_VALUES_SQL},
+eu as {ESTIMATE_UNITS_SQL},
+cf0 as (select eb.p_partkey % 97 as user_id, case when eb.p_partkey < 60 then c.choice else lower(eb.name) end as name,
+    eb.p_partkey, eb.kcal, eb.protein, eb.carbs, eb.fat
+  from eb left join food_choice c on c.ord = (eb.p_partkey * 7) % 121),
+cf as (select user_id, name, p_partkey as cpos, kcal, protein, carbs, fat from (
+  select *, row_number() over (partition by user_id, name order by p_partkey desc) as rn from cf0) x where rn = 1)"""
+
+
+@register("food_dictionary", lambda: oracle.with_ctes(CUSTOM_SQL + """
+select cf.user_id, cf.name, cf.kcal, cf.protein, cf.carbs, cf.fat,
+  case when f.name is not null then 'built-in' else 'custom' end as source
+from cf left join food f on f.name = cf.name"""))
+def q_food_dictionary(spark, sf_dir):
+    return food.food_dictionary(fx.custom_foods(spark, sf_dir), dims.food_df(spark))
+
+
+def _resolve_custom_sql():
+    items = _meal_items_sql()
+    n = len(dims.food_choices())
+    return oracle.with_ctes(
+        CUSTOM_SQL
+        + oracle.fuzzy_sql(items, "mention", "food_choice", "choice", "ord", 85, True, payload=("food_id",),
+                           prefix="fzb")
+        + f"""
+, newc as (select user_id, name, {n} + dense_rank() over (partition by user_id order by cpos) - 1 as ord
+  from cf where name not in (select choice from food_choice))"""
+        + oracle.fuzzy_sql(f"(select distinct user_id, mention from {items})", "mention", "newc", "name", "ord", 85,
+                           True, keys=("user_id",), prefix="fzc")
+        + f"""
+, items as {items},
+ek as (select lower(name) as name_key, min(p_partkey) as p_partkey from eb group by lower(name)),
+r0 as (select i.*, b.matched as b_choice, b.score as b_score, fd.name as b_key, c.matched as c_name, c.score as c_score,
+    own.cpos as own_pk
+  from items i left join fzb_best b on b.q = i.mention left join food fd on fd.food_id = b.food_id
+  left join fzc_best c on c.user_id = i.user_id and c.q = i.mention
+  left join cf own on own.user_id = i.user_id and own.name = b.matched),
+r1 as (select *, case when c_score is not null and (b_score is null or c_score > b_score) then c_name
+    when b_score is not null and own_pk is not null then b_choice when b_score is not null then b_key end as item_key from r0),
+r2 as (select r1.*, cu.cpos as cu_pk, cu.kcal as cu_kcal, cu.protein as cu_protein, cu.carbs as cu_carbs, cu.fat as cu_fat,
+    bf.food_id as bf_id, bf.kcal as bf_kcal, bf.protein as bf_protein, bf.carbs as bf_carbs, bf.fat as bf_fat,
+    es.p_partkey as es_pk, es.kcal as es_kcal, es.protein as es_protein, es.carbs as es_carbs, es.fat as es_fat
+  from r1 left join cf cu on cu.user_id = r1.user_id and cu.name = r1.item_key
+  left join food bf on bf.name = r1.item_key
+  left join ek on ek.name_key = lower(trim(r1.mention)) left join eb es on es.p_partkey = ek.p_partkey),
+r3 as (select *, item_key is not null as m,
+    case when item_key is not null and bf_kcal is null then 'custom' when item_key is not null then 'built-in'
+      else 'AI estimate' end as src,
+    case when item_key is not null then item_key else lower(trim(mention)) end as item,
+    case when item_key is not null then coalesce(cu_kcal, bf_kcal) else es_kcal end as p_kcal,
+    case when item_key is not null then coalesce(cu_protein, bf_protein) else es_protein end as p_protein,
+    case when item_key is not null then coalesce(cu_carbs, bf_carbs) else es_carbs end as p_carbs,
+    case when item_key is not null then coalesce(cu_fat, bf_fat) else es_fat end as p_fat,
+    lower(trim(coalesce(case when unit <> '' then unit end, 'serving'))) as u0
+  from r2 where item_key is not null or es_kcal is not null),
+r4 as (select r3.*, coalesce(s.unit, r3.u0) as cu from r3 left join unit_synonym s on s.alias = r3.u0),
+r5 as (select r4.*,
+    case when m and cu_kcal is not null then (select grams from eu where eu.p_partkey = r4.cu_pk and eu.unit = r4.cu)
+         when m then (select grams from food_unit fu where fu.food_id = r4.bf_id and fu.unit = r4.cu)
+         else (select grams from eu where eu.p_partkey = r4.es_pk and eu.unit = r4.cu) end as own,
+    case when m and cu_kcal is not null then (select grams from eu where eu.p_partkey = r4.cu_pk and eu.unit = 'serving')
+         when m then (select grams from food_unit fu where fu.food_id = r4.bf_id and fu.unit = 'serving')
+         else (select grams from eu where eu.p_partkey = r4.es_pk and eu.unit = 'serving') end as serving,
+    coalesce((select grams from fallback_grams fb where fb.unit = r4.cu), 100.0) as fallback
+  from r4),
+r6 as (select r5.*, cast(round_even(case when cu in ('g', 'ml') then cast(quantity as decimal(18,4))
+      when cu in ('kg', 'l') then cast(quantity as decimal(18,4)) * 1000
+      when own is not null then cast(quantity as decimal(18,4)) * cast(own as decimal(18,4))
+      when cu in ('piece', 'plate', 'serving') and serving is not null
+      then cast(quantity as decimal(18,4)) * cast(serving as decimal(18,4))
+      else cast(quantity as decimal(18,4)) * cast(fallback as decimal(18,4)) end, 1) as double) as grams,
+    (cu in ('g', 'ml', 'kg', 'l') or own is not null) as exact from r5)
+select user_id, cast(day as varchar) as day, meal, meal_id, line, item, quantity, unit, grams,
+  case when exact then src else src || ' (check grams)' end as source,
+  {oracle.tot('p_kcal', 'grams')} as kcal, {oracle.tot('p_protein', 'grams')} as protein,
+  {oracle.tot('p_carbs', 'grams')} as carbs, {oracle.tot('p_fat', 'grams')} as fat
+from r6""")
+
+
+@register("meal_resolve_custom", _resolve_custom_sql)
+def q_meal_resolve_custom(spark, sf_dir):
+    ch = dims.food_choice_df(spark)
+    items = fx.meal_items(spark, sf_dir, ch)
+    return food.resolve_with_custom(items, ch, dims.food_df(spark), fx.custom_foods(spark, sf_dir),
+                                    fx.food_estimate_table(spark, sf_dir))

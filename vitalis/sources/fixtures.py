@@ -426,3 +426,32 @@ def plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFr
               .join(lib, F.col("l_partkey") % 48 == F.col("exercise_id"))
               .select(F.col("l_suppkey").alias("user_id"), (F.col("l_orderkey") * 8 + ln).alias("plan_id"),
                       profile.alias("equipment"), text.alias("text")))
+
+
+def custom_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foods users saved from estimates: (user_id, name, cpos, kcal, protein,
+    carbs, fat, units). Parts below 60 are saved under a built-in key or
+    alias (choice ``(p_partkey * 7) % 121``), overriding it; the rest under
+    the lower-cased part name. User = ``p_partkey % 97``; saving a name again
+    replaces it (highest part key wins); ``cpos`` is the save order."""
+    from . import dims, model_json
+    est = model_json.food_estimates(estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
+    ch = F.broadcast(dims.food_choice_df(spark).select(F.col("ord").alias("_o"), F.col("choice").alias("_c")))
+    e = est.join(ch, (F.col("p_partkey") * 7) % 121 == F.col("_o"), "left")
+    nm = F.when(F.col("p_partkey") < 60, F.col("_c")).otherwise(F.lower("name"))
+    rows = e.select((F.col("p_partkey") % 97).alias("user_id"), nm.alias("cname"), "p_partkey", "kcal", "protein",
+                    "carbs", "fat", "units")
+    best = (rows.groupBy("user_id", "cname")
+                .agg(F.max_by(F.struct("p_partkey", "kcal", "protein", "carbs", "fat", "units"), "p_partkey").alias("r")))
+    return best.select("user_id", F.col("cname").alias("name"), F.col("r.p_partkey").alias("cpos"),
+                       "r.kcal", "r.protein", "r.carbs", "r.fat", "r.units")
+
+
+def food_estimate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates available for unmatched names: (name_key, kcal, protein,
+    carbs, fat, units), one per lower-cased part name (lowest part key)."""
+    from . import model_json
+    est = model_json.food_estimates(estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
+    return (est.groupBy(F.lower("name").alias("name_key"))
+               .agg(F.min_by(F.struct("kcal", "protein", "carbs", "fat", "units"), "p_partkey").alias("r"))
+               .select("name_key", "r.*"))
