@@ -32,7 +32,11 @@ def test_lcs_matches_brute_force_short_and_long(spark):
         b = "".join(rnd.choice("abcdef ") for _ in range(lb))
         pairs.append((n, a, b))
     df = spark.createDataFrame(pairs, "id int, a string, b string")
-    out = df.select("id", "a", "b", sim.lcs(F.length("a"), sim.pattern_masks("a"), F.col("b")).alias("l"))
+    # Masks are a stored column in the pipeline; materialise them here too.
+    masked = spark.createDataFrame(
+        [tuple(r) for r in df.select("id", "a", "b", sim.pattern_masks("a").alias("m")).collect()],
+        "id int, a string, b string, m map<string,array<bigint>>")
+    out = masked.select("id", "a", "b", sim.lcs(F.length("a"), F.col("m"), F.col("b")).alias("l"))
     for r in out.collect():
         assert r.l == lcs_brute(r.a, r.b), (r.a, r.b)
 

@@ -63,11 +63,12 @@ def pattern_masks(s) -> Column:
     def mask_for(c):
         def word(j):
             lo = j * WORD
+            hi = F.least(lo + (WORD - 1), m - 1)
             return F.aggregate(
-                F.sequence(F.lit(0), F.lit(WORD - 1)), F.lit(0).cast("bigint"),
+                F.sequence(lo, hi), F.lit(0).cast("bigint"),
                 lambda acc, b: acc.bitwiseOR(
-                    F.when((lo + b < m) & (F.try_element_at(cs, (lo + b + 1).cast("int")) == c),
-                           _shl(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+                    F.when(F.try_element_at(cs, (b + 1).cast("int")) == c,
+                           _shl(F.lit(1).cast("bigint"), b - lo)).otherwise(F.lit(0).cast("bigint"))))
         return F.transform(F.sequence(F.lit(0), k - 1), word)
 
     return F.map_from_arrays(F.array_distinct(cs), F.transform(F.array_distinct(cs), mask_for))
@@ -91,6 +92,9 @@ def lcs_length(pattern_len, masks, text) -> Column:
     k = _n_words(m)
     zero_words = F.array_repeat(F.lit(0).cast("bigint"), k)
 
+    def valid(j):
+        return F.when(j < k - 1, F.lit(WORD_MASK).cast("bigint")).otherwise(_shl(F.lit(1).cast("bigint"), m - j * WORD) - 1)
+
     def step(V, c):
         Mc = F.coalesce(F.try_element_at(M, c), zero_words)
 
@@ -98,7 +102,7 @@ def lcs_length(pattern_len, masks, text) -> Column:
             v = F.element_at(V, j + 1)
             u = v.bitwiseAND(F.element_at(Mc, j + 1))
             total = v + u + st["carry"]
-            nw = (total.bitwiseAND(F.element_at(full, j + 1))).bitwiseOR(v - u)
+            nw = (total.bitwiseAND(valid(j))).bitwiseOR(v - u)
             return F.struct(F.concat(st["w"], F.array(nw)).alias("w"),
                             _shr(total, WORD).alias("carry"))
 

@@ -25,22 +25,22 @@ from ..functions import similarity as sim
 RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate "
 
 
-def _norm(df: DataFrame, src: str, lower: bool) -> DataFrame:
-    return (df.withColumn("_norm", sim.token_sort(src, lower=lower))
-              .withColumn("_len", F.length("_norm")))
+def _prefix_tokens(norm_col: str, len_col: str, cutoff: float):
+    """Array of prefix tokens of a normalised string, computed inside the
+    row with higher-order functions: token = character + its occurrence
+    number; tokens sorted by the global order; the first
+    ``len - min_overlap + 1`` kept. O(len^2) per (short) name, no shuffle."""
+    cs = sim.chars(norm_col)
 
+    def tok(c, i):
+        occ = F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c))
+        rank = F.instr(F.lit(RARE_TO_COMMON), F.lower(c)) - 40 * (occ - 1)
+        return F.struct(rank.alias("r"), c.alias("ch"), occ.alias("occ"))
 
-def _prefix_tokens(df: DataFrame, id_cols: list[str], cutoff: float) -> DataFrame:
-    """(id_cols, _norm, _len) -> (id_cols, _tok) for the prefix tokens."""
-    x = df.select(*id_cols, "_len", F.posexplode(sim.chars("_norm")).alias("_pos", "_ch"))
-    occ = F.row_number().over(Window.partitionBy(*id_cols, "_ch").orderBy("_pos"))
-    x = x.withColumn("_occ", occ)
-    rank = F.instr(F.lit(RARE_TO_COMMON), F.lower("_ch")) - 40 * (F.col("_occ") - 1)
-    order = Window.partitionBy(*id_cols).orderBy(rank, "_ch", "_occ")
-    x = x.withColumn("_r", F.row_number().over(order))
-    keep = F.col("_len") - sim.min_overlap("_len", cutoff) + 1
-    return (x.where(F.col("_r") <= keep)
-             .select(*id_cols, F.concat("_ch", F.lit("#"), F.col("_occ").cast("string")).alias("_tok")))
+    keep = (F.col(len_col) - sim.min_overlap(len_col, cutoff) + 1).cast("int")
+    toks = F.array_sort(F.transform(cs, tok))
+    prefix = F.when(keep > 0, F.slice(toks, 1, F.greatest(keep, F.lit(1))))
+    return F.transform(prefix, lambda t: F.concat(t["ch"], F.lit("#"), t["occ"].cast("string")))
 
 
 def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice_col: str, ord_col: str,
@@ -52,31 +52,41 @@ def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice
     (+ payload). ``lower_query`` lower-cases the query side (the food matcher
     does; exercise and marker matchers keep case). Result: keys, query_col,
     matched (choice), ord, payload..., score; NULLs when nothing passes.
+
+    Shuffles: distinct queries; the token join; the best-per-query
+    aggregate. The query side is used once: queries explode into their
+    prefix tokens (``explode_outer``, so a query without tokens still yields
+    a row) and LEFT-join the choice tokens; a query without a passing
+    candidate ends with a NULL best. A pair found via several shared tokens
+    is scored more than once; ``max`` makes that harmless, which is cheaper
+    than de-duplicating pairs with a shuffle.
     """
     keys = list(keys)
-    q = queries.select(*keys, query_col).where(F.col(query_col).isNotNull()).distinct()
-    q = _norm(q, query_col, lower_query).withColumn("_qid", F.xxhash64(*keys, query_col))
-    c = _norm(choices.select(*keys, choice_col, ord_col, *payload), choice_col, False)
-    c = c.withColumn("_cid", F.xxhash64(*keys, ord_col)).withColumn("_masks", sim.pattern_masks("_norm"))
-
-    qt = _prefix_tokens(q, ["_qid"], cutoff).join(q.select("_qid", *keys), "_qid")
-    ct = _prefix_tokens(c, ["_cid"], cutoff).join(c.select("_cid", *keys), "_cid")
-    pairs = qt.join(ct, [*keys, "_tok"]).select("_qid", "_cid").distinct()
-
-    qa = q.select("_qid", *keys, query_col, F.col("_norm").alias("_qn"), F.col("_len").alias("_ql"))
-    ca = c.select("_cid", F.col(choice_col).alias("matched"), F.col(ord_col).alias("ord"), *payload,
-                  F.col("_len").alias("_cl"), "_masks")
-    cand = (pairs.join(qa, "_qid").join(ca, "_cid")
-                 .where(200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl"))))
-    scored = (cand.withColumn("_lcs", sim.lcs("_cl", "_masks", "_qn"))
-                  .where(sim.passes_cutoff("_lcs", "_ql", "_cl", cutoff))
-                  .withColumn("score", sim.ratio_from_lcs("_lcs", "_ql", "_cl")))
-    best = (scored.groupBy("_qid")
-                  .agg(F.max(F.struct(F.col("score"), (-F.col("ord")).alias("_nord"), "matched", "ord",
-                                      *payload)).alias("_b")))
-    out = q.select("_qid", *keys, query_col).join(best, "_qid", "left")
-    return out.select(*keys, query_col, F.col("_b.matched").alias("matched"), F.col("_b.ord").alias("ord"),
-                      *[F.col(f"_b.{p}").alias(p) for p in payload], F.col("_b.score").alias("score"))
+    q = (queries.select(*keys, query_col).where(F.col(query_col).isNotNull()).distinct()
+                .withColumn("_qn", sim.token_sort(query_col, lower=lower_query))
+                .withColumn("_ql", F.length("_qn")))
+    c = (choices.select(*keys, F.col(choice_col).alias("matched"), F.col(ord_col).alias("ord"), *payload)
+                .withColumn("_cn", sim.token_sort("matched"))
+                .withColumn("_cl", F.length("_cn"))
+                .withColumn("_masks", sim.pattern_masks("_cn")))
+    qt = q.select(*keys, query_col, "_qn", "_ql",
+                  F.explode_outer(_prefix_tokens("_qn", "_ql", cutoff)).alias("_tok"))
+    ct = c.select("*", F.explode(_prefix_tokens("_cn", "_cl", cutoff)).alias("_tok"))
+    ctr = ct.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_tok").alias("_ctok"),
+                    "matched", "ord", *payload, "_cl", "_masks")
+    cond = F.col("_tok") == F.col("_ctok")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_c_{k}"))
+    cond = cond & (200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
+    cand = qt.join(ctr, cond, "left")
+    lcs = sim.lcs("_cl", "_masks", "_qn")
+    scored = cand.withColumn("_lcs", F.when(F.col("_cl").isNotNull(), lcs))
+    ok = F.col("_lcs").isNotNull() & sim.passes_cutoff("_lcs", "_ql", "_cl", cutoff)
+    cand_struct = F.when(ok, F.struct(sim.ratio_from_lcs("_lcs", "_ql", "_cl").alias("score"),
+                                      (-F.col("ord")).alias("_nord"), "matched", "ord", *payload))
+    best = scored.groupBy(*keys, query_col).agg(F.max(cand_struct).alias("_b"))
+    return best.select(*keys, query_col, F.col("_b.matched").alias("matched"), F.col("_b.ord").alias("ord"),
+                       *[F.col(f"_b.{p}").alias(p) for p in payload], F.col("_b.score").alias("score"))
 
 
 def match_food(names: DataFrame, choices: DataFrame, name_col: str = "mention", cutoff: float = 85) -> DataFrame:
