@@ -70,6 +70,38 @@ def str_of_variant(v) -> Column:
     return F.when(k == "VOID", F.lit("None")).otherwise(F.try_variant_get(v, "$", "string"))
 
 
+def _facts(v, name: str, parts: str = "kdsbv") -> list[Column]:
+    """Type (k), number (d), text (s), boolean (b) and raw (v) views of a
+    JSON value, each extracted once into its own column ``_<name>_<part>``;
+    only the requested parts are extracted."""
+    views = {"k": lambda: _kind(v), "d": lambda: F.try_variant_get(v, "$", "double"),
+             "s": lambda: F.try_variant_get(v, "$", "string"), "b": lambda: F.try_variant_get(v, "$", "boolean"),
+             "v": lambda: v}
+    return [views[p]().alias(f"_{name}_{p}") for p in parts]
+
+
+def _truthy(name: str) -> Column:
+    k, d, s, b, v = (F.col(f"_{name}_{x}") for x in "kdsbv")
+    return (F.when(k.isNull() | (k == "VOID"), F.lit(False))
+             .when(_is_number(k), d != 0)
+             .when(k == "BOOLEAN", b)
+             .when(k == "STRING", s != "")
+             .when(k.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+             .when(k.startswith("OBJECT"), F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
+             .otherwise(F.lit(True)))
+
+
+def _float(name: str) -> Column:
+    k, d, s, b = (F.col(f"_{name}_{x}") for x in "kdsb")
+    return (F.when(_is_number(k), d).when(k == "BOOLEAN", b.cast("double"))
+             .when(k == "STRING", F.trim(s).try_cast("double")))
+
+
+def _str(name: str) -> Column:
+    k, s = F.col(f"_{name}_k"), F.col(f"_{name}_s")
+    return F.when(k == "VOID", F.lit("None")).otherwise(s)
+
+
 def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Meal-parser outputs -> (id_cols, item_pos, name, quantity, unit).
 
@@ -79,14 +111,14 @@ def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -
     d = outputs.select(*id_cols, repair_json(text_col).alias("_v"))
     items = F.try_variant_get("_v", "$.items", "array<variant>")
     x = d.select(*id_cols, F.posexplode(F.coalesce(items, F.array().cast("array<variant>"))).alias("item_pos", "_it"))
-    name_v = F.try_variant_get("_it", "$.name", "variant")
-    qty_v = F.try_variant_get("_it", "$.quantity", "variant")
-    unit_v = F.try_variant_get("_it", "$.unit", "variant")
-    qty = F.when(truthy_variant(qty_v), float_of_variant(qty_v)).otherwise(F.lit(1.0))
-    unit = F.when(truthy_variant(unit_v), str_of_variant(unit_v)).otherwise(F.lit("serving"))
-    return (x.where(name_v.isNotNull())
-             .select(*id_cols, "item_pos", F.trim(str_of_variant(name_v)).alias("name"), qty.alias("quantity"),
-                     unit.alias("unit"))
+    x = x.select(*id_cols, "item_pos",
+                 *_facts(F.try_variant_get("_it", "$.name", "variant"), "n", "ks"),
+                 *_facts(F.try_variant_get("_it", "$.quantity", "variant"), "q"),
+                 *_facts(F.try_variant_get("_it", "$.unit", "variant"), "u"))
+    qty = F.when(_truthy("q"), _float("q")).otherwise(F.lit(1.0))
+    unit = F.when(_truthy("u"), _str("u")).otherwise(F.lit("serving"))
+    return (x.where(F.col("_n_k").isNotNull())
+             .select(*id_cols, "item_pos", F.trim(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
              .where(F.col("quantity").isNotNull()))
 
 
