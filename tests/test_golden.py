@@ -134,3 +134,24 @@ def test_label_strip_ends_only(spark):
     df = spark.createDataFrame([("Creatine", "", "Morning"), ("Zinc", "5 mg", None)], "n string, d string, t string")
     got = [r.l for r in df.select(label(F.col("n"), F.col("d"), F.col("t")).alias("l")).collect()]
     assert got == ["Creatine ·  · Morning", "Zinc · 5 mg"]
+
+
+def test_plan_json_round_trip(spark):
+    from vitalis.operators import workouts
+    rows = [(1, 10, 0, 3, "Thu", "Legs", 0, "Leg Press", 4, "8-10", 90, ""),
+            (1, 10, 1, 0, "Mon", "Chest", 0, "Dips", 3, "10", 60, "slow"),
+            (1, 10, 1, 0, "Mon", "Chest", 1, "Push-up", 2, "12", 45, "")]
+    plan = spark.createDataFrame(rows, "user_id long, plan_id long, day_pos int, weekday_idx int, day string, "
+                                       "focus string, ex_pos int, name string, sets int, reps string, "
+                                       "rest_sec int, notes string")
+    js = workouts.plan_to_json(plan)
+    text = js.first().plan_json
+    assert text.index('"Mon"') < text.index('"Thu"')
+    back = workouts.plan_from_json(js).orderBy("day_pos", "ex_pos").collect()
+    assert [(r.day, r.ex_pos, r.name) for r in back] == [("Mon", 0, "Dips"), ("Mon", 1, "Push-up"), ("Thu", 0, "Leg Press")]
+
+
+def test_drop_incomplete_labs(spark):
+    from vitalis.operators import labs as L
+    df = spark.createDataFrame([("LDL", 1.0), (None, 2.0), ("HDL", None)], "marker string, value double")
+    assert [r.marker for r in L.drop_incomplete(df).collect()] == ["LDL"]

@@ -76,3 +76,8 @@ def report_date(chunk_dates: DataFrame) -> DataFrame:
     """First non-empty test date over a report's chunks, in chunk order."""
     ok = chunk_dates.where(F.col("test_date").isNotNull() & (F.trim("test_date") != ""))
     return ok.groupBy("report_id").agg(F.min_by("test_date", "chunk").alias("test_date"))
+
+
+def drop_incomplete(rows: DataFrame) -> DataFrame:
+    """Reviewed results without a marker or a value are not saved."""
+    return rows.dropna(subset=["marker", "value"])

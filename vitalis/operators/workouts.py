@@ -88,3 +88,36 @@ def exercise_options(days: DataFrame, plan: DataFrame) -> DataFrame:
     p = F.coalesce(F.col("planned"), F.array().cast("array<string>"))
     opts = F.concat(p, F.filter(lib, lambda n: ~F.array_contains(p, n)))
     return j.select("user_id", "day", F.posexplode(opts).alias("pos", "name"))
+
+
+PLAN_SCHEMA = ("array<struct<day:string,focus:string,exercises:array<struct<name:string,sets:int,reps:string,"
+               "rest_sec:int,notes:string>>>>")
+
+
+def plan_to_json(plan: DataFrame, id_cols=("user_id", "plan_id")) -> DataFrame:
+    """Normalised plan rows -> one JSON text per plan: days in Mon..Sun order
+    (stable), exercises in plan order. A plan holds at most 7 days of a few
+    exercises, so collecting one plan is bounded."""
+    ex = (plan.groupBy(*id_cols, "day_pos", "weekday_idx", "day", "focus")
+              .agg(F.array_sort(F.collect_list(F.struct("ex_pos", "name", "sets", "reps", "rest_sec", "notes")))
+                   .alias("_ex")))
+    days = ex.select(*id_cols, F.struct("weekday_idx", "day_pos", "day", "focus",
+                                        F.transform("_ex", lambda e: F.struct(e["name"].alias("name"), e["sets"].alias("sets"),
+                                                                              e["reps"].alias("reps"),
+                                                                              e["rest_sec"].alias("rest_sec"),
+                                                                              e["notes"].alias("notes"))).alias("exercises"))
+                     .alias("_d"))
+    out = days.groupBy(*id_cols).agg(F.array_sort(F.collect_list("_d")).alias("_days"))
+    clean = F.transform("_days", lambda d: F.struct(d["day"].alias("day"), d["focus"].alias("focus"),
+                                                    d["exercises"].alias("exercises")))
+    return out.select(*id_cols, F.to_json(clean).alias("plan_json"))
+
+
+def plan_from_json(stored: DataFrame, id_cols=("user_id", "plan_id")) -> DataFrame:
+    """Stored plan JSON -> rows (id_cols, day, focus, ex_pos, name, sets,
+    reps, rest_sec, notes); an empty or missing plan gives no rows."""
+    days = stored.select(*id_cols, F.posexplode(F.coalesce(F.from_json("plan_json", PLAN_SCHEMA),
+                                                           F.array().cast(PLAN_SCHEMA))).alias("day_pos", "_d"))
+    return days.select(*id_cols, "day_pos", F.col("_d.day").alias("day"), F.col("_d.focus").alias("focus"),
+                       F.posexplode("_d.exercises").alias("ex_pos", "_e")).select(
+        *id_cols, "day_pos", "day", "focus", "ex_pos", "_e.name", "_e.sets", "_e.reps", "_e.rest_sec", "_e.notes")

@@ -972,3 +972,13 @@ def q_meal_resolve_custom(spark, sf_dir):
     items = fx.meal_items(spark, sf_dir, ch)
     return food.resolve_with_custom(items, ch, dims.food_df(spark), fx.custom_foods(spark, sf_dir),
                                     fx.food_estimate_table(spark, sf_dir))
+
+
+@register("day_log", lambda: oracle.with_ctes(f"""
+select user_id, cast(day as varchar) as day, food_id, item, grams, kcal, protein, carbs, fat, line
+from food_rows where day = date '{AS_OF}'"""))
+def q_day_log(spark, sf_dir):
+    """One day's food log rows (the day view lists them in entry order)."""
+    r = food_rows(spark, sf_dir)
+    return (r.where(F.col("day") == F.lit(AS_OF).cast("date"))
+             .select("user_id", "day", "food_id", "item", "grams", "kcal", "protein", "carbs", "fat", "line"))
