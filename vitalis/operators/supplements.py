@@ -28,12 +28,28 @@ def log_join(log: DataFrame, supplements: DataFrame) -> DataFrame:
     return log.join(s, "supplement_id").select("user_id", "day", "supplement_id", "name", "taken")
 
 
+MAX_SHARED_CATALOGUE = 1000
+
+
 def checklist(spine: DataFrame, log: DataFrame, supplements: DataFrame) -> DataFrame:
     """For each (user_id, day) of ``spine``, every active supplement with its
-    label and ``taken`` (0 when not logged)."""
-    cat = active(supplements).select(F.struct("supplement_id", "name", "dose", "timing").alias("s"))
-    arr = cat.agg(F.collect_list("s").alias("a")).scalar()
-    rows = spine.select("user_id", "day", F.explode(arr).alias("s")).select("user_id", "day", "s.*")
+    label and ``taken`` (0 when not logged).
+
+    A per-user catalogue (with ``user_id``) is equi-joined on user_id. A
+    catalogue shared by all users is carried as one scalar-subquery array
+    exploded per row, allowed only after checking its size
+    (``MAX_SHARED_CATALOGUE``); a larger shared list must be given per user.
+    """
+    act = active(supplements)
+    if "user_id" in supplements.columns:
+        rows = spine.join(act.select("user_id", "supplement_id", "name", "dose", "timing"), "user_id")
+    else:
+        n = act.count()
+        if n > MAX_SHARED_CATALOGUE:
+            raise ValueError(f"shared supplement catalogue has {n} active rows; give one per user (user_id)")
+        arr = act.select(F.struct("supplement_id", "name", "dose", "timing").alias("s")) \
+                 .agg(F.collect_list("s").alias("a")).scalar()
+        rows = spine.select("user_id", "day", F.explode(arr).alias("s")).select("user_id", "day", "s.*")
     j = rows.join(log.select("user_id", "day", "supplement_id", "taken"), ["user_id", "day", "supplement_id"], "left")
     return j.select("user_id", "day", "supplement_id", "timing", "name",
                     label(F.col("name"), F.col("dose"), F.col("timing")).alias("label"),
