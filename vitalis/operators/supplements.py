@@ -23,8 +23,10 @@ def active(supplements: DataFrame) -> DataFrame:
 
 
 def log_join(log: DataFrame, supplements: DataFrame) -> DataFrame:
-    """Log rows with their supplement; rows of unknown ids vanish."""
-    s = F.broadcast(supplements.select("supplement_id", "name"))
+    """Log rows with their supplement; rows of unknown ids vanish. The join
+    strategy is left to AQE (it broadcasts the catalogue only after measuring
+    it below the threshold)."""
+    s = supplements.select("supplement_id", "name")
     return log.join(s, "supplement_id").select("user_id", "day", "supplement_id", "name", "taken")
 
 
