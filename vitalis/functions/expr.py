@@ -9,6 +9,17 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, fn) -> Column:
+    """``fn(v)`` with ``value`` evaluated once and bound to ``v``.
+
+    An expression used inside a higher-order-function lambda is evaluated
+    again on every invocation (there is no common-subexpression elimination
+    inside lambdas); binding it as a lambda variable of a one-element
+    ``transform`` computes it once per row.
+    """
+    return F.element_at(F.transform(F.array(col(value)), fn), 1)
+
+
 def clamp01(x) -> Column:
     """clamp to [0, 1], keeping NULL as NULL (``greatest`` alone would turn a
     NULL into 1.0)."""

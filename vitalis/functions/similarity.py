@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, let
 
 WORD = 62
 WORD_MASK = (1 << WORD) - 1
@@ -42,10 +42,10 @@ def token_sort(s, lower: bool = False) -> Column:
 
 
 def chars(s) -> Column:
-    """String -> array of its characters."""
+    """String -> array of its characters (code points; splitting on the
+    empty pattern is native, no lambda)."""
     s = col(s)
-    return (F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, 1)))
-             .otherwise(F.array().cast("array<string>")))
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
 def _n_words(m: Column) -> Column:
@@ -54,24 +54,29 @@ def _n_words(m: Column) -> Column:
 
 def pattern_masks(s) -> Column:
     """Pattern string -> map<char, array<bigint>>: for each distinct
-    character the positions where it occurs, as 62-bit words."""
+    character the positions where it occurs, as 62-bit words.
+
+    Per distinct character one native ``translate`` turns the string into a
+    0/1 string (that character -> 1, every other distinct character -> 0, all
+    in one pass); each 62-character slice, reversed so position 0 is the
+    lowest bit, is read as a binary number with ``conv``. The distinct
+    characters and each 0/1 string are bound once (``let``), not recomputed
+    per lambda call.
+    """
     s = col(s)
-    cs = chars(s)
-    m = F.length(s)
-    k = _n_words(m)
+    k = _n_words(F.length(s))
+
+    def masks(d):
+        def mask_for(c):
+            bits = F.call_function("translate", s, F.concat(c, F.array_join(F.array_remove(d, c), "")),
+                                   F.concat(F.lit("1"), F.call_function("repeat", F.lit("0"), F.size(d) - 1)))
+            return let(bits, lambda b: F.transform(
+                F.sequence(F.lit(0), k - 1),
+                lambda j: F.conv(F.reverse(F.substring(b, j * WORD + 1, WORD)), 2, 10).cast("bigint")))
+
+        return F.map_from_arrays(d, F.transform(d, mask_for))
 
-    def mask_for(c):
-        def word(j):
-            lo = j * WORD
-            hi = F.least(lo + (WORD - 1), m - 1)
-            return F.aggregate(
-                F.sequence(lo, hi), F.lit(0).cast("bigint"),
-                lambda acc, b: acc.bitwiseOR(
-                    F.when(F.try_element_at(cs, (b + 1).cast("int")) == c,
-                           _shl(F.lit(1).cast("bigint"), b - lo)).otherwise(F.lit(0).cast("bigint"))))
-        return F.transform(F.sequence(F.lit(0), k - 1), word)
-
-    return F.map_from_arrays(F.array_distinct(cs), F.transform(F.array_distinct(cs), mask_for))
+    return let(F.array_distinct(chars(s)), masks)
 
 
 def _word_full_masks(m: Column) -> Column:

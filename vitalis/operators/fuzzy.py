@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..functions.expr import let
 
 # Global token order: characters that are rare in names come first so
 # prefixes hold selective tokens. Correctness does not depend on the order.
@@ -27,18 +28,20 @@ RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate "
 
 def _prefix_tokens(norm_col: str, len_col: str, cutoff: float):
     """Array of prefix tokens of a normalised string, computed inside the
-    row with higher-order functions: token = character + its occurrence
-    number; tokens sorted by the global order; the first
-    ``len - min_overlap + 1`` kept. O(len^2) per (short) name, no shuffle."""
-    cs = sim.chars(norm_col)
-
-    def tok(c, i):
-        occ = F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c))
-        rank = F.instr(F.lit(RARE_TO_COMMON), F.lower(c)) - 40 * (occ - 1)
-        return F.struct(rank.alias("r"), c.alias("ch"), occ.alias("occ"))
+    row: token = character + its occurrence number; tokens sorted by the
+    global order; the first ``len - min_overlap + 1`` kept. The characters
+    are sorted first, so a character's occurrence number is its distance
+    from its first position in the sorted array (native
+    ``array_position``), one pass, no shuffle."""
+    def tokens(srt):
+        def tok(c, i):
+            occ = (i + 2 - F.array_position(srt, c)).cast("int")
+            rank = F.instr(F.lit(RARE_TO_COMMON), F.lower(c)) - 40 * (occ - 1)
+            return F.struct(rank.alias("r"), c.alias("ch"), occ.alias("occ"))
+        return F.array_sort(F.transform(srt, tok))
 
     keep = (F.col(len_col) - sim.min_overlap(len_col, cutoff) + 1).cast("int")
-    toks = F.array_sort(F.transform(cs, tok))
+    toks = let(F.array_sort(sim.chars(norm_col)), tokens)
     prefix = F.when(keep > 0, F.slice(toks, 1, F.greatest(keep, F.lit(1))))
     return F.transform(prefix, lambda t: F.concat(t["ch"], F.lit("#"), t["occ"].cast("string")))
 
