@@ -13,6 +13,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key's join partition even when the split costs one more
+    # shuffle (joins feeding an aggregation on a finer key, e.g. lines joined
+    # on file then grouped by file and day).
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # A broadcast is only ever chosen for sides whose size Spark has measured
     # below this bound; the fixed dimensions are far below it.
@@ -73,3 +77,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), name)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """True when a finished write (its ``_SUCCESS`` marker) exists at
+    ``path``, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))

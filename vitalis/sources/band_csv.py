@@ -98,6 +98,22 @@ def headers(lines: DataFrame) -> DataFrame:
                      *[F.when(pos(w) >= 0, pos(w)).alias(f"p_{w}") for w in wanted]))
 
 
+# Header rows (one per file: path, kind, seven small ints) are broadcast to
+# the line scan only up to this many files, about 20 MB; beyond it the join
+# shuffles both sides on ``file`` and AQE splits a hot file's partition.
+MAX_BROADCAST_FILES = 100_000
+
+
+def _attachable(h: DataFrame) -> DataFrame:
+    """The header table, marked for broadcast when its measured row count is
+    within ``MAX_BROADCAST_FILES``. Broadcasting it keeps the lines where
+    they were read: no shuffle of the lines by file, so one user's huge file
+    is not one task, and the per-day aggregation that follows is partial
+    (map-side) before its own shuffle."""
+    n = h.count()  # one number to the driver; the header step reads two lines per file
+    return F.broadcast(h) if n <= MAX_BROADCAST_FILES else h
+
+
 def _field(arr, p):
     return F.when(F.col(p).isNotNull(), F.try_element_at(arr, (F.col(p) + 1).cast("int")))
 
@@ -108,7 +124,7 @@ def parse_long(lines: DataFrame) -> DataFrame:
     shifted, 0 < hours < 16, day = local wake-up date); heart, steps and
     stress rows carry the reading and the local day. A file lacking a kind's
     required columns yields nothing."""
-    h = headers(lines)
+    h = _attachable(headers(lines))
     body = lines.join(h, "file").where(F.col("line_no") >= F.col("data_from"))
     key_cols = ["file", "user_id"] if "user_id" in lines.columns else ["file"]
     rec = body.withColumn("_a", csv_fields("text"))
