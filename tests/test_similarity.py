@@ -80,3 +80,12 @@ def test_best_match_equals_brute_force(spark):
                 if best is None or s > best[1]:
                     best = (o, s)
         assert got[m] == (best if best else (None, None)), m
+
+
+def test_let_binds_once_and_keeps_value(spark):
+    from pyspark.sql import functions as F
+
+    from vitalis.functions.expr import let
+    df = spark.createDataFrame([("b a c",), ("",), (None,)], "s string")
+    got = [r.x for r in df.select(let(F.split("s", " "), lambda a: F.size(a) + F.size(a)).alias("x")).collect()]
+    assert got == [6, 2, -2]

@@ -58,3 +58,28 @@ def test_food_estimate_units(spark):
     r = model_json.food_estimates(df, ["id"]).first()
     assert r.kcal == 170.0 and dict(r.units) == {"cup": 240.0}
     assert F is not None
+
+
+def test_header_join_same_result_beyond_broadcast_bound(spark, monkeypatch):
+    """The header table is broadcast only up to MAX_BROADCAST_FILES rows;
+    past the bound the join shuffles on file. Both paths give the same rows."""
+    p = "com.samsung.health.sleep."
+    h = "com.samsung.health.heart_rate."
+    files = [
+        ("u/sleep.csv", 1, ["meta,1", f"{p}start_time,{p}end_time,{p}sleep_score,{p}time_offset",
+                            "2024-01-01 22:00:00,2024-01-02 05:00:00,80,UTC+0100",
+                            "2024-01-02 22:00:00,2024-01-03 06:30:00,,UTC-0800"]),
+        ("v/heart_rate.csv", 2, [f"{h}start_time,{h}heart_rate"]
+         + [f"2024-01-01 0{i}:00:00,{50 + i}" for i in range(8)]),
+    ]
+    lines = _lines(spark, files)
+    cols = ["user_id", "day", "sleep_hours", "sleep_score", "resting_hr", "steps", "stress"]
+    broadcast_rows = sorted(band_csv.daily_from_lines(lines).select(*cols).collect())
+    monkeypatch.setattr(band_csv, "MAX_BROADCAST_FILES", 0)
+    shuffled = band_csv.daily_from_lines(lines).select(*cols)
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan or "AdaptiveSparkPlan" in plan
+    assert sorted(shuffled.collect()) == broadcast_rows
+    # both sleep sessions wake on Jan 2 after the offsets (7 h + 8.5 h); eight heart readings on Jan 1
+    assert [(r.user_id, str(r.day), r.sleep_hours, r.resting_hr) for r in broadcast_rows] == \
+        [(1, "2024-01-02", 15.5, None), (2, "2024-01-01", None, 50.35)]
