@@ -86,7 +86,9 @@ def exercise_options(days: DataFrame, plan: DataFrame) -> DataFrame:
     lib = F.array(*[F.lit(n) for n, _m, _e in dims.LIBRARY])
     j = d.join(planned, ["user_id", "label"], "left")
     p = F.coalesce(F.col("planned"), F.array().cast("array<string>"))
-    opts = F.concat(p, F.filter(lib, lambda n: ~F.array_contains(p, n)))
+    # Library names are distinct, so the native set difference keeps every
+    # unlisted name once, in library order.
+    opts = F.concat(p, F.array_except(lib, p))
     return j.select("user_id", "day", F.posexplode(opts).alias("pos", "name"))
 
 
