@@ -4,17 +4,16 @@ Fingerprint: words are the runs of ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z
 lower-cased; each run of ``shingle`` words, joined by one space, is hashed by
 XXH64 (seed 42); a bit is set when more than half of the hashes set it.
 
-Linking: the 64 bits are cut in three parts (22, 21, 21 bits), each read as a
-23-bit word. The binary Golay code of length 23 is perfect with covering
-radius 3, so every part has exactly one anchor (code word) within 3 bits, its
-home. When two fingerprints differ in at most t bits, some two of the parts
-differ in e1 + e2 <= floor(2t / 3) bits together; then the second fingerprint
-lies within 3 + e1 and 3 + e2 of the homes of the first. So each fingerprint is
-homed at one anchor pair for each of the three choices of two parts, and
-replicated to every anchor pair within covering radius plus threshold, and all
-pairs within t bits meet at an anchor. 2^24 anchor pairs a choice keep the
-groups small. A replica goes only where somebody is at home: that is looked up
-in a bitmap of the 3 * 2^24 anchor pairs, 6 MB whatever the data.
+Linking: the 64 bits are cut in two halves of two parts (16 bits each), each part
+read as a 23-bit word. The binary Golay code of length 23 is perfect with covering
+radius 3, so every part has exactly one anchor (code word) within 3 bits, its home.
+When two fingerprints differ in at most t bits, in one of the halves they differ
+in e1 + e2 <= floor(t / 2) bits; then the second fingerprint lies within 3 + e1 and
+3 + e2 of the homes of the first. So each fingerprint is at home at one pair of
+anchors for each half, and replicated to every pair of anchors within covering
+radius plus threshold (for 4 bits: 122 rows on average, whatever the data), and
+all pairs within t bits meet at an anchor. 2^24 pairs of anchors a half keep the
+groups small.
 
 Only distinct fingerprints are compared, and a task hands on spanning edges,
 not pairs, so copies cost one row each.
@@ -30,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Links, components, written
+from .common import Links, components, small_batches, written
 
-PARTS = ((0, 22), (22, 21), (43, 21))
-CHOICES = ((0, 1), (0, 2), (1, 2))
+PARTS = ((0, 16), (16, 16), (32, 16), (48, 16))
+HALVES = ((0, 1), (2, 3))
 CHUNK_PAIRS = 1 << 22
-_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -64,6 +62,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 def with_fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` plus ``fp`` (the fingerprint as a signed
     long). ``docs`` needs ``text``."""
+    small_batches(docs.sparkSession)
     name = "__text"
     src = docs.select(*[F.col(c) for c in keep], F.col("text").alias(name))
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
@@ -137,38 +136,28 @@ def _keys(c: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def home_keys(fp: np.ndarray) -> np.ndarray:
-    homes = [anchors(fp, p, 0) for p in range(3)]
-    return np.hstack([_keys(c, homes[i], homes[j]) for c, (i, j) in enumerate(CHOICES)])
+    homes = [anchors(fp, p, 0) for p in range(len(PARTS))]
+    return np.hstack([_keys(c, homes[i], homes[j]) for c, (i, j) in enumerate(HALVES)])
 
 
 def replica_keys(fp: np.ndarray, max_bits: int):
-    """Per choice and split of the excess: the anchor pairs within covering
+    """Per half and split of the excess: the anchor pairs within covering
     radius plus threshold, without the home."""
-    most = 2 * max_bits // 3
+    most = max_bits // 2
     if most > 2:
-        raise ValueError("max_bits above 4 needs code words beyond distance 5")
-    rings = [[anchors(fp, p, e) for e in range(most + 1)] for p in range(3)]
-    for c, (i, j) in enumerate(CHOICES):
+        raise ValueError("max_bits above 5 needs code words beyond distance 5")
+    rings = [[anchors(fp, p, e) for e in range(most + 1)] for p in range(len(PARTS))]
+    for c, (i, j) in enumerate(HALVES):
         for e1 in range(most + 1):
             for e2 in range(most + 1 - e1):
                 if e1 or e2:
                     yield _keys(c, rings[i][e1], rings[j][e2])
 
 
-def _home_rows(batches):
-    for f in batches:
-        fp = f["fp"].to_numpy()
-        keys = home_keys(fp.view(np.uint64))
-        yield pd.DataFrame({"key": keys.ravel()})
+def _replicate(max_bits: int):
+    """Each fingerprint to its homes and to all pairs of anchors around."""
 
-
-def _replicas(bitmap: dict[int, bytes], max_bits: int):
     def run(batches):
-        live = np.zeros(3 << 24, np.uint8)
-        for bucket, raw in bitmap.items():
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-            at = (bucket - 1) * 32768
-            live[at:at + len(bits)] = bits[:max(0, len(live) - at)]
         for f in batches:
             for lo in range(0, len(f), 4096):
                 fp = f["fp"].to_numpy()[lo:lo + 4096]
@@ -177,9 +166,8 @@ def _replicas(bitmap: dict[int, bytes], max_bits: int):
                 yield pd.DataFrame({"key": keys.ravel(), "home": True, "fp": np.repeat(fp, keys.shape[1])})
                 for keys in replica_keys(word, max_bits):
                     row, col = np.nonzero(keys >= 0)
-                    key = keys[row, col]
-                    here = live[key] > 0
-                    yield pd.DataFrame({"key": key[here], "home": False, "fp": fp[row[here]]})
+                    yield pd.DataFrame({"key": keys[row, col], "home": False, "fp": fp[row]})
+
     return run
 
 
@@ -234,18 +222,7 @@ def _compare(max_bits: int):
 def link_fingerprints(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """Components of the distinct fingerprints ``fps`` (fp: long) linked at
     ``max_bits`` or fewer differing bits: (node, root), linked ones only."""
-    spark = fps.sparkSession
-    keys = fps.mapInPandas(_home_rows, "key long")
-    # Bitmap of the anchor pairs that are somebody's home: at most 1,536 rows
-    # of 4 KB, bounded by the code and not by the data.
-    rows = (keys.groupBy(F.bitmap_bucket_number(F.col("key") + 1).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("key") + 1)).alias("bits")).collect())
-    shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in rows})
-
-    def replicate(batches):
-        yield from _replicas(shared.value, max_bits)(batches)
-
-    placed = fps.mapInPandas(replicate, "key long, home boolean, fp long")
+    placed = fps.mapInPandas(_replicate(max_bits), "key long, home boolean, fp long")
     edges = (placed.repartition("key").sortWithinPartitions(F.col("key"), F.col("home").desc())
              .mapInPandas(_compare(max_bits), "a long, b long"))
     return components(edges)
