@@ -16,6 +16,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/vitalis-{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts or payloads that a Python worker holds at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small Arrow batches from now on, whose size
+    the longest texts of a batch bound rather than the number of rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so later
     jobs neither recompute it nor depend on an executor's disk."""

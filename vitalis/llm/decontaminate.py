@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 
 WINDOW = 10
 #: Windows in one automaton: about 60 bytes each, some 100 MB as a trie.
@@ -168,6 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     repeated documents or items change nothing for other rows.
     """
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     table = written(window_table(items, window), "windows")
     blocks = max(1, -(-table.count() // block_windows))
     state = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SEGMENT = 256
 MAX_ALPHABET = 250
 #: Bounds of the labelled sample the models are fitted on (documented
 #: parameters): documents per language, and characters per document.
-SAMPLE_DOCS = 120
+SAMPLE_DOCS = 60
 SAMPLE_CHARS = 1000
 UNKNOWN = "und"
 #: Best-language phrases per symbol above this are no language of the sample.
@@ -262,6 +264,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     to learn from, every text is ``und``. Only the text is looked at.
     """
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     schema = T.StructType([docs.schema[c] for c in keep] + [
@@ -274,13 +277,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         m = shared.value
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            # Bounded work memory: texts of about a million characters at once.
+            # Bounded work memory: texts of about half a million characters at once.
             lang: list[str] = []
             score, rate = [np.zeros(0)], [np.zeros(0)]
             i = 0
             while i < len(texts):
                 j, n = i, 0
-                while j < len(texts) and (j == i or n < 1 << 20):
+                while j < len(texts) and (j == i or n < 1 << 19):
                     n += len(texts[j] or "")
                     j += 1
                 a, s, r = m.predict(texts[i:j])

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .pretokens import Cut
 
 CACHE = 2_000_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 def default_vocabulary() -> str:
@@ -114,6 +115,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, keep: list[str]
     each; other columns are not looked at. The vocabulary holds all 256 bytes,
     so every text can be cut."""
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     src = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     names = ["n_chars", "n_pretokens", "n_tokens"]

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repair
-from .common import scratch, written
+from .common import scratch, small_batches, written
 from .files import make_folder, read_bytes, write_bytes
 from .tokens import default_vocabulary, encoder
 
 END_ID = 0
-SHARD_IDS = 4_000_000
+SHARD_IDS = 1_500_000
 #: Characters encoded before the ids are laid aside.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID,
@@ -38,6 +38,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     """
     path = vocabulary or default_vocabulary()
     make_folder(folder)
+    small_batches(docs.sparkSession)
 
     def flush(part, block, ids, nulls, sizes, flat):
         flat, sizes = np.concatenate(flat), np.concatenate(sizes)

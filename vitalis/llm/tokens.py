@@ -14,7 +14,7 @@ from .pretokens import Cut
 
 #: Distinct pre-tokens kept by a worker, and characters cut at once.
 CACHE = 2_000_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 def default_vocabulary() -> str:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, small_batches, written
 from .files import filesystem, make_folder
 
 MIN_REVISIT = 1000
@@ -101,6 +101,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     ``folder`` and return the index. A null html is an empty payload; an empty
     table writes no archive; other columns are not stored."""
     make_folder(folder)
+    small_batches(pages.sparkSession)
 
     names = [x.split()[0] for x in INDEX.split(", ")]
 
