@@ -16,6 +16,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/vitalis-{name}-{uuid.uuid4().hex}"
 
 
+#: Stands for a null doc_id where rows are joined or sorted by it.
+NO_ID = -(1 << 63)
+
+
+def row_key(df: DataFrame, columns: list[str]) -> list:
+    """Two columns, __id and __hash, that name a row by doc_id and by the hash of
+    ``columns``: rows with the same pair are repeats of one row."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"),
+            F.xxhash64(*[F.col(c) for c in columns]).alias("__hash")]
+
+
 #: Rows of whole texts or payloads that a Python worker holds at once.
 BATCH_ROWS = 500
 

@@ -303,6 +303,8 @@ def known_language_only(docs: DataFrame, max_phrase_rate: float = MAX_PHRASE_RAT
     """``docs`` without the rows that are rejected: no letter, or text so unlike
     every language of the sample that its phrases are shorter than
     1 / ``max_phrase_rate`` symbols on average."""
-    out = identify(docs, fit(docs), keep=docs.columns)
+    names = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the answers
+    src = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
+    out = identify(src, fit(docs), keep=list(names.values()))
     return (out.where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= max_phrase_rate))
-            .select(*docs.columns))
+            .select(*[F.col(n).alias(c) for c, n in names.items()]))

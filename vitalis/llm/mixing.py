@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 
 BITS = 14
 WEIGHTS = (3, 1, 2)
@@ -66,7 +66,9 @@ def _plan(base: DataFrame, weights, share: float, max_repeats: int) -> DataFrame
     source, size, shuffle); finish lists the virtual finish times of the copies
     that are taken."""
     ranges = 1 << BITS
-    base = base.withColumn("range", F.shiftright(F.conv(F.substring("shuffle", 1, 4), 16, 10).cast("int"), 16 - BITS))
+    first = F.conv(F.substring("shuffle", 1, 4), 16, 10).cast("int")
+    base = (base.select("row", "id", "src", "source", "size", "shuffle")
+            .withColumn("range", F.shiftright(first, 16 - BITS)))
     per_range = written(base.groupBy("src", "range").agg(F.first("source").alias("source"),
                                                          F.sum("size").alias("words")), "ranges")
     goal = written(targets(per_range.groupBy("src").agg(F.first("source").alias("source"),
@@ -112,12 +114,11 @@ def _plan(base: DataFrame, weights, share: float, max_repeats: int) -> DataFrame
     return rows.select("row", "size", "source_size", "target", finish.alias("finish"))
 
 
-def _base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The documents with a row number, written once so that the number holds."""
+def _base(docs: DataFrame, *names) -> DataFrame:
+    """The documents' sizes, with a row number that holds because it is written."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return written(docs.select(*[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)],
-                               F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"),
+    return written(docs.select(*names, F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"),
                                key.alias("src"), "source", word_count(F.col("text")).alias("size"),
                                digest.alias("shuffle")), "mix")
 
@@ -131,19 +132,22 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats
     rows are documents of their own. An empty table gives an empty plan. The
     same table gives the same mix; other columns are not looked at.
     """
-    base = _base(docs, ["doc_id"])
-    plan = _plan(base.drop("keep0"), weights, share, max_repeats)
-    return (base.select(F.col("keep0").alias("doc_id"), "row").join(plan, "row")
+    base = _base(docs)
+    plan = _plan(base, weights, share, max_repeats)
+    return (base.select(F.col("id").alias("doc_id"), "row").join(plan, "row")
             .select("doc_id", "size", "source_size", "target", F.size("finish").alias("copies"),
                     (F.size("finish") * F.col("size")).alias("taken")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is
-    taken, in the order of virtual finish times over all sources."""
-    base = _base(docs, docs.columns)
-    plan = _plan(base.select("row", "id", "src", "source", "size", "shuffle"), weights, share, max_repeats)
-    taken = plan.where(F.size("finish") > 0).select("row", "finish")
-    return (base.drop("id", "src", "source", "size", "shuffle").join(taken, "row")
-            .withColumn("at", F.explode("finish")).repartitionByRange("at", "row").sortWithinPartitions("at", "row")
-            .select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    taken, in the order of virtual finish times over all sources. Texts move
+    twice: to the times of their row, and to their place in the order."""
+    key = row_key(docs, docs.columns)
+    base = _base(docs, *key)
+    plan = _plan(base, weights, share, max_repeats)
+    # Repeats of a row share the key; each has its own times.
+    taken = (base.select("__id", "__hash", "row").join(plan, "row")
+             .select("__id", "__hash", "row", F.explode("finish").alias("__at")).withColumnRenamed("row", "__row"))
+    return (docs.select("*", *key).dropDuplicates(["__id", "__hash"]).join(taken, ["__id", "__hash"])
+            .repartitionByRange("__at", "__row").sortWithinPartitions("__at", "__row").select(*docs.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Links, components, small_batches, written
+from .common import Links, components, row_key, small_batches, written
 
 PARTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 HALVES = ((0, 1), (2, 3))
@@ -59,21 +59,19 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``fp`` (the fingerprint as a signed
-    long). ``docs`` needs ``text``."""
+def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, __id and __hash (see ``row_key``) and ``fp`` (the fingerprint as a
+    signed long) of every row of ``docs``, which needs doc_id and text."""
     small_batches(docs.sparkSession)
-    name = "__text"
-    src = docs.select(*[F.col(c) for c in keep], F.col("text").alias(name))
-    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
+    src = docs.select("doc_id", *row_key(docs, ["text"]), F.col("text").alias("__text"))
+    out = T.StructType([*src.schema.fields[:3], T.StructField("fp", T.LongType())])
+    names = [f.name for f in out]
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            col = b.column(b.num_columns - 1)
-            fp = np.fromiter((fingerprint(v.as_py(), shingle) for v in col), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + [pa.array(fp)],
-                                             names=[*keep, "fp"])
+            fp = np.fromiter((fingerprint(v.as_py(), shingle) for v in b.column(3)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)] + [pa.array(fp)], names=names)
 
     return src.mapInArrow(run, out)
 
@@ -228,21 +226,9 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return components(edges)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: doc_id) of every document plus ``fp`` (signed
-    long), ``component_id`` (smallest doc_id reachable over fingerprints within
-    ``max_bits`` bits) and ``kept`` (true for the row that stands for its
-    component; repeated equal rows all carry it).
-
-    A null or wordless text has fingerprint 0 and links like any other. Rows
-    with a null doc_id take part and never name a component unless all ids of
-    it are null (then component_id is null). Other columns of ``docs`` are not
-    looked at.
-    """
-    keep = keep or ["doc_id"]
-    if "doc_id" not in keep:
-        raise ValueError("keep must hold doc_id")
-    marked = written(with_fingerprints(docs, shingle, keep), "fingerprints")
+def _answers(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """Columns of ``with_fingerprints`` plus component_id and kept."""
+    marked = written(with_fingerprints(docs, shingle), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     comp = link_fingerprints(fps.select("fp"), max_bits)
     by_fp = (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
@@ -252,13 +238,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, keep:
     answer = (by_fp.join(best, "root")
               .select("fp", F.col("best.low").alias("component_id"), (F.col("best.fp") == F.col("fp")).alias("__best")))
     return (marked.join(answer, "fp")
-            .withColumn("kept", F.col("__best") & F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .drop("__best"))
+            .withColumn("kept", F.col("__best") & F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("__best"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """doc_id of every document, ``fp`` (signed long), ``component_id`` (smallest
+    doc_id reachable over fingerprints within ``max_bits`` bits) and ``kept`` (true
+    for the row that stands for its component; repeats of it all carry it).
+
+    A null or wordless text has fingerprint 0 and links like any other. Rows
+    with a null doc_id take part and never name a component unless all ids of
+    it are null (then component_id is null). Other columns of ``docs`` are not
+    looked at; an empty table gives an empty result.
+    """
+    return _answers(docs, shingle, max_bits).drop("__id", "__hash")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
-    doc_id; of repeated rows with that id and fingerprint one stays."""
-    cols = docs.columns
-    out = near_duplicates(docs.select(*cols), shingle, max_bits, keep=cols).where("kept")
-    return out.dropDuplicates(["doc_id", "component_id", "fp"]).select(*cols)
+    doc_id; of rows with that id and fingerprint the one of least text hash."""
+    kept = (_answers(docs, shingle, max_bits).where("kept")
+            .groupBy("__id", "fp").agg(F.min("__hash").alias("__hash")).select("__id", "__hash"))
+    return (docs.select("*", *row_key(docs, ["text"])).join(kept, ["__id", "__hash"], "left_semi")
+            .dropDuplicates(["__id", "__hash"]).select(*docs.columns))
