@@ -73,20 +73,21 @@ class SuffixAutomaton:
         return len(self.next) - 1
 
     def machine(self, n_symbols: int) -> np.ndarray:
-        """Table over (state, symbol): next state * 2 + 1 if a phrase ended.
-        Symbol 0 is padding: it keeps the root and ends nothing; a symbol
-        unknown to the sample is a phrase of its own."""
+        """Table over (state, symbol): next state * 4 + number of phrases that
+        ended. Symbol 0 is padding: it leads to the root and ends nothing; a
+        symbol unknown to the sample is a phrase of its own."""
         root = np.zeros(n_symbols, np.int32)
         for c, q in self.next[0].items():
             root[c] = q
-        table = np.tile(root * 2 + 1, (len(self.next), 1))
-        table[0] = root * 2
+        table = np.tile(root * 4 + 1, (len(self.next), 1))
+        table[0] = root * 4
         known = np.zeros(n_symbols, bool)
         known[list(self.next[0])] = True
+        table[:, ~known] = 2
         table[0, ~known] = 1
         for s, nxt in enumerate(self.next):
             for c, q in nxt.items():
-                table[s, c] = q * 2
+                table[s, c] = q * 4
         table[:, 0] = 0
         return table
 
@@ -209,8 +210,8 @@ class Model:
             count = np.zeros(total, np.int32)
             for c in steps:
                 step = cells[state * width + c]
-                count += step & 1
-                state = step >> 1
+                count += step & 3
+                state = step >> 2
             out[:, k] = np.bincount(of, count, minlength=len(texts)).astype(np.int64)
         # The phrase still open at the end of a row counts as one.
         return out + rows[:, None], size

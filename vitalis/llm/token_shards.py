@@ -60,7 +60,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             i = 0
             while i < len(texts):
                 j, chars = i, 0
-                while j < len(texts) and (j == i or chars < STEP_CHARS):
+                while j < len(texts) and (j == i or chars < min(STEP_CHARS, shard_ids)):
                     chars += len(texts[j] or "")
                     j += 1
                 got, size = enc.encode(texts[i:j])
