@@ -30,6 +30,8 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
 MAX_GAP = 64 << 10
 MAX_READ = 8 << 20
+#: Archive bytes that one task reads.
+TASK_BYTES = 16 << 20
 _GZIP = 16 + zlib.MAX_WBITS
 _ID = "<urn:page:{}>"
 _NO_ID = "none"
@@ -175,7 +177,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pd.DataFrame({n: pd.Series([r[n] for r in got], dtype="Int64" if n in ("page_id", "refers_to") else None)
                                     for n in names})
 
-    return (index.select("path", "offset", "length").repartitionByRange("path", "offset")
+    # Tasks by the bytes they will read, not by the size of the index.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + total // TASK_BYTES
+    return (index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset")
             .sortWithinPartitions("path", "offset").mapInPandas(run, schema))
 
 
