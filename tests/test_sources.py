@@ -60,9 +60,8 @@ def test_food_estimate_units(spark):
     assert F is not None
 
 
-def test_header_join_same_result_beyond_broadcast_bound(spark, monkeypatch):
-    """The header table is broadcast only up to MAX_BROADCAST_FILES rows;
-    past the bound the join shuffles on file. Both paths give the same rows."""
+def test_header_join_same_result_with_and_without_broadcast(spark):
+    """Whichever join Spark picks for the header table, the rows are the same."""
     p = "com.samsung.health.sleep."
     h = "com.samsung.health.heart_rate."
     files = [
@@ -75,11 +74,40 @@ def test_header_join_same_result_beyond_broadcast_bound(spark, monkeypatch):
     lines = _lines(spark, files)
     cols = ["user_id", "day", "sleep_hours", "sleep_score", "resting_hr", "steps", "stress"]
     broadcast_rows = sorted(band_csv.daily_from_lines(lines).select(*cols).collect())
-    monkeypatch.setattr(band_csv, "MAX_BROADCAST_FILES", 0)
-    shuffled = band_csv.daily_from_lines(lines).select(*cols)
-    plan = shuffled._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" not in plan or "AdaptiveSparkPlan" in plan
-    assert sorted(shuffled.collect()) == broadcast_rows
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = band_csv.daily_from_lines(lines).select(*cols)
+        assert sorted(shuffled.collect()) == broadcast_rows
+        assert "BroadcastExchange" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     # both sleep sessions wake on Jan 2 after the offsets (7 h + 8.5 h); eight heart readings on Jan 1
     assert [(r.user_id, str(r.day), r.sleep_hours, r.resting_hr) for r in broadcast_rows] == \
         [(1, "2024-01-02", 15.5, None), (2, "2024-01-01", None, 50.35)]
+
+
+def test_bad_numbers_and_times_are_missing(spark):
+    """NaN, infinity, oversized numbers and epochs, tabs around fields: missing
+    or trimmed, never an error (T1, T6, T12)."""
+    p = "com.samsung.health.step_daily_trend."
+    bad = ["nan", "inf", "-Infinity", "1e400", "abc", ""]
+    files = [("u/step_daily_trend.csv", 1, ["meta,1", f"{p}day_time,{p}count"]
+              + [f"2024-01-01 01:00:00,{b}" for b in bad] + ["\t2024-01-01 02:00:00 ,\t4200 ", "9" * 25 + ",5", "9" * 18 + ",5"])]
+    rows = band_csv.daily_from_lines(_lines(spark, files)).collect()
+    assert all(r.steps in (None, 4200) for r in rows)
+
+
+def test_bad_values_do_not_end_a_job(spark):
+    from vitalis.functions import expr, nutrition
+    from vitalis.functions.time import parse_band_time
+    from vitalis.operators import labs
+    df = spark.createDataFrame([("nan", float("nan")), ("1e16", 1e16), ("9" * 25, float("inf")), ("9" * 18, -1.0), ("\tg\n", 2.0)],
+                               "s string, v double")
+    got = df.select(expr.finite_number("s").alias("n"), parse_band_time("s").alias("t"), expr.strip("s").alias("x"),
+                    labs.flag("v", F.lit(0.0), F.lit(10.0)).alias("f"), nutrition.dec("v").alias("d")).collect()
+    assert [r.n for r in got[:2]] == [None, 1e16] and got[2].t is None and got[3].t is None
+    assert got[4].x == "g" and [r.f for r in got] == ["In range", "High", "High", "Low", "In range"]
+    grams = df.where("v = 2").select(nutrition.to_grams(F.lit(50.0), F.lit("g\n"), F.create_map(F.lit("cup"), F.lit(1.0))).alias("g"))
+    assert grams.first().g.grams == 50.0
+    assert df.agg(expr.exact_sum("v").alias("s")).first().s is not None

@@ -40,6 +40,11 @@ def finite_number(x) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
 
 
+def strip(x) -> Column:
+    """Text without white space (``\\s``) at both ends."""
+    return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+
+
 def round_half_even(x, n: int = 0) -> Column:
     """Half-even rounding on the decimal value (``bround``)."""
     return F.bround(col(x), n)
@@ -49,7 +54,7 @@ def exact_sum(x, scale: int = 4) -> Column:
     """Sum of doubles with a fixed number of decimals, exact and independent
     of summation order (the partial aggregates of a distributed sum arrive in
     any order)."""
-    return F.sum(col(x).cast(f"decimal(18,{scale})"))
+    return F.sum(finite_number(x).try_cast(f"decimal(28,{scale})"))
 
 
 def exact_mean(x, scale: int = 4) -> Column:

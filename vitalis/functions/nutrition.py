@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources import dims
-from .expr import col
+from .expr import col, strip
 
 NUTRIENTS = ("kcal", "protein", "carbs", "fat")
 
@@ -40,7 +40,7 @@ def targets(weight_kg, height_cm, age, sex, activity, deficit_pct, protein_g_per
 def canonical_unit(unit) -> Column:
     """Lower-cased, stripped unit (default ``serving``) through the synonym
     table."""
-    u = F.lower(F.trim(F.coalesce(F.when(col(unit) != "", col(unit)), F.lit("serving"))))
+    u = F.lower(strip(F.coalesce(F.when(col(unit) != "", col(unit)), F.lit("serving"))))
     syn = F.create_map(*[x for a, c in dims.UNIT_SYNONYMS for x in (F.lit(a), F.lit(c))])
     return F.coalesce(F.try_element_at(syn, u), u)
 
@@ -75,7 +75,7 @@ DEC = "decimal(18,4)"
 
 def dec(x) -> Column:
     """Exact decimal view of a double with at most 4 decimals."""
-    return col(x).cast(DEC)
+    return col(x).try_cast(DEC)
 
 
 def round1(x) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, strip
 
 OFFSET_PATTERN = r"UTC([+-])(\d{2})(\d{2})"
 
@@ -23,11 +23,13 @@ def offset_minutes(time_offset) -> Column:
 def parse_band_time(raw) -> Column:
     """Text or number -> TIMESTAMP_NTZ. Digits only = epoch milliseconds;
     anything else is parsed as a date-time text; unparsable -> NULL."""
-    s = F.trim(col(raw).cast("string"))
-    ms = F.when(s.rlike(r"^-?[0-9]+(\.0+)?$"), s.try_cast("double").cast("long"))
+    s = strip(col(raw).cast("string"))
+    # Up to 15 digits: beyond (over 31,000 years) the time is missing.
+    digits = s.rlike(r"^-?[0-9]+(\.0+)?$")
+    ms = F.when(s.rlike(r"^-?[0-9]{1,15}(\.0+)?$"), s.try_cast("double").try_cast("long"))
     as_ms = F.timestamp_millis(ms).cast("timestamp_ntz")
     as_text = F.try_to_timestamp(s).cast("timestamp_ntz")
-    return F.when(ms.isNotNull(), as_ms).otherwise(as_text)
+    return F.when(ms.isNotNull(), as_ms).when(~digits, as_text)
 
 
 def shift_minutes(ts, minutes) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp01, exact_mean, truthy
+from ..functions.expr import clamp01, exact_mean, finite_number, truthy
 from ..functions.time import epoch_day, micros_between, offset_minutes, shift_minutes
 from ..sources import dims
 
@@ -74,7 +74,7 @@ def steps_daily(readings: DataFrame, file_col: str | None = None) -> DataFrame:
     hold running daily totals, so summing would double count)."""
     df = _with_file(readings, file_col).withColumn("day", F.to_date("ts"))
     return (df.groupBy(*_keys(df, file_col))
-              .agg(F.bround(F.max("value"), 0).cast("long").alias("steps")))
+              .agg(F.bround(F.max(finite_number("value")), 0).try_cast("long").alias("steps")))
 
 
 def stress_daily(readings: DataFrame, file_col: str | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def daily_metrics(rows: DataFrame, keys=("user_id",), min_readings: int = 6) ->
              .agg((F.sum(F.when(k == "sleep", F.col("us"))) / MICROS_PER_HOUR).alias("sleep_hours"),
                   exact_mean(F.when(k == "sleep", F.col("score"))).alias("sleep_score"),
                   F.percentile(hv, 0.05).alias("_p"), F.count(hv).alias("_nh"),
-                  F.bround(F.max(F.when(k == "steps", v)), 0).cast("long").alias("steps"),
+                  F.bround(F.max(F.when(k == "steps", finite_number(v))), 0).try_cast("long").alias("steps"),
                   exact_mean(F.when(k == "stress", v)).alias("stress"),
                   F.count_if(k == "sleep").alias("_ns"), F.count_if(k == "steps").alias("_nst"),
                   F.count_if(k == "stress").alias("_nsr")))

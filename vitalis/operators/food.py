@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import dims
 
-from ..functions.expr import exact_sum
+from ..functions.expr import exact_sum, strip
 from ..functions.nutrition import NUTRIENTS, macro_progress, total
 
 
@@ -129,7 +129,7 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
             .join(bf, "item_key", "left"))
     est = estimates.select(F.col("name_key").alias("_ek"),
                            *[F.col(x).alias(f"es_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
-    it = it.withColumn("_ek", F.lower(F.trim("mention"))).join(est, "_ek", "left")
+    it = it.withColumn("_ek", F.lower(strip("mention"))).join(est, "_ek", "left")
     matched = F.col("item_key").isNotNull()
     src = (F.when(matched & F.col("bf_kcal").isNull(), F.lit("custom"))
             .when(matched, F.lit("built-in")).otherwise(F.lit("AI estimate")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions.expr import let
+from ..functions.expr import let, strip
 
 # Global token order: characters that are rare in names come first so
 # prefixes hold selective tokens. Correctness does not depend on the order.
@@ -114,6 +114,6 @@ def canonical_marker(mentions: DataFrame, known: DataFrame, cutoff: float = 90)
     (case kept), else the stripped mention unchanged."""
     k = known.select("user_id", F.col("marker")).distinct()
     k = k.withColumn("ord", F.dense_rank().over(Window.partitionBy("user_id").orderBy("marker")))
-    m = best_match(mentions.select("user_id", F.trim("mention").alias("mention")), k,
+    m = best_match(mentions.select("user_id", strip("mention").alias("mention")), k,
                    query_col="mention", choice_col="marker", ord_col="ord", cutoff=cutoff, keys=("user_id",))
     return m.select("user_id", "mention", F.coalesce("matched", "mention").alias("marker"), "score")

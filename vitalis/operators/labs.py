@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col
+from ..functions.expr import col, nan_to_null, strip
 
 CHUNK_CHARS = 6000
 MIN_TEXT_CHARS = 50
@@ -14,7 +14,7 @@ MIN_TEXT_CHARS = 50
 def flag(value, ref_low, ref_high):
     """Low if a low bound exists and value < it; else High if a high bound
     exists and value > it; else In range (bounds inclusive)."""
-    v, lo, hi = col(value), col(ref_low), col(ref_high)
+    v, lo, hi = nan_to_null(value), col(ref_low), col(ref_high)
     return (F.when(lo.isNotNull() & (v < lo), "Low")
              .when(hi.isNotNull() & (v > hi), "High")
              .otherwise("In range"))
@@ -74,7 +74,7 @@ def dedupe_first(rows: DataFrame, key=("report_id", "marker"), order=("chunk", "
 
 def report_date(chunk_dates: DataFrame) -> DataFrame:
     """First non-empty test date over a report's chunks, in chunk order."""
-    ok = chunk_dates.where(F.col("test_date").isNotNull() & (F.trim("test_date") != ""))
+    ok = chunk_dates.where(F.col("test_date").isNotNull() & (strip("test_date") != ""))
     return ok.groupBy("report_id").agg(F.min_by("test_date", "chunk").alias("test_date"))
 
 

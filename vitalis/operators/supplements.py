@@ -1,8 +1,7 @@
 """Supplement operators: log join, daily checklist, adherence.
 
-The catalogue is small (one person's supplements); it is joined by
-broadcast or carried as a scalar-subquery array, never shuffled against the
-log.
+Every user has a catalogue of their own; it is joined on user_id (and
+supplement_id), and AQE picks the join by the measured sizes.
 """
 from __future__ import annotations
 
@@ -26,38 +25,26 @@ def log_join(log: DataFrame, supplements: DataFrame) -> DataFrame:
     """Log rows with their supplement; rows of unknown ids vanish. The join
     strategy is left to AQE (it broadcasts the catalogue only after measuring
     it below the threshold)."""
-    s = supplements.select("supplement_id", "name")
-    return log.join(s, "supplement_id").select("user_id", "day", "supplement_id", "name", "taken")
-
-
-MAX_SHARED_CATALOGUE = 1000
+    s = supplements.select("user_id", "supplement_id", "name")
+    return log.join(s, ["user_id", "supplement_id"]).select("user_id", "day", "supplement_id", "name", "taken")
 
 
 def checklist(spine: DataFrame, log: DataFrame, supplements: DataFrame) -> DataFrame:
-    """For each (user_id, day) of ``spine``, every active supplement with its
-    label and ``taken`` (0 when not logged).
-
-    A per-user catalogue (with ``user_id``) is equi-joined on user_id. A
-    catalogue shared by all users is carried as one scalar-subquery array
-    exploded per row, allowed only after checking its size
-    (``MAX_SHARED_CATALOGUE``); a larger shared list must be given per user.
-    """
-    act = active(supplements)
-    if "user_id" in supplements.columns:
-        rows = spine.join(act.select("user_id", "supplement_id", "name", "dose", "timing"), "user_id")
-    else:
-        n = act.count()
-        if n > MAX_SHARED_CATALOGUE:
-            raise ValueError(f"shared supplement catalogue has {n} active rows; give one per user (user_id)")
-        arr = act.select(F.struct("supplement_id", "name", "dose", "timing").alias("s")) \
-                 .agg(F.collect_list("s").alias("a")).scalar()
-        rows = spine.select("user_id", "day", F.explode(arr).alias("s")).select("user_id", "day", "s.*")
+    """For each (user_id, day) of ``spine``, every active supplement of the
+    user's catalogue with its label and ``taken`` (0 when not logged)."""
+    act = active(supplements).select("user_id", "supplement_id", "name", "dose", "timing")
+    rows = spine.join(act, "user_id")
     j = rows.join(log.select("user_id", "day", "supplement_id", "taken"), ["user_id", "day", "supplement_id"], "left")
     return j.select("user_id", "day", "supplement_id", "timing", "name",
                     label(F.col("name"), F.col("dose"), F.col("timing")).alias("label"),
                     F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def active_counts(supplements: DataFrame) -> DataFrame:
+    """Active supplements per user."""
+    return supplements.groupBy("user_id").agg(F.count_if(F.col("active") == 1).alias("n_active"))
+
+
 def adherence_recent(log: DataFrame, supplements: DataFrame, as_of, days: int = 14) -> DataFrame:
     """Sum of ``taken`` per (user, supplement name) over day >= as_of - days
     (inclusive, no upper bound) for supplements in the catalogue."""
@@ -71,9 +58,10 @@ def week_adherence(log: DataFrame, supplements: DataFrame) -> DataFrame:
     row counts (inactive and unknown ids too), so it can exceed 100; NULL
     when nothing is active."""
     from ..functions.time import week_start
-    n = supplements.agg(F.count_if(F.col("active") == 1)).scalar()
+    n = F.col("n_active")
     w = log.withColumn("week_start", week_start("day")).groupBy("user_id", "week_start").agg(
         F.sum("taken").cast("long").alias("taken"))
+    w = w.join(active_counts(supplements), "user_id", "left")
     return w.select("user_id", "week_start", "taken",
                     F.when(n > 0, F.bround(100 * F.col("taken") / (7 * n), 0).cast("long"))
                      .alias("supplement_adherence_pct"))

@@ -30,7 +30,7 @@ select l_suppkey as user_id, date '2024-01-01' + cast(l_orderkey % 30 as int) as
     "workout_log": """
 select l_suppkey as user_id, date '2024-01-01' + cast(l_orderkey % 30 as int) as day,
   l_partkey % 48 as exercise_id, 1 + l_linenumber % 5 as sets, cast(l_quantity as int) % 13 as reps,
-  cast(l_partkey % 41 as double) * 2.5 as weight_kg from lineitem where l_returnflag = 'R'""",
+  cast(l_partkey % 41 as double) * 2.5 as weight_kg from lineitem""",
     "band_reading": """
 select event_id * 4 + k as reading_id, user_id, ts + k * interval '17 minutes' as ts,
   case when event_type in ('view', 'click', 'purchase') then 'heart_rate' when event_type = 'signup' then 'stress' else 'steps' end as metric,
@@ -43,8 +43,9 @@ select event_id, user_id, ts as start_time, ts + (event_id % 20) * interval '1 h
   case event_id % 4 when 0 then 'UTC+0530' when 1 then 'UTC-0800' when 2 then 'UTC+05:30' else null end as time_offset
 from events where event_type in ('error', 'purchase')""",
     "supplements": """
-select p_partkey as supplement_id, p_name as name, cast(p_size as varchar) as dose, p_type as timing,
-  case when p_partkey % 5 = 0 then 0 else 1 end as active from part where p_partkey < 10""",
+select p_partkey % n + 1 as user_id, p_partkey // n as supplement_id, p_name as name, cast(p_size as varchar) as dose,
+  p_type as timing, case when (p_partkey // n) % 5 = 0 then 0 else 1 end as active
+from part, (select count(*) as n from supplier)""",
     "supplement_log": """
 select user_id, day, supplement_id, max(taken) as taken from (
   select l_suppkey as user_id, date '2024-01-01' + cast(l_orderkey % 30 as int) as day, l_partkey % 12 as supplement_id,
@@ -186,7 +187,7 @@ lw as (
 sw as (
   select user_id, cast(date_trunc('week', day) as date) as week_start, cast(sum(taken) as bigint) as taken
   from supplement_log group by 1, 2),
-na as (select count(*) filter (where active = 1) as n from supplements)
+na as (select user_id, count(*) filter (where active = 1) as n from supplements group by user_id)
 select wk.user_id, cast(wk.week_start as varchar) as week_start,
   cast(wk.week_start as varchar) || ' to ' || cast(wk.week_start + 6 as varchar) as week,
   cast(coalesce(fw.days_food_logged, 0) as bigint) as days_food_logged,
@@ -204,8 +205,8 @@ left join tg on tg.user_id = wk.user_id and tg.week_start = wk.week_start
 left join ww on ww.user_id = wk.user_id and ww.week_start = wk.week_start
 left join bw on bw.user_id = wk.user_id and bw.week_start = wk.week_start
 left join lw on lw.user_id = wk.user_id and lw.week_start = wk.week_start
-left join sw on sw.user_id = wk.user_id and sw.week_start = wk.week_start,
-na
+left join sw on sw.user_id = wk.user_id and sw.week_start = wk.week_start
+left join na on na.user_id = wk.user_id
 """
 
 

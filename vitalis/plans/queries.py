@@ -148,8 +148,7 @@ EX_MENTION_SQL = """(select distinct case l.l_suppkey % 3 when 0 then 'Full gym'
       when 4 then substr(e.name, 1, length(e.name) - 1)
       when 5 then array_to_string(list_reverse(string_split(e.name, ' ')), ' ')
       when 6 then p.p_name else upper(e.name) end as mention
-  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id
-  where l.l_returnflag = 'R')"""
+  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id)"""
 ALLOWED_SQL = "(select k.profile as equipment, e.name, e.exercise_id from exercise e join equipment_kind k on e.equipment = k.kind)"
 
 
@@ -476,7 +475,7 @@ def q_lab_dedupe_first(spark, sf_dir):
 
 @register("supplement_log_join", lambda: oracle.with_ctes("""
 select l.user_id, cast(l.day as varchar) as day, l.supplement_id, s.name, l.taken
-from supplement_log l join supplements s on s.supplement_id = l.supplement_id"""))
+from supplement_log l join supplements s on s.user_id = l.user_id and s.supplement_id = l.supplement_id"""))
 def q_supplement_log_join(spark, sf_dir):
     from ..operators import supplements as sup
     return sup.log_join(fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir))
@@ -488,7 +487,7 @@ a as (select * from supplements where active = 1)
 select sp.user_id, cast(sp.day as varchar) as day, a.supplement_id, a.timing, a.name,
   trim(coalesce(a.name, '') || ' · ' || coalesce(a.dose, '') || ' · ' || coalesce(a.timing, ''), ' ·') as label,
   coalesce(l.taken, 0) as taken
-from sp join a on true
+from sp join a on a.user_id = sp.user_id
 left join supplement_log l on l.user_id = sp.user_id and l.day = sp.day and l.supplement_id = a.supplement_id"""))
 def q_supplement_checklist(spark, sf_dir):
     from ..operators import supplements as sup
@@ -498,7 +497,7 @@ def q_supplement_checklist(spark, sf_dir):
 
 @register("adherence_14d", lambda: oracle.with_ctes(f"""
 select l.user_id, s.name, cast(sum(l.taken) as bigint) as taken
-from supplement_log l join supplements s on s.supplement_id = l.supplement_id
+from supplement_log l join supplements s on s.user_id = l.user_id and s.supplement_id = l.supplement_id
 where l.day >= date '{AS_OF}' - 14 group by l.user_id, s.name"""))
 def q_adherence_14d(spark, sf_dir):
     from ..operators import supplements as sup
@@ -506,17 +505,17 @@ def q_adherence_14d(spark, sf_dir):
 
 
 @register("active_supplements", lambda: oracle.with_ctes(
-    "select supplement_id, name, dose, timing from supplements where active = 1"))
+    "select user_id, supplement_id, name, dose, timing from supplements where active = 1"))
 def q_active_supplements(spark, sf_dir):
     from ..operators import supplements as sup
-    return sup.active(fx.supplements(spark, sf_dir)).select("supplement_id", "name", "dose", "timing")
+    return sup.active(fx.supplements(spark, sf_dir)).select("user_id", "supplement_id", "name", "dose", "timing")
 
 
 @register("week_supplement_adherence", lambda: oracle.with_ctes("""
-, n as (select count(*) filter (where active = 1) as n from supplements)
-select user_id, cast(cast(date_trunc('week', day) as date) as varchar) as week_start, cast(sum(taken) as bigint) as taken,
+, n as (select user_id, count(*) filter (where active = 1) as n from supplements group by user_id)
+select l.user_id, cast(cast(date_trunc('week', day) as date) as varchar) as week_start, cast(sum(taken) as bigint) as taken,
   case when max(n.n) > 0 then cast(round_even(100 * sum(taken) / (7 * max(n.n)), 0) as bigint) end as supplement_adherence_pct
-from supplement_log, n group by user_id, cast(date_trunc('week', day) as date)"""))
+from supplement_log l left join n on n.user_id = l.user_id group by l.user_id, cast(date_trunc('week', day) as date)"""))
 def q_week_supplement_adherence(spark, sf_dir):
     from ..operators import supplements as sup
     return sup.week_adherence(fx.supplement_log(spark, sf_dir), fx.supplements(spark, sf_dir))
@@ -610,22 +609,8 @@ def q_band_csv_parse(spark, sf_dir):
 
 
 def export_lines(spark, sf_dir):
-    """The export-file lines, written once to the shared checkpoint folder
-    and read back by later calls (input generation is not part of the
-    measured parse). The lines are a pure function of the tables in
-    ``sf_dir`` and of the generating code, so a finished copy under the
-    same key (both hashed) is reused."""
-    import hashlib
-    import inspect
-
-    from ..operators import snapshot
-    from ..session import checkpoint_path, is_complete
-    code = inspect.getsource(fx.band_export_lines) + inspect.getsource(fx.sleep_session)
-    name = f"band_export_lines_{hashlib.sha1((sf_dir + code).encode()).hexdigest()[:12]}"
-    target = checkpoint_path(spark, f"tables/{name}")
-    if is_complete(spark, target):
-        return spark.read.parquet(target)
-    return snapshot.write_snapshot(spark, fx.band_export_lines(spark, sf_dir), name)
+    """The export-file lines of the tables in ``sf_dir``, made anew each time."""
+    return fx.band_export_lines(spark, sf_dir)
 
 
 @register("import_summary", lambda: oracle.with_ctes("""
@@ -688,21 +673,18 @@ def q_delete_rows(spark, sf_dir):
 
 
 @register("update_rows", lambda: oracle.with_ctes("""
-select s.supplement_id, s.name,
-  case when s.supplement_id % 3 = 0 then 'x' || cast(p.p_size as varchar) else s.dose end as dose,
+select s.user_id, s.supplement_id, s.name,
+  case when s.supplement_id % 3 = 0 then 'x' || s.dose else s.dose end as dose,
   case when s.supplement_id % 3 = 0 then 'Morning' else s.timing end as timing,
   case when s.supplement_id % 3 = 0 then 1 - s.active else s.active end as active
-from supplements s join part p on p.p_partkey = s.supplement_id"""))
+from supplements s"""))
 def q_update_rows(spark, sf_dir):
     from ..operators import snapshot
-    from ..sources.tables import read_table
     s = fx.supplements(spark, sf_dir)
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"]).where(F.col("p_partkey") < 10)
-    patch = (p.join(s.select("supplement_id", "active"), F.col("p_partkey") == F.col("supplement_id"))
-              .where(F.col("supplement_id") % 3 == 0)
-              .select("supplement_id", F.concat(F.lit("x"), F.col("p_size").cast("string")).alias("dose"),
+    patch = (s.where(F.col("supplement_id") % 3 == 0)
+              .select("user_id", "supplement_id", F.concat(F.lit("x"), F.col("dose")).alias("dose"),
                       F.lit("Morning").alias("timing"), (1 - F.col("active")).alias("active")))
-    return snapshot.update_by_key(s, patch, ["supplement_id"], ["dose", "timing", "active"])
+    return snapshot.update_by_key(s, patch, ["user_id", "supplement_id"], ["dose", "timing", "active"])
 
 
 @register("append_rows", lambda: oracle.with_ctes(
@@ -781,8 +763,7 @@ def _plan_base_sql():
       when 6 then p.p_name else upper(e.name) end as mention,
     case when l.l_orderkey % 5 = 3 then 'Sun'
       else [{wd}][isodow(date '2024-01-01' + cast(l.l_orderkey % 30 as int))] end as label
-  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id
-  where l.l_returnflag = 'R')"""
+  from lineitem l join part p on l.l_partkey = p.p_partkey join exercise e on l.l_partkey % 48 = e.exercise_id)"""
 
 
 def _plan_rows_sql():

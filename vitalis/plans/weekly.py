@@ -15,6 +15,7 @@ from ..functions.expr import exact_mean
 from ..functions.nutrition import targets
 from ..functions.time import week_start
 from ..operators import weights as weight_ops
+from ..operators.supplements import active_counts
 
 KEY = ["user_id", "week_start"]
 
@@ -83,9 +84,8 @@ def week_stats(profile: DataFrame, weights: DataFrame, food: DataFrame, workouts
     t = targets("_asof_kg", "height_cm", "age", "sex", "activity", "deficit_pct", "protein_g_per_kg")
     j = j.withColumn("_t", t)
     n_food = F.col("days_food_logged")
-    # Active supplements: one number for the whole catalogue, evaluated once
-    # as a scalar subquery.
-    n_active = supplements.agg(F.count_if(F.col("active") == 1)).scalar()
+    j = j.join(active_counts(supplements), "user_id", "left")
+    n_active = F.col("n_active")
     adherence = F.when(n_active > 0, F.bround(100 * F.coalesce(F.col("_taken"), F.lit(0)) / (7 * n_active), 0)
                        .cast("long"))
     hit = F.when(F.col("_t.protein").isNotNull(),

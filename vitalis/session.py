@@ -36,7 +36,7 @@ def build_session(master: str | None = None, app: str = "vitalis",
     b = SparkSession.builder.appName(app)
     if master:
         # Local runs: the driver JVM is the only executor.
-        b = b.master(master).config("spark.driver.memory", "16g")
+        b = b.master(master).config("spark.driver.memory", "8g")
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     conf = dict(_DEFAULTS)
     if shuffle_partitions:
@@ -62,13 +62,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming state.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there). Only when it is unset -- local tests -- a scratch folder is made
-    and recorded in the session so every later call agrees.
+    there). Unset, it is an error on a cluster; in local mode a scratch folder
+    is made and recorded in the session so every later call agrees.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vitalis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

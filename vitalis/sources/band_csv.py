@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import finite_number, strip
 from ..functions.time import offset_minutes, parse_band_time, shift_minutes
 from ..operators import band
 from . import dims
@@ -98,22 +99,6 @@ def headers(lines: DataFrame) -> DataFrame:
                      *[F.when(pos(w) >= 0, pos(w)).alias(f"p_{w}") for w in wanted]))
 
 
-# Header rows (one per file: path, kind, seven small ints) are broadcast to
-# the line scan only up to this many files, about 20 MB; beyond it the join
-# shuffles both sides on ``file`` and AQE splits a hot file's partition.
-MAX_BROADCAST_FILES = 100_000
-
-
-def _attachable(h: DataFrame) -> DataFrame:
-    """The header table, marked for broadcast when its measured row count is
-    within ``MAX_BROADCAST_FILES``. Broadcasting it keeps the lines where
-    they were read: no shuffle of the lines by file, so one user's huge file
-    is not one task, and the per-day aggregation that follows is partial
-    (map-side) before its own shuffle."""
-    n = h.count()  # one number to the driver; the header step reads two lines per file
-    return F.broadcast(h) if n <= MAX_BROADCAST_FILES else h
-
-
 def _field(arr, p):
     return F.when(F.col(p).isNotNull(), F.try_element_at(arr, (F.col(p) + 1).cast("int")))
 
@@ -124,7 +109,7 @@ def parse_long(lines: DataFrame) -> DataFrame:
     shifted, 0 < hours < 16, day = local wake-up date); heart, steps and
     stress rows carry the reading and the local day. A file lacking a kind's
     required columns yields nothing."""
-    h = _attachable(headers(lines))
+    h = headers(lines)  # one row a file; AQE broadcasts it when it measures it small
     body = lines.join(h, "file").where(F.col("line_no") >= F.col("data_from"))
     key_cols = ["file", "user_id"] if "user_id" in lines.columns else ["file"]
     rec = body.withColumn("_a", csv_fields("text"))
@@ -132,7 +117,7 @@ def parse_long(lines: DataFrame) -> DataFrame:
     kind = F.col("kind")
 
     def num(p):
-        return F.trim(_field(a, p)).try_cast("double")
+        return finite_number(strip(_field(a, p)))
 
     off = offset_minutes(_field(a, "p_time_offset"))
     step_pos = F.coalesce(F.col("p_count"), F.col("p_step_count"))
@@ -147,7 +132,7 @@ def parse_long(lines: DataFrame) -> DataFrame:
     us = F.when(kind == "sleep", F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp")))
     value_pos = (F.when(kind == "heart", F.col("p_heart_rate")).when(kind == "steps", step_pos)
                   .when(kind == "stress", F.col("p_score")))
-    value = F.trim(F.try_element_at(a, (value_pos + 1).cast("int"))).try_cast("double")
+    value = finite_number(strip(F.try_element_at(a, (value_pos + 1).cast("int"))))
     day = F.when(kind == "sleep", F.to_date(t1)).otherwise(F.to_date(t0))
     x = rec.where(required).select(*key_cols, day.alias("day"), "kind", us.alias("us"),
                                    F.when(kind == "sleep", num("p_sleep_score")).alias("score"),

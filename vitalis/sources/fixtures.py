@@ -72,9 +72,8 @@ def food_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"])
-    return (li.where(F.col("l_returnflag") == "R")
-              .select(
+                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"])
+    return (li.select(
                   F.col("l_suppkey").alias("user_id"),
                   _day_from_orderkey(F.col("l_orderkey")).alias("day"),
                   (F.col("l_partkey") % 48).alias("exercise_id"),
@@ -117,13 +116,17 @@ def sleep_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size", "p_type"]).where(F.col("p_partkey") < 10)
+    """Each user's own catalogue: all parts, dealt over the users of the logs."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size", "p_type"])
+    users = read_table(spark, sf_dir, "supplier", ["s_suppkey"]).agg(F.count("*").alias("n")).scalar()
+    number = F.floor(F.col("p_partkey") / users).cast("long")
     return p.select(
-        F.col("p_partkey").alias("supplement_id"),
+        (F.col("p_partkey") % users + 1).alias("user_id"),
+        number.alias("supplement_id"),
         F.col("p_name").alias("name"),
         F.col("p_size").cast("string").alias("dose"),
         F.col("p_type").alias("timing"),
-        F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(1).alias("active"),
+        F.when(number % 5 == 0, 0).otherwise(1).alias("active"),
     )
 
 
@@ -185,8 +188,7 @@ def exercise_mentions(spark: SparkSession, sf_dir: str, library: DataFrame) -> D
     library name by ``l_partkey % 48``, variant by line number (exact, lower
     case, plural, truncated, tokens reversed, noise, upper case); equipment
     profile by ``l_suppkey % 3``."""
-    li = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
-          .where(F.col("l_returnflag") == "R"))
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     lib = F.broadcast(library.select("exercise_id", "name"))
     nm, ln = F.col("name"), F.col("l_linenumber")
@@ -396,8 +398,7 @@ def plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFr
     numeric reps, text rest; unusable sets, missing reps, null rest and
     notes; day forced to Sun; fractional sets and zero rest."""
     from . import dims
-    li = (read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
-          .where(F.col("l_returnflag") == "R"))
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type"])
     lib = F.broadcast(library.select("exercise_id", "name"))
     nm, ln = F.col("name"), F.col("l_linenumber")

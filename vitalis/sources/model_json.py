@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col
+from ..functions.expr import col, finite_number, strip
 
 
 def repair_json(text) -> Column:
@@ -61,7 +61,7 @@ def float_of_variant(v) -> Column:
     k = _kind(v)
     return (F.when(_is_number(k), F.try_variant_get(v, "$", "double"))
              .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-             .when(k == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double")))
+             .when(k == "STRING", finite_number(strip(F.try_variant_get(v, "$", "string")))))
 
 
 def str_of_variant(v) -> Column:
@@ -94,7 +94,7 @@ def _truthy(name: str) -> Column:
 def _float(name: str) -> Column:
     k, d, s, b = (F.col(f"_{name}_{x}") for x in "kdsb")
     return (F.when(_is_number(k), d).when(k == "BOOLEAN", b.cast("double"))
-             .when(k == "STRING", F.trim(s).try_cast("double")))
+             .when(k == "STRING", finite_number(strip(s))))
 
 
 def _str(name: str) -> Column:
@@ -118,7 +118,7 @@ def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -
     qty = F.when(_truthy("q"), _float("q")).otherwise(F.lit(1.0))
     unit = F.when(_truthy("u"), _str("u")).otherwise(F.lit("serving"))
     return (x.where(F.col("_n_k").isNotNull())
-             .select(*id_cols, "item_pos", F.trim(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
+             .select(*id_cols, "item_pos", strip(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
              .where(F.col("quantity").isNotNull()))
 
 
@@ -152,9 +152,9 @@ def _int_of_variant(v) -> Column:
     NULL."""
     k = _kind(v)
     txt = F.trim(F.try_variant_get(v, "$", "string"))
-    return (F.when(_is_number(k), F.try_variant_get(v, "$", "double").cast("long"))
+    return (F.when(_is_number(k), F.try_variant_get(v, "$", "double").try_cast("long"))
              .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
-             .when((k == "STRING") & txt.rlike(r"^[+-]?[0-9]+$"), txt.cast("long")))
+             .when((k == "STRING") & txt.rlike(r"^[+-]?[0-9]+$"), txt.try_cast("long")))
 
 
 def plan_days(outputs: DataFrame, id_cols: list[str], requested_days: list[str],
@@ -191,5 +191,5 @@ def plan_days(outputs: DataFrame, id_cols: list[str], requested_days: list[str],
         F.when(name_v.isNull(), F.lit("")).otherwise(str_of_variant(name_v)).alias("raw_name"),
         F.greatest(F.lit(1), F.least(sets, F.lit(6))).cast("int").alias("sets"),
         F.when(reps_v.isNull(), F.lit("8-10")).otherwise(str_of_variant(reps_v)).alias("reps"),
-        rest.cast("int").alias("rest_sec"),
+        rest.alias("rest_sec"),
         F.when(notes_v.isNull(), F.lit("")).otherwise(str_of_variant(notes_v)).alias("notes"))
