@@ -42,34 +42,6 @@ def _is_number(kind) -> Column:
     return kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def truthy_variant(v) -> Column:
-    """Python truthiness of a JSON value (missing key -> False)."""
-    k = _kind(v)
-    num = F.try_variant_get(v, "$", "double")
-    txt = F.try_variant_get(v, "$", "string")
-    return (F.when(v.isNull() | (k == "VOID"), F.lit(False))
-             .when(_is_number(k), num != 0)
-             .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-             .when(k == "STRING", txt != "")
-             .when(k.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-             .when(k.startswith("OBJECT"), F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
-             .otherwise(F.lit(True)))
-
-
-def float_of_variant(v) -> Column:
-    """``float(x)``: numbers, booleans and numeric text; else NULL."""
-    k = _kind(v)
-    return (F.when(_is_number(k), F.try_variant_get(v, "$", "double"))
-             .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-             .when(k == "STRING", finite_number(strip(F.try_variant_get(v, "$", "string")))))
-
-
-def str_of_variant(v) -> Column:
-    """``str(x)`` of a present JSON value (null -> "None")."""
-    k = _kind(v)
-    return F.when(k == "VOID", F.lit("None")).otherwise(F.try_variant_get(v, "$", "string"))
-
-
 def _facts(v, name: str, parts: str = "kdsbv") -> list[Column]:
     """Type (k), number (d), text (s), boolean (b) and raw (v) views of a
     JSON value, each extracted once into its own column ``_<name>_<part>``;
@@ -102,6 +74,12 @@ def _str(name: str) -> Column:
     return F.when(k == "VOID", F.lit("None")).otherwise(s)
 
 
+def _once(df: DataFrame, id_cols: list[str], *cols: Column) -> DataFrame:
+    """``df`` with ``cols`` behind a one-row generator: filters on them stay above
+    it, where a plain projection would be repeated inside every such filter."""
+    return df.select(*id_cols, F.inline(F.array(F.struct(*cols))))
+
+
 def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Meal-parser outputs -> (id_cols, item_pos, name, quantity, unit).
 
@@ -117,9 +95,8 @@ def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -
                  *_facts(F.try_variant_get("_it", "$.unit", "variant"), "u"))
     qty = F.when(_truthy("q"), _float("q")).otherwise(F.lit(1.0))
     unit = F.when(_truthy("u"), _str("u")).otherwise(F.lit("serving"))
-    return (x.where(F.col("_n_k").isNotNull())
-             .select(*id_cols, "item_pos", strip(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
-             .where(F.col("quantity").isNotNull()))
+    return (_once(x, [*id_cols, "item_pos"], strip(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
+            .where(F.col("name").isNotNull() & F.col("quantity").isNotNull()))
 
 
 NUTRIENT_KEYS = ("kcal", "protein", "carbs", "fat")
@@ -133,27 +110,23 @@ def food_estimates(outputs: DataFrame, id_cols: list[str], text_col: str = "text
     0 < grams < 2000 (a text value drops only that entry).
     """
     from ..functions.nutrition import atwater_kcal
-    d = outputs.select(*id_cols, repair_json(text_col).alias("_v"))
-    vals = {}
-    for k in NUTRIENT_KEYS:
-        v = F.try_variant_get("_v", f"$.{k}", "variant")
-        vals[k] = F.greatest(F.when(truthy_variant(v), float_of_variant(v)).otherwise(F.lit(0.0)), F.lit(0.0))
-    units = F.try_variant_get("_v", "$.units", "map<string,variant>")
-    kept = F.map_filter(F.coalesce(units, F.create_map().cast("map<string,variant>")),
-                        lambda k, g: _is_number(F.schema_of_variant(g))
-                        & (F.try_variant_get(g, "$", "double") > 0) & (F.try_variant_get(g, "$", "double") < 2000))
-    units_d = F.transform_values(kept, lambda k, g: F.try_variant_get(g, "$", "double"))
-    out = d.select(*id_cols, *[vals[k].alias(k) for k in NUTRIENT_KEYS], units_d.alias("units"))
+    d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
+    d = d.select(*id_cols, F.try_variant_get("_v", "$.units", "map<string,variant>").alias("_units"),
+                 *[c for k in NUTRIENT_KEYS for c in _facts(F.try_variant_get("_v", f"$.{k}", "variant"), k)])
+    vals = [F.greatest(F.when(_truthy(k), _float(k)).otherwise(F.lit(0.0)), F.lit(0.0)).alias(k) for k in NUTRIENT_KEYS]
+    grams = F.transform_values(F.coalesce("_units", F.create_map().cast("map<string,variant>")),
+                               lambda k, g: F.when(_is_number(F.schema_of_variant(g)), F.try_variant_get(g, "$", "double")))
+    units = F.map_filter(grams, lambda k, g: (g > 0) & (g < 2000))
+    out = _once(d, id_cols, *vals, units.alias("units"))
     return out.withColumn("kcal", atwater_kcal("kcal", "protein", "carbs", "fat"))
 
 
-def _int_of_variant(v) -> Column:
+def _int(name: str) -> Column:
     """``int(x)`` for numbers (truncated), booleans and integer text; else
     NULL."""
-    k = _kind(v)
-    txt = F.trim(F.try_variant_get(v, "$", "string"))
-    return (F.when(_is_number(k), F.try_variant_get(v, "$", "double").try_cast("long"))
-             .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
+    k, d, s, b = (F.col(f"_{name}_{x}") for x in "kdsb")
+    txt = strip(s)
+    return (F.when(_is_number(k), d.try_cast("long")).when(k == "BOOLEAN", b.cast("long"))
              .when((k == "STRING") & txt.rlike(r"^[+-]?[0-9]+$"), txt.try_cast("long")))
 
 
@@ -170,26 +143,55 @@ def plan_days(outputs: DataFrame, id_cols: list[str], requested_days: list[str],
     """
     # _doc identifies one output document (callers' ids need not be unique);
     # it is assigned in the scan stage, before any shuffle.
-    d = outputs.select(*id_cols, F.monotonically_increasing_id().alias("_doc"), repair_json(text_col).alias("_v"))
+    d = _once(outputs.select("*", F.monotonically_increasing_id().alias("_doc")), [*id_cols, "_doc"],
+              repair_json(text_col).alias("_v"))
     days = F.try_variant_get("_v", "$.days", "array<variant>")
     x = d.select(*id_cols, "_doc",
                  F.posexplode(F.coalesce(days, F.array().cast("array<variant>"))).alias("day_pos", "_d"))
-    label = F.try_variant_get("_d", "$.day", "string")
-    label_v = F.try_variant_get("_d", "$.day", "variant")
-    x = x.where((_kind(label_v) == "STRING") & label.isin(*requested_days))
-    focus_v = F.try_variant_get("_d", "$.focus", "variant")
-    x = x.select(*id_cols, "_doc", "day_pos", label.alias("day"),
-                 F.when(focus_v.isNull(), F.lit("")).otherwise(str_of_variant(focus_v)).alias("focus"),
-                 F.posexplode(F.coalesce(F.try_variant_get("_d", "$.exercises", "array<variant>"),
-                                         F.array().cast("array<variant>"))).alias("ex_pos", "_e"))
-    g = lambda k: F.try_variant_get("_e", f"$.{k}", "variant")
-    name_v, sets_v, reps_v, rest_v, notes_v = g("name"), g("sets"), g("reps"), g("rest_sec"), g("notes")
-    sets = F.when(sets_v.isNull(), F.lit(3)).otherwise(F.coalesce(_int_of_variant(sets_v), F.lit(3)))
-    rest = F.when(truthy_variant(rest_v), F.coalesce(_int_of_variant(rest_v), F.lit(90))).otherwise(F.lit(90))
-    return x.select(
-        *id_cols, "_doc", "day_pos", "day", "focus", "ex_pos",
-        F.when(name_v.isNull(), F.lit("")).otherwise(str_of_variant(name_v)).alias("raw_name"),
-        F.greatest(F.lit(1), F.least(sets, F.lit(6))).cast("int").alias("sets"),
-        F.when(reps_v.isNull(), F.lit("8-10")).otherwise(str_of_variant(reps_v)).alias("reps"),
-        rest.alias("rest_sec"),
-        F.when(notes_v.isNull(), F.lit("")).otherwise(str_of_variant(notes_v)).alias("notes"))
+    x = x.select(*id_cols, "_doc", "day_pos", F.try_variant_get("_d", "$.exercises", "array<variant>").alias("_exs"),
+                 *_facts(F.try_variant_get("_d", "$.day", "variant"), "day", "ks"),
+                 *_facts(F.try_variant_get("_d", "$.focus", "variant"), "focus", "ks"))
+    x = _once(x, [*id_cols, "_doc", "day_pos"], F.when(F.col("_day_k") == "STRING", F.col("_day_s")).alias("day"),
+              F.coalesce(_str("focus"), F.lit("")).alias("focus"), F.col("_exs"))
+    x = x.where(F.col("day").isin(*requested_days))
+    x = x.select(*id_cols, "_doc", "day_pos", "day", "focus",
+                 F.posexplode(F.coalesce("_exs", F.array().cast("array<variant>"))).alias("ex_pos", "_e"))
+    parts = {"name": "ks", "sets": "kdsb", "reps": "ks", "rest_sec": "kdsbv", "notes": "ks"}
+    x = x.select(*id_cols, "_doc", "day_pos", "day", "focus", "ex_pos",
+                 *[c for k, p in parts.items() for c in _facts(F.try_variant_get("_e", f"$.{k}", "variant"), k, p)])
+    text = lambda k, default: F.coalesce(_str(k), F.lit(default))
+    sets = F.coalesce(_int("sets"), F.lit(3))
+    rest = F.when(_truthy("rest_sec"), F.coalesce(_int("rest_sec"), F.lit(90))).otherwise(F.lit(90))
+    return _once(x, [*id_cols, "_doc", "day_pos", "day", "focus", "ex_pos"],
+                 text("name", "").alias("raw_name"),
+                 F.greatest(F.lit(1), F.least(sets, F.lit(6))).cast("int").alias("sets"),
+                 text("reps", "8-10").alias("reps"), rest.alias("rest_sec"), text("notes", "").alias("notes"))
+
+
+def lab_reports(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Report-extractor outputs, one per text chunk -> (id_cols, test_date): the
+    date as the model gave it; null when falsy or when the text is no JSON."""
+    d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
+    d = d.select(*id_cols, *_facts(F.try_variant_get("_v", "$.test_date", "variant"), "t"))
+    return _once(d, id_cols, F.when(_truthy("t"), _str("t")).alias("test_date"))
+
+
+def lab_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Report-extractor outputs -> (id_cols, item_pos, marker, value, unit,
+    ref_low, ref_high).
+
+    Rows whose value does not parse as a finite number or whose marker is falsy
+    are skipped; the marker is stripped text; a falsy unit is empty text; bounds
+    that do not parse are null.
+    """
+    d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
+    items = F.try_variant_get("_v", "$.results", "array<variant>")
+    x = d.select(*id_cols, F.posexplode(F.coalesce(items, F.array().cast("array<variant>"))).alias("item_pos", "_it"))
+    parts = {"marker": "kdsbv", "value": "kdsb", "unit": "kdsbv", "ref_low": "kdsb", "ref_high": "kdsb"}
+    x = x.select(*id_cols, "item_pos",
+                 *[c for k, p in parts.items() for c in _facts(F.try_variant_get("_it", f"$.{k}", "variant"), k, p)])
+    return (_once(x, [*id_cols, "item_pos"], F.when(_truthy("marker"), strip(_str("marker"))).alias("marker"),
+                  finite_number(_float("value")).alias("value"),
+                  F.when(_truthy("unit"), _str("unit")).otherwise(F.lit("")).alias("unit"),
+                  finite_number(_float("ref_low")).alias("ref_low"), finite_number(_float("ref_high")).alias("ref_high"))
+            .where(F.col("marker").isNotNull() & F.col("value").isNotNull()))
