@@ -98,7 +98,7 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
     from ..functions.nutrition import source_label, to_grams
     from . import fuzzy
     n_builtin = len(dims.food_choices())
-    b = fuzzy.best_match(items, choices, query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
+    b = fuzzy.best_match(items, F.broadcast(choices), query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
                          lower_query=True, payload=("food_id",))
     b = b.select("mention", F.col("matched").alias("b_choice"), F.col("ord").alias("b_ord"),
                  F.col("score").alias("b_score"), "food_id")

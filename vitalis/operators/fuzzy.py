@@ -10,8 +10,10 @@ tokens must share a token among the first ``len - t + 1`` of each -- so
 joining on those prefix tokens finds every pair that can pass, exactly.
 Candidates are then verified with the exact LCS (``functions.similarity``).
 
-Work is done once per *distinct* name: logs repeat the same few thousand
-names, so the join input is bounded by vocabulary, not by log volume.
+Names are compared once per *distinct* pair of normalised names, equal ones
+without a score; the passing pairs are then joined back to the queries and to
+the choices of their keys. Where all keys draw on one vocabulary (markers,
+exercises, the built-in foods) pairs are found once for all of them.
 """
 from __future__ import annotations
 
@@ -46,9 +48,29 @@ def _prefix_tokens(norm_col: str, len_col: str, cutoff: float):
     return F.transform(prefix, lambda t: F.concat(t["ch"], F.lit("#"), t["occ"].cast("string")))
 
 
+def _passing_pairs(q: DataFrame, c: DataFrame, scope: list[str], cutoff: float) -> DataFrame:
+    """(scope, _qn, _cn, score) of the distinct normalised names that pass the
+    cutoff. A pair meets at every prefix token it shares; it is scored at the
+    first of them only."""
+    qv = (q.select(*scope, "_qn").distinct().withColumn("_ql", F.length("_qn"))
+           .withColumn("_qp", _prefix_tokens("_qn", "_ql", cutoff)))
+    cv = (c.select(*scope, "_cn").distinct().withColumn("_cl", F.length("_cn"))
+           .withColumn("_cp", _prefix_tokens("_cn", "_cl", cutoff)).withColumn("_masks", sim.pattern_masks("_cn")))
+    # explode_outer: explode would add a filter on its array, computed on raw rows.
+    cand = (qv.withColumn("_tok", F.explode_outer("_qp"))
+              .join(cv.withColumn("_tok", F.explode_outer("_cp")), [*scope, "_tok"])
+              .where((200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
+                     & (F.col("_tok") == F.try_element_at(F.array_intersect("_qp", "_cp"), F.lit(1)))))
+    # Behind a generator, so that the filter on it does not compute it again.
+    lcs = F.when(F.col("_qn") == F.col("_cn"), F.col("_ql")).otherwise(sim.lcs("_cl", "_masks", "_qn"))
+    scored = cand.select(*scope, "_qn", "_cn", "_ql", "_cl", F.inline(F.array(F.struct(lcs.alias("_lcs")))))
+    return (scored.where(sim.passes_cutoff("_lcs", "_ql", "_cl", cutoff))
+                  .select(*scope, "_qn", "_cn", sim.ratio_from_lcs("_lcs", "_ql", "_cl").alias("score")))
+
+
 def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice_col: str, ord_col: str,
                cutoff: float, keys: tuple[str, ...] = (), lower_query: bool = False,
-               payload: tuple[str, ...] = ()) -> DataFrame:
+               payload: tuple[str, ...] = (), one_vocabulary: bool = False) -> DataFrame:
     """For each distinct (keys, query) the best choice with score >= cutoff.
 
     ``queries``: keys + query_col. ``choices``: keys + choice_col + ord_col
@@ -56,38 +78,24 @@ def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice
     does; exercise and marker matchers keep case). Result: keys, query_col,
     matched (choice), ord, payload..., score; NULLs when nothing passes.
 
-    Shuffles: distinct queries; the token join; the best-per-query
-    aggregate. The query side is used once: queries explode into their
-    prefix tokens (``explode_outer``, so a query without tokens still yields
-    a row) and LEFT-join the choice tokens; a query without a passing
-    candidate ends with a NULL best. A pair found via several shared tokens
-    is scored more than once; ``max`` makes that harmless, which is cheaper
-    than de-duplicating pairs with a shuffle.
+    ``one_vocabulary`` says that the choices of all keys come from one list of
+    names: names are then compared over all keys together, once a pair, and
+    the keys only decide which passing pairs count. Without it (each user's own
+    names) names are compared inside their keys.
     """
     keys = list(keys)
+    scope = [] if one_vocabulary else keys
+    # The generator keeps this distinct: without it the distinct of _qn would
+    # take its place and normalise every row of the log.
     q = (queries.select(*keys, query_col).where(F.col(query_col).isNotNull()).distinct()
-                .withColumn("_qn", sim.token_sort(query_col, lower=lower_query))
-                .withColumn("_ql", F.length("_qn")))
+                .select("*", F.inline(F.array(F.struct(sim.token_sort(query_col, lower=lower_query).alias("_qn"))))))
     c = (choices.select(*keys, F.col(choice_col).alias("matched"), F.col(ord_col).alias("ord"), *payload)
-                .withColumn("_cn", sim.token_sort("matched"))
-                .withColumn("_cl", F.length("_cn"))
-                .withColumn("_masks", sim.pattern_masks("_cn")))
-    qt = q.select(*keys, query_col, "_qn", "_ql",
-                  F.explode_outer(_prefix_tokens("_qn", "_ql", cutoff)).alias("_tok"))
-    ct = c.select("*", F.explode(_prefix_tokens("_cn", "_cl", cutoff)).alias("_tok"))
-    ctr = ct.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_tok").alias("_ctok"),
-                    "matched", "ord", *payload, "_cl", "_masks")
-    cond = F.col("_tok") == F.col("_ctok")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_c_{k}"))
-    cond = cond & (200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
-    cand = qt.join(ctr, cond, "left")
-    lcs = sim.lcs("_cl", "_masks", "_qn")
-    scored = cand.withColumn("_lcs", F.when(F.col("_cl").isNotNull(), lcs))
-    ok = F.col("_lcs").isNotNull() & sim.passes_cutoff("_lcs", "_ql", "_cl", cutoff)
-    cand_struct = F.when(ok, F.struct(sim.ratio_from_lcs("_lcs", "_ql", "_cl").alias("score"),
-                                      (-F.col("ord")).alias("_nord"), "matched", "ord", *payload))
-    best = scored.groupBy(*keys, query_col).agg(F.max(cand_struct).alias("_b"))
+                .withColumn("_cn", sim.token_sort("matched")))
+    pairs = _passing_pairs(q, c, scope, cutoff)
+    found = q.join(pairs, [*scope, "_qn"], "left").join(c, [*keys, "_cn"], "left")
+    ranked = F.when(F.col("matched").isNotNull(),
+                    F.struct("score", (-F.col("ord")).alias("_nord"), "matched", "ord", *payload))
+    best = found.groupBy(*keys, query_col).agg(F.max(ranked).alias("_b"))
     return best.select(*keys, query_col, F.col("_b.matched").alias("matched"), F.col("_b.ord").alias("ord"),
                        *[F.col(f"_b.{p}").alias(p) for p in payload], F.col("_b.score").alias("score"))
 
@@ -95,8 +103,8 @@ def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice
 def match_food(names: DataFrame, choices: DataFrame, name_col: str = "mention", cutoff: float = 85) -> DataFrame:
     """Food names -> (name, food_id, matched, ord, score, source). Input is
     lower-cased and stripped before scoring; choices are the built-in keys and
-    aliases in source order."""
-    m = best_match(names, choices, query_col=name_col, choice_col="choice", ord_col="ord",
+    aliases in source order, a fixed list that is broadcast."""
+    m = best_match(names, F.broadcast(choices), query_col=name_col, choice_col="choice", ord_col="ord",
                    cutoff=cutoff, lower_query=True, payload=("food_id",))
     return m.withColumn("source", F.when(F.col("food_id").isNotNull(), F.lit("built-in")))
 
@@ -105,8 +113,8 @@ def match_exercise(names: DataFrame, allowed: DataFrame, cutoff: float = 90) ->
     """(equipment, mention) -> best library name allowed for that equipment
     profile, case kept; unmatched names get NULL (they are dropped from
     plans)."""
-    return best_match(names, allowed, query_col="mention", choice_col="name", ord_col="exercise_id",
-                      cutoff=cutoff, keys=("equipment",))
+    return best_match(names, F.broadcast(allowed), query_col="mention", choice_col="name", ord_col="exercise_id",
+                      cutoff=cutoff, keys=("equipment",), one_vocabulary=True)
 
 
 def canonical_marker(mentions: DataFrame, known: DataFrame, cutoff: float = 90) -> DataFrame:
@@ -115,5 +123,6 @@ def canonical_marker(mentions: DataFrame, known: DataFrame, cutoff: float = 90)
     k = known.select("user_id", F.col("marker")).distinct()
     k = k.withColumn("ord", F.dense_rank().over(Window.partitionBy("user_id").orderBy("marker")))
     m = best_match(mentions.select("user_id", strip("mention").alias("mention")), k,
-                   query_col="mention", choice_col="marker", ord_col="ord", cutoff=cutoff, keys=("user_id",))
+                   query_col="mention", choice_col="marker", ord_col="ord", cutoff=cutoff, keys=("user_id",),
+                   one_vocabulary=True)
     return m.select("user_id", "mention", F.coalesce("matched", "mention").alias("marker"), "score")
