@@ -139,6 +139,7 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
                        F.when(F.col("cu_kcal").isNotNull(), F.col("cu_units")).otherwise(F.col("bf_units")))
                  .otherwise(F.col(f"es_{x}")))
     it = it.where(matched | F.col("es_kcal").isNotNull())
+    # Estimated rows are offered for saving as custom foods.
     it = it.select("user_id", "day", "meal", "meal_id", "line",
                    F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
                    "quantity", "unit", src.alias("_src"),
@@ -146,5 +147,5 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
     g = to_grams("quantity", "unit", "_p_units")
     it = it.withColumn("_g", g).withColumn("grams", F.col("_g.grams_1dp"))
     return it.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
-                     source_label("_src", "_g.exact").alias("source"),
+                     source_label("_src", "_g.exact").alias("source"), (F.col("_src") == "AI estimate").alias("remember"),
                      *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])

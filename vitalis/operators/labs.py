@@ -32,6 +32,15 @@ def latest_report(results: DataFrame) -> DataFrame:
     return results.join(last, ["user_id", "test_date"])
 
 
+def trend(results: DataFrame) -> DataFrame:
+    """Per (user, marker, test date) the values of the trend chart: count, bounds
+    and the values themselves, comma-joined in report and line order."""
+    r = results.withColumn("_v", F.col("value").cast("string"))
+    return r.groupBy("user_id", "marker", "test_date").agg(
+        F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.expr("listagg(_v, ',') within group (order by report_id, line, value)").alias("series"))
+
+
 def flagged_lines(latest: DataFrame) -> DataFrame:
     """Per user, the flagged rows of the latest report as one text:
     ``marker: value unit (range low-high) -> flag`` lines joined by newlines

@@ -20,6 +20,7 @@ WORKOUT_RULES = {
     "sets_1_10": F.col("sets").between(1, 10),
     "reps_1_50": F.col("reps").between(1, 50),
     "kg_0_400": F.col("weight_kg").between(0, 400),
+    "rpe_5_10": F.col("rpe").between(5, 10),
 }
 SUPPLEMENT_RULES = {"timing_known": F.col("timing").isin(*dims.TIMINGS)}
 MEAL_RULES = {"meal_known": F.col("meal").isin(*dims.MEALS)}

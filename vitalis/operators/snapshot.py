@@ -19,15 +19,17 @@ def append(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
-def upsert_replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Insert-or-replace by key: a new row replaces the whole old row.
+def upsert_replace(old: DataFrame, new: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
+    """Insert-or-replace by key: a new row replaces the whole old row. Of several
+    new rows with one key the one with the highest ``seq`` (a column of ``new``,
+    the order of the writes) stands; without ``seq`` keys of ``new`` are unique.
 
     Written as union + ``max_by(row, version)`` per key: a partial (map-side)
     aggregate, so a key repeated many times is combined before the shuffle.
     """
     cols = [c for c in old.columns if c not in key]
-    u = (old.select(*key, F.struct(*cols).alias("_row"), F.lit(0).alias("_ver"))
-         .unionByName(new.select(*key, F.struct(*cols).alias("_row"), F.lit(1).alias("_ver"))))
+    u = (old.select(*key, F.struct(*cols).alias("_row"), F.struct(F.lit(0).alias("v"), F.lit(None).cast("long").alias("s")).alias("_ver"))
+         .unionByName(new.select(*key, F.struct(*cols).alias("_row"), F.struct(F.lit(1).alias("v"), (F.col(seq) if seq else F.lit(None)).cast("long").alias("s")).alias("_ver"))))
     return (u.groupBy(*key).agg(F.max_by("_row", "_ver").alias("_row"))
              .select(*key, *[F.col(f"_row.{c}").alias(c) for c in cols]))
 

@@ -21,6 +21,14 @@ def active(supplements: DataFrame) -> DataFrame:
     return supplements.where(F.col("active") == 1)
 
 
+def stack_text(supplements: DataFrame) -> DataFrame:
+    """Per user, the active supplements as one text: ``name, dose, timing`` lines
+    in catalogue order (missing values print as None)."""
+    line = F.concat_ws(", ", *[F.coalesce(F.col(c), F.lit("None")) for c in ("name", "dose", "timing")])
+    return (active(supplements).withColumn("_line", line).groupBy("user_id")
+            .agg(F.expr("listagg(_line, '\\n') within group (order by supplement_id, _line)").alias("stack")))
+
+
 def log_join(log: DataFrame, supplements: DataFrame) -> DataFrame:
     """Log rows with their supplement; rows of unknown ids vanish. The join
     strategy is left to AQE (it broadcasts the catalogue only after measuring

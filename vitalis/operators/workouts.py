@@ -69,6 +69,27 @@ def plan_for_day(days: DataFrame, plan: DataFrame) -> DataFrame:
     return d.join(first, ["user_id", "label"]).select("user_id", "day", "label", "_e.focus", "_e.n_exercises")
 
 
+def plan_exercises_for_day(days: DataFrame, plan: DataFrame) -> DataFrame:
+    """(user_id, day) -> the exercises of the first plan entry whose label is the
+    date's weekday, in plan order; rest days get no rows."""
+    from ..sources import dims
+    labels = F.array(*[F.lit(d) for d in dims.WEEKDAYS])
+    d = days.select("user_id", F.col("day").alias("date"), F.element_at(labels, (F.dayofweek("day") + 5) % 7 + 1).alias("day"))
+    first = plan.groupBy("user_id", "day").agg(F.min("day_pos").alias("day_pos"))
+    entry = plan.join(first, ["user_id", "day", "day_pos"])
+    return d.join(entry, ["user_id", "day"]).select("user_id", F.col("date").alias("day"), F.col("day").alias("label"),
+                                                    "focus", "ex_pos", "name", "sets", "reps", "rest_sec", "notes")
+
+
+def day_sets(workouts: DataFrame, library: DataFrame, day) -> DataFrame:
+    """One day's logged sets per user with their place in entry order; the window
+    covers one user's one day."""
+    w = workouts.where(F.col("day") == F.lit(day).cast("date"))
+    w = w.join(F.broadcast(library.select("exercise_id", F.col("name").alias("exercise"))), "exercise_id")
+    order = Window.partitionBy("user_id", "day").orderBy("entry", "exercise", "sets", "reps", "weight_kg", "rpe")
+    return w.select("user_id", "day", F.row_number().over(order).alias("pos"), "exercise", "sets", "reps", "weight_kg", "rpe")
+
+
 def exercise_options(days: DataFrame, plan: DataFrame) -> DataFrame:
     """(user_id, day) -> ordered exercise choices: the day's planned
     exercises first (in plan order, repeats kept), then library exercises not

@@ -30,7 +30,8 @@ select l_suppkey as user_id, date '2024-01-01' + cast(l_orderkey % 30 as int) as
     "workout_log": """
 select l_suppkey as user_id, date '2024-01-01' + cast(l_orderkey % 30 as int) as day,
   l_partkey % 48 as exercise_id, 1 + l_linenumber % 5 as sets, cast(l_quantity as int) % 13 as reps,
-  cast(l_partkey % 41 as double) * 2.5 as weight_kg from lineitem""",
+  cast(l_partkey % 41 as double) * 2.5 as weight_kg, 5.0::double + (l_partkey % 12) / 2 as rpe,
+  l_orderkey * 8 + l_linenumber as entry from lineitem""",
     "band_reading": """
 select event_id * 4 + k as reading_id, user_id, ts + k * interval '17 minutes' as ts,
   case when event_type in ('view', 'click', 'purchase') then 'heart_rate' when event_type = 'signup' then 'stress' else 'steps' end as metric,

@@ -403,14 +403,35 @@ def q_flagged_lines(spark, sf_dir):
 
 @register("lab_trend", lambda: oracle.with_ctes("""
 select user_id, marker, cast(test_date as varchar) as test_date, count(*) as n,
-  cast(min(value) as double) as min_value, cast(max(value) as double) as max_value
+  cast(min(value) as double) as min_value, cast(max(value) as double) as max_value,
+  string_agg(cast(value as varchar), ',' order by report_id, line, value) as series
 from lab_results group by user_id, marker, test_date"""))
 def q_lab_trend(spark, sf_dir):
-    """Per (user, marker, test date) the values plotted on the trend chart,
-    summarised by count, min and max."""
-    r = fx.lab_results(spark, sf_dir)
-    return r.groupBy("user_id", "marker", "test_date").agg(
-        F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    from ..operators import labs
+    return labs.trend(fx.lab_results(spark, sf_dir))
+
+
+@register("lab_items_normalise", """
+with b as (select l_orderkey as report_id, l_linenumber as chunk, (l_orderkey + l_linenumber) % 6 as v, p_type as marker, l_quantity as q
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)
+select report_id, chunk, 0 as item_pos, marker, q as value, 'mg/dL' as unit, 1.0::double as ref_low, 30.0::double as ref_high from b where v = 0
+union all select report_id, chunk, 0, marker, q, 'mg/dL', null, 30.5 from b where v = 1
+union all select report_id, chunk, 1, marker, q, '', null, null from b where v = 2
+union all select report_id, chunk, 1, marker, 1.0, '5', null, null from b where v = 3
+union all select report_id, chunk, 2, marker, q, '', 2.5, null from b where v = 5""")
+def q_lab_items(spark, sf_dir):
+    from ..sources import model_json
+    return model_json.lab_items(fx.lab_outputs(spark, sf_dir), ["report_id", "chunk"])
+
+
+@register("lab_json_report_date", """
+select l_orderkey as report_id, arg_min(cast(cast(o_orderdate as date) + l_linenumber as varchar), l_linenumber) as test_date
+from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
+where (l_orderkey + l_linenumber) % 6 in (0, 1, 5) group by l_orderkey""")
+def q_lab_json_report_date(spark, sf_dir):
+    from ..operators import labs
+    from ..sources import model_json
+    return labs.report_date(model_json.lab_reports(fx.lab_outputs(spark, sf_dir), ["report_id", "chunk"]))
 
 
 @register("known_markers", lambda: oracle.with_ctes("select distinct user_id, marker from lab_results"))
@@ -636,14 +657,16 @@ def _weights_old_new(spark, sf_dir):
 
 @register("upsert_replace", lambda: oracle.with_ctes("""
 , o as (select * from weights where day(day) % 3 <> 0),
-n as (select user_id, day, kg + 0.5 as kg from weights where day(day) % 2 = 0)
+n as (select user_id, day, case when day(day) % 4 = 0 then kg + 1.5 else kg + 0.5 end as kg from weights where day(day) % 2 = 0)
 select user_id, cast(day as varchar) as day, kg from n
 union all select user_id, cast(day as varchar), kg from o
   where not exists (select 1 from n where n.user_id = o.user_id and n.day = o.day)"""))
 def q_upsert_replace(spark, sf_dir):
     from ..operators import snapshot
     _w, old, new = _weights_old_new(spark, sf_dir)
-    return snapshot.upsert_replace(old, new, ["user_id", "day"])
+    new = new.withColumn("seq", F.lit(1))
+    again = new.where(F.dayofmonth("day") % 4 == 0).withColumn("kg", F.col("kg") + 1).withColumn("seq", F.lit(2))
+    return snapshot.upsert_replace(old, again.unionByName(new), ["user_id", "day"], seq="seq")
 
 
 @register("band_upsert_coalesce", lambda: oracle.with_ctes("""
@@ -721,7 +744,8 @@ select user_id, cast(day as varchar) as day, exercise_id, sets, reps, weight_kg,
   select *, concat_ws(',',
     case when not coalesce(sets between 1 and 10, false) then 'sets_1_10' end,
     case when not coalesce(reps between 1 and 50, false) then 'reps_1_50' end,
-    case when not coalesce(weight_kg between 0 and 400, false) then 'kg_0_400' end) as v
+    case when not coalesce(weight_kg between 0 and 400, false) then 'kg_0_400' end,
+    case when not coalesce(rpe between 5 and 10, false) then 'rpe_5_10' end) as v
   from workout_log) x where v <> ''"""))
 def q_validate_workouts(spark, sf_dir):
     from ..operators import quality
@@ -817,6 +841,80 @@ def q_plan_for_day(spark, sf_dir):
     return workouts.plan_for_day(days, workouts.current_plan(plan_rows(spark, sf_dir)))
 
 
+WEEK_PLAN_SQL = """(select o.o_custkey as user_id, l.l_orderkey as plan_id, l.l_linenumber as ln, p.p_type as focus,
+    case o.o_custkey % 3 when 0 then 'Full gym' when 1 then 'Dumbbells at home' else 'Bodyweight only' end as equipment,
+    case l.l_linenumber % 3 when 0 then upper(e.name) when 1 then e.name || 's' else e.name end as mention,
+    ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][cast((l.l_orderkey + 3 * l.l_linenumber) % 7 + 1 as int)] as label,
+    row_number() over (partition by l.l_orderkey order by l.l_linenumber, p.p_type || '"'
+      || case l.l_linenumber % 3 when 0 then upper(e.name) when 1 then e.name || 's' else e.name end || '"') - 1 as day_pos
+  from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey
+  join exercise e on l.l_partkey % 48 = e.exercise_id)"""
+
+
+def _week_plan_sql():
+    return oracle.fuzzy_sql(f"(select distinct equipment, mention from {WEEK_PLAN_SQL})", "mention", ALLOWED_SQL, "name",
+                            "exercise_id", 90, False, keys=("equipment",)) + f"""
+, wp as (select x.*, b.matched as name from {WEEK_PLAN_SQL} x join fz_best b on b.equipment = x.equipment and b.q = x.mention
+  where b.matched is not null)"""
+
+
+def week_plan_rows(spark, sf_dir):
+    from ..operators import workouts
+    from ..sources import model_json
+    lib = dims.exercise_df(spark)
+    raw = model_json.plan_days(fx.week_plan_outputs(spark, sf_dir, lib), ["user_id", "plan_id", "equipment"], dims.WEEKDAYS)
+    allowed = workouts.allowed_exercises(lib, dims.equipment_kind_df(spark))
+    return workouts.normalise_plan(raw, allowed, ["user_id", "plan_id"])
+
+
+@register("plan_week_order", lambda: oracle.with_ctes(_week_plan_sql() + """
+select user_id, plan_id, string_agg(label || ': ' || name || ' x' || cast(least(ln, 6) as varchar), '; '
+  order by list_position(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'], label), day_pos) as week from wp group by user_id, plan_id"""))
+def q_plan_week_order(spark, sf_dir):
+    """Plans of several days through stored JSON: days Mon..Sun, entries of one
+    weekday in the order of the plan."""
+    from ..operators import workouts
+    back = workouts.plan_from_json(workouts.plan_to_json(week_plan_rows(spark, sf_dir)))
+    line = F.concat("day", F.lit(": "), "name", F.lit(" x"), F.col("sets").cast("string"))
+    return back.withColumn("_l", line).groupBy("user_id", "plan_id").agg(
+        F.expr("listagg(_l, '; ') within group (order by day_pos, ex_pos, _l)").alias("week"))
+
+
+@register("plan_day_exercises", lambda: oracle.with_ctes(_week_plan_sql() + """
+, cur as (select wp.* from wp join (select user_id, max(plan_id) as plan_id from wp group by user_id) m
+  on m.user_id = wp.user_id and m.plan_id = wp.plan_id),
+fe as (select user_id, label, min(day_pos) as day_pos from cur group by user_id, label),
+d as (select distinct o_custkey as user_id, cast(o_orderdate as date) as day from orders)
+select d.user_id, cast(d.day as varchar) as day, c.label, c.focus, 0 as ex_pos, c.name, cast(least(c.ln, 6) as int) as sets,
+  '8-10' as reps, 90 as rest_sec, '' as notes
+from d join cur c on c.user_id = d.user_id and c.label = ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(d.day)]
+join fe on fe.user_id = c.user_id and fe.label = c.label and fe.day_pos = c.day_pos"""))
+def q_plan_day_exercises(spark, sf_dir):
+    from ..operators import workouts
+    from ..sources.tables import read_table
+    days = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderdate"]).select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return workouts.plan_exercises_for_day(days, workouts.current_plan(week_plan_rows(spark, sf_dir)))
+
+
+@register("workout_day_log", lambda: oracle.with_ctes(f"""
+select w.user_id, cast(w.day as varchar) as day,
+  row_number() over (partition by w.user_id order by w.entry, e.name, w.sets, w.reps, w.weight_kg, w.rpe) as pos,
+  e.name as exercise, w.sets, w.reps, w.weight_kg, w.rpe
+from workout_log w join exercise e on e.exercise_id = w.exercise_id where w.day = date '{AS_OF}'"""))
+def q_workout_day_log(spark, sf_dir):
+    from ..operators import workouts
+    return workouts.day_sets(fx.workout_log(spark, sf_dir), dims.exercise_df(spark), AS_OF)
+
+
+@register("supplement_stack", lambda: oracle.with_ctes("""
+select user_id, string_agg(name || ', ' || dose || ', ' || timing, chr(10) order by supplement_id) as stack
+from supplements where active = 1 group by user_id"""))
+def q_supplement_stack(spark, sf_dir):
+    from ..operators import supplements as sup
+    return sup.stack_text(fx.supplements(spark, sf_dir))
+
+
 def _exercise_options_sql():
     lib = ", ".join("'" + n + "'" for n, _m, _e in dims.LIBRARY)
     return oracle.with_ctes(_plan_rows_sql() + CURRENT_PLAN_SQL + f"""
@@ -950,7 +1048,7 @@ r6 as (select r5.*, cast(round_even(case when cu in ('g', 'ml') then cast(quanti
       else cast(quantity as decimal(18,4)) * cast(fallback as decimal(18,4)) end, 1) as double) as grams,
     (cu in ('g', 'ml', 'kg', 'l') or own is not null) as exact from r5)
 select user_id, cast(day as varchar) as day, meal, meal_id, line, item, quantity, unit, grams,
-  case when exact then src else src || ' (check grams)' end as source,
+  case when exact then src else src || ' (check grams)' end as source, src = 'AI estimate' as remember,
   {oracle.tot('p_kcal', 'grams')} as kcal, {oracle.tot('p_protein', 'grams')} as protein,
   {oracle.tot('p_carbs', 'grams')} as carbs, {oracle.tot('p_fat', 'grams')} as fat
 from r6""")

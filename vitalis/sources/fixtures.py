@@ -80,6 +80,8 @@ def workout_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (F.lit(1) + F.col("l_linenumber") % 5).alias("sets"),
                   (F.col("l_quantity").cast("int") % 13).alias("reps"),
                   ((F.col("l_partkey") % 41).cast("double") * 2.5).alias("weight_kg"),
+                  (F.lit(5.0) + (F.col("l_partkey") % 12) / 2).alias("rpe"),
+                  (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("entry"),
               ))
 
 
@@ -308,6 +310,37 @@ def meal_outputs(spark: SparkSession, sf_dir: str, choices: DataFrame) -> DataFr
                     text.alias("text"))
 
 
+def lab_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report-extractor output text per report chunk (line item), clean or
+    damaged by ``(l_orderkey + l_linenumber) % 6``: clean; prose around a text
+    value and an unusable bound; null date, a null marker, padded marker and null
+    unit; no date, a value in words, value true and a numeric unit; empty date and
+    no results, not JSON at all on odd lines; an item without marker, a null value,
+    a text bound."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
+    ln = F.col("l_linenumber")
+    date = F.concat(F.lit('"test_date": "'), F.date_add(F.col("o_orderdate").cast("date"), ln.cast("int")).cast("string"),
+                    F.lit('"'))
+    q, m = F.col("l_quantity").cast("string"), F.concat(F.lit('"marker": "'), F.col("p_type"), F.lit('"'))
+    v = (F.col("l_orderkey") + ln) % 6
+    text = (F.when(v == 0, F.concat(F.lit("{"), date, F.lit(', "results": [{'), m, F.lit(', "value": '), q,
+                                    F.lit(', "unit": "mg/dL", "ref_low": 1, "ref_high": 30}]}')))
+             .when(v == 1, F.concat(F.lit("Here it is: {"), date, F.lit(', "results": [{'), m, F.lit(', "value": " '), q,
+                                    F.lit(' ", "unit": "mg/dL", "ref_low": "n/a", "ref_high": 30.5}]} Done.')))
+             .when(v == 2, F.concat(F.lit('{"test_date": null, "results": [{"marker": null, "value": 3}, {"marker": " \\t'),
+                                    F.col("p_type"), F.lit(' ", "value": '), q, F.lit(', "unit": null}]}')))
+             .when(v == 3, F.concat(F.lit('{"results": [{'), m, F.lit(', "value": "high"}, {'), m,
+                                    F.lit(', "value": true, "unit": 5}]}')))
+             .when((v == 4) & (ln % 2 == 1), F.lit("No table on this page."))
+             .when(v == 4, F.lit('{"test_date": "", "results": []}'))
+             .otherwise(F.concat(F.lit("{"), date, F.lit(', "results": [{"value": 1}, {'), m, F.lit(', "value": null}, {'), m,
+                                 F.lit(', "value": '), q, F.lit(', "ref_low": "2.5", "ref_high": null}]}'))))
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .select(F.col("l_orderkey").alias("report_id"), ln.alias("chunk"), text.alias("text")))
+
+
 def estimate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Food-estimate output text per part, clean or damaged by
     ``p_partkey % 5``: clean; negative fat and a text unit; missing kcal with
@@ -456,3 +489,27 @@ def food_estimate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (est.groupBy(F.lower("name").alias("name_key"))
                .agg(F.min_by(F.struct("kcal", "protein", "carbs", "fat", "units"), "p_partkey").alias("r"))
                .select("name_key", "r.*"))
+
+
+def week_plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFrame:
+    """Plan-generator output text per order: one day entry per line (at most 7),
+    the weekday by ``(l_orderkey + 3 * l_linenumber) % 7`` so that days are out of
+    order, with the line's exercise in the spelling of ``exercise_mentions``."""
+    from . import dims
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type"])
+    lib = F.broadcast(library.select("exercise_id", "name"))
+    nm, ln = F.col("name"), F.col("l_linenumber")
+    mention = F.when(ln % 3 == 0, F.upper(nm)).when(ln % 3 == 1, F.concat(nm, F.lit("s"))).otherwise(nm)
+    label = F.element_at(F.array(*[F.lit(d) for d in dims.WEEKDAYS]), ((F.col("l_orderkey") + 3 * ln) % 7 + 1).cast("int"))
+    day = F.concat(F.lit('{"day": "'), label, F.lit('", "focus": "'), F.col("p_type"), F.lit('", "exercises": [{"name": "'),
+                   mention, F.lit('", "sets": '), ln.cast("string"), F.lit("}]}"))
+    user = F.col("o_custkey")
+    profile = (F.when(user % 3 == 0, "Full gym").when(user % 3 == 1, "Dumbbells at home").otherwise("Bodyweight only"))
+    rows = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .join(lib, F.col("l_partkey") % 48 == F.col("exercise_id"))
+              .groupBy(user.alias("user_id"), F.col("l_orderkey").alias("plan_id"), profile.alias("equipment"))
+              .agg(F.array_sort(F.collect_list(F.struct(ln.alias("ln"), day.alias("day")))).alias("days")))
+    return rows.select("user_id", "plan_id", "equipment", F.concat(F.lit('{"days": ['), F.array_join("days.day", ", "),
+                                                                  F.lit("]}")).alias("text"))
