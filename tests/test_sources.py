@@ -111,3 +111,25 @@ def test_bad_values_do_not_end_a_job(spark):
     grams = df.where("v = 2").select(nutrition.to_grams(F.lit(50.0), F.lit("g\n"), F.create_map(F.lit("cup"), F.lit(1.0))).alias("g"))
     assert grams.first().g.grams == 50.0
     assert df.agg(expr.exact_sum("v").alias("s")).first().s is not None
+
+
+def test_lab_items_and_report_date(spark):
+    from vitalis.operators import labs
+    from vitalis.sources import model_json
+    rows = [(1, 0, '{"test_date": null, "results": [{"marker": " \\tHDL\\n", "value": " 41 ", "unit": null, "ref_low": "40"}]}'),
+            (1, 1, 'x {"test_date": "2024-02-01", "results": [{"marker": "", "value": 1}, {"marker": "LDL", "value": "nan"}]} y'),
+            (1, 2, '{"test_date": "2024-03-01", "results": [{"marker": 12, "value": true, "unit": "u", "ref_high": [1]}]}'),
+            (2, 0, "not json"), (2, 1, None), (3, 0, '{"test_date": "", "results": {"a": 1}}')]
+    df = spark.createDataFrame(rows, "report_id int, chunk int, text string")
+    got = [tuple(r) for r in model_json.lab_items(df, ["report_id", "chunk"]).orderBy("report_id", "chunk").collect()]
+    assert got == [(1, 0, 0, "HDL", 41.0, "", 40.0, None), (1, 2, 0, "12", 1.0, "u", None, None)]
+    dates = labs.report_date(model_json.lab_reports(df, ["report_id", "chunk"])).collect()
+    assert [tuple(r) for r in dates] == [(1, "2024-02-01")]
+
+
+def test_upsert_takes_the_last_write(spark):
+    from vitalis.operators import snapshot
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    new = spark.createDataFrame([(1, 5.0, 2), (1, 9.0, 1), (3, 3.0, 1)], "k int, v double, n int")
+    got = sorted(tuple(r) for r in snapshot.upsert_replace(old, new, ["k"], seq="n").collect())
+    assert got == [(1, 5.0), (2, 2.0), (3, 3.0)]

@@ -32,3 +32,19 @@ def test_two_imports_coalesce(spark):
     snap = band_stream.latest_snapshot(spark, table).collect()
     assert [(r.sleep_hours, r.steps) for r in snap] == [(7.0, 1200)]
     assert len(band_stream.versions(spark, table)) == 2
+
+
+def test_files_of_one_import_in_two_batches_give_the_maximum(spark):
+    root = tempfile.mkdtemp(prefix="vitalis-stream-in-")
+    table = tempfile.mkdtemp(prefix="vitalis-stream-tbl-")
+
+    def steps(import_id, name, n):
+        _write(os.path.join(root, f"import_id={import_id}"), 7, f"{name}.step_daily_trend.csv",
+               ["meta", "day_time,count", f"2024-01-02 00:00:00,{n}"])
+        band_stream.start(spark, root, table_root=table, name="t2").awaitTermination(120)
+        return [r.steps for r in band_stream.latest_snapshot(spark, table).collect()]
+
+    assert steps(1, "a", 1200) == [1200]
+    assert steps(1, "b", 900) == [1200]  # same import, later batch: the maximum stands
+    assert steps(2, "c", 500) == [500]  # a new import replaces
+    assert len(band_stream.versions(spark, table)) == 3

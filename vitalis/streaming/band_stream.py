@@ -1,14 +1,16 @@
 """Structured Streaming delivery of band imports.
 
-Export files land under ``<input>/user_id=<id>/<name>.csv``. A file stream
-(whole files per micro-batch) feeds ``foreachBatch``; each batch is one
-import: its files are parsed (``sources.band_csv``), merged per day across
-files, and applied to the daily table with ``upsert_coalesce`` (nulls never
-erase). Every batch writes a new snapshot version ``v<batch_id>`` computed
-from the previous version only, so a retried batch rewrites the same
-version with the same content: exactly-once on top of the checkpointed
-source offsets. Snapshots and the stream checkpoint live in the shared
-checkpoint folder (``spark.checkpoint.dir``).
+Export files land under ``<input>/user_id=<id>/<name>.csv``, or under
+``<input>/.../import_id=<n>/.../user_id=<id>/<name>.csv`` when one import comes in
+several batches. A file stream (whole files per micro-batch) feeds
+``foreachBatch``: each batch parses its files (``sources.band_csv``) and writes
+their per-file daily rows as ``v<batch_id>``, nothing else, so a retried batch
+rewrites the same rows. The daily table is derived on reading: files of one import
+merge by maximum, however they were split over batches, and a later import's
+values replace those of an earlier one, nulls never (imports in the order of
+their numbers; files without one belong to the import of their batch).
+The rows and the stream checkpoint live in the shared checkpoint folder
+(``spark.checkpoint.dir``).
 """
 from __future__ import annotations
 
@@ -22,6 +24,7 @@ from ..sources import band_csv
 
 DAILY_SCHEMA = ("user_id long, day date, sleep_hours double, sleep_score double, resting_hr double, "
                 "steps long, stress double")
+FILE_SCHEMA = f"import_id long, batch long, file string, {DAILY_SCHEMA}"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,11 +45,22 @@ def versions(spark: SparkSession, table_root: str) -> list[int]:
     return sorted(out)
 
 
-def latest_snapshot(spark: SparkSession, table_root: str, before: int | None = None) -> DataFrame:
+def file_rows(spark: SparkSession, table_root: str, before: int | None = None) -> DataFrame:
+    """Per-file daily rows of all finished batches (below ``before``)."""
     vs = [v for v in versions(spark, table_root) if before is None or v < before]
     if not vs:
-        return spark.createDataFrame([], DAILY_SCHEMA)
-    return spark.read.parquet(f"{table_root}/v{vs[-1]:09d}")
+        return spark.createDataFrame([], FILE_SCHEMA)
+    return spark.read.schema(FILE_SCHEMA).parquet(*[f"{table_root}/v{v:09d}" for v in vs])
+
+
+def latest_snapshot(spark: SparkSession, table_root: str, before: int | None = None) -> DataFrame:
+    """The daily table: (user_id, day) with the maximum over the files of an
+    import and, for each column, the value of the last import that has one. Two
+    partial aggregates by key."""
+    rows = file_rows(spark, table_root, before)
+    merged = rows.groupBy("user_id", "day", "import_id").agg(*[F.max(c).alias(c) for c in band.DAILY_COLS])
+    return merged.groupBy("user_id", "day").agg(
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct("import_id", c)))[c].alias(c) for c in band.DAILY_COLS])
 
 
 def lines_of_batch(batch: DataFrame) -> DataFrame:
@@ -62,12 +76,13 @@ def lines_of_batch(batch: DataFrame) -> DataFrame:
 
 
 def apply_import(spark: SparkSession, lines: DataFrame, table_root: str, version: int) -> None:
-    """One import: lines -> daily -> coalesce-upsert onto the previous
-    version -> written as version ``version``."""
-    daily = band_csv.daily_from_lines(lines)
-    old = latest_snapshot(spark, table_root, before=version)
-    new = band.upsert_coalesce(old, daily)
-    new.write.mode("overwrite").parquet(f"{table_root}/v{version:09d}")
+    """One batch: lines -> per-file daily rows, written as version ``version``."""
+    number = F.regexp_extract("file", r"/import_id=([0-9]{1,18})/", 1)
+    rows = (band_csv.per_file_daily(lines)
+            .withColumn("import_id", F.when(number != "", number.cast("long")).otherwise(F.lit(version).cast("long")))
+            .withColumn("batch", F.lit(version).cast("long")))
+    (rows.select("import_id", "batch", "file", "user_id", "day", *band.DAILY_COLS)
+         .write.mode("overwrite").parquet(f"{table_root}/v{version:09d}"))
 
 
 def start(spark: SparkSession, input_dir: str, table_root: str | None = None, name: str = "band_daily",
