@@ -621,9 +621,12 @@ def q_food_estimate_units(spark, sf_dir):
 
 @register("band_csv_parse", lambda: oracle.with_ctes("""
 select user_id, cast(day as varchar) as day, max(sleep_hours) as sleep_hours, max(sleep_score) as sleep_score,
-  max(resting_hr) as resting_hr, cast(null as bigint) as steps, cast(null as double) as stress from (
-  select user_id, day, sleep_hours, sleep_score, null::double as resting_hr from sleep_daily where user_id % 4 <> 3
-  union all select user_id, day, null, null, resting_hr from heart_daily) u group by user_id, day"""))
+  max(resting_hr) as resting_hr, max(steps) as steps, max(stress) as stress from (
+  select user_id, day, sleep_hours, sleep_score, null::double as resting_hr, null::bigint as steps, null::double as stress
+  from sleep_daily where user_id % 4 <> 3
+  union all select user_id, day, null, null, resting_hr, null, null from heart_daily
+  union all select user_id, day, null, null, null, steps, null from steps_daily
+  union all select user_id, day, null, null, null, null, stress from stress_daily) u group by user_id, day"""))
 def q_band_csv_parse(spark, sf_dir):
     from ..sources import band_csv
     return band_csv.daily_from_lines(export_lines(spark, sf_dir))
@@ -635,10 +638,13 @@ def export_lines(spark, sf_dir):
 
 
 @register("import_summary", lambda: oracle.with_ctes("""
-, d as (select user_id, day from sleep_daily where user_id % 4 <> 3 union select user_id, day from heart_daily),
+, d as (select user_id, day from sleep_daily where user_id % 4 <> 3 union select user_id, day from heart_daily
+  union select user_id, day from steps_daily union select user_id, day from stress_daily),
 f as (select user_id, count(*) as files_used from (
   select distinct user_id, 's' as k from sleep_daily where user_id % 4 <> 3
-  union all select distinct user_id, 'h' from heart_daily) x group by user_id)
+  union all select distinct user_id, 'h' from heart_daily
+  union all select distinct user_id, 'p' || reading_id % 2 from band_reading where metric = 'steps'
+  union all select distinct user_id, 't' from stress_daily) x group by user_id)
 select coalesce(a.user_id, f.user_id) as user_id, a.days_saved, f.files_used
 from (select user_id, count(*) as days_saved from d group by user_id) a full outer join f on f.user_id = a.user_id"""))
 def q_import_summary(spark, sf_dir):

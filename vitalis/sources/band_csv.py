@@ -154,7 +154,5 @@ def daily_from_lines(lines: DataFrame) -> DataFrame:
 
 def import_summary(lines: DataFrame) -> DataFrame:
     """Days saved and files used per user for one import."""
-    per_file = per_file_daily(lines)
-    files = per_file.groupBy("user_id").agg(F.countDistinct("file").alias("files_used"))
-    days = per_file.groupBy("user_id").agg(F.countDistinct("day").alias("days_saved"))
-    return days.join(files, "user_id", "full_outer")
+    return per_file_daily(lines).groupBy("user_id").agg(F.countDistinct("day").alias("days_saved"),
+                                                        F.countDistinct("file").alias("files_used"))

@@ -367,7 +367,9 @@ def estimate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def band_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw export CSV lines (file, user_id, line_no, text) per user: a sleep
-    file, a heart-rate file and an ignored sleep-stage file.
+    file, a heart-rate file, two step files (readings of even and of odd number,
+    as ``count`` and as ``step_count``), a stress file and an ignored sleep-stage
+    file.
 
     Sleep file variant by ``user_id % 4``: 0 metadata line + header, text
     times; 1 no metadata line, epoch-millisecond times; 2 BOM, metadata,
@@ -400,14 +402,28 @@ def band_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat_ws(",", txt("start_time"), txt("end_time"), score, off).alias("text"),
                      F.lit(f"{pre}start_time,{pre}end_time,{pre}sleep_score,{pre}time_offset").alias("_h"),
                      F.lit(True).alias("_m"))
-    r = band_reading(spark, sf_dir).where(F.col("metric") == "heart_rate")
+    every = band_reading(spark, sf_dir)
+    r = every.where(F.col("metric") == "heart_rate")
     hp = "com.samsung.health.heart_rate."
     heart = r.select("user_id", F.col("reading_id").alias("_o"),
                      F.concat(F.lit("export/user_id="), F.col("user_id").cast("string"),
                               F.lit("/com.samsung.shealth.tracker.heart_rate.csv")).alias("file"),
                      F.concat_ws(",", txt("ts"), F.col("value").cast("string"), F.lit("")).alias("text"),
                      F.lit(f"{hp}start_time,{hp}heart_rate,{hp}time_offset").alias("_h"), F.lit(True).alias("_m"))
-    body = sd.unionByName(stage).unionByName(heart)
+
+    def readings(metric, odd, name, header):
+        keep = (F.col("metric") == metric) & (F.lit(True) if odd is None else F.col("reading_id") % 2 == odd)
+        return every.where(keep).select(
+            "user_id", F.col("reading_id").alias("_o"),
+            F.concat(F.lit("export/user_id="), F.col("user_id").cast("string"), F.lit(f"/{name}")).alias("file"),
+            F.concat_ws(",", txt("ts"), F.col("value").cast("string"), F.lit("")).alias("text"),
+            F.lit(header).alias("_h"), F.lit(True).alias("_m"))
+
+    body = (sd.unionByName(stage).unionByName(heart)
+              .unionByName(readings("steps", 0, "com.samsung.shealth.step_daily_trend.csv", "day_time,count,time_offset"))
+              .unionByName(readings("steps", 1, "com.samsung.shealth.tracker.pedometer_day_summary.csv",
+                                    "day_time,step_count,time_offset"))
+              .unionByName(readings("stress", None, "com.samsung.shealth.stress.csv", "start_time,score,time_offset")))
     w = Window.partitionBy("file").orderBy("_o")
     body = body.withColumn("_rn", F.row_number().over(w))
     first = body.where(F.col("_rn") == 1)
