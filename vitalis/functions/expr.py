@@ -45,11 +45,6 @@ def strip(x) -> Column:
     return F.regexp_replace(col(x), r"^\s+|\s+$", "")
 
 
-def round_half_even(x, n: int = 0) -> Column:
-    """Half-even rounding on the decimal value (``bround``)."""
-    return F.bround(col(x), n)
-
-
 def exact_sum(x, scale: int = 4) -> Column:
     """Sum of doubles with a fixed number of decimals, exact and independent
     of summation order (the partial aggregates of a distributed sum arrive in

@@ -759,6 +759,32 @@ def q_validate_workouts(spark, sf_dir):
     return bad.select("user_id", "day", "exercise_id", "sets", "reps", "weight_kg", "violations")
 
 
+@register("validate_logs", lambda: oracle.with_ctes(f"""
+, m as (select ['{"', '".join(dims.MEALS)}'][cast(l_orderkey % {len(dims.MEALS)} + 1 as int)] as meal, l_suppkey as user_id from lineitem)
+select table_name, user_id, violations, count(*) as n from (
+  select 'weights' as table_name, user_id, 'kg_35_250' as violations from weights where not coalesce(kg between 35 and 250, false)
+  union all select 'supplements', user_id, 'timing_known' from supplements
+    where not coalesce(timing in ('{"', '".join(dims.TIMINGS)}'), false)
+  union all select 'food_log', user_id, 'meal_known' from m where not coalesce(meal in ('{"', '".join(dims.MEALS)}'), false)) x
+group by all"""))
+def q_validate_logs(spark, sf_dir):
+    """Rows of the other logs that break an entry rule, counted per user."""
+    from ..operators import quality
+    from ..sources.tables import read_table
+    meals = F.array(*[F.lit(m) for m in dims.MEALS])
+    food_log = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"]).select(
+        F.col("l_suppkey").alias("user_id"),
+        F.element_at(meals, (F.col("l_orderkey") % len(dims.MEALS) + 1).cast("int")).alias("meal"))
+    out = None
+    for name, df, rules in (("weights", fx.weights(spark, sf_dir), quality.WEIGHT_RULES),
+                            ("supplements", fx.supplements(spark, sf_dir), quality.SUPPLEMENT_RULES),
+                            ("food_log", food_log, quality.MEAL_RULES)):
+        bad = quality.split(df, rules)[1].groupBy("user_id", "violations").agg(F.count("*").alias("n"))
+        bad = bad.select(F.lit(name).alias("table_name"), "user_id", "violations", "n")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 @register("key_violations", lambda: oracle.with_ctes("""
 select 'weights' as table_name, (select count(*) from (select user_id, day from weights group by all having count(*) > 1)) as duplicate_keys
 union all select 'supplement_log', (select count(*) from (select user_id, day, supplement_id from supplement_log group by all having count(*) > 1))

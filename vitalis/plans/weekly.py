@@ -31,17 +31,6 @@ def _wk(df: DataFrame) -> DataFrame:
     return df.withColumn("week_start", week_start("day"))
 
 
-def week_targets(profile: DataFrame, weights: DataFrame, spine: DataFrame) -> DataFrame:
-    """(user_id, week_start) -> calorie and protein target from the profile and
-    the as-of weight at the week's end. No weight or no profile -> no row."""
-    pts = spine.select("user_id", "week_start", F.date_add("week_start", 6).alias("point_day"))
-    kg = weight_ops.asof(weights, pts, "point_day")
-    j = (pts.join(kg, ["user_id", "point_day"]).where(F.col("asof_kg").isNotNull())
-            .join(profile, "user_id"))
-    t = targets("asof_kg", "height_cm", "age", "sex", "activity", "deficit_pct", "protein_g_per_kg")
-    return j.select("user_id", "week_start", t["kcal"].alias("t_kcal"), t["protein"].alias("t_protein"))
-
-
 def week_stats(profile: DataFrame, weights: DataFrame, food: DataFrame, workouts: DataFrame,
                band_daily: DataFrame, supplement_log: DataFrame, supplements: DataFrame) -> DataFrame:
     """``food`` is the enriched food log (kcal, protein per row).

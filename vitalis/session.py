@@ -79,11 +79,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), name)
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """True when a finished write (its ``_SUCCESS`` marker) exists at
-    ``path``, on whatever file system the path names."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))

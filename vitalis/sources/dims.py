@@ -214,22 +214,6 @@ def equipment_kind_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "profile string, kind string")
 
 
-def weekday_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(WEEKDAYS)), "weekday_idx int, day_label string")
-
-
-def activity_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ACTIVITY, "activity string, multiplier double")
-
-
-def unit_synonym_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNIT_SYNONYMS, "alias string, unit string")
-
-
-def fallback_grams_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, float(g)) for u, g in FALLBACK_GRAMS], "unit string, grams double")
-
-
 # --- SQL text of the same dimensions (for the DuckDB oracle) ---
 
 def _lit(v) -> str:
