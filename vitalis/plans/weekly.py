@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import exact_mean
 from ..functions.nutrition import targets
 from ..functions.time import week_start
-from ..operators import weights as weight_ops
 from ..operators.supplements import active_counts
 
 KEY = ["user_id", "week_start"]
