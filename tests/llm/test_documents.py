@@ -448,3 +448,16 @@ def test_common_subsequence():
 
 def test_digest_forms():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_passage_shared_in_part_with_an_earlier_document(spark):
+    rnd = random.Random(5)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    rows, want = [], set()
+    for i, cut in enumerate(range(6, 38, 6)):
+        p, a = words(60), 3 * i
+        rows += [(a, words(50) + p[:cut] + words(50)), (a + 1, words(70) + p + words(30)), (a + 2, words(20) + p + words(90))]
+        want.add((a + 2, 20, 80, a + 1, 70, 130))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {tuple(r)[:6] for r in passages.repeated_passages(df).collect()}
+    assert got == want
