@@ -461,3 +461,30 @@ def test_passage_shared_in_part_with_an_earlier_document(spark):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     got = {tuple(r)[:6] for r in passages.repeated_passages(df).collect()}
     assert got == want
+
+
+def test_chains_with_steps_of_bounded_width():
+    rnd = random.Random(8)
+    for _ in range(200):
+        pts = sorted({(rnd.randrange(90), rnd.randrange(90)) for _ in range(rnd.randint(1, 25))})
+        x, y = [p[0] for p in pts], [p[1] for p in pts]
+        best = []
+        for j in range(len(pts)):
+            before = [best[i] - 0.05 * (x[j] - x[i] + y[j] - y[i]) for i in range(j)
+                      if 0 < x[j] - x[i] <= 12 and 0 < y[j] - y[i] <= 12]
+            best.append(5 + max([0.0, *before]))
+        c = passages.chains_of(x, y, max_gap=12)[0]
+        assert abs(5.0 * len(c) - 0.05 * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]]) - max(best)) < 1e-9
+
+
+def test_two_passages_of_one_pair_of_documents(spark):
+    rnd = random.Random(6)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    rows, want = [], set()
+    for i, (one, between, two) in enumerate([(200, 150, 200), (200, 300, 300), (1000, 300, 500)]):
+        p, q = words(one), words(two)
+        rows += [(2 * i, words(20) + p + words(between) + q + words(5)), (2 * i + 1, words(7) + p + words(between) + q + words(30))]
+        want |= {(2 * i + 1, 7, 7 + one, 2 * i, 20, 20 + one),
+                 (2 * i + 1, 7 + one + between, 7 + one + between + two, 2 * i, 20 + one + between, 20 + one + between + two)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == want
