@@ -488,3 +488,17 @@ def test_two_passages_of_one_pair_of_documents(spark):
                  (2 * i + 1, 7 + one + between, 7 + one + between + two, 2 * i, 20 + one + between, 20 + one + between + two)}
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == want
+
+
+def test_passage_whose_parts_earlier_documents_hold(spark):
+    rnd = random.Random(7)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    rows, want = [], set()
+    for i, cuts in enumerate([(30,)] * 12 + [(20, 40)] * 8):
+        p, d = words(60), 10 * i
+        for k, (lo, hi) in enumerate(zip((0, *cuts), (*cuts, 60))):
+            rows.append((d + k, words(50) + p[lo:hi] + words(50)))
+        rows += [(d + 8, words(70) + p + words(30)), (d + 9, words(20) + p + words(90))]
+        want.add((d + 9, 20, 80, d + 8, 70, 130))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == want
