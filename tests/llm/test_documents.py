@@ -502,3 +502,25 @@ def test_passage_whose_parts_earlier_documents_hold(spark):
         want.add((d + 9, 20, 80, d + 8, 70, 130))
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == want
+
+
+def test_changed_passages_are_found(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    rows, kinds = [], [(40, 0.1), (55, 0.15), (80, 0.1), (80, 0.2), (120, 0.2)]
+    for i in range(250):
+        n, rate = kinds[i % 5]
+        p = words(n)
+        q = list(p)
+        for k in rnd.sample(range(1, n - 1), round(n * rate)):
+            q[k] = words(1)[0]
+        rows += [(2 * i, words(70) + p + words(70)), (2 * i + 1, words(50) + q + words(90))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    text = dict(rows)
+    for r in got:
+        a, b = text[r.doc_id][r.first_word:r.end_word], text[r.source_id][r.source_first_word:r.source_end_word]
+        assert r.source_id == r.doc_id - 1 and min(len(a), len(b)) >= 40
+        assert abs(r.similarity - passages._common(a, b) / max(len(a), len(b))) < 1e-9 and r.similarity > 0.8 - 1e-9
+    found = {r.doc_id // 2 for r in got}
+    assert all(sum(i in found for i in range(k, 250, 5)) >= 48 for k in range(5))
