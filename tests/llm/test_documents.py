@@ -524,3 +524,13 @@ def test_changed_passages_are_found(spark):
         assert abs(r.similarity - passages._common(a, b) / max(len(a), len(b))) < 1e-9 and r.similarity > 0.8 - 1e-9
     found = {r.doc_id // 2 for r in got}
     assert all(sum(i in found for i in range(k, 250, 5)) >= 48 for k in range(5))
+
+
+def test_passage_repeated_inside_one_document(spark):
+    rnd = random.Random(13)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    p = words(60)
+    rows = [(1, words(30) + p + words(300) + p + words(200) + p + words(10)), (2, words(40) + p + words(5)), (3, words(200))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows + rows[:1]], "doc_id long, text string")
+    assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == {
+        (1, 390, 450, 1, 30, 90), (1, 650, 710, 1, 30, 90), (2, 40, 100, 1, 30, 90)}
