@@ -364,6 +364,27 @@ def test_phrases_are_longest_matches():
             assert want <= n <= want + 1, (t, lang)
 
 
+@pytest.mark.parametrize("cells", [langid.DENSE_CELLS, 0] if hasattr(langid, "DENSE_CELLS") else [0])
+def test_every_letter_of_a_large_script_counts(monkeypatch, cells):
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells, raising=False)
+    rnd = random.Random(14)
+    signs = [chr(0x4E00 + i) for i in range(1500)]
+    zipf = [1 / (i + 1) for i in range(len(signs))]
+    zh = "".join(signs) + "".join(rnd.choices(signs, zipf, k=6000))
+    ja = "".join(chr(0x3041 + rnd.randrange(80)) for _ in range(900))
+    samples = {"zh": [zh[:4000], zh[4000:]], "ja": [ja], **{k: [v] for k, v in PROSE.items()}}
+    model = langid.Model(samples)
+    texts = ["".join(signs[900:1100]), "".join(rnd.choices(signs, zipf, k=200)), ja[100:300], "über den " + signs[1400] * 3,
+             zh[3950:4050], "ΑΒΓ"]
+    counts, size = model.phrases(texts)
+    for t, row in zip(texts, counts):
+        for lang, n in zip(model.languages, row):
+            sample = "".join("".join(map(chr, langid.normalise(v))) + " " for v in samples[lang])
+            want = longest_matches("".join(map(chr, langid.normalise(t))), sample)
+            assert want <= n <= want + 1, (t, lang)
+    assert model.predict(texts[:3])[0] == ["zh", "zh", "ja"] and counts[0][model.languages.index("zh")] <= 2
+
+
 def test_language_id(spark, odd_docs, no_docs, clashing):
     model = langid.fit(odd_docs)
     got = {r.doc_id: r for r in langid.identify(clashing(odd_docs).drop("score", "lang_pred"), model).collect()}

@@ -6,13 +6,14 @@ that occurs in the language's sample, again and again. The language that needs
 the fewest phrases per letter position wins.
 
 Text is normalised to lower-case letters with single spaces between words; the
-alphabet is the letters of the samples (at most ``MAX_ALPHABET``, the most
-frequent ones), every other letter is one foreign symbol that no sample holds.
+alphabet is all letters of the samples, every other letter is one foreign symbol
+that no sample holds.
 
 Following the transitions of a suffix automaton greedily is a finite-state
 machine: a missing transition ends the phrase and starts the next one at the
-root. The machine is one table per language, so all texts of a batch advance
-together, one symbol a step. Texts are laid in rows of ``SEGMENT`` symbols; a
+root. The machine is one table per language over the letters of its own sample
+(for many letters, only the transitions that exist), so all texts of a batch
+advance together, one symbol a step. Texts are laid in rows of ``SEGMENT`` symbols; a
 row starts at the root, which adds at most one phrase per row and language.
 """
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 SEGMENT = 256
-MAX_ALPHABET = 250
+#: A machine of more cells than this keeps its transitions as a sorted list.
+DENSE_CELLS = 1 << 25
 #: Bounds of the labelled sample the models are fitted on (documented
 #: parameters): documents per language, and characters per document.
 SAMPLE_DOCS = 60
@@ -72,24 +74,43 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def machine(self, n_symbols: int) -> np.ndarray:
-        """Table over (state, symbol): next state * 4 + number of phrases that
-        ended. Symbol 0 is padding: it leads to the root and ends nothing; a
-        symbol unknown to the sample is a phrase of its own."""
-        root = np.zeros(n_symbols, np.int32)
-        for c, q in self.next[0].items():
-            root[c] = q
-        table = np.tile(root * 4 + 1, (len(self.next), 1))
-        table[0] = root * 4
-        known = np.zeros(n_symbols, bool)
-        known[list(self.next[0])] = True
-        table[:, ~known] = 2
-        table[0, ~known] = 1
-        for s, nxt in enumerate(self.next):
-            for c, q in nxt.items():
-                table[s, c] = q * 4
-        table[:, 0] = 0
-        return table
+    def machine(self) -> Machine:
+        return Machine(self)
+
+
+class Machine:
+    """Steps of an automaton: from (state, column) to next state * 4 + number of
+    phrases that ended. ``letters`` are its symbols in order; column 0 is padding:
+    it leads to the root and ends nothing; columns 1.. are the letters; the last
+    one is any symbol unknown to the sample, a phrase of its own."""
+
+    def __init__(self, automaton: SuffixAutomaton) -> None:
+        self.letters = sorted(automaton.next[0])
+        column = {c: i + 1 for i, c in enumerate(self.letters)}
+        self.width = len(column) + 2
+        links = [(s * self.width + column[c], q * 4) for s, nxt in enumerate(automaton.next) for c, q in nxt.items()]
+        keys, steps = np.array(links, np.int64).reshape(-1, 2).T
+        # Without a transition the phrase ends and the letter starts the next one.
+        self.default = np.zeros(self.width, np.int32)
+        for c, q in automaton.next[0].items():
+            self.default[column[c]] = q * 4 + 1
+        self.default[-1] = 2
+        self.cells = None
+        if len(automaton.next) * self.width <= DENSE_CELLS:
+            self.cells = np.tile(self.default, len(automaton.next))
+            self.cells[self.width - 1] = 1
+            self.cells[keys] = steps
+        else:
+            order = np.argsort(keys)
+            self.keys, self.steps = keys[order], steps[order].astype(np.int32)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        if self.cells is not None:
+            return self.cells[state * self.width + column]
+        key = state.astype(np.int64) * self.width + column
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out = np.where(self.keys[at] == key, self.steps[at], self.default[column])
+        return out - ((state == 0) & (column == self.width - 1)).astype(np.int32)
 
 
 _LETTER: np.ndarray | None = None
@@ -154,14 +175,14 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
         self.samples = samples
-        self._tables: list[np.ndarray] | None = None
+        self._tables: list[Machine] | None = None
         self._map: np.ndarray | None = None
 
     def __getstate__(self):
         return {"languages": self.languages, "samples": self.samples, "_tables": None, "_map": None}
 
     @property
-    def tables(self) -> list[np.ndarray]:
+    def tables(self) -> list[Machine]:
         if self._tables is None:
             self._build(self.samples)
         return self._tables
@@ -169,26 +190,20 @@ class Model:
     def _build(self, samples: dict[str, list[str]]) -> None:
         texts = {k: [normalise(t) for t in v] for k, v in samples.items()}
         points = np.concatenate([np.zeros(0, np.uint32), *[x for v in texts.values() for x in v]])
-        values, counts = np.unique(points, return_counts=True)
-        best = values[np.lexsort((values, -counts))][:MAX_ALPHABET]
-        #: 0 padding, 1.. the alphabet, last: letters outside of it
-        self.symbol = {int(c): i + 1 for i, c in enumerate(sorted(best))}
-        self.n_symbols = len(best) + 2
-        self._map = None
+        #: 0 padding, 1.. the alphabet (with the space that ends each text), last:
+        #: letters outside of it
+        alphabet = np.union1d(points, np.array([32], np.uint32))
+        self.n_symbols = len(alphabet) + 2
+        self._map = np.full(sys.maxunicode + 1, self.n_symbols - 1, np.min_scalar_type(self.n_symbols - 1))
+        self._map[alphabet] = np.arange(1, len(alphabet) + 1)
         self._tables = []
         for lang in self.languages:
             line: list[int] = []
             for x in texts[lang]:
-                line += self.encode(x).tolist() + [self.symbol.get(32, self.n_symbols - 1)]
-            foreign = self.n_symbols - 1
-            self._tables.append(SuffixAutomaton(c for c in line if c != foreign).machine(self.n_symbols))
+                line += self.encode(x).tolist() + [int(self._map[32])]
+            self._tables.append(SuffixAutomaton(line).machine())
 
     def encode(self, points: np.ndarray) -> np.ndarray:
-        if self._map is None:
-            m = np.full(sys.maxunicode + 1, self.n_symbols - 1, np.uint8)
-            for c, i in self.symbol.items():
-                m[c] = i
-            self._map = m
         return self._map[points]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +212,7 @@ class Model:
         points, size = normalise_batch(texts)
         rows = -(-size // SEGMENT)
         total = int(rows.sum())
-        flat = np.zeros(total * SEGMENT, np.uint8)
+        flat = np.zeros(total * SEGMENT, self._map.dtype)
         begin = (np.cumsum(rows) - rows) * SEGMENT
         shift = begin - (np.cumsum(size) - size)
         flat[np.arange(len(points)) + np.repeat(shift, size)] = self.encode(points)
@@ -205,11 +220,13 @@ class Model:
         out = np.zeros((len(texts), len(tables)), np.int64)
         of = np.repeat(np.arange(len(texts)), rows)
         for k, table in enumerate(tables):
-            width, cells = table.shape[1], table.ravel()
+            column = np.full(self.n_symbols, table.width - 1, np.min_scalar_type(table.width - 1))
+            column[0] = 0
+            column[table.letters] = np.arange(1, table.width - 1)
             state = np.zeros(total, np.int32)
             count = np.zeros(total, np.int32)
             for c in steps:
-                step = cells[state * width + c]
+                step = table.step(state, column[c])
                 count += step & 3
                 state = step >> 2
             out[:, k] = np.bincount(of, count, minlength=len(texts)).astype(np.int64)
