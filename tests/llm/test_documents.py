@@ -338,6 +338,20 @@ def test_pretokens_follow_the_pattern():
     assert [got[i:j] for i, j in zip(cut.bounds, cut.bounds[1:])] == [pattern.findall(t) for t in texts]
 
 
+def test_token_counts_of_unknown_code_points():
+    pieces = token_counts.load_pieces(token_counts.default_vocabulary())
+    own = token_counts.counter(token_counts.default_vocabulary())
+    pattern = __import__("regex").compile(__import__("public_tokenizers").PATTERN)
+    texts = ["!\u0378!", "a \u0378\u0378. b", "\u0378", "plain text", ""] + [t for t in messy(1500, 15) if "x" * 300 not in t]
+    assert sum("\u0378" in t for t in texts) > 200
+    for size in (len(texts), 1):
+        part = texts if size > 1 else texts[:200]
+        for i in range(0, len(part), size):
+            for t, p, n in zip(part[i:i + size], *own.count(part[i:i + size])):
+                cut = pattern.findall(t)
+                assert p == len(cut) and n == sum(best_cut(c.encode(), pieces) for c in cut), t
+
+
 # -- language -----------------------------------------------------------------
 
 def longest_matches(text, sample):

@@ -9,10 +9,13 @@ The distinct pre-tokens of a batch, sorted, are the depth-first walk of their
 trie: going from one to the next, the forward scores of the shared prefix are
 there already, and only the new suffix is computed. The count at the end of a
 pre-token is stored and looked up from then on by every text of the worker.
+Texts with code points that Python's Unicode tables do not know are cut by the
+published pattern itself.
 """
 from __future__ import annotations
 
 import base64
+import functools
 import math
 
 import numpy as np
@@ -32,6 +35,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@functools.lru_cache(1)
+def _pattern():
+    import public_tokenizers
+    import regex
+    return regex.compile(public_tokenizers.PATTERN)
+
+
 def load_pieces(path: str) -> dict[bytes, float]:
     """Log probability of each piece: Zipf's law over the ranks of the file."""
     with open(path, "rb") as f:
@@ -81,6 +91,8 @@ class Counter:
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pre-tokens, tokens) of each text."""
         cut = Cut(texts)
+        if cut.odd.any():
+            return self._split(texts, cut.odd)
         if len(self.keys) > CACHE:
             self._clear()
         key, where, back = np.unique(cut.key, return_index=True, return_inverse=True)
@@ -99,6 +111,17 @@ class Counter:
         total = np.concatenate([[0], np.cumsum(self.tokens[at[back]])])
         return np.diff(cut.bounds), np.diff(total[cut.bounds])
 
+    def _split(self, texts: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with unknown code points are cut by the pattern."""
+        pre, tok = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        pre[~odd], tok[~odd] = self.count([t for t, o in zip(texts, odd) if not o])
+        for i in np.flatnonzero(odd).tolist():
+            words = [w.encode("utf-8", "surrogatepass") for w in _pattern().findall(texts[i])]
+            distinct = sorted(set(words))
+            of = dict(zip(distinct, trie_counts(distinct, self.pieces, self.longest)))
+            pre[i], tok[i] = len(words), sum(of[w] for w in words)
+        return pre, tok
+
 
 _COUNTERS: dict[str, Counter] = {}
 
