@@ -103,7 +103,7 @@ def test_no_vectors(spark):
 
 def test_registered():
     names = E.queries()
-    assert {q.split("_")[0] for q in names if re.match(r"op\d+_", q)} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in names if re.match(r"op\d+_", q)} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..sources.tables import read_table
-from . import (decontaminate, embeddings, langid, mixing, passages, pii, simhash, token_counts, token_shards, warc)
+from . import (centroids, conversations, decontaminate, embeddings, langid, licenses, mixing, passages, pii, simhash,
+               token_counts, token_shards, warc)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +68,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))[0]
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return conversations.repair(conversations.damaged(rows)).report.withColumnRenamed("sha", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_benchmark_decontamination, op3_source_mixing, op4_pii, op5_warc, op6_token_ids,
-    op7_embedding_near_dedup, op8_token_counts, op9_language_id, op10_simhash_near_dedup)}
+    op7_embedding_near_dedup, op8_token_counts, op9_language_id, op10_simhash_near_dedup,
+    op11_license_scan, op12_centroid_clustering, op13_conversation_repair)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {}
@@ -136,3 +153,83 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM q
 """
+
+
+def _centroid_sql(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds are written out one after the other."""
+    assign = """
+a{r} AS (SELECT p.r, arg_min(c.j, {{'d': list_sum(list_transform(list_zip(p.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'j': c.j}}) AS j,
+        min(list_sum(list_transform(list_zip(p.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+      FROM p, c{r} c GROUP BY p.r)"""
+    update = """,
+s{r} AS (SELECT j, k, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(p.v) AS x, unnest(range(64)) AS k FROM a{r} a JOIN p USING (r)) GROUP BY j, k),
+m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS HUGEINT) ORDER BY k) AS c FROM s{r} GROUP BY j),
+c{n} AS (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (j)),"""
+    return ("""
+WITH p AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM p ORDER BY j LIMIT 16),"""
+            + "".join(assign.format(r=r) + update.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN p USING (r) JOIN c{rounds} USING (j)
+""")
+
+
+ORACLE["op12_centroid_clustering"] = _centroid_sql()
+
+
+def _repair_sql() -> str:
+    """One recursion step a message; a state holds its best (cost, audit, text)."""
+    # CRC-32 as a reduction: each byte is taken in, then eight shifts.
+    crc = ("xor(list_reduce(flatten(list_transform(range(1, strlen(key) + 1), lambda i: [CAST(1000 + ('0x' || hex(encode(key))[2 * i - 1 : 2 * i])::BIGINT AS BIGINT), "
+           "1, 1, 1, 1, 1, 1, 1, 1])), lambda c, b: CASE WHEN b >= 1000 THEN xor(c, b - 1000) "
+           "ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295)")
+    ins = lambda s, role: f"{{'c': {s}.c + 5, 'a': {s}.a || 'I', 't': {s}.t || '{role}:' || chr(10)}}"
+    never = "{'c': 1000000000000::BIGINT, 'a': '', 't': ''}"
+    # After a message: nothing yet, after system, after user, after assistant.
+    plain = ("SELECT {key}, list_min([{d0}]) AS s0, list_min([{d1}]) AS s1, list_min([{d2}]) AS s2, list_min([{d3}]) AS s3 {rest}")
+    drop = lambda s: f"{{'c': {s}.c + 2, 'a': {s}.a || 'D', 't': {s}.t}}"
+    more = "CASE fault WHEN 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda s, i: (f"CASE WHEN NOT gone AND left(role, 1) = '{i}' THEN {{'c': {s}.c + {more}, 'a': {s}.a || 'K', "
+                         f"'t': {s}.t || role || ':' || text || chr(10)}} ELSE {never} END")
+    turn = lambda s, r: (f"CASE WHEN NOT gone THEN {{'c': {s}.c + 1 + {more}, 'a': {s}.a || 'R', "
+                         f"'t': {s}.t || '{r}:' || text || chr(10)}} ELSE {never} END")
+    step = plain.format(key="l.conv_id, l.i + 1 AS i, l.c", rest="FROM l JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i + 1",
+                        d0=drop("q0"), d1=f"{drop('q1')}, {keep('q0', 's')}",
+                        d2=", ".join([drop("q2"), *[keep(s, "u") for s in ("q0", "q1", "q3")], *[turn(s, "user") for s in ("q0", "q1", "q3")]]),
+                        d3=", ".join([drop("q3"), keep("q2", "a"), turn("q2", "assistant")]))
+
+    def closed(source: str) -> str:
+        """Two inserts at most follow a message."""
+        one = (f"SELECT conv_id, i, c, s0, s1, list_min([s2, {ins('s0', 'user')}, {ins('s1', 'user')}, {ins('s3', 'user')}]) AS s2, s3, s2 AS o2 FROM ({source})")
+        return f"SELECT conv_id, i, c, s0 AS q0, s1 AS q1, s2 AS q2, list_min([s3, {ins('s2', 'assistant')}]) AS q3 FROM ({one})"
+
+    begin = f"SELECT conv_id, 0::BIGINT AS i, 0 AS c, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM ids"
+    return rf"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations),
+d AS (SELECT *, {crc} % 20 AS fault FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+e AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN ''
+             WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+             left(lag(role) OVER w, 1) AS before, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM e
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy)),
+f AS (SELECT *, fault IN ('blank', 'duplicate') AS gone FROM (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+             WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n)),
+l AS ({closed(begin)} UNION ALL {closed(step)}),
+g AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+b AS (SELECT l.conv_id, list_min([q0, q3]) AS best FROM l LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id
+      WHERE l.i = coalesce(g.n, 0))
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(best.t[1 : length(best.t) - 1]) AS repaired_sha256
+FROM b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair_sql()
