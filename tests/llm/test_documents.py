@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 import xxhash
 
 from tests.llm.conftest import PROSE, odd_rows
@@ -254,12 +255,14 @@ def messy(n, seed):
 
 def test_encoder_equals_the_library():
     enc = tokens.Encoder(tokens.default_vocabulary())
+    plain = Tokenizer.from_file(tokens.default_vocabulary())
+    assert enc.encode(["hello <|endoftext|> x"])[0].tolist() == [31373, 220, 50256, 2124]
     texts = messy(8000, 3) + [r[1] or "" for r in odd_rows()]
     for size in (1, 500):
         part = texts[:400] if size == 1 else texts
         for i in range(0, len(part), size):
             ids, n = enc.encode(part[i:i + size])
-            want = [e.ids for e in enc.tokenizer.encode_batch(part[i:i + size], add_special_tokens=False)]
+            want = [e.ids for e in plain.encode_batch(part[i:i + size], add_special_tokens=False)]
             assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
 
 
@@ -280,7 +283,7 @@ def test_repair_round_trip():
 
 
 def test_token_shards(spark, odd_docs, no_docs, clashing):
-    enc = tokens.Encoder(tokens.default_vocabulary()).tokenizer
+    enc = Tokenizer.from_file(tokens.default_vocabulary())
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, ))
     got = token_shards.token_output(clashing(odd_docs)).collect()
     ids = {}
@@ -416,6 +419,12 @@ def test_language_id(spark, odd_docs, no_docs, clashing):
     assert all(r.lang_pred == "und" for r in nothing)
 
 
+def test_marks_alone_are_no_text(odd_docs):
+    model = langid.fit(odd_docs)
+    lang, score, _ = model.predict(["\u0301\u0302", "e\u0301", "1 \u0301 2", "", "the quick brown \u0301 fox"])
+    assert [x == "und" for x in lang] == [True, False, True, True, False] and score[0] == score[2] == 0
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(i, "zzz yyy" if zlib.crc32(str(i).encode()) % 3 == 1 else "abc abd", "aa") for i in range(60)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -154,7 +155,7 @@ def test_pipeline_against_plain_python(spark):
     assert abs(sum(size(r.text) for r in four) - 1.5 * sum(size(r.text) for r in three)) <= max(size(r.text) for r in three)
 
     five = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.start)
-    enc = tokens.Encoder(tokens.default_vocabulary()).tokenizer
+    enc = Tokenizer.from_file(tokens.default_vocabulary())
     assert [r.doc_id for r in five] == sorted(r.doc_id for r in four)
     text, at = {r.doc_id: r.text for r in three}, 0
     for r in five:

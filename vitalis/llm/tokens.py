@@ -1,7 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 A text's ids are the ids of its pre-tokens in a row, so each distinct pre-token
-is encoded by the library once per worker and looked up from then on.
+is encoded by the library once per worker and looked up from then on. A text that
+holds the string of an added token (such as ``<|endoftext|>``), which the library
+cuts out before it looks for pre-tokens, goes to the library as it is.
 """
 from __future__ import annotations
 
@@ -27,10 +29,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # The same model for single pre-tokens, which need no cutting.
         self.single = Tokenizer.from_file(path)
-        self.single.encode_special_tokens = True
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
@@ -71,8 +72,9 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = Cut(texts)
-        if cut.odd.any():
-            return self._split(texts, cut.odd)
+        odd = cut.odd | np.array([any(a in t for a in self.added) for t in texts], bool)
+        if odd.any():
+            return self._split(texts, odd)
         if len(self.keys) > CACHE:
             self._clear()
         key, where, back = np.unique(cut.key, return_index=True, return_inverse=True)
@@ -90,7 +92,7 @@ class Encoder:
         return ids, np.diff(total[cut.bounds])
 
     def _split(self, texts: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with unknown code points go to the library as they are."""
+        """Texts with unknown code points or added tokens go to the library as they are."""
         out, sizes = [], []
         for t, o in zip(texts, odd):
             if o:
