@@ -114,10 +114,12 @@ class Machine:
 
 
 _LETTER: np.ndarray | None = None
+_MARK: np.ndarray | None = None
 
 
 def _fold_table() -> np.ndarray:
-    """Lower-case code point of each letter, 32 for everything else."""
+    """Lower-case code point of each letter, a combining mark as it is, 32 for
+    everything else."""
     global _LETTER
     if _LETTER is None:
         t = np.full(sys.maxunicode + 1, 32, np.uint32)
@@ -130,6 +132,14 @@ def _fold_table() -> np.ndarray:
     return _LETTER
 
 
+def _mark_table() -> np.ndarray:
+    """Combining marks: symbols of a text, but no letters."""
+    global _MARK
+    if _MARK is None:
+        _MARK = np.array([unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
+    return _MARK
+
+
 def normalise(text: str | None) -> np.ndarray:
     """Code points of the text's letters, lower-cased, words apart by single
     spaces, without outer spaces. Empty when there is no letter."""
@@ -208,8 +218,11 @@ class Model:
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each text in each language, symbols of each text)."""
-        tables = self.tables
         points, size = normalise_batch(texts)
+        return self._count(points, size), size
+
+    def _count(self, points: np.ndarray, size: np.ndarray) -> np.ndarray:
+        tables = self.tables
         rows = -(-size // SEGMENT)
         total = int(rows.sum())
         flat = np.zeros(total * SEGMENT, self._map.dtype)
@@ -217,8 +230,8 @@ class Model:
         shift = begin - (np.cumsum(size) - size)
         flat[np.arange(len(points)) + np.repeat(shift, size)] = self.encode(points)
         steps = np.ascontiguousarray(flat.reshape(total, SEGMENT).T)
-        out = np.zeros((len(texts), len(tables)), np.int64)
-        of = np.repeat(np.arange(len(texts)), rows)
+        out = np.zeros((len(size), len(tables)), np.int64)
+        of = np.repeat(np.arange(len(size)), rows)
         for k, table in enumerate(tables):
             column = np.full(self.n_symbols, table.width - 1, np.min_scalar_type(table.width - 1))
             column[0] = 0
@@ -229,9 +242,9 @@ class Model:
                 step = table.step(state, column[c])
                 count += step & 3
                 state = step >> 2
-            out[:, k] = np.bincount(of, count, minlength=len(texts)).astype(np.int64)
+            out[:, k] = np.bincount(of, count, minlength=len(size)).astype(np.int64)
         # The phrase still open at the end of a row counts as one.
-        return out + rows[:, None], size
+        return out + rows[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, closed phrases per symbol). The score is the margin
@@ -239,7 +252,8 @@ class Model:
         with one language; 0 for ``und``. Ties go to the first by code point."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        counts, size = self.phrases(texts)
+        points, size = normalise_batch(texts)
+        counts = self._count(points, size)
         best = counts.argmin(axis=1)
         low = counts[np.arange(len(texts)), best]
         if counts.shape[1] > 1:
@@ -247,7 +261,8 @@ class Model:
             score = 1 - low / np.maximum(second, 1)
         else:
             score = np.ones(len(texts))
-        blank = size == 0
+        letter = ~(_mark_table()[points] | (points == 32))
+        blank = np.bincount(np.repeat(np.arange(len(size)), size)[letter], minlength=len(size)) == 0
         score = np.where(blank, 0.0, score)
         rate = np.where(blank, 0.0, (low - -(-size // SEGMENT)) / np.maximum(size, 1))
         return [UNKNOWN if b else self.languages[i] for b, i in zip(blank, best)], score, rate
@@ -278,7 +293,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """``keep`` columns (default: doc_id) plus lang_pred, score (0 to 1) and
     phrase_rate (phrases closed per symbol in the predicted language).
 
-    A text that is null or has no letter is ``und`` with score 0. With nothing
+    A text that is null or has no letter (combining marks alone are none) is
+    ``und`` with score 0. Repeated rows are judged each, ties go to the first
+    language by code point, an empty table gives none. With nothing
     to learn from, every text is ``und``. Only the text is looked at.
     """
     keep = keep or ["doc_id"]
@@ -320,7 +337,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 def known_language_only(docs: DataFrame, max_phrase_rate: float = MAX_PHRASE_RATE) -> DataFrame:
     """``docs`` without the rows that are rejected: no letter, or text so unlike
     every language of the sample that its phrases are shorter than
-    1 / ``max_phrase_rate`` symbols on average."""
+    1 / ``max_phrase_rate`` symbols on average. Null and empty texts go; repeated
+    rows stay or go together; columns of any name and type are kept as they are.
+    Without labelled rows nothing is recognised and all rows go."""
     names = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the answers
     src = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
     out = identify(src, fit(docs), keep=list(names.values()))
