@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and on odd rows."""
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,8 @@ from tests.llm.conftest import PROSE, odd_rows
 from vitalis.llm import decontaminate, langid, mixing, passages, pii, pretokens, repair, simhash, token_counts, token_shards, tokens
 from vitalis.llm.common import components, forest
 
+SF = "/root/testdata/sf0.001"
+
 
 def lower(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
@@ -577,4 +580,43 @@ def test_passage_repeated_inside_one_document(spark):
     rows = [(1, words(30) + p + words(300) + p + words(200) + p + words(10)), (2, words(40) + p + words(5)), (3, words(200))]
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows + rows[:1]], "doc_id long, text string")
     assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == {
-        (1, 390, 450, 1, 30, 90), (1, 650, 710, 1, 30, 90), (2, 40, 100, 1, 30, 90)}
+        (1, 390, 450, 1, 30, 90), (1, 650, 710, 1, 390, 450), (2, 40, 100, 1, 30, 90)}
+
+
+def test_short_periods_are_one_passage(spark):
+    rnd = random.Random(17)
+    cycle = [f"c{rnd.randrange(10 ** 7)}" for _ in range(30)]
+    rows = [(1, "word " * 5000), (2, "a b " * 3000), (3, " ".join(cycle * 60)), (4, "word " * 4000), (5, " ".join(cycle[7:] + cycle * 50))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) <= 20
+    for i, n in ((1, 4990), (2, 5980), (3, 1730), (4, 3990), (5, 1440)):
+        hit = set()
+        for r in got:
+            if r.doc_id == i:
+                hit.update(range(r.first_word, r.end_word))
+        assert len(hit) >= n, (i, len(hit))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_passages_of_a_table_against_all_pairs(spark):
+    """Every word of an equal run of 40 words or more with an earlier place (that is not
+    the same text less than a seed window before), found by comparing everything with
+    everything, is covered; and every passage is one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: decontaminate.words_of(r.text) for r in docs.collect()}
+    got = passages.repeated_passages(docs).collect()
+    hit = {i: set() for i in words}
+    for r in got:
+        a, b = words[r.doc_id][r.first_word:r.end_word], words[r.source_id][r.source_first_word:r.source_end_word]
+        assert min(len(a), len(b)) >= 40 and (r.source_id, r.source_first_word) < (r.doc_id, r.first_word)
+        assert abs(r.similarity - passages._common(a, b) / max(len(a), len(b))) < 1e-9 and r.similarity >= 0.8 - 1e-9
+        hit[r.doc_id].update(range(r.first_word, r.end_word))
+    seen, due = {}, 0
+    for i in sorted(words):
+        for k in range(len(words[i]) - 39):
+            run = tuple(words[i][k:k + 40])
+            first = seen.setdefault(run, (i, k))
+            if first[0] < i or k - first[1] >= passages.WINDOW:
+                due += 1
+                assert hit[i].issuperset(range(k, k + 40)), (i, k)
+    assert due > 1000
