@@ -40,5 +40,7 @@ def clashing(spark):
 
     def add(df):
         return df.withColumns({c: F.lit(7) for c in ("size", "fp", "row", "score", "lang_pred", "n_words", "items", "part",
-                                                     "kept", "window", "copies", "x", "n_tokens", "path")})
+                                                     "kept", "window", "copies", "x", "n_tokens", "path", "at", "row_", "__at",
+                                                     "__id", "__hash", "__row", "__marks", "a b")}
+                              ).withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
     return add

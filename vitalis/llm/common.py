@@ -22,9 +22,20 @@ NO_ID = -(1 << 63)
 
 def row_key(df: DataFrame, columns: list[str]) -> list:
     """Two columns, __id and __hash, that name a row by doc_id and by the hash of
-    ``columns``: rows with the same pair are repeats of one row."""
+    ``columns``: rows with the same pair are repeats of one row. Values that have no
+    hash of their own (maps, variants) count by their JSON."""
+    def value(c: str):
+        kind = df.schema[c].dataType.simpleString()
+        plain = "map<" not in kind and "variant" not in kind
+        return F.col(f"`{c}`") if plain else F.to_json(F.struct(F.col(f"`{c}`")))
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"),
-            F.xxhash64(*[F.col(c) for c in columns]).alias("__hash")]
+            F.xxhash64(*[value(c) for c in columns]).alias("__hash")]
+
+
+def nested(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The row as one column, __row, with its key beside it: free of clashes with
+    whatever is joined to it. ``select("__row.*")`` gives the row back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *row_key(df, columns))
 
 
 #: Rows of whole texts or payloads that a Python worker holds at once.

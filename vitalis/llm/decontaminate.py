@@ -185,8 +185,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 
 def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated ones."""
+    """``docs`` without the contaminated ones. Null and empty texts stay, and with an
+    empty benchmark everything; repeated rows stay or go together; columns of any
+    name and type are kept as they are."""
     names = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the marks
-    src = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text"))
     out = contamination(src, items, window, keep=list(names.values())).where(~F.col("contaminated"))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -341,7 +341,7 @@ def known_language_only(docs: DataFrame, max_phrase_rate: float = MAX_PHRASE_RAT
     rows stay or go together; columns of any name and type are kept as they are.
     Without labelled rows nothing is recognised and all rows go."""
     names = {c: f"__doc{i}" for i, c in enumerate(docs.columns)}  # free of clashes with the answers
-    src = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text"))
     out = identify(src, fit(docs), keep=list(names.values()))
     return (out.where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= max_phrase_rate))
             .select(*[F.col(n).alias(c) for c, n in names.items()]))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import nested, row_key, written
 
 BITS = 14
 WEIGHTS = (3, 1, 2)
@@ -142,12 +142,14 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is
     taken, in the order of virtual finish times over all sources. Texts move
-    twice: to the times of their row, and to their place in the order."""
-    key = row_key(docs, docs.columns)
-    base = _base(docs, *key)
+    twice: to the times of their row, and to their place in the order.
+
+    Nulls, empty texts, ties, repeated rows and empty tables are treated as
+    ``mix_plan`` says. Columns of any name and type are kept as they are."""
+    base = _base(docs, *row_key(docs, docs.columns))
     plan = _plan(base, weights, share, max_repeats)
     # Repeats of a row share the key; each has its own times.
     taken = (base.select("__id", "__hash", "row").join(plan, "row")
-             .select("__id", "__hash", "row", F.explode("finish").alias("__at")).withColumnRenamed("row", "__row"))
-    return (docs.select("*", *key).dropDuplicates(["__id", "__hash"]).join(taken, ["__id", "__hash"])
-            .repartitionByRange("__at", "__row").sortWithinPartitions("__at", "__row").select(*docs.columns))
+             .select("__id", "__hash", "row", F.explode("finish").alias("at")))
+    return (nested(docs, docs.columns).dropDuplicates(["__id", "__hash"]).join(taken, ["__id", "__hash"])
+            .repartitionByRange("at", "row").sortWithinPartitions("at", "row").select("__row.*"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Links, components, row_key, small_batches, written
+from .common import Links, components, nested, row_key, small_batches, written
 
 PARTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 HALVES = ((0, 1), (2, 3))
@@ -256,8 +256,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
-    doc_id; of rows with that id and fingerprint the one of least text hash."""
+    doc_id; of rows with that id and fingerprint the one of least text hash. Null
+    and wordless texts are one component; a component whose ids are all null keeps
+    one row; an empty table stays empty. Columns of any name and type are kept as
+    they are."""
     kept = (_answers(docs, shingle, max_bits).where("kept")
             .groupBy("__id", "fp").agg(F.min("__hash").alias("__hash")).select("__id", "__hash"))
-    return (docs.select("*", *row_key(docs, ["text"])).join(kept, ["__id", "__hash"], "left_semi")
-            .dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    return (nested(docs, ["text"]).join(kept, ["__id", "__hash"], "left_semi")
+            .dropDuplicates(["__id", "__hash"]).select("__row.*"))
