@@ -1,13 +1,19 @@
 """The corpus pipeline: five stages over ``documents``, each one of the operators
 of ``vitalis.llm``. Every stage's result is written as Parquet and reread as the
 next one's documents; all but the last return the columns of ``documents``.
+
+Null and empty texts have no language and go in the first stage. Repeated rows are
+judged alike; of a component, repeats included, one row stays in the second. Rows with
+a null doc_id are documents like others and never name a component. An empty table
+stays empty in every stage. Columns beside doc_id, text, lang and source are carried
+along, whatever their names and types.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalis.llm import decontaminate, langid, mixing, simhash, token_shards
-from vitalis.llm.common import written
+from vitalis.llm.common import discard, written
 from vitalis.sources.tables import read_table
 
 
@@ -48,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = written(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
