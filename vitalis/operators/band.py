@@ -2,10 +2,11 @@
 snapshot upsert -> readiness.
 
 Shuffle plan. All kinds (sleep sessions, heart rate, steps, stress) become
-long rows and one aggregation by (file, user, day) computes every metric: a
-hot user is spread over its days, the sums / counts / max are partial
-(map-side) aggregates, and the resting-HR percentile buffers the readings of
-one user-day only. The cross-file merge is one more group by (user, day), and
+long rows and one aggregation by (file, user, day, heart reading) computes every
+metric: sums, counts, maxima and the histogram of a day's heart readings are partial
+(map-side) aggregates, so a hot user, or a hot user-day, is combined before the
+shuffle. The resting-HR percentile is found by rank in that histogram, exactly, from a
+day's distinct values. The cross-file merge is one more group by (user, day), and
 only when several files feed an import. Readiness partitions by user over the
 *daily* table (at most one row per user-day), so its window state is bounded
 by the length of a user's history, not by reading volume.
@@ -15,10 +16,10 @@ give the same numbers as ``daily_metrics``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp01, exact_mean, finite_number, truthy
+from ..functions.expr import clamp01, exact_mean, exact_sum, finite_number, truthy
 from ..functions.time import epoch_day, micros_between, offset_minutes, shift_minutes
 from ..sources import dims
 
@@ -63,10 +64,32 @@ def resting_hr_daily(readings: DataFrame, file_col: str | None = None, min_readi
     df = (_with_file(readings, file_col)
           .where((F.col("value") > 30) & (F.col("value") < 220))
           .withColumn("day", F.to_date("ts")))
-    return (df.groupBy(*_keys(df, file_col))
-              .agg(F.percentile("value", 0.05).alias("_p"), F.count("value").alias("_n"))
+    keys = _keys(df, file_col)
+    counted = df.groupBy(*keys, "value").agg(F.count("value").alias("_c"))
+    return (_ranked(counted, keys, "value", 0.05).groupBy(*keys)
+              .agg(_at_rank("value", 0.05).alias("_p"), F.sum("_c").alias("_n"))
               .where(F.col("_n") >= min_readings)
-              .select(*_keys(df, file_col), F.bround("_p", 4).alias("resting_hr")))
+              .select(*keys, F.bround("_p", 4).alias("resting_hr")))
+
+
+def _ranked(counted: DataFrame, keys, value: str, p: float) -> DataFrame:
+    """A histogram (keys, value, _c) with the readings up to each value (_upto) and
+    the rank, from 0 and with a fraction, of the ``p`` quantile (_rank). The
+    histogram is a partial aggregate: it combines before the shuffle, and what is
+    ranked is a day's distinct values, not its readings."""
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (counted.withColumn("_upto", F.sum("_c").over(upto))
+                   .withColumn("_rank", (F.sum("_c").over(w) - 1) * F.lit(p)))
+
+
+def _at_rank(value: str, p: float) -> Column:
+    """The quantile of a ranked histogram: the values on both sides of the rank,
+    interpolated."""
+    low = F.min(F.when(F.col("_upto") >= F.floor("_rank") + 1, F.col(value)))
+    high = F.min(F.when(F.col("_upto") >= F.ceil("_rank") + 1, F.col(value)))
+    rank = F.max("_rank")
+    return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
 
 
 def steps_daily(readings: DataFrame, file_col: str | None = None) -> DataFrame:
@@ -121,7 +144,8 @@ def reading_rows(readings: DataFrame, keys=("user_id",)) -> DataFrame:
 
 def daily_metrics(rows: DataFrame, keys=("user_id",), min_readings: int = 6) -> DataFrame:
     """Long rows of every kind -> one row per (keys, day) with all five
-    metrics, in a single aggregation (one shuffle for all kinds).
+    metrics: one partial aggregation for all kinds, then the ranks of a day's
+    distinct heart readings.
 
     Same rules as the per-kind functions: sleep hours summed and score
     averaged; resting HR = 5th percentile of readings in (30, 220) on days
@@ -131,15 +155,22 @@ def daily_metrics(rows: DataFrame, keys=("user_id",), min_readings: int = 6) ->
     """
     k, v = F.col("kind"), F.col("value")
     hv = F.when((k == "heart") & (v > 30) & (v < 220), v)
-    g = (rows.where(F.col("day").isNotNull())
-             .groupBy(*keys, "day")
-             .agg((F.sum(F.when(k == "sleep", F.col("us"))) / MICROS_PER_HOUR).alias("sleep_hours"),
-                  exact_mean(F.when(k == "sleep", F.col("score"))).alias("sleep_score"),
-                  F.percentile(hv, 0.05).alias("_p"), F.count(hv).alias("_nh"),
-                  F.bround(F.max(F.when(k == "steps", finite_number(v))), 0).try_cast("long").alias("steps"),
-                  exact_mean(F.when(k == "stress", v)).alias("stress"),
-                  F.count_if(k == "sleep").alias("_ns"), F.count_if(k == "steps").alias("_nst"),
-                  F.count_if(k == "stress").alias("_nsr")))
+    score, stress = F.when(k == "sleep", F.col("score")), F.when(k == "stress", v)
+    # A row for each distinct heart reading of a day, one more for all the rest.
+    part = (rows.where(F.col("day").isNotNull())
+                .groupBy(*keys, "day", hv.alias("_hv"))
+                .agg(F.count(hv).alias("_c"), F.sum(F.when(k == "sleep", F.col("us"))).alias("_us"),
+                     exact_sum(score).alias("_ss"), F.count(score).alias("_cs"),
+                     F.max(F.when(k == "steps", finite_number(v))).alias("_steps"),
+                     exact_sum(stress).alias("_sr"), F.count(stress).alias("_cr"), F.count_if(k == "sleep").alias("_ns"),
+                     F.count_if(k == "steps").alias("_nst"), F.count_if(k == "stress").alias("_nsr")))
+    days = [*keys, "day"]
+    mean = lambda s, n: F.when(F.sum(n) > 0, F.sum(s).cast("double") / F.sum(n))
+    g = (_ranked(part, days, "_hv", 0.05).groupBy(*days)
+         .agg((F.sum("_us") / MICROS_PER_HOUR).alias("sleep_hours"), mean("_ss", "_cs").alias("sleep_score"),
+              _at_rank("_hv", 0.05).alias("_p"), F.sum("_c").alias("_nh"),
+              F.bround(F.max("_steps"), 0).try_cast("long").alias("steps"), mean("_sr", "_cr").alias("stress"),
+              *[F.sum(c).alias(c) for c in ("_ns", "_nst", "_nsr")]))
     keep = (F.col("_ns") > 0) | (F.col("_nh") >= min_readings) | (F.col("_nst") > 0) | (F.col("_nsr") > 0)
     return g.where(keep).select(
         *keys, "day", "sleep_hours", "sleep_score",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
+from .listing import numbered_within
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -59,3 +60,25 @@ def write_snapshot(spark: SparkSession, df: DataFrame, name: str, partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
     return spark.read.parquet(target)
+
+
+def upsert_by_name(old: DataFrame, new: DataFrame, scope: list[str], name: str, key: str) -> DataFrame:
+    """Rows of ``new`` saved into ``old`` by ``name`` within ``scope``: a known name
+    keeps its ``key`` and takes the other columns of the new row, a new one gets the
+    next free number of its scope, in the order of the names. Names are unique in each
+    table; ``new`` has the columns of ``old`` but ``key``. Column ``added`` marks the
+    new names. The numbers come from positions over range partitions, so a scope with
+    any number of new names is spread over tasks.
+    """
+    rest = [c for c in old.columns if c not in (*scope, name, key)]
+    by = [*scope, name]
+    both = (old.select(*by, F.col(key).alias("_key"), F.struct(*rest).alias("_old"), F.lit(None).cast(old.select(F.struct(*rest)).schema[0].dataType).alias("_new"))
+            .unionByName(new.select(*by, F.struct(*rest).alias("_new")), allowMissingColumns=True)
+            .groupBy(*by).agg(F.max("_key").alias("_key"), F.max("_old").alias("_old"), F.max("_new").alias("_new")))
+    row = F.coalesce("_new", "_old")
+    values = [row[c].alias(c) for c in rest]
+    known = both.where(F.col("_key").isNotNull()).select(*scope, F.col("_key").alias(key), name, *values, F.lit(False).alias("added"))
+    top = old.groupBy(*scope).agg(F.max(key).alias("_top"))
+    fresh = numbered_within(both.where(F.col("_key").isNull()).select(*by, *values), scope, [name], "_n").join(top, scope, "left")
+    number = (F.coalesce("_top", F.lit(-1)) + F.col("_n")).cast(old.schema[key].dataType)
+    return known.unionByName(fresh.select(*scope, number.alias(key), name, *rest, F.lit(True).alias("added")))

@@ -8,7 +8,7 @@ from ..operators import band, food, weights
 from ..sources import dims
 from ..sources import fixtures as fx
 from . import oracle, weekly
-from .registry import register
+from .registry import ORACLE, register
 
 # ------------------------------------------------------------------ band
 
@@ -1102,3 +1102,145 @@ def q_day_log(spark, sf_dir):
     r = food_rows(spark, sf_dir)
     return (r.where(F.col("day") == F.lit(AS_OF).cast("date"))
              .select("user_id", "day", "food_id", "item", "grams", "kcal", "protein", "carbs", "fat", "line"))
+
+
+# --------------------------------------------- files, archives and commits
+
+
+@register("band_file_import", lambda: ORACLE["band_csv_parse"])
+def q_band_file_import(spark, sf_dir):
+    """The export lines written as files to the shared folder and read back over byte
+    ranges. Lines of every fourth user's sleep file end in a quoted field of two
+    lines, which no metric uses."""
+    from ..sources import band_csv, records
+    from ..sources.storage import fresh
+    lines = export_lines(spark, sf_dir).withColumn("text", F.when(
+        (F.col("user_id") % 4 == 2) & (F.col("line_no") > 1) & F.col("file").endswith("shealth.sleep.csv"),
+        F.concat("text", F.lit(',"a ""note"",\nof two lines"'))).otherwise(F.col("text")))
+    root = fresh(spark, "export")
+    records.write_lines(lines, root)
+    return band_csv.daily_from_lines(band_csv.read_lines(spark, root, range_bytes=1 << 20))
+
+
+@register("band_archive_import", lambda: oracle.with_ctes("""
+, d as (select user_id, day from sleep_daily where user_id % 4 <> 3 union select user_id, day from heart_daily
+  union select user_id, day from steps_daily union select user_id, day from stress_daily),
+f as (select user_id, count(*) as files_used from (
+  select distinct user_id, 's' as k from sleep_daily where user_id % 4 <> 3
+  union all select distinct user_id, 'h' from heart_daily
+  union all select distinct user_id, 'p' || reading_id % 2 from band_reading where metric = 'steps'
+  union all select distinct user_id, 't' from stress_daily) x group by user_id)
+select u.user_id, coalesce(a.days_saved, 0) as days_saved, coalesce(f.files_used, 0) as files_used,
+  cast(case when u.user_id % 7 = 0 then 1 else 0 end as bigint) as archives_rejected
+from (select distinct user_id from events where user_id is not null) u
+left join (select user_id, count(*) as days_saved from d group by user_id) a on a.user_id = u.user_id
+left join f on f.user_id = u.user_id"""))
+def q_band_archive_import(spark, sf_dir):
+    """One zip upload a user, written to the shared folder and read back member by
+    member; every seventh user sends a second one that is cut short. Per user: days
+    saved, files used and archives rejected."""
+    from ..sources import archives, band_csv
+    from ..sources.storage import fresh
+    lines = export_lines(spark, sf_dir)
+    root = fresh(spark, "uploads")
+    archives.write_archives(lines, root)
+    cut = lines.where(F.col("user_id") % 7 == 0).select("user_id").distinct()
+    archives.write_broken(cut, root)
+    back = archives.read_archives(spark, root)
+    saved = band_csv.import_summary(back.where("error is null"))
+    bad = archives.rejected(back).groupBy("user_id").agg(F.count("*").alias("archives_rejected"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return (back.select("user_id").distinct().join(saved, "user_id", "left").join(bad, "user_id", "left")
+            .select("user_id", zero("days_saved"), zero("files_used"), zero("archives_rejected")))
+
+
+# -------------------------------------------------------- ordered listings
+
+
+@register("listing_supplements", lambda: oracle.with_ctes("""
+select user_id, supplement_id, name, dose, timing, active,
+  row_number() over (order by user_id, name, supplement_id, dose, timing, active) - 1 as position from supplements"""))
+def q_listing_supplements(spark, sf_dir):
+    """Supplements of every user in order of their name."""
+    from ..operators import listing
+    s = fx.supplements(spark, sf_dir)
+    return listing.with_positions(s, ["user_id", "name", "supplement_id", "dose", "timing", "active"])
+
+
+@register("listing_weights", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, kg, row_number() over (order by user_id, day) - 1 as position,
+  row_number() over (partition by user_id order by day) as entry from weights"""))
+def q_listing_weights(spark, sf_dir):
+    """Weights of every user by date, with the number of the entry of its user."""
+    from ..operators import listing
+    w = fx.weights(spark, sf_dir).select("user_id", "day", "kg")
+    return listing.with_positions(listing.numbered_within(w, ["user_id"], ["day"], "entry"), ["user_id", "day"])
+
+
+@register("listing_lab_dates", lambda: oracle.with_ctes("""
+select user_id, cast(test_date as varchar) as test_date, markers, row_number() over (order by user_id, test_date desc) - 1 as position
+from (select user_id, test_date, count(*) as markers from lab_results group by user_id, test_date) x"""))
+def q_listing_lab_dates(spark, sf_dir):
+    """Lab reports of every user, the latest first."""
+    from ..operators import listing
+    r = fx.lab_results(spark, sf_dir).groupBy("user_id", "test_date").agg(F.count("*").alias("markers"))
+    return listing.with_positions(r, ["user_id", F.col("test_date").desc()])
+
+
+# ------------------------------------------------ names that keep their id
+
+
+SAVED_SUPPLEMENTS_SQL = """
+, named as (select user_id, name, min(supplement_id) as supplement_id, max(dose) as dose from supplements group by user_id, name),
+old as (select * from named where supplement_id % 4 <> 1),
+new as (select user_id, name, dose || ' x2' as dose from named where supplement_id % 2 = 1),
+top as (select user_id, max(supplement_id) as top from old group by user_id),
+added as (select n.user_id, n.name, n.dose, coalesce(t.top, -1) + row_number() over (partition by n.user_id order by n.name) as supplement_id
+  from new n left join old o on o.user_id = n.user_id and o.name = n.name left join top t on t.user_id = n.user_id where o.name is null),
+saved as (select o.user_id, o.supplement_id, o.name, coalesce(n.dose, o.dose) as dose, false as added
+  from old o left join new n on n.user_id = o.user_id and n.name = o.name
+  union all select user_id, supplement_id, name, dose, true from added)"""
+
+
+def _saved_supplements(spark, sf_dir):
+    from ..operators import snapshot
+    named = (fx.supplements(spark, sf_dir).groupBy("user_id", "name")
+             .agg(F.min("supplement_id").alias("supplement_id"), F.max("dose").alias("dose")))
+    old = named.where("supplement_id % 4 <> 1").select("user_id", "supplement_id", "name", "dose")
+    new = named.where("supplement_id % 2 = 1").select("user_id", "name", F.concat("dose", F.lit(" x2")).alias("dose"))
+    return snapshot.upsert_by_name(old, new, ["user_id"], "name", "supplement_id")
+
+
+@register("upsert_by_name", lambda: oracle.with_ctes(SAVED_SUPPLEMENTS_SQL + """
+select user_id, supplement_id, name, dose, added from saved"""))
+def q_upsert_by_name(spark, sf_dir):
+    """Supplements saved again: a known name keeps its id, a new one gets the next."""
+    return _saved_supplements(spark, sf_dir)
+
+
+@register("log_after_upsert", lambda: oracle.with_ctes(SAVED_SUPPLEMENTS_SQL + """
+select l.user_id, cast(l.day as varchar) as day, l.supplement_id, s.name, l.taken
+from supplement_log l join saved s on s.user_id = l.user_id and s.supplement_id = l.supplement_id where not s.added"""))
+def q_log_after_upsert(spark, sf_dir):
+    """The supplement log still meets its supplements after they were saved again."""
+    s = _saved_supplements(spark, sf_dir).where("not added").select("user_id", "supplement_id", "name")
+    return (fx.supplement_log(spark, sf_dir).join(s, ["user_id", "supplement_id"])
+            .select("user_id", "day", "supplement_id", "name", "taken"))
+
+
+# ------------------------------------------------------- committed appends
+
+
+@register("append_committed", lambda: oracle.with_ctes("""
+select user_id, cast(day as varchar) as day, kg, case when day(day) % 3 = 0 then 'late' else 'early' end as batch from weights"""))
+def q_append_committed(spark, sf_dir):
+    """Two batches of weights appended to a table, the second one twice."""
+    from ..operators import commits
+    from ..sources.storage import fresh
+    w = fx.weights(spark, sf_dir).select("user_id", "day", "kg")
+    table = fresh(spark, "weights")
+    late = w.where(F.dayofmonth("day") % 3 == 0)
+    commits.append_batch(w.where(F.dayofmonth("day") % 3 != 0), table, "early")
+    commits.append_batch(late, table, "late")
+    commits.append_batch(late, table, "late")
+    return commits.read_committed(spark, table)

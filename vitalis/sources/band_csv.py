@@ -1,8 +1,8 @@
 """Wearable export CSVs -> per-kind daily frames.
 
 Input is a line table ``(file, user_id, line_no, text)`` where ``line_no``
-only has to tell the first two lines of a file (0, 1) from the rest; it comes
-from ``read_lines`` (files on storage) or from any DataFrame of lines.
+tells the first two lines of a file (0, 1) from the rest; it comes from
+``read_lines`` (files on storage, numbers exact) or from any DataFrame of lines.
 
 Per file, the first two lines decide the header: when line 0 has fewer commas
 than line 1 it is a metadata line and line 1 is the header. Column names are
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import finite_number, strip
 from ..functions.time import offset_minutes, parse_band_time, shift_minutes
 from ..operators import band
-from . import dims
+from . import dims, records
 
 BOM = "﻿"
 # A comma outside double quotes.
@@ -31,7 +31,7 @@ def csv_fields(line) -> Column:
     quotes removed and doubled quotes undone; empty fields are NULL."""
     t = F.col(line) if isinstance(line, str) else line
     quoted = F.transform(F.split(t, _FIELD_SEP), lambda x: F.regexp_replace(
-        F.regexp_replace(x, r'^"(.*)"$', "$1"), '""', '"'))
+        F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), '""', '"'))
     parts = F.when(F.instr(t, '"') > 0, quoted).otherwise(F.split(t, ","))
     return F.transform(parts, lambda x: F.when(x != "", x))
 
@@ -49,29 +49,11 @@ def route(file_col) -> Column:
              .when(n.contains("stress") & ~n.contains("histogram"), "stress"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Read export files under ``path`` (``.../user_id=<id>/<name>.csv``) as
-    lines with line_no 0 / 1 for the first two lines of each file and 2 for
-    the rest.
-
-    Lines keep file order inside each input split; the split starting at byte
-    0 of a file holds its first lines, so the two smallest row ids of that
-    split are lines 0 and 1 (two small aggregates, no sort of the file).
-    """
-    df = (spark.read.option("recursiveFileLookup", "false").text(path)
-          .select("*", F.col("_metadata.file_path").alias("file"),
-                  F.col("_metadata.file_block_start").alias("_blk"))
-          .withColumn("_id", F.monotonically_increasing_id()))
-    first = df.where(F.col("_blk") == 0)
-    l0 = first.groupBy("file").agg(F.min("_id").alias("_id0"))
-    l1 = first.join(l0, "file").where(F.col("_id") > F.col("_id0")).groupBy("file").agg(F.min("_id").alias("_id1"))
-    heads = l0.join(l1, "file", "left")
-    out = df.join(heads, "file", "left")
-    line_no = F.when(F.col("_id") == F.col("_id0"), 0).when(F.col("_id") == F.col("_id1"), 1).otherwise(2)
-    cols = ["file", line_no.alias("line_no"), F.col("value").alias("text")]
-    if "user_id" in df.columns:
-        cols.insert(1, "user_id")
-    return out.select(*cols)
+def read_lines(spark: SparkSession, path: str, range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """Export files under ``path`` (``.../user_id=<id>/<name>.csv``) as lines with
+    their exact number in the file, however many ranges it is read in. A quoted line
+    break does not end a line."""
+    return records.read_records(spark, path, range_bytes=range_bytes)
 
 
 def headers(lines: DataFrame) -> DataFrame:
