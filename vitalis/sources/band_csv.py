@@ -94,14 +94,7 @@ def parse_long(lines: DataFrame) -> DataFrame:
     h = headers(lines)  # one row a file; AQE broadcasts it when it measures it small
     body = lines.join(h, "file").where(F.col("line_no") >= F.col("data_from"))
     key_cols = ["file", "user_id"] if "user_id" in lines.columns else ["file"]
-    rec = body.withColumn("_a", csv_fields("text"))
-    a = F.col("_a")
     kind = F.col("kind")
-
-    def num(p):
-        return finite_number(strip(_field(a, p)))
-
-    off = offset_minutes(_field(a, "p_time_offset"))
     step_pos = F.coalesce(F.col("p_count"), F.col("p_step_count"))
     required = (F.when(kind == "sleep", F.col("p_start_time").isNotNull() & F.col("p_end_time").isNotNull())
                  .when(kind == "heart", F.col("p_heart_rate").isNotNull() & F.col("p_start_time").isNotNull())
@@ -109,16 +102,24 @@ def parse_long(lines: DataFrame) -> DataFrame:
                  .when(kind == "stress", F.col("p_score").isNotNull() & F.col("p_start_time").isNotNull())
                  .otherwise(F.lit(False)))
     time_pos = F.when(kind == "steps", F.col("p_day_time")).otherwise(F.col("p_start_time"))
-    t0 = shift_minutes(parse_band_time(F.try_element_at(a, (time_pos + 1).cast("int"))), off)
-    t1 = shift_minutes(parse_band_time(_field(a, "p_end_time")), off)
-    us = F.when(kind == "sleep", F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp")))
     value_pos = (F.when(kind == "heart", F.col("p_heart_rate")).when(kind == "steps", step_pos)
-                  .when(kind == "stress", F.col("p_score")))
-    value = finite_number(strip(F.try_element_at(a, (value_pos + 1).cast("int"))))
-    day = F.when(kind == "sleep", F.to_date(t1)).otherwise(F.to_date(t0))
-    x = rec.where(required).select(*key_cols, day.alias("day"), "kind", us.alias("us"),
-                                   F.when(kind == "sleep", num("p_sleep_score")).alias("score"),
-                                   F.when(kind != "sleep", value).alias("value"))
+                  .when(kind == "stress", F.col("p_score")).when(kind == "sleep", F.col("p_sleep_score")))
+    # Each step hands on one row through a generator: a plain projection would be
+    # copied into every use of its columns, and a line cut anew for each of them.
+    rec = (body.where(required).withColumn("_time", time_pos).withColumn("_value", value_pos)
+           .select(*key_cols, "kind", "p_end_time", "p_time_offset", "_time", "_value",
+                   F.explode(F.array(csv_fields("text"))).alias("_a")))
+    a = F.col("_a")
+    rec = rec.select(*key_cols, "kind", F.inline(F.array(F.struct(
+        _field(a, "_time").alias("_from"), F.when(kind == "sleep", _field(a, "p_end_time")).alias("_to"),
+        offset_minutes(_field(a, "p_time_offset")).alias("_off"), strip(_field(a, "_value")).alias("_v")))))
+    rec = rec.select(*key_cols, "kind", F.inline(F.array(F.struct(
+        shift_minutes(parse_band_time("_from"), F.col("_off")).alias("_t0"),
+        shift_minutes(parse_band_time("_to"), F.col("_off")).alias("_t1"), finite_number("_v").alias("_x")))))
+    us = F.when(kind == "sleep", F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp")))
+    day = F.when(kind == "sleep", F.to_date("_t1")).otherwise(F.to_date("_t0"))
+    x = rec.select(*key_cols, day.alias("day"), "kind", us.alias("us"), F.when(kind == "sleep", F.col("_x")).alias("score"),
+                   F.when(kind != "sleep", F.col("_x")).alias("value"))
     return x.where((F.col("kind") != "sleep")
                    | ((F.col("us") > 0) & (F.col("us") < 16 * band.MICROS_PER_HOUR)))
 
