@@ -1,6 +1,7 @@
 """Helpers shared by the operators: lineage cuts, connected components."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -65,10 +66,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing will read any more: what was made of them
     has been written itself. Shuffle files of plans that are no longer referenced go
-    when the driver's JVM collects garbage, which it is asked to do here."""
+    when garbage is collected, here and in the driver's JVM."""
+    gc.collect()
+    spark = SparkSession.active()
+    spark._jvm.System.gc()
     for t in tables:
-        spark = t.sparkSession
-        spark._jvm.System.gc()
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
