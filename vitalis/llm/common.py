@@ -1,7 +1,6 @@
 """Helpers shared by the operators: lineage cuts, connected components."""
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -52,12 +51,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Shuffle files go when the job that made them ends (a Spark setting). A table is
+#: written once, so nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so later
     jobs neither recompute it nor depend on an executor's disk."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -65,12 +77,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing will read any more: what was made of them
-    has been written itself. Shuffle files of plans that are no longer referenced go
-    when garbage is collected, here and in the driver's JVM."""
-    gc.collect()
-    spark = SparkSession.active()
-    spark._jvm.System.gc()
+    has been written itself."""
     for t in tables:
+        spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
