@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp01, exact_mean, exact_sum, finite_number, truthy
-from ..functions.time import epoch_day, micros_between, offset_minutes, shift_minutes
+from ..functions.time import micros_between, offset_minutes, shift_minutes
 from ..sources import dims
+from . import blocks
 
 DAILY_COLS = ["sleep_hours", "sleep_score", "resting_hr", "steps", "stress"]
 MICROS_PER_HOUR = 3_600_000_000
@@ -206,18 +207,19 @@ def last_days(daily: DataFrame, as_of, days: int = 30) -> DataFrame:
     return daily.where(F.col("day") >= lo)
 
 
-def readiness(daily: DataFrame, baseline_days: int = 14, min_baseline: int = 3) -> DataFrame:
+def readiness(daily: DataFrame, baseline_days: int = 14, min_baseline: int = 3,
+              block_days: int = blocks.BLOCK_DAYS) -> DataFrame:
     """Readiness per (user, day) of the daily table.
 
     Parts: sleep (weight 0.5) when sleep_hours is non-zero, mixing in the
     score when non-zero; resting HR (0.3) against the mean of the previous
     ``baseline_days`` days when at least ``min_baseline`` of them have one;
     stress (0.2) whenever present, 0 included. Score = round(100 * weighted
-    mean of present parts); no part -> no row.
+    mean of present parts); no part -> no row. The window runs over blocks of
+    days, each with the last ``baseline_days`` before it.
     """
-    w = (Window.partitionBy("user_id").orderBy(epoch_day("day"))
-               .rangeBetween(-baseline_days, -1))
-    d = (daily
+    w = blocks.days_back(["user_id"], "day", baseline_days, 1)
+    d = (blocks.with_margin(daily, "day", baseline_days, block_days)
          .withColumn("_bn", F.count("resting_hr").over(w))
          .withColumn("_bs", F.sum(F.col("resting_hr").cast("decimal(18,4)")).over(w))
          .withColumn("_base", F.when(F.col("_bn") > 0, F.col("_bs").cast("double") / F.col("_bn"))))
@@ -240,7 +242,7 @@ def readiness(daily: DataFrame, baseline_days: int = 14, min_baseline: int = 3)
                           "resting HR %d vs usual %d", F.bround(rhr, 0).cast("long"),
                           F.bround(F.col("_base"), 0).cast("long"))),
                       F.when(st_part.isNotNull(), F.format_string("stress %d", F.bround(st, 0).cast("long"))))
-    out = (d.where(den > 0)
+    out = (d.where((den > 0) & ~F.col("_margin"))
             .select("user_id", "day", score.alias("score"), why.alias("why")))
     call = (F.when(F.col("score") >= 75, dims.READY_PUSH)
              .when(F.col("score") >= 55, dims.READY_PLAN).otherwise(dims.READY_LIGHT))

@@ -1,7 +1,7 @@
 """Body-weight operators: rolling mean, two-week trend, latest and as-of.
 
-Every window partitions by user over the weights table, which holds at most
-one row per user-day: window state is bounded by a user's history length.
+Windows run over blocks of days of a user (``operators.blocks``), so a history of
+any length is spread over tasks.
 """
 from __future__ import annotations
 
@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import exact_mean
-from ..functions.time import epoch_day
+from . import blocks
 
 
-def rolling_7d(weights: DataFrame) -> DataFrame:
+def rolling_7d(weights: DataFrame, block_days: int = blocks.BLOCK_DAYS) -> DataFrame:
     """7-day time-based rolling mean (t-7d, t], emitted only for users with at
     least two weights."""
-    w = Window.partitionBy("user_id").orderBy(epoch_day("day")).rangeBetween(-6, 0)
-    n = Window.partitionBy("user_id")
-    return (weights
-            .withColumn("_n", F.count("*").over(n))
-            .where(F.col("_n") >= 2)
-            .select("user_id", "day", "kg",
-                    (F.sum(F.col("kg").cast("decimal(18,4)")).over(w).cast("double")
-                     / F.count("kg").over(w)).alias("avg_7d")))
+    w = blocks.days_back(["user_id"], "day", 6, 0)
+    per_user = Window.partitionBy("user_id")
+    # One row a block: whether the user has a second weight anywhere.
+    counts = (weights.groupBy("user_id", blocks.block_of("day", block_days).alias("_block")).agg(F.count("*").alias("_n"))
+              .withColumn("_n", F.sum("_n").over(per_user)).where(F.col("_n") >= 2).drop("_n"))
+    placed = blocks.with_margin(weights.select("user_id", "day", "kg"), "day", 6, block_days)
+    mean = placed.withColumn("avg_7d", F.sum(F.col("kg").cast("decimal(18,4)")).over(w).cast("double") / F.count("kg").over(w))
+    same = F.col("m.user_id").eqNullSafe(F.col("c.user_id")) & F.col("m._block").eqNullSafe(F.col("c._block"))
+    return (mean.where(~F.col("_margin")).alias("m").join(counts.alias("c"), same, "left_semi")
+                .select("user_id", "day", "kg", "avg_7d"))
 
 
 def trend(weights: DataFrame) -> DataFrame:
@@ -51,19 +53,18 @@ def latest(weights: DataFrame) -> DataFrame:
     return weights.groupBy("user_id").agg(F.max("day").alias("day"), F.max_by("kg", "day").alias("kg"))
 
 
-def asof(weights: DataFrame, points: DataFrame, point_col: str = "point_day") -> DataFrame:
+def asof(weights: DataFrame, points: DataFrame, point_col: str = "point_day",
+         block_days: int = blocks.BLOCK_DAYS) -> DataFrame:
     """For each (user_id, point_day) the latest weight with day <= point_day.
 
     A backward as-of join written as one window over the union of weights and
     query points, ordered by (day, kind) so a weight on the point day counts;
-    ``last(kg, ignorenulls)`` carries the latest weight forward. No range
+    the latest weight is carried forward, over blocks of days too. No range
     join, no pair explosion.
     """
     pts = points.select("user_id", F.col(point_col).alias("day")).distinct()
     u = (weights.select("user_id", "day", "kg", F.lit(0).alias("_kind"))
          .unionByName(pts.select("user_id", "day", F.lit(None).cast("double").alias("kg"), F.lit(1).alias("_kind"))))
-    w = (Window.partitionBy("user_id").orderBy("day", "_kind")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (u.withColumn("asof_kg", F.last("kg", ignorenulls=True).over(w))
-             .where(F.col("_kind") == 1)
-             .select("user_id", F.col("day").alias(point_col), "asof_kg"))
+    carried = blocks.carried_last(u, ["user_id"], ["day", "_kind"], "kg", "asof_kg", "day", block_days)
+    return (carried.where(F.col("_kind") == 1)
+                   .select("user_id", F.col("day").alias(point_col), "asof_kg"))
