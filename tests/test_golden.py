@@ -155,3 +155,16 @@ def test_drop_incomplete_labs(spark):
     from vitalis.operators import labs as L
     df = spark.createDataFrame([("LDL", 1.0), (None, 2.0), ("HDL", None)], "marker string, value double")
     assert [r.marker for r in L.drop_incomplete(df).collect()] == ["LDL"]
+
+
+def test_quantities_of_any_size_and_fineness(spark):
+    """Four decimals are exact ties; finer and larger quantities are kept too."""
+    from vitalis.functions.nutrition import total
+    rows = [(0.00007, "kg", 0.07, 0.1), (1e16, "g", 1e16, 1e16), (14.85, "g", 14.85, 14.8), (0.123456, "kg", 123.456, 123.5),
+            (None, "g", None, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "q double, unit string")
+    units = F.create_map(F.lit("serving"), F.lit(30.0))
+    got = df.select(to_grams("q", "unit", units).alias("g")).collect()
+    assert [(r.g.grams, r.g.grams_1dp) for r in got] == [(g, one) for _, _, g, one in rows]
+    t = spark.createDataFrame([(29.7, 50.0), (0.00001, 1e9), (1e15, 200.0)], "per double, grams double")
+    assert [r[0] for r in t.select(total("per", "grams")).collect()] == [14.8, 100.0, 2e15]

@@ -45,14 +45,14 @@ def strip(x) -> Column:
     return F.regexp_replace(col(x), r"^\s+|\s+$", "")
 
 
-def exact_sum(x, scale: int = 4) -> Column:
+def exact_sum(x, scale: int = 9) -> Column:
     """Sum of doubles with a fixed number of decimals, exact and independent
     of summation order (the partial aggregates of a distributed sum arrive in
-    any order)."""
+    any order). Values are taken to ``scale`` decimals, with 28 digits in all."""
     return F.sum(finite_number(x).try_cast(f"decimal(28,{scale})"))
 
 
-def exact_mean(x, scale: int = 4) -> Column:
+def exact_mean(x, scale: int = 9) -> Column:
     """Mean as an exact decimal sum divided once, in double, by the count of
     non-null values. NULL when there are none."""
     s = exact_sum(x, scale)

@@ -59,15 +59,13 @@ def to_grams(quantity, unit, food_units) -> Column:
     serving = F.try_element_at(fu, F.lit("serving"))
     fb = F.create_map(*[x for k, g in dims.FALLBACK_GRAMS for x in (F.lit(k), F.lit(float(g)))])
     fallback = F.coalesce(F.try_element_at(fb, u), F.lit(float(dims.DEFAULT_FALLBACK_GRAMS)))
-    qd = dec(q)
-    grams = (F.when(u.isin("g", "ml"), qd)
-              .when(u.isin("kg", "l"), qd * 1000)
-              .when(own.isNotNull(), qd * dec(own))
-              .when(u.isin("piece", "plate", "serving") & serving.isNotNull(), qd * dec(serving))
-              .otherwise(qd * dec(fallback)))
+    factor = (F.when(u.isin("g", "ml"), F.lit(1.0))
+               .when(u.isin("kg", "l"), F.lit(1000.0))
+               .when(own.isNotNull(), own)
+               .when(u.isin("piece", "plate", "serving") & serving.isNotNull(), serving)
+               .otherwise(fallback))
     exact = u.isin("g", "ml", "kg", "l") | own.isNotNull()
-    return F.struct(grams.cast("double").alias("grams"), F.bround(grams, 1).cast("double").alias("grams_1dp"),
-                    exact.alias("exact"))
+    return F.struct(product([q, factor]).alias("grams"), product([q, factor], 1).alias("grams_1dp"), exact.alias("exact"))
 
 
 DEC = "decimal(18,4)"
@@ -78,16 +76,29 @@ def dec(x) -> Column:
     return col(x).try_cast(DEC)
 
 
-def round1(x) -> Column:
-    """Half-even rounding to 1 decimal done in DECIMAL arithmetic, so a value
-    such as 14.85 is a true tie whatever its binary approximation is."""
-    return F.bround(dec(x), 1).cast("double")
+def is_exact(x) -> Column:
+    """Whether the decimal view of a double is the same number."""
+    return F.coalesce(dec(x).cast("double") == col(x), F.lit(False))
+
+
+def product(factors, places: int | None = None, divisor: int = 1) -> Column:
+    """Product of two doubles over 1 or 100, rounded half-even to ``places``. Factors
+    of at most 4 decimals and 14 digits before them are multiplied in DECIMAL, so a
+    value such as 14.85 is a true tie whatever its binary approximation is; others, of
+    any size and fineness, in double."""
+    a, b = factors
+    share = F.lit(1 / divisor).cast("decimal(3,2)")
+    decimal, double = dec(a) * dec(b), col(a) * col(b) / F.lit(float(divisor))
+    if divisor != 1:
+        decimal = decimal * share
+    if places is not None:
+        decimal, double = F.bround(decimal, places), F.bround(double, places)
+    return F.when(is_exact(a) & is_exact(b), decimal.cast("double")).otherwise(double)
 
 
 def total(per100, grams) -> Column:
-    """Nutrient amount for ``grams`` from a per-100 g value, 1 decimal
-    (decimal arithmetic: per100 * grams * 0.01, half-even)."""
-    return F.bround(dec(per100) * dec(grams) * F.lit(0.01).cast("decimal(3,2)"), 1).cast("double")
+    """Nutrient amount for ``grams`` from a per-100 g value, 1 decimal half-even."""
+    return product([per100, grams], 1, 100)
 
 
 def macro_progress(eaten, target) -> Column:

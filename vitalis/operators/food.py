@@ -92,13 +92,29 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
     keeps that position but maps to the custom row; a custom row named like a
     built-in key replaces that key's values (for its aliases too). Built-in
     strings are scored once per distinct name; custom strings per (user,
-    name), joined on user_id. Unmatched items take the estimate for their
+    name), joined on user_id. All look-ups run over the distinct (user, name)
+    pairs; the item log is joined once, with their result. Unmatched items take the estimate for their
     lower-cased name (source ``AI estimate``); without one they are skipped.
     """
     from ..functions.nutrition import source_label, to_grams
+    names = items.select("user_id", "mention").distinct()
+    known = resolve_names(names, choices, foods, custom, estimates, cutoff).alias("k")
+    same = F.col("i.user_id").eqNullSafe(F.col("k.user_id")) & (F.col("i.mention") == F.col("k.mention"))
+    it = items.alias("i").join(known, same).select("i.*", *[F.col(f"k.{c}") for c in known.columns if c not in names.columns])
+    it = it.withColumn("_g", to_grams("quantity", "unit", "_p_units")).withColumn("grams", F.col("_g.grams_1dp"))
+    # Estimated rows are offered for saving as custom foods.
+    return it.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
+                     source_label("_src", "_g.exact").alias("source"), (F.col("_src") == "AI estimate").alias("remember"),
+                     *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])
+
+
+def resolve_names(names: DataFrame, choices: DataFrame, foods: DataFrame, custom: DataFrame, estimates: DataFrame,
+                  cutoff: float = 85) -> DataFrame:
+    """Distinct (user_id, mention) -> item, ``_src``, values per 100 g and units of
+    what ``resolve_with_custom`` takes for it; names without any are left out."""
     from . import fuzzy
     n_builtin = len(dims.food_choices())
-    b = fuzzy.best_match(items, F.broadcast(choices), query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
+    b = fuzzy.best_match(names, F.broadcast(choices), query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
                          lower_query=True, payload=("food_id",))
     b = b.select("mention", F.col("matched").alias("b_choice"), F.col("ord").alias("b_ord"),
                  F.col("score").alias("b_score"), "food_id")
@@ -106,12 +122,12 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
     new_custom = (custom.join(bchoice, custom["name"] == F.col("_bc"), "left_anti")
                         .withColumn("ord", F.lit(n_builtin) + F.dense_rank().over(
                             Window.partitionBy("user_id").orderBy("cpos")) - 1))
-    c = fuzzy.best_match(items.select("user_id", "mention"), new_custom.select("user_id", "name", "ord"),
+    c = fuzzy.best_match(names, new_custom.select("user_id", "name", "ord"),
                          query_col="mention", choice_col="name", ord_col="ord", cutoff=cutoff, keys=("user_id",),
                          lower_query=True)
     c = c.select("user_id", "mention", F.col("matched").alias("c_name"), F.col("score").alias("c_score"))
     fnames = F.broadcast(foods.select("food_id", F.col("name").alias("b_key")))
-    it = (items.join(b, "mention", "left").join(fnames, "food_id", "left")
+    it = (names.join(b, "mention", "left").join(fnames, "food_id", "left")
                .join(c, ["user_id", "mention"], "left"))
     use_c = F.col("c_score").isNotNull() & (F.col("b_score").isNull() | (F.col("c_score") > F.col("b_score")))
     cu = custom.select("user_id", "name", *[F.col(x).alias(f"cu_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
@@ -139,13 +155,5 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
                        F.when(F.col("cu_kcal").isNotNull(), F.col("cu_units")).otherwise(F.col("bf_units")))
                  .otherwise(F.col(f"es_{x}")))
     it = it.where(matched | F.col("es_kcal").isNotNull())
-    # Estimated rows are offered for saving as custom foods.
-    it = it.select("user_id", "day", "meal", "meal_id", "line",
-                   F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
-                   "quantity", "unit", src.alias("_src"),
-                   *[pick(x).alias(f"_p_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
-    g = to_grams("quantity", "unit", "_p_units")
-    it = it.withColumn("_g", g).withColumn("grams", F.col("_g.grams_1dp"))
-    return it.select("user_id", "day", "meal", "meal_id", "line", "item", "quantity", "unit", "grams",
-                     source_label("_src", "_g.exact").alias("source"), (F.col("_src") == "AI estimate").alias("remember"),
-                     *[total(f"_p_{n}", "grams").alias(n) for n in NUTRIENTS])
+    return it.select("user_id", "mention", F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
+                     src.alias("_src"), *[pick(x).alias(f"_p_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])

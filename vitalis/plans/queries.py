@@ -1009,7 +1009,8 @@ where grams > 0 and grams < 2000)"""
 CUSTOM_SQL = f"""
 , eb as {ESTIMATE_VALUES_SQL},
 eu as {ESTIMATE_UNITS_SQL},
-cf0 as (select eb.p_partkey % 97 as user_id, case when eb.p_partkey < 60 then c.choice else lower(eb.name) end as name,
+cf0 as (select eb.p_partkey % (select count(*) from supplier) + 1 as user_id,
+    case when eb.p_partkey % 10 = 0 then c.choice else lower(eb.name) end as name,
     eb.p_partkey, eb.kcal, eb.protein, eb.carbs, eb.fat
   from eb left join food_choice c on c.ord = (eb.p_partkey * 7) % 121),
 cf as (select user_id, name, p_partkey as cpos, kcal, protein, carbs, fat from (

@@ -480,16 +480,18 @@ def plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFr
 
 def custom_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foods users saved from estimates: (user_id, name, cpos, kcal, protein,
-    carbs, fat, units). Parts below 60 are saved under a built-in key or
+    carbs, fat, units). Every tenth part is saved under a built-in key or
     alias (choice ``(p_partkey * 7) % 121``), overriding it; the rest under
-    the lower-cased part name. User = ``p_partkey % 97``; saving a name again
-    replaces it (highest part key wins); ``cpos`` is the save order."""
+    the lower-cased part name. The parts are dealt over all users (suppliers);
+    saving a name again replaces it (highest part key wins); ``cpos`` is the
+    save order."""
     from . import dims, model_json
     est = model_json.food_estimates(estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
     ch = F.broadcast(dims.food_choice_df(spark).select(F.col("ord").alias("_o"), F.col("choice").alias("_c")))
     e = est.join(ch, (F.col("p_partkey") * 7) % 121 == F.col("_o"), "left")
-    nm = F.when(F.col("p_partkey") < 60, F.col("_c")).otherwise(F.lower("name"))
-    rows = e.select((F.col("p_partkey") % 97).alias("user_id"), nm.alias("cname"), "p_partkey", "kcal", "protein",
+    nm = F.when(F.col("p_partkey") % 10 == 0, F.col("_c")).otherwise(F.lower("name"))
+    users = read_table(spark, sf_dir, "supplier", ["s_suppkey"]).agg(F.count("*").alias("n")).scalar()
+    rows = e.select((F.col("p_partkey") % users + 1).alias("user_id"), nm.alias("cname"), "p_partkey", "kcal", "protein",
                     "carbs", "fat", "units")
     best = (rows.groupBy("user_id", "cname")
                 .agg(F.max_by(F.struct("p_partkey", "kcal", "protein", "carbs", "fat", "units"), "p_partkey").alias("r")))
