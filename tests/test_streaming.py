@@ -1,4 +1,5 @@
 """Band import stream: two imports, coalescing upsert, replay safety."""
+import datetime as dt
 import os
 import tempfile
 
@@ -48,3 +49,45 @@ def test_files_of_one_import_in_two_batches_give_the_maximum(spark):
     assert steps(1, "b", 900) == [1200]  # same import, later batch: the maximum stands
     assert steps(2, "c", 500) == [500]  # a new import replaces
     assert len(band_stream.versions(spark, table)) == 3
+
+
+def _batch(spark, table, n, rows):
+    """A batch of one file: its per-day rows as the stream writes them."""
+    data = [(imp, n, f"f{n}", u, dt.date(2024, 1, d), None, None, None, steps, None) for imp, u, d, steps in rows]
+    spark.createDataFrame(data, band_stream.FILE_SCHEMA).write.mode("overwrite").parquet(f"{table}/v{n:09d}")
+
+
+def test_parts_grow_with_the_logarithm_of_the_batches(spark):
+    table = tempfile.mkdtemp(prefix="vitalis-stream-tbl-")
+    want, most = {}, 0
+    for n in range(30):
+        rows = [(n // 4, 1, 1, 100 - n), (n // 4, 1, n % 28 + 1, n), (n, 2, n % 5 + 1, None if n % 2 else n)]
+        _batch(spark, table, n, rows)
+        band_stream.compact(spark, table, fanout=3)
+        for imp, u, d, steps in rows:
+            if steps is not None:
+                old = want.get((u, d), (-1, 0))
+                want[(u, d)] = max(old, (imp, steps))
+            else:
+                want.setdefault((u, d), (-1, None))
+        now = band_stream.parts(spark, table)
+        most = max(most, len(now))
+        assert band_stream.versions(spark, table) == list(range(n + 1))
+    assert most <= 8 and [(p.first, p.last) for p in now] == [(0, 26), (27, 29)]
+    got = {(r.user_id, r.day.day): r.steps for r in band_stream.latest_snapshot(spark, table).collect()}
+    assert got == {k: v for k, (_, v) in want.items()}
+    # What the merges cover goes one merge later; a batch run again changes nothing.
+    assert len([d for d in os.listdir(table) if d.startswith("v")]) <= 6
+    _batch(spark, table, 2, [(99, 1, 1, 5)])
+    assert {(r.user_id, r.day.day): r.steps for r in band_stream.latest_snapshot(spark, table).collect()} == got
+
+
+def test_a_merge_cut_short_is_not_read(spark):
+    table = tempfile.mkdtemp(prefix="vitalis-stream-tbl-")
+    for n in range(3):
+        _batch(spark, table, n, [(n, 1, 1, n)])
+    os.makedirs(f"{table}/m1-000000000-000000002")
+    assert [p.level for p in band_stream.parts(spark, table)] == [0, 0, 0]
+    assert band_stream.compact(spark, table, fanout=3) == 1
+    assert [p.level for p in band_stream.parts(spark, table)] == [1]
+    assert [r.steps for r in band_stream.latest_snapshot(spark, table).collect()] == [2]
