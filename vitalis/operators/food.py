@@ -12,6 +12,7 @@ from ..sources import dims
 
 from ..functions.expr import exact_sum, strip
 from ..functions.nutrition import NUTRIENTS, macro_progress, total
+from . import snapshot
 
 
 def enrich_food_log(food_log: DataFrame, foods: DataFrame) -> DataFrame:
@@ -157,3 +158,15 @@ def resolve_names(names: DataFrame, choices: DataFrame, foods: DataFrame, custom
     it = it.where(matched | F.col("es_kcal").isNotNull())
     return it.select("user_id", "mention", F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
                      src.alias("_src"), *[pick(x).alias(f"_p_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
+
+
+def save_estimates(custom: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``custom`` with the estimates of ``resolve_names`` saved into it under their
+    item names: a row saved again replaces the one of its user and name. ``saved`` marks
+    the new rows; ``cpos`` stays null for them."""
+    values = ["kcal", "protein", "carbs", "fat", "units"]
+    new = (resolved.where(F.col("_src") == "AI estimate")
+           .select("user_id", F.col("item").alias("name"), *[F.col(f"_p_{c}").alias(c) for c in values])
+           .dropDuplicates(["user_id", "name"])
+           .withColumn("cpos", F.lit(None).cast(custom.schema["cpos"].dataType)).withColumn("saved", F.lit(True)))
+    return snapshot.upsert_replace(custom.withColumn("saved", F.lit(False)), new, ["user_id", "name"])

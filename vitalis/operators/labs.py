@@ -41,19 +41,23 @@ def trend(results: DataFrame) -> DataFrame:
         F.expr("listagg(_v, ',') within group (order by report_id, line, value)").alias("series"))
 
 
-def flagged_lines(latest: DataFrame) -> DataFrame:
-    """Per user, the flagged rows of the latest report as one text:
+def flagged_lines(results: DataFrame) -> DataFrame:
+    """Per user, the flagged rows of the latest report date as one text:
     ``marker: value unit (range low-high) -> flag`` lines joined by newlines
-    (missing values print as None)."""
+    (missing values print as None); users without any have no row. The results are
+    read once: a text per (user, date), of which the latest is kept."""
     def txt(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    unit = F.coalesce(F.col("unit"), F.lit("")) if "unit" in latest.columns else F.lit("")
+    unit = F.coalesce(F.col("unit"), F.lit("")) if "unit" in results.columns else F.lit("")
     line = F.concat(F.col("marker"), F.lit(": "), txt("value"), F.lit(" "), unit,
                     F.lit(" (range "), txt("ref_low"), F.lit("-"), txt("ref_high"), F.lit(") -> "), F.col("flag"))
-    f = with_flag(latest).where(F.col("flag") != "In range").withColumn("_line", line)
-    return (f.groupBy("user_id", "test_date")
-             .agg(F.count("*").alias("n_flagged"),
-                  F.expr("listagg(_line, '\\n') within group (order by report_id, line, _line)").alias("flagged")))
+    hit = F.col("flag") != "In range"
+    f = with_flag(results).withColumn("_line", F.when(hit, line)).withColumn("_hit", hit)
+    dated = (f.groupBy("user_id", "test_date")
+              .agg(F.count_if("_hit").alias("n_flagged"),
+                   F.expr("listagg(_line, '\\n') within group (order by report_id, line, _line)").alias("flagged")))
+    last = dated.groupBy("user_id").agg(F.max(F.struct("test_date", "n_flagged", "flagged")).alias("_l"))
+    return last.select("user_id", "_l.*").where(F.col("n_flagged") > 0)
 
 
 def text_chunks(docs: DataFrame, text_col: str = "text", size: int = CHUNK_CHARS) -> DataFrame:

@@ -398,7 +398,7 @@ select user_id, cast(test_date as varchar) as test_date, count(*) as n_flagged,
   string_agg(ln, chr(10) order by report_id, line, ln) as flagged from g group by user_id, test_date"""))
 def q_flagged_lines(spark, sf_dir):
     from ..operators import labs
-    return labs.flagged_lines(labs.latest_report(fx.lab_results(spark, sf_dir)))
+    return labs.flagged_lines(fx.lab_results(spark, sf_dir))
 
 
 @register("lab_trend", lambda: oracle.with_ctes("""
@@ -1025,7 +1025,7 @@ def q_food_dictionary(spark, sf_dir):
     return food.food_dictionary(fx.custom_foods(spark, sf_dir), dims.food_df(spark))
 
 
-def _resolve_custom_sql():
+def resolve_custom_ctes():
     items = _meal_items_sql()
     n = len(dims.food_choices())
     return oracle.with_ctes(
@@ -1080,11 +1080,16 @@ r6 as (select r5.*, cast(round_even(case when cu in ('g', 'ml') then cast(quanti
       then cast(quantity as decimal(18,4)) * cast(serving as decimal(18,4))
       else cast(quantity as decimal(18,4)) * cast(fallback as decimal(18,4)) end, 1) as double) as grams,
     (cu in ('g', 'ml', 'kg', 'l') or own is not null) as exact from r5)
+""")
+
+
+def _resolve_custom_sql():
+    return resolve_custom_ctes() + f"""
 select user_id, cast(day as varchar) as day, meal, meal_id, line, item, quantity, unit, grams,
   case when exact then src else src || ' (check grams)' end as source, src = 'AI estimate' as remember,
   {oracle.tot('p_kcal', 'grams')} as kcal, {oracle.tot('p_protein', 'grams')} as protein,
   {oracle.tot('p_carbs', 'grams')} as carbs, {oracle.tot('p_fat', 'grams')} as fat
-from r6""")
+from r6"""
 
 
 @register("meal_resolve_custom", _resolve_custom_sql)

@@ -1,6 +1,7 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and the DuckDB
 oracle text for each. Every query reads the driver tables (through the
-derived inputs of ``sources.fixtures``) in full.
+derived inputs of ``sources.fixtures``) in full. The fixtures route events by
+kind: weights and sleep sessions are made of some kinds each, as FIXTURES.md says.
 
 Output convention: DATE columns leave as ISO ``yyyy-MM-dd`` text (the
 original stores dates as text), so results compare across engines.
@@ -42,7 +43,7 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries  # noqa: F401
+    from . import queries, saves  # noqa: F401
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "fx", "dims", "oracle"]
