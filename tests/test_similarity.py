@@ -89,3 +89,27 @@ def test_let_binds_once_and_keeps_value(spark):
     df = spark.createDataFrame([("b a c",), ("",), (None,)], "s string")
     got = [r.x for r in df.select(let(F.split("s", " "), lambda a: F.size(a) + F.size(a)).alias("x")).collect()]
     assert got == [6, 2, None]  # size(NULL) is NULL under ANSI mode
+
+
+def test_segments_find_every_passing_pair(spark):
+    """Pairs of one large vocabulary: exactly those that pass, from few candidates."""
+    rnd = random.Random(23)
+    for cutoff, letters in ((90, "abcdefghijklmnopqrstuvwxyz"), (85.0, "ab"), (72, "abcdefgh")):
+        names = {"".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 5, 9, 14, 22, 40]))) for _ in range(150)}
+        queries = set(rnd.sample(sorted(names), 40)) | {"", "z" * 30}
+        for _ in range(250):
+            s = list(rnd.choice(sorted(names)))
+            for _ in range(rnd.randint(1, 6)):
+                p = rnd.randint(0, len(s))
+                s[p:p + rnd.randint(0, 1)] = rnd.choice(letters) * rnd.randint(0, 1)
+            queries.add("".join(s))
+        names.add("")
+        q = spark.createDataFrame([(x,) for x in queries], "_qn string")
+        c = spark.createDataFrame([(x,) for x in names], "_cn string")
+        want = {(a, b) for a in queries for b in names
+                if a and b and 200 * lcs_brute(a, b) >= cutoff * (len(a) + len(b))}
+        got = [(r._qn, r._cn) for r in fuzzy._passing_pairs(q, c, [], cutoff).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        if len(letters) == 26:
+            cand = fuzzy._pairs_by_segments(q.withColumn("_ql", F.length("_qn")), c.withColumn("_cl", F.length("_cn")), cutoff)
+            assert cand.count() <= 3 * len(want)

@@ -10,6 +10,12 @@ tokens must share a token among the first ``len - t + 1`` of each -- so
 joining on those prefix tokens finds every pair that can pass, exactly.
 Candidates are then verified with the exact LCS (``functions.similarity``).
 
+One vocabulary that all keys share can be large, and single characters then meet too
+many names. There the pairs come from segments: a pair that passes differs by at most
+``d`` insertions and deletions, ``d`` bounded by the lengths, so of ``d + 1`` segments of
+the choice at least one stands unchanged in the query, shifted by no more than the
+differences before it. Names meet on (length, segment number, text).
+
 Names are compared once per *distinct* pair of normalised names, equal ones
 without a score; the passing pairs are then joined back to the queries and to
 the choices of their keys. Where all keys draw on one vocabulary (markers,
@@ -17,7 +23,7 @@ exercises, the built-in foods) pairs are found once for all of them.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -48,19 +54,86 @@ def _prefix_tokens(norm_col: str, len_col: str, cutoff: float):
     return F.transform(prefix, lambda t: F.concat(t["ch"], F.lit("#"), t["occ"].cast("string")))
 
 
+EPS = 1e-9  # a bound on a whole number is never lowered by a rounding error
+
+
+def _floor(x) -> Column:
+    return F.floor(x + EPS).cast("int")
+
+
+def _edits(total, cutoff: float) -> Column:
+    """Most insertions and deletions between two names of ``total`` characters that
+    pass the cutoff."""
+    return _floor(total * F.lit((100 - cutoff) / 100))
+
+
+def _segments(length, cutoff: float) -> Column:
+    """Number of segments of a choice: one more than the edits to any query."""
+    return _edits(length + _floor(length * F.lit((200 - cutoff) / cutoff)), cutoff) + 1
+
+
+def _segment(length, count, i) -> tuple[Column, Column]:
+    """(start, length) of segment ``i`` of ``count`` nearly equal ones."""
+    start = F.floor(i * length / count).cast("int")
+    return start, F.floor((i + 1) * length / count).cast("int") - start
+
+
+def _reach(q_len, c_len, start, size, cutoff: float) -> tuple[Column, Column]:
+    """First and last place in a query where a segment of a choice may stand."""
+    edits, longer = _edits(q_len + c_len, cutoff), q_len - c_len
+    return (F.greatest(F.lit(0), start - F.floor((edits - longer) / 2).cast("int")),
+            F.least(q_len - size, start + F.floor((edits + longer) / 2).cast("int")))
+
+
+def _pairs_by_segments(qv: DataFrame, cv: DataFrame, cutoff: float) -> DataFrame:
+    """Candidate pairs of qv(_qn, _ql) and cv(_cn, _cl, ...): each once, at the first
+    segment of the choice that the query holds."""
+    upto = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+    n, i, size, start = F.col("_k"), F.col("_i"), F.col("_size"), F.col("_start")
+
+    def cut(df, length):
+        at, wide = _segment(F.col(length), n, i)
+        return df.withColumn("_start", at).withColumn("_size", wide)
+
+    c = cut(cv.where("_cl > 0").withColumn("_k", _segments(F.col("_cl"), cutoff))
+              .select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i")), "_cl")
+    c = c.withColumn("_text", F.substring("_cn", start + 1, size)).drop("_start", "_size")
+    ratio = (200 - cutoff) / cutoff
+    least = F.greatest(F.lit(1), F.ceil(F.col("_ql") / ratio - EPS).cast("int"))
+    q = (qv.where("_ql > 0").select("*", F.explode(upto(least, _floor(F.col("_ql") * ratio))).alias("_cl"))
+           .withColumn("_k", _segments(F.col("_cl"), cutoff)).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i")))
+    q = cut(q, "_cl")
+    lo, hi = _reach(F.col("_ql"), F.col("_cl"), start, size, cutoff)
+    texts = F.array_distinct(F.transform(upto(lo, hi), lambda p: F.substring(F.col("_qn"), p + 1, size)))
+    q = q.select("_qn", "_ql", "_cl", "_i", F.explode(texts).alias("_text"))
+
+    def held(j):
+        at, wide = _segment(F.col("_cl"), n, j)
+        first, last = _reach(F.col("_ql"), F.col("_cl"), at, wide, cutoff)
+        window = F.substring(F.col("_qn"), first + 1, last - first + wide)
+        return (first <= last) & (F.instr(window, F.substring(F.col("_cn"), at + 1, wide)) > 0)
+    earlier = F.when(i > 0, F.exists(F.sequence(F.lit(0), i - 1), held)).otherwise(F.lit(False))
+    return q.join(c, ["_cl", "_i", "_text"]).where(~earlier)
+
+
+def _pairs_by_characters(qv: DataFrame, cv: DataFrame, scope: list[str], cutoff: float) -> DataFrame:
+    """Candidate pairs inside their scope: each once, at the first prefix token both have."""
+    q = qv.withColumn("_qp", _prefix_tokens("_qn", "_ql", cutoff))
+    c = cv.withColumn("_cp", _prefix_tokens("_cn", "_cl", cutoff))
+    # explode_outer: explode would add a filter on its array, computed on raw rows.
+    return (q.withColumn("_tok", F.explode_outer("_qp"))
+             .join(c.withColumn("_tok", F.explode_outer("_cp")), [*scope, "_tok"])
+             .where((200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
+                    & (F.col("_tok") == F.try_element_at(F.array_intersect("_qp", "_cp"), F.lit(1)))))
+
+
 def _passing_pairs(q: DataFrame, c: DataFrame, scope: list[str], cutoff: float) -> DataFrame:
     """(scope, _qn, _cn, score) of the distinct normalised names that pass the
-    cutoff. A pair meets at every prefix token it shares; it is scored at the
-    first of them only."""
-    qv = (q.select(*scope, "_qn").distinct().withColumn("_ql", F.length("_qn"))
-           .withColumn("_qp", _prefix_tokens("_qn", "_ql", cutoff)))
+    cutoff. Each candidate pair is scored once."""
+    qv = q.select(*scope, "_qn").distinct().withColumn("_ql", F.length("_qn"))
     cv = (c.select(*scope, "_cn").distinct().withColumn("_cl", F.length("_cn"))
-           .withColumn("_cp", _prefix_tokens("_cn", "_cl", cutoff)).withColumn("_masks", sim.pattern_masks("_cn")))
-    # explode_outer: explode would add a filter on its array, computed on raw rows.
-    cand = (qv.withColumn("_tok", F.explode_outer("_qp"))
-              .join(cv.withColumn("_tok", F.explode_outer("_cp")), [*scope, "_tok"])
-              .where((200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
-                     & (F.col("_tok") == F.try_element_at(F.array_intersect("_qp", "_cp"), F.lit(1)))))
+           .withColumn("_masks", sim.pattern_masks("_cn")))
+    cand = _pairs_by_characters(qv, cv, scope, cutoff) if scope else _pairs_by_segments(qv, cv, cutoff)
     # Behind a generator, so that the filter on it does not compute it again.
     lcs = F.when(F.col("_qn") == F.col("_cn"), F.col("_ql")).otherwise(sim.lcs("_cl", "_masks", "_qn"))
     scored = cand.select(*scope, "_qn", "_cn", "_ql", "_cl", F.inline(F.array(F.struct(lcs.alias("_lcs")))))
