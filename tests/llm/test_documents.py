@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -278,13 +279,45 @@ def test_repair_round_trip():
         shard = repair.load(repair.dump(part, 50257, np.arange(len(sizes)), np.zeros(len(sizes))))
         assert (repair.Grammar(shard, 50257).expand(shard["symbols"]) == ids).all()
         ends = np.cumsum(sizes)
+        data = repair.dump(part, 50257, np.arange(len(sizes)), np.zeros(len(sizes)))
+        file = repair.ShardFile(lambda begin, size: data[begin:begin + size])
         for k in range(len(sizes)):
-            assert (repair.document(shard, k) == ids[ends[k] - sizes[k]:ends[k]]).all()
+            own = ids[ends[k] - sizes[k]:ends[k]].tolist()
+            assert file.document(k).tolist() == own
+            assert all(file.document(k, i, j).tolist() == own[i:j] for i in range(6) for j in range(i, 7))
     ids = np.tile(np.arange(8, dtype=np.uint16), 500)
     part = repair.compress(ids, np.array([len(ids)]), 50257)
     assert len(part["symbols"]) <= len(ids) / 4 and len(part["rules"])
 
 
+def test_no_frequent_pair_is_left():
+    """The most frequent pair of a round is replaced, so none stays that rounds could take."""
+    rng = np.random.default_rng(1)
+    for kinds, room in ((40, 50257), (300, 70000)):
+        ids = (rng.zipf(1.3, 30000) % kinds).astype(np.uint32)
+        sizes = np.full(300, 100)
+        part = repair.compress(ids, sizes, room, pairs_a_round=20)
+        left = Counter()
+        at = 0
+        for n in part["doc_symbols"].tolist():
+            own = part["symbols"][at:at + n].tolist()
+            left.update(zip(own, own[1:]))
+            at += n
+        size = lambda x: 1 if x < room else int(part["lengths"][x - room])
+        over = {p: c for p, c in left.items() if c >= repair.MIN_COUNT and size(p[0]) + size(p[1]) <= repair.MAX_EXPANSION}
+        assert not over and len(part["rules"]) > 100
+        assert (repair.Grammar(part, room).expand(part["symbols"]) == ids).all()
+
+
+def test_documents_by_byte_range(spark, odd_docs, tmp_path):
+    index = token_shards.write_shards(odd_docs, str(tmp_path / "ids"), shard_ids=500)
+    places = index.selectExpr("part", "block", "explode(sequence(-1, n_docs)) as k").unionByName(
+        spark.createDataFrame([(0, 0, None), (99, 0, 0)], "part long, block long, k long"))
+    got = sorted(token_shards.read_documents(index, places).collect(), key=lambda r: (r.part, r.block, r.k))
+    whole = sorted(token_shards.read_shards(index).collect(), key=lambda r: r.start)
+    assert [(len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got] == [(r.n_tokens, r.ids_crc32) for r in whole]
+
+
 def test_token_shards(spark, odd_docs, no_docs, clashing):
     enc = Tokenizer.from_file(tokens.default_vocabulary())
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, ))

@@ -28,3 +28,10 @@ def read_bytes(uri: str) -> bytes:
     system, path = filesystem(uri)
     with system.open_input_stream(path, compression=None) as f:
         return f.read()
+
+
+def read_range(uri: str, begin: int, size: int) -> bytes:
+    system, path = filesystem(uri)
+    with system.open_input_file(path) as f:
+        f.seek(begin)
+        return f.read(size)

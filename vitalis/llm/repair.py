@@ -1,35 +1,38 @@
 """Re-Pair grammar compression of token ids, one grammar a shard.
 
 Frequent pairs of neighbouring symbols are replaced by new symbols
-(nonterminals), round after round: a round counts all pairs, takes the most
-frequent ones, and replaces their occurrences from the most frequent pair down,
-without overlap. Pairs never span two documents, so each document is a run of
+(nonterminals), round after round: a round counts all pairs exactly, takes the
+most frequent ones, and replaces their occurrences from the most frequent pair
+down, without overlap. Rounds end when no pair occurs ``MIN_COUNT`` times or no
+new symbol is left. Pairs never span two documents, so each document is a run of
 symbols of its own. Stored are the rules, the expansion length of each rule and
-the place of each document, which is what decoding one document needs.
+the place of each document: ``ShardFile`` decodes one document, or some ids of it,
+from the bytes of its symbols alone.
 
 File: ``RPID`` magic, then little-endian int64 header (version, vocabulary size,
 rules, levels, documents, symbols, bytes a symbol), then the arrays
 rules (2 symbols each), expansion lengths (uint32), first rule of each level
-(int64), doc ids (int64), null flags of the doc ids (uint8), ids of each document
-(int64), symbols of each document (int64), and the symbols.
+(int64), doc ids (int64), null flags of the doc ids (uint8), end of each document
+in ids (int64) and in symbols (int64), and the symbols.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 MAGIC = b"RPID"
-VERSION = 1
-#: Rounds, new symbols a round, occurrences a pair must have, ids an expansion
-#: may have.
-MAX_ROUNDS = 5
+VERSION = 2
+#: New symbols a round, occurrences a pair must have, ids an expansion may have.
 PAIRS_A_ROUND = 3072
 MIN_COUNT = 8
 MAX_EXPANSION = 4096
-_BUCKETS = 18
+_HASH_BITS = 18
+_HEAD = len(MAGIC) + 7 * 8
 
 
-def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, max_rounds: int = MAX_ROUNDS,
-             pairs_a_round: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT) -> dict[str, np.ndarray]:
+def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, pairs_a_round: int = PAIRS_A_ROUND,
+             min_count: int = MIN_COUNT) -> dict[str, np.ndarray]:
     """Grammar of ``ids`` (documents one after another, ``doc_sizes`` ids each)."""
     room = (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 20
     kind = np.uint16 if vocabulary < 1 << 16 else np.uint32
@@ -38,9 +41,9 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, max_rounds
     rules = np.zeros((0, 2), np.uint32)
     length = np.ones(vocabulary + max(room, 0), np.uint32)
     levels = []
-    for _ in range(max_rounds):
+    while True:
         new, seq, sizes = _round(seq, sizes, vocabulary + len(rules), min(pairs_a_round, room - len(rules)), min_count,
-                                 length)
+                                 length, 16 if kind is np.uint16 else 32)
         if not len(new):
             break
         levels.append(len(rules))
@@ -50,46 +53,42 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, max_rounds
             "doc_sizes": doc_sizes.astype(np.int64), "doc_symbols": sizes, "symbols": seq.astype(kind)}
 
 
-def _round(seq, sizes, base, room, min_count, length):
+def _frequent(code: np.ndarray, shift: int, room: int, min_count: int, length: np.ndarray) -> np.ndarray:
+    """The most frequent pairs, ``room`` at most, the most frequent first."""
+    s = np.sort(code)
+    begin = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+    count = np.diff(np.append(begin, len(s)))
+    often = count >= min_count
+    pair, count = s[begin[often]], count[often]
+    short = length[pair >> shift] + length[pair & ((1 << shift) - 1)] <= MAX_EXPANSION
+    pair, count = pair[short], count[short]
+    return pair[np.lexsort((pair, -count))][:room]
+
+
+def _round(seq, sizes, base, room, min_count, length, shift):
     """One round: (new rules, sequence, symbols of each document)."""
     none = np.zeros((0, 2), np.uint32)
     n = len(seq)
     if n < 2 or room < 1:
         return none, seq, sizes
     ends = np.cumsum(sizes)
-    left, right = seq[:-1], seq[1:]
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _BUCKETS)
-    joint = ends[(ends > 0) & (ends < n)] - 1  # a pair there would span two documents
-    # Per bucket: occurrences, then one pair that falls in it and its own count.
-    count = np.bincount(bucket, minlength=1 << _BUCKETS)
-    count -= np.bincount(bucket[joint], minlength=1 << _BUCKETS)
-    floor = min_count
-    if room < len(count):
-        floor = max(min_count, int(np.partition(count, len(count) - room)[len(count) - room]))
-    keep = count >= floor
-    take = keep[bucket]
-    take[joint] = False
-    at = np.flatnonzero(take)
-    if not len(at):
+    wide = np.uint32 if shift == 16 else np.uint64
+    code = seq[:-1].astype(wide) << wide(shift) | seq[1:].astype(wide)
+    one = np.ones(n - 1, bool)
+    one[ends[(ends > 0) & (ends < n)] - 1] = False  # a pair there would span two documents
+    best = _frequent(code[one], shift, room, min_count, length)
+    if not len(best):
         return none, seq, sizes
-    b = bucket[at]
-    code = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    owner = np.zeros(1 << _BUCKETS, np.uint64)
-    owner[b] = code
-    mine = owner[b] == code
-    at, b = at[mine], b[mine]
-    count = np.bincount(b, minlength=1 << _BUCKETS)
-    long = length[owner >> np.uint64(32)] + length[owner & np.uint64(0xFFFFFFFF)] > MAX_EXPANSION
-    count[long] = 0
-    best = np.flatnonzero(count >= min_count)
-    best = best[np.lexsort((owner[best], -count[best]))][:room]
-    rank = np.full(1 << _BUCKETS, 1 << 30, np.int32)
-    rank[best] = np.arange(len(best))
-    r = rank[b]
-    live = r < 1 << 30
+    # Places of the chosen pairs: most others fall out by a hash of the pair.
+    mix = lambda c: (c ^ c >> wide(shift - 3)).astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - _HASH_BITS)
+    maybe = np.zeros(1 << _HASH_BITS, bool)
+    maybe[mix(best)] = True
+    at = np.flatnonzero(maybe[mix(code)] & one)
+    order = np.argsort(best)
+    slot = np.minimum(np.searchsorted(best[order], code[at]), len(best) - 1)
+    r = order[slot]
+    live = best[r] == code[at]
     at, r = at[live], r[live]
-    if not len(at):
-        return none, seq, sizes
     # In a run of one symbol every other pair counts.
     twin = np.zeros(len(at), bool)
     twin[1:] = (at[1:] == at[:-1] + 1) & (r[1:] == r[:-1])
@@ -103,13 +102,13 @@ def _round(seq, sizes, base, room, min_count, length):
     win[1:] &= ~touch | (r[1:] < r[:-1])
     win[:-1] &= ~touch | (r[:-1] <= r[1:])
     at, r = at[win], r[win]
-    uses = np.bincount(r, minlength=len(best))
-    good = uses >= 2
+    # A rule used less often than that costs more than it saves.
+    good = np.bincount(r, minlength=len(best)) >= max(2, min_count // 2)
     number = np.cumsum(good) - 1
     pick = good[r]
     at, r = at[pick], r[pick]
-    pair = owner[best[good]]
-    new = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    pair = best[good]
+    new = np.stack([pair >> wide(shift), pair & wide((1 << shift) - 1)], axis=1).astype(np.uint32)
     if not len(new):
         return none, seq, sizes
     length[base:base + len(new)] = length[new[:, 0]] + length[new[:, 1]]
@@ -146,32 +145,87 @@ class Grammar:
         return self.flat[np.arange(int(total[-1])) + np.repeat(self.at[symbols] - total + n, n)]
 
 
+def _arrays(rules: int, levels: int, docs: int, symbols: int, width: int) -> list[tuple[str, str, int]]:
+    kind = f"<u{width}"
+    return [("rules", kind, 2 * rules), ("lengths", "<u4", rules), ("levels", "<i8", levels), ("doc_ids", "<i8", docs),
+            ("nulls", "u1", docs), ("id_ends", "<i8", docs), ("symbol_ends", "<i8", docs), ("symbols", kind, symbols)]
+
+
+def _header(data: bytes) -> list[int]:
+    if data[:4] != MAGIC:
+        raise ValueError("not a token shard")
+    version, *rest = np.frombuffer(data, "<i8", 7, 4).tolist()
+    if version != VERSION:
+        raise ValueError(f"token shard of version {version}")
+    return rest
+
+
 def dump(part: dict[str, np.ndarray], vocabulary: int, doc_ids: np.ndarray, nulls: np.ndarray) -> bytes:
     head = np.array([VERSION, vocabulary, len(part["rules"]), len(part["levels"]), len(part["doc_sizes"]),
                      len(part["symbols"]), part["symbols"].dtype.itemsize], "<i8")
     arrays = [head, part["rules"], part["lengths"], part["levels"], doc_ids.astype("<i8"), nulls.astype(np.uint8),
-              part["doc_sizes"], part["doc_symbols"], part["symbols"]]
+              np.cumsum(part["doc_sizes"], dtype="<i8"), np.cumsum(part["doc_symbols"], dtype="<i8"), part["symbols"]]
     return MAGIC + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
 def load(data: bytes) -> dict:
-    if data[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    version, vocabulary, rules, levels, docs, symbols, width = np.frombuffer(data, "<i8", 7, 4).tolist()
-    if version != VERSION:
-        raise ValueError(f"token shard of version {version}")
-    kind, at, out = f"<u{width}", 4 + 7 * 8, {"vocabulary": vocabulary}
-    for name, dtype, n in (("rules", kind, 2 * rules), ("lengths", "<u4", rules), ("levels", "<i8", levels),
-                           ("doc_ids", "<i8", docs), ("nulls", "u1", docs), ("doc_sizes", "<i8", docs),
-                           ("doc_symbols", "<i8", docs), ("symbols", kind, symbols)):
+    """A whole shard; ``doc_sizes`` and ``doc_symbols`` are ids and symbols of each document."""
+    vocabulary, *shape = _header(data)
+    at, out = _HEAD, {"vocabulary": vocabulary}
+    for name, dtype, n in _arrays(*shape):
         out[name] = np.frombuffer(data, dtype, n, at)
         at += out[name].nbytes
     out["rules"] = out["rules"].reshape(-1, 2)
+    out["doc_sizes"] = np.diff(out["id_ends"], prepend=0)
+    out["doc_symbols"] = np.diff(out["symbol_ends"], prepend=0)
     return out
 
 
-def document(shard: dict, k: int) -> np.ndarray:
-    """Ids of the k-th document of a loaded shard alone."""
-    ends = np.cumsum(shard["doc_symbols"])
-    own = shard["symbols"][int(ends[k] - shard["doc_symbols"][k]):int(ends[k])]
-    return Grammar(shard, shard["vocabulary"]).expand(own)
+class ShardFile:
+    """A shard read by byte ranges: the rules once, then of each wanted document its
+    place and the bytes of its symbols. ``read(begin, size)`` gives bytes of the file."""
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        self._read = read
+        self.vocabulary, *shape = _header(read(0, _HEAD))
+        self.n_docs = shape[2]
+        self._place, at = {}, _HEAD
+        for name, dtype, n in _arrays(*shape):
+            self._place[name] = at, np.dtype(dtype)
+            at += n * np.dtype(dtype).itemsize
+        self._rules = self._some("rules", 0, 2 * shape[0]).reshape(-1, 2).astype(np.int64)
+        self._size = self._some("lengths", 0, shape[0]).astype(np.int64)
+
+    def _some(self, name: str, begin: int, end: int) -> np.ndarray:
+        at, dtype = self._place[name]
+        if end <= begin:
+            return np.zeros(0, dtype)
+        return np.frombuffer(self._read(at + begin * dtype.itemsize, (end - begin) * dtype.itemsize), dtype)
+
+    def document(self, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Ids of the k-th document, or those from ``begin`` to before ``end``."""
+        if not 0 <= k < self.n_docs:
+            raise IndexError(f"document {k} of {self.n_docs}")
+        lo, hi = [0, *self._some("symbol_ends", max(k - 1, 0), k + 1).tolist()][-2:]
+        symbols = self._some("symbols", lo, hi).astype(np.int64)
+        rule = symbols >= self.vocabulary
+        size = np.ones(len(symbols), np.int64)
+        size[rule] = self._size[symbols[rule] - self.vocabulary]
+        total = np.cumsum(size)
+        n = int(total[-1]) if len(total) else 0
+        begin, end = min(max(begin, 0), n), n if end is None else min(end, n)
+        if end <= begin:
+            return np.zeros(0, np.uint32)
+        # Only the symbols whose expansions meet the wanted ids are opened.
+        i, j = np.searchsorted(total, begin, "right"), np.searchsorted(total, end, "left") + 1
+        before = int(total[i] - size[i])
+        return self._unfold(symbols[i:j])[begin - before:end - before].astype(np.uint32)
+
+    def _unfold(self, symbols: np.ndarray) -> np.ndarray:
+        while (rule := symbols >= self.vocabulary).any():
+            width = 1 + rule
+            first = (np.cumsum(width) - width)[rule]
+            pair = self._rules[symbols[rule] - self.vocabulary]
+            symbols = np.repeat(symbols, width)
+            symbols[first], symbols[first + 1] = pair[:, 0], pair[:, 1]
+        return symbols

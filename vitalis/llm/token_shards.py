@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from . import repair
 from .common import scratch, small_batches, written
-from .files import make_folder, read_bytes, write_bytes
+from .files import make_folder, read_bytes, read_range, write_bytes
 from .tokens import default_vocabulary, encoder
 
 END_ID = 0
 SHARD_IDS = 1_500_000
 #: Characters encoded before the ids are laid aside.
 STEP_CHARS = 1_000_000
+#: Ids that one task reads back where there are enough of them for all cores.
+READ_IDS = 64_000_000
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID,
@@ -114,11 +116,30 @@ def read_shards(index: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": ids, "start": starts + first, "n_tokens": shard["doc_sizes"],
                                     "ids_crc32": crc})
 
-    n = max(1, index.count())
-    return (index.select("path", "first").repartition(n, "path")
+    # Neighbouring shards share a task by their number of ids, but no core is left idle.
+    shards, ids = index.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    n = max(1, min(shards, max(-(-ids // READ_IDS), 4 * index.sparkSession.sparkContext.defaultParallelism)))
+    return (index.select("path", "first").repartitionByRange(n, "first")
             .mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
+def read_documents(index: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (part, block, k: the k-th document of that shard) with ``ids``, each
+    document decoded from the byte range of its symbols. Places that name no document
+    of ``index``, and null ones, give no row."""
+
+    def run(batches):
+        for f in batches:
+            for path, rows in f.groupby("path"):
+                shard = repair.ShardFile(lambda begin, size, path=path: read_range(path, begin, size))
+                rows = rows[(rows["k"] >= 0) & (rows["k"] < shard.n_docs)]
+                if len(rows):
+                    yield rows[["part", "block", "k"]].assign(ids=[shard.document(k).astype(np.int64) for k in rows["k"].tolist()])
+
+    return (places.select("part", "block", "k").where("k is not null").join(index.select("part", "block", "path"), ["part", "block"])
+            .mapInPandas(run, "part long, block long, k long, ids array<long>"))
+
+
 def token_output(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Write ``docs`` to shards and return what reading them gives."""
     folder = folder or scratch(docs.sparkSession, "token-ids")
