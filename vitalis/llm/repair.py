@@ -42,8 +42,8 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, pairs_a_ro
     length = np.ones(vocabulary + max(room, 0), np.uint32)
     levels = []
     while True:
-        new, seq, sizes = _round(seq, sizes, vocabulary + len(rules), min(pairs_a_round, room - len(rules)), min_count,
-                                 length, 16 if kind is np.uint16 else 32)
+        new, seq, sizes = _round(seq, sizes, vocabulary + len(rules), room - len(rules), pairs_a_round, min_count, length,
+                                 16 if kind is np.uint16 else 32)
         if not len(new):
             break
         levels.append(len(rules))
@@ -53,8 +53,8 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, vocabulary: int, pairs_a_ro
             "doc_sizes": doc_sizes.astype(np.int64), "doc_symbols": sizes, "symbols": seq.astype(kind)}
 
 
-def _frequent(code: np.ndarray, shift: int, room: int, min_count: int, length: np.ndarray) -> np.ndarray:
-    """The most frequent pairs, ``room`` at most, the most frequent first."""
+def _frequent(code: np.ndarray, shift: int, most: int, min_count: int, length: np.ndarray) -> np.ndarray:
+    """The most frequent pairs, ``most`` at most, the most frequent first."""
     s = np.sort(code)
     begin = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
     count = np.diff(np.append(begin, len(s)))
@@ -62,10 +62,10 @@ def _frequent(code: np.ndarray, shift: int, room: int, min_count: int, length: n
     pair, count = s[begin[often]], count[often]
     short = length[pair >> shift] + length[pair & ((1 << shift) - 1)] <= MAX_EXPANSION
     pair, count = pair[short], count[short]
-    return pair[np.lexsort((pair, -count))][:room]
+    return pair[np.lexsort((pair, -count))][:most]
 
 
-def _round(seq, sizes, base, room, min_count, length, shift):
+def _round(seq, sizes, base, room, most, min_count, length, shift):
     """One round: (new rules, sequence, symbols of each document)."""
     none = np.zeros((0, 2), np.uint32)
     n = len(seq)
@@ -76,17 +76,17 @@ def _round(seq, sizes, base, room, min_count, length, shift):
     code = seq[:-1].astype(wide) << wide(shift) | seq[1:].astype(wide)
     one = np.ones(n - 1, bool)
     one[ends[(ends > 0) & (ends < n)] - 1] = False  # a pair there would span two documents
-    best = _frequent(code[one], shift, room, min_count, length)
+    best = _frequent(code[one], shift, most, min_count, length)
     if not len(best):
         return none, seq, sizes
-    # Places of the chosen pairs: most others fall out by a hash of the pair.
+    # Places of the chosen pairs by a hash table; of pairs with one slot the most
+    # frequent one is placed, the others wait for the next round.
     mix = lambda c: (c ^ c >> wide(shift - 3)).astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - _HASH_BITS)
-    maybe = np.zeros(1 << _HASH_BITS, bool)
-    maybe[mix(best)] = True
-    at = np.flatnonzero(maybe[mix(code)] & one)
-    order = np.argsort(best)
-    slot = np.minimum(np.searchsorted(best[order], code[at]), len(best) - 1)
-    r = order[slot]
+    slot = np.full(1 << _HASH_BITS, -1, np.int32)
+    slot[mix(best)[::-1]] = np.arange(len(best), dtype=np.int32)[::-1]
+    r = slot[mix(code)]
+    at = np.flatnonzero((r >= 0) & one)
+    r = r[at]
     live = best[r] == code[at]
     at, r = at[live], r[live]
     # In a run of one symbol every other pair counts.
@@ -102,9 +102,11 @@ def _round(seq, sizes, base, room, min_count, length, shift):
     win[1:] &= ~touch | (r[1:] < r[:-1])
     win[:-1] &= ~touch | (r[:-1] <= r[1:])
     at, r = at[win], r[win]
-    # A rule used less often than that costs more than it saves.
+    # A rule used less often than that costs more than it saves. Of the others those
+    # of the most frequent pairs take what room is left.
     good = np.bincount(r, minlength=len(best)) >= max(2, min_count // 2)
     number = np.cumsum(good) - 1
+    good &= number < room
     pick = good[r]
     at, r = at[pick], r[pick]
     pair = best[good]
