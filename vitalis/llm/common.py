@@ -146,6 +146,20 @@ def _local_forest(frames):
     yield from links.frames()
 
 
+#: Ranges of hashes that the links of one node are dealt over.
+SALTS = 1024
+
+
+def _lowest(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (a, b) with m, the smallest b of its a in ``links``. The links of a
+    node meet by a range of hashes at a time, and a row for each range takes the
+    node's smallest one there: the centre of a large star is never one task's."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    parts = links.groupBy("a", salt).agg(F.min("b").alias("m"))
+    low = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return wanted.select("a", "b", salt).join(parts.select("a", "salt").join(low, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long), as (node, root): one row
     per node that has a link, root the smallest node of its component.
@@ -165,13 +179,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: u's larger neighbours are linked to the smallest of u and
         # its neighbours.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = (_lowest(both, both.where("b > a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
                .where("a <> b").distinct())
         # Small star: u's smaller neighbours and u itself are linked to the
         # smallest of them. The larger end is always "a" here.
-        low2 = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = (big.join(low2, "a")
+        small = (_lowest(big, big)
                  .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                            F.struct("a", F.col("m").alias("b")))).alias("s"))
                  .select("s.a", "s.b").where("a <> b").distinct())
