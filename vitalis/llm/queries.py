@@ -155,6 +155,21 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+ORACLE["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+      WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93),
+c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT c.a, min(v.vec_id) AS low FROM c JOIN v ON v.r = c.b GROUP BY c.a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, low AS component_id, coalesce(vec_id = low, false) AS kept
+FROM v JOIN m ON m.a = v.r LEFT JOIN n ON n.a = v.r
+"""
+
+
 def _centroid_sql(rounds: int = centroids.ROUNDS) -> str:
     """The rounds are written out one after the other."""
     assign = """
