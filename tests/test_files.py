@@ -37,3 +37,20 @@ def test_read_zip_uploads(spark):
     lines = archives.read_archives(spark, root)
     rows = band_csv.daily_from_lines(lines).collect()
     assert [(r.user_id, str(r.day), r.sleep_hours, r.resting_hr) for r in rows] == [(9, "2024-01-02", 8.5, 50.25)]
+
+
+def test_many_archives_share_tasks(spark, tmp_path):
+    """Directories of archives are read many to a task, from a listing made in tasks."""
+    for user in range(40):
+        d = tmp_path / "a" / f"user_id={user}"
+        d.mkdir(parents=True)
+        with zipfile.ZipFile(d / "export.zip", "w") as z:
+            z.writestr("export/com.samsung.shealth.sleep.csv", "\n".join(SLEEP))
+    (tmp_path / "a" / "_hidden").mkdir()
+    (tmp_path / "a" / "_hidden" / "export.zip").write_bytes(b"no archive")
+    (tmp_path / "a" / ".part.zip").write_bytes(b"no archive")
+    found = archives.members(spark, str(tmp_path))
+    assert sorted(r.user_id for r in found.collect()) == list(range(40))
+    assert found.rdd.getNumPartitions() < 40
+    again = archives.members(spark, "file:" + str(tmp_path) + "/").select("path").collect()
+    assert all(r.path.startswith("file:/") and r.path.endswith("/export.zip") for r in again) and len(again) == 40

@@ -17,18 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .records import CHUNK, START, breaks, line_batches, record_text, user_of
-from .storage import Published, filesystem, listing
+from .storage import Published, filesystem, fresh, listing
 
 MEMBER = ("path string, user_id long, member string, method int, flags int, offset long, packed long, size long, crc long, "
           "error string")
 LINES = "file string, user_id long, line_no long, text string, error string"
+#: Archives whose directories one task reads: a task each would cost the driver more
+#: memory than all the rows.
+ARCHIVES = 256
 
 
 def members(spark: SparkSession, path: str, pattern: str = "*.[zZ][iI][pP]") -> DataFrame:
     """A row for each CSV member of the archives under ``path``, and one with
-    ``error`` and without a member for each archive that has no directory."""
+    ``error`` and without a member for each archive that has no directory. A task reads the
+    directories of about ``ARCHIVES`` archives, once: the rows are a written table."""
     files = listing(spark, path, pattern)
-    tasks = max(1, min(files.count(), 10_000))
+    tasks = max(1, min(-(-files.count() // ARCHIVES), 10_000))
 
     def read(frames):
         import pandas as pd
@@ -49,7 +53,9 @@ def members(spark: SparkSession, path: str, pattern: str = "*.[zZ][iI][pP]") ->
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER.split(", ")], dtype=object)
             yield out
 
-    return files.select("path").repartition(tasks, "path").mapInPandas(read, MEMBER)
+    table = fresh(spark, "members")
+    files.select("path").repartition(tasks, "path").mapInPandas(read, MEMBER).write.parquet(table)
+    return spark.read.schema(MEMBER).parquet(table)
 
 
 def pieces(f, offset: int, packed: int, method: int):

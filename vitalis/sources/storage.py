@@ -1,6 +1,7 @@
 """Files on shared storage, opened by URI from any task."""
 from __future__ import annotations
 
+import fnmatch
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,39 @@ def filesystem(uri: str):
 
 
 def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, length) of the files under ``path``; their contents are not read."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-            .load(path).select("path", "length"))
+    """(path, length) of the files under ``path``; their contents are not read. Folders
+    are listed in tasks, a level at a time, into a table: neither the driver nor a later
+    pass holds or repeats the listing. Names that begin with ``_`` or ``.`` are left out,
+    as Spark's readers do."""
+    root = fresh(spark, "listing")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+
+    def listed(frames):
+        import pandas as pd
+        from pyarrow import fs
+        for f in frames:
+            for uri in f["path"]:
+                system, where = filesystem(uri)
+                info = system.get_file_info(where)
+                if info.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(uri)
+                found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where))
+                head = uri[:len(uri) - len(where)] if uri.endswith(where) else ""
+                rows = [(head + i.path, None if i.type == fs.FileType.Directory else i.size) for i in found
+                        if i.base_name[:1] not in ("_", ".")
+                        and (i.type == fs.FileType.Directory or fnmatch.fnmatchcase(i.base_name, pattern))]
+                yield pd.DataFrame(rows, columns=["path", "length"]).astype({"length": "Int64"})
+
+    folders, level = spark.createDataFrame([(path.rstrip("/"),)], "path string"), 0
+    while True:
+        folders.mapInPandas(listed, "path string, length long").write.parquet(f"{root}/{level:03d}")
+        folders = spark.read.schema("path string, length long").parquet(f"{root}/{level:03d}").where("length is null")
+        level += 1
+        if folders.isEmpty():
+            break
+        folders = folders.select("path").repartition(tasks, "path")
+    return (spark.read.schema("path string, length long").parquet(*[f"{root}/{n:03d}" for n in range(level)])
+            .where("length is not null"))
 
 
 class Published:
