@@ -54,3 +54,10 @@ def test_many_archives_share_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() < 40
     again = archives.members(spark, "file:" + str(tmp_path) + "/").select("path").collect()
     assert all(r.path.startswith("file:/") and r.path.endswith("/export.zip") for r in again) and len(again) == 40
+
+
+def test_a_task_takes_few_packed_bytes(spark):
+    """Sorted, repeated keys unpack to some 60 times their shuffled size in a task."""
+    from vitalis.session import _DEFAULTS
+    assert int(_DEFAULTS["spark.sql.adaptive.advisoryPartitionSizeInBytes"].rstrip("m")) <= 16
+    assert int(_DEFAULTS["spark.sql.files.maxPartitionBytes"].rstrip("m")) <= 32
