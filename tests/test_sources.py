@@ -133,3 +133,15 @@ def test_upsert_takes_the_last_write(spark):
     new = spark.createDataFrame([(1, 5.0, 2), (1, 9.0, 1), (3, 3.0, 1)], "k int, v double, n int")
     got = sorted(tuple(r) for r in snapshot.upsert_replace(old, new, ["k"], seq="n").collect())
     assert got == [(1, 5.0), (2, 2.0), (3, 3.0)]
+
+
+def test_json_values_are_read_in_two_views(spark):
+    """A value's type and text are extracted, its number, truth and emptiness derived."""
+    from vitalis.sources import model_json
+    rows = [(1, '{"results": [{"marker": [], "value": 1}, {"marker": "a", "value": true, "unit": {}}, '
+                '{"marker": 5, "value": " 2.5 ", "unit": [0], "ref_low": 1e400}, {"marker": {}, "value": 3}]}')]
+    out = model_json.lab_items(spark.createDataFrame(rows, "id int, text string"), ["id"])
+    assert [(r.item_pos, r.marker, r.value, r.unit, r.ref_low) for r in out.sort("item_pos").collect()] == \
+        [(1, "a", 1.0, "", None), (2, "5", 2.5, "[0]", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") <= 1 + 4 * 5  # the type names its value twice

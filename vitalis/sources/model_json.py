@@ -42,31 +42,37 @@ def _is_number(kind) -> Column:
     return kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def _facts(v, name: str, parts: str = "kdsbv") -> list[Column]:
-    """Type (k), number (d), text (s), boolean (b) and raw (v) views of a
-    JSON value, each extracted once into its own column ``_<name>_<part>``;
-    only the requested parts are extracted."""
-    views = {"k": lambda: _kind(v), "d": lambda: F.try_variant_get(v, "$", "double"),
-             "s": lambda: F.try_variant_get(v, "$", "string"), "b": lambda: F.try_variant_get(v, "$", "boolean"),
-             "v": lambda: v}
-    return [views[p]().alias(f"_{name}_{p}") for p in parts]
+def _facts(v, name: str) -> list[Column]:
+    """Type (k) and text (s) of a JSON value as columns ``_<name>_<part>``. Numbers,
+    booleans and emptiness are read from these: each further view of a value costs a
+    cast that Spark builds anew for every row."""
+    return [_kind(v).alias(f"_{name}_k"), F.try_variant_get(v, "$", "string").alias(f"_{name}_s")]
+
+
+def _numbers(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the number (d) of each value, parsed once: booleans as 0 and 1,
+    text stripped, null for others."""
+    def number(n):
+        k, s = F.col(f"_{n}_k"), F.col(f"_{n}_s")
+        return (F.when(_is_number(k), s.try_cast("double")).when(k == "BOOLEAN", (s == "true").cast("double"))
+                 .when(k == "STRING", strip(s).try_cast("double")))
+    return df.withColumns({f"_{n}_d": number(n) for n in names})
 
 
 def _truthy(name: str) -> Column:
-    k, d, s, b, v = (F.col(f"_{name}_{x}") for x in "kdsbv")
+    k, s = F.col(f"_{name}_k"), F.col(f"_{name}_s")
     return (F.when(k.isNull() | (k == "VOID"), F.lit(False))
-             .when(_is_number(k), d != 0)
-             .when(k == "BOOLEAN", b)
+             .when(_is_number(k), F.col(f"_{name}_d") != 0)
+             .when(k == "BOOLEAN", s == "true")
              .when(k == "STRING", s != "")
-             .when(k.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-             .when(k.startswith("OBJECT"), F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
+             .when(k.startswith("ARRAY"), s != "[]")
+             .when(k.startswith("OBJECT"), s != "{}")
              .otherwise(F.lit(True)))
 
 
 def _float(name: str) -> Column:
-    k, d, s, b = (F.col(f"_{name}_{x}") for x in "kdsb")
-    return (F.when(_is_number(k), d).when(k == "BOOLEAN", b.cast("double"))
-             .when(k == "STRING", finite_number(strip(s))))
+    d = F.col(f"_{name}_d")
+    return F.when(F.col(f"_{name}_k") == "STRING", finite_number(d)).otherwise(d)
 
 
 def _str(name: str) -> Column:
@@ -90,9 +96,10 @@ def meal_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") -
     items = F.try_variant_get("_v", "$.items", "array<variant>")
     x = d.select(*id_cols, F.posexplode(F.coalesce(items, F.array().cast("array<variant>"))).alias("item_pos", "_it"))
     x = x.select(*id_cols, "item_pos",
-                 *_facts(F.try_variant_get("_it", "$.name", "variant"), "n", "ks"),
+                 *_facts(F.try_variant_get("_it", "$.name", "variant"), "n"),
                  *_facts(F.try_variant_get("_it", "$.quantity", "variant"), "q"),
                  *_facts(F.try_variant_get("_it", "$.unit", "variant"), "u"))
+    x = _numbers(x, "q", "u")
     qty = F.when(_truthy("q"), _float("q")).otherwise(F.lit(1.0))
     unit = F.when(_truthy("u"), _str("u")).otherwise(F.lit("serving"))
     return (_once(x, [*id_cols, "item_pos"], strip(_str("n")).alias("name"), qty.alias("quantity"), unit.alias("unit"))
@@ -113,6 +120,7 @@ def food_estimates(outputs: DataFrame, id_cols: list[str], text_col: str = "text
     d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
     d = d.select(*id_cols, F.try_variant_get("_v", "$.units", "map<string,variant>").alias("_units"),
                  *[c for k in NUTRIENT_KEYS for c in _facts(F.try_variant_get("_v", f"$.{k}", "variant"), k)])
+    d = _numbers(d, *NUTRIENT_KEYS)
     vals = [F.greatest(F.when(_truthy(k), _float(k)).otherwise(F.lit(0.0)), F.lit(0.0)).alias(k) for k in NUTRIENT_KEYS]
     grams = F.transform_values(F.coalesce("_units", F.create_map().cast("map<string,variant>")),
                                lambda k, g: F.when(_is_number(F.schema_of_variant(g)), F.try_variant_get(g, "$", "double")))
@@ -124,9 +132,8 @@ def food_estimates(outputs: DataFrame, id_cols: list[str], text_col: str = "text
 def _int(name: str) -> Column:
     """``int(x)`` for numbers (truncated), booleans and integer text; else
     NULL."""
-    k, d, s, b = (F.col(f"_{name}_{x}") for x in "kdsb")
-    txt = strip(s)
-    return (F.when(_is_number(k), d.try_cast("long")).when(k == "BOOLEAN", b.cast("long"))
+    k, d, txt = F.col(f"_{name}_k"), F.col(f"_{name}_d"), strip(F.col(f"_{name}_s"))
+    return (F.when(_is_number(k) | (k == "BOOLEAN"), d.try_cast("long"))
              .when((k == "STRING") & txt.rlike(r"^[+-]?[0-9]+$"), txt.try_cast("long")))
 
 
@@ -149,16 +156,17 @@ def plan_days(outputs: DataFrame, id_cols: list[str], requested_days: list[str],
     x = d.select(*id_cols, "_doc",
                  F.posexplode(F.coalesce(days, F.array().cast("array<variant>"))).alias("day_pos", "_d"))
     x = x.select(*id_cols, "_doc", "day_pos", F.try_variant_get("_d", "$.exercises", "array<variant>").alias("_exs"),
-                 *_facts(F.try_variant_get("_d", "$.day", "variant"), "day", "ks"),
-                 *_facts(F.try_variant_get("_d", "$.focus", "variant"), "focus", "ks"))
+                 *_facts(F.try_variant_get("_d", "$.day", "variant"), "day"),
+                 *_facts(F.try_variant_get("_d", "$.focus", "variant"), "focus"))
     x = _once(x, [*id_cols, "_doc", "day_pos"], F.when(F.col("_day_k") == "STRING", F.col("_day_s")).alias("day"),
               F.coalesce(_str("focus"), F.lit("")).alias("focus"), F.col("_exs"))
     x = x.where(F.col("day").isin(*requested_days))
     x = x.select(*id_cols, "_doc", "day_pos", "day", "focus",
                  F.posexplode(F.coalesce("_exs", F.array().cast("array<variant>"))).alias("ex_pos", "_e"))
-    parts = {"name": "ks", "sets": "kdsb", "reps": "ks", "rest_sec": "kdsbv", "notes": "ks"}
+    parts = ("name", "sets", "reps", "rest_sec", "notes")
     x = x.select(*id_cols, "_doc", "day_pos", "day", "focus", "ex_pos",
-                 *[c for k, p in parts.items() for c in _facts(F.try_variant_get("_e", f"$.{k}", "variant"), k, p)])
+                 *[c for k in parts for c in _facts(F.try_variant_get("_e", f"$.{k}", "variant"), k)])
+    x = _numbers(x, "sets", "rest_sec")
     text = lambda k, default: F.coalesce(_str(k), F.lit(default))
     sets = F.coalesce(_int("sets"), F.lit(3))
     rest = F.when(_truthy("rest_sec"), F.coalesce(_int("rest_sec"), F.lit(90))).otherwise(F.lit(90))
@@ -173,6 +181,7 @@ def lab_reports(outputs: DataFrame, id_cols: list[str], text_col: str = "text")
     date as the model gave it; null when falsy or when the text is no JSON."""
     d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
     d = d.select(*id_cols, *_facts(F.try_variant_get("_v", "$.test_date", "variant"), "t"))
+    d = _numbers(d, "t")
     return _once(d, id_cols, F.when(_truthy("t"), _str("t")).alias("test_date"))
 
 
@@ -187,11 +196,12 @@ def lab_items(outputs: DataFrame, id_cols: list[str], text_col: str = "text") ->
     d = _once(outputs, id_cols, repair_json(text_col).alias("_v"))
     items = F.try_variant_get("_v", "$.results", "array<variant>")
     x = d.select(*id_cols, F.posexplode(F.coalesce(items, F.array().cast("array<variant>"))).alias("item_pos", "_it"))
-    parts = {"marker": "kdsbv", "value": "kdsb", "unit": "kdsbv", "ref_low": "kdsb", "ref_high": "kdsb"}
+    parts = ("marker", "value", "unit", "ref_low", "ref_high")
     x = x.select(*id_cols, "item_pos",
-                 *[c for k, p in parts.items() for c in _facts(F.try_variant_get("_it", f"$.{k}", "variant"), k, p)])
+                 *[c for k in parts for c in _facts(F.try_variant_get("_it", f"$.{k}", "variant"), k)])
+    x = _numbers(x, *parts)
     return (_once(x, [*id_cols, "item_pos"], F.when(_truthy("marker"), strip(_str("marker"))).alias("marker"),
-                  finite_number(_float("value")).alias("value"),
+                  finite_number("_value_d").alias("value"),
                   F.when(_truthy("unit"), _str("unit")).otherwise(F.lit("")).alias("unit"),
-                  finite_number(_float("ref_low")).alias("ref_low"), finite_number(_float("ref_high")).alias("ref_high"))
+                  finite_number("_ref_low_d").alias("ref_low"), finite_number("_ref_high_d").alias("ref_high"))
             .where(F.col("marker").isNotNull() & F.col("value").isNotNull()))
