@@ -171,3 +171,11 @@ def test_quantities_of_any_size_and_fineness(spark):
     t = spark.createDataFrame([(29.7, 50.0), (0.00001, 1e9), (1e15, 200.0)], "per double, grams double")
     # 29.7 * 50 / 100 = 14.85, a tie.
     assert [r[0] for r in t.select(total("per", "grams")).collect()] == [14.8, 100.0, 2e15]
+
+
+def test_current_plan_reads_the_plans_once(spark):
+    from vitalis.operators import workouts
+    plans = spark.range(6).selectExpr("if(id = 5, null, id % 2) as user_id", "id div 2 as plan_id", "id")
+    now = workouts.current_plan(plans)
+    assert sorted((r.user_id, r.plan_id, r.id) for r in now.collect()) == [(0, 2, 4), (1, 1, 3)]
+    assert now._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

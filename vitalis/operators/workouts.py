@@ -51,9 +51,11 @@ def normalise_plan(raw: DataFrame, allowed: DataFrame, id_cols: list[str], cutof
 
 def current_plan(plans: DataFrame) -> DataFrame:
     """Each user's last saved plan (highest plan_id): saving replaces the
-    previous plan."""
-    last = plans.groupBy("user_id").agg(F.max("plan_id").alias("plan_id"))
-    return plans.join(last, ["user_id", "plan_id"])
+    previous plan. The plans are read once: a rank of 1 is taken in every task before
+    the shuffle, so only a user's newest rows of each travel."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("plan_id"))
+    kept = plans.where(F.col("user_id").isNotNull() & F.col("plan_id").isNotNull())
+    return kept.withColumn("_rank", F.rank().over(newest)).where("_rank = 1").drop("_rank")
 
 
 def plan_for_day(days: DataFrame, plan: DataFrame) -> DataFrame:
