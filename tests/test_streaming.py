@@ -91,3 +91,11 @@ def test_a_merge_cut_short_is_not_read(spark):
     assert band_stream.compact(spark, table, fanout=3) == 1
     assert [p.level for p in band_stream.parts(spark, table)] == [1]
     assert [r.steps for r in band_stream.latest_snapshot(spark, table).collect()] == [2]
+
+
+def test_a_numbered_batch_is_not_numbered_again(spark):
+    rows = [("meta", 7, "f", 0, 10), ("a,b", 7, "f", 0, 11), ("1,2", 7, "f", 0, 12)]
+    batch = spark.createDataFrame(rows, "value string, user_id long, file string, _blk long, _id long")
+    out = band_stream.lines_of_batch(batch)
+    assert sorted((r.line_no, r.text) for r in out.collect()) == [(0, "meta"), (1, "a,b"), (2, "1,2")]
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
