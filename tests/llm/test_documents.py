@@ -653,3 +653,15 @@ def test_passages_of_a_table_against_all_pairs(spark):
                 due += 1
                 assert hit[i].issuperset(range(k, k + 40)), (i, k)
     assert due > 1000
+
+
+def test_fingerprints_of_one_anchor_are_compared_in_small_pieces():
+    import numpy as np
+    import pandas as pd
+    from vitalis.llm import simhash
+    assert simhash.CHUNK_PAIRS <= 1 << 18  # six tasks share an executor
+    fp = np.unique(np.int64(1) << np.arange(40) | np.int64(1))
+    fp = np.unique((fp[:, None] | fp[None, :]).ravel())  # some 800 within four bits of each other
+    rows = pd.DataFrame({"key": np.zeros(len(fp), np.int64), "home": True, "fp": fp})
+    edges = pd.concat(list(simhash._compare(4)(iter([rows]))))
+    assert len(edges) == len(fp) - 1

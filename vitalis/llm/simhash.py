@@ -33,7 +33,8 @@ from .common import Links, components, nested, row_key, small_batches, written
 
 PARTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 HALVES = ((0, 1), (2, 3))
-CHUNK_PAIRS = 1 << 22
+#: Pairs compared at once in a task; each takes some 40 bytes.
+CHUNK_PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
