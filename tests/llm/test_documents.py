@@ -630,6 +630,38 @@ def test_short_periods_are_one_passage(spark):
         assert len(hit) >= n, (i, len(hit))
 
 
+def test_passage_whose_runs_of_seeds_earlier_documents_hold(spark):
+    rnd = random.Random(19)
+    words = lambda n: [f"w{rnd.randrange(10 ** 7)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(6):
+        size, d = (40, 45, 60, 80, 100, 120)[i], 50 * i
+        p = words(size)
+        # Every run of four seeds stands in an earlier document with 30 words of the passage.
+        rows += [(d + k, words(50) + p[lo:lo + 30] + words(50)) for k, lo in enumerate(range(0, size - 29, 2 if size == 40 else 5))]
+        rows += [(d + 48, words(70) + p + words(30)), (d + 49, words(20) + p + words(90))]
+        want.add((d + 49, 20, 20 + size, d + 48, 70, 70 + size))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {tuple(r)[:6] for r in passages.repeated_passages(df).collect()} == want
+
+
+def test_passage_that_begins_in_a_short_period(spark):
+    rnd = random.Random(23)
+    rows = []
+    for i in range(12):
+        p = ["so"] * 20 + [f"w{rnd.randrange(10 ** 7)}" for _ in range(20)]
+        rows += [(9 * i, p[:20] * (1 + i % 3) + ["x"] * 60), (9 * i + 1, p[22:] + [f"y{i}" for i in range(60)]),
+                 (9 * i + 2, p[11:33] + [f"z{i}" for i in range(60)]),
+                 (9 * i + 3, ["so"] * i + p), (9 * i + 4, ["so"] * (i * 5 % 13) + p)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    words, hit = {d: w for d, w in rows}, {d: set() for d, _ in rows}
+    for r in passages.repeated_passages(df).collect():
+        hit[r.doc_id].update(range(r.first_word, r.end_word))
+    for i in range(12):
+        n = len(words[9 * i + 4])
+        assert hit[9 * i + 4].issuperset(range(n - 40, n)), i
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_passages_of_a_table_against_all_pairs(spark):
     """Every word of an equal run of 40 words or more with an earlier place (that is not
