@@ -113,3 +113,47 @@ def test_segments_find_every_passing_pair(spark):
         if len(letters) == 26:
             cand = fuzzy._pairs_by_segments(q.withColumn("_ql", F.length("_qn")), c.withColumn("_cl", F.length("_cn")), cutoff)
             assert cand.count() <= 3 * len(want)
+
+
+def test_own_names_meet_inside_their_keys_by_character_counts(spark):
+    """Choices of each user: the best passing one as by brute force, and the counts lose
+    no pair that passes while they leave out most others."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(31)
+    names = ["".join(rnd.choice("etaoinshr dlu") for _ in range(rnd.randint(1, 18))) for _ in range(60)] + ["", "é" * 300, "é" * 299 + "x"]
+    choices = [(u, i, n) for u in (1, 2, None) for i, n in enumerate(rnd.sample(names, 40) + names[-3:])]
+    queries = {(u, None) for u in (1, 2)}
+    for _ in range(300):
+        s = list(rnd.choice(names))
+        for _ in range(rnd.randint(0, 2)):
+            p = rnd.randint(0, len(s))
+            s[p:p + rnd.randint(0, 1)] = rnd.choice("abé")
+        queries.add((rnd.choice([1, 2, 3, None]), "".join(s)))
+    q = spark.createDataFrame(sorted(queries, key=str), "user_id int, mention string")
+    c = spark.createDataFrame(choices, "user_id int, ord long, name string")
+    args = dict(query_col="mention", choice_col="name", ord_col="ord", cutoff=85, keys=("user_id",))
+    got = {(r.user_id, r.mention): (r.ord, r.score) for r in fuzzy.best_match(q, c, **args).collect()}
+    want = {}
+    for u, m in queries:
+        if m is None:
+            continue
+        qn, best = token_sort(m.strip()), (None, None)
+        for cu, o, n in choices:
+            cn = token_sort(n)
+            if cu == u and u is not None and qn and cn and 200 * lcs_brute(qn, cn) >= 85 * (len(qn) + len(cn)):
+                score = 200.0 * lcs_brute(qn, cn) / (len(qn) + len(cn))
+                if best[1] is None or score > best[1]:
+                    best = (o, score)
+        want[u, m] = best
+    assert got == want
+    passing = {(r.user_id, r.mention): (r.ord, r.score) for r in fuzzy.best_match(q, c, passing_only=True, **args).collect()}
+    assert passing == {k: v for k, v in want.items() if v[0] is not None}
+
+    def described(letter):
+        rows = spark.createDataFrame([(n,) for n in names], "n string").select(F.col("n").alias(f"_{letter}n"))
+        return fuzzy._described(rows, f"_{letter}n", letter)
+    pairs = described("q").crossJoin(described("c")).select("_qn", "_cn", fuzzy._changes("_q", "_c").alias("d")).collect()
+    for r in pairs:
+        assert r.d <= len(r._qn) + len(r._cn) - 2 * lcs_brute(r._qn, r._cn), r
+    near = [r for r in pairs if 100 * r.d <= 15 * (len(r._qn) + len(r._cn)) and r._qn != r._cn]
+    assert len(near) < len(pairs) / 20

@@ -112,52 +112,55 @@ def resolve_with_custom(items: DataFrame, choices: DataFrame, foods: DataFrame,
 def resolve_names(names: DataFrame, choices: DataFrame, foods: DataFrame, custom: DataFrame, estimates: DataFrame,
                   cutoff: float = 85) -> DataFrame:
     """Distinct (user_id, mention) -> item, ``_src``, values per 100 g and units of
-    what ``resolve_with_custom`` takes for it; names without any are left out."""
+    what ``resolve_with_custom`` takes for it; names without any are left out.
+
+    The values of a custom match come with the match. Those saved under built-in
+    strings, at most one a string of the fixed choices, meet a user's names once, as a map.
+    """
     from . import fuzzy
+    values = ("kcal", "protein", "carbs", "fat", "units")
+    # Behind a generator, so that all uses share one shuffle of the names: their filters
+    # and smaller distincts would otherwise be put in its place, each with its own scan.
+    names = names.where(F.col("mention").isNotNull()).select(F.inline(F.array(F.struct("user_id", "mention"))))
     n_builtin = len(dims.food_choices())
-    b = fuzzy.best_match(names, F.broadcast(choices), query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
-                         lower_query=True, payload=("food_id",))
-    b = b.select("mention", F.col("matched").alias("b_choice"), F.col("ord").alias("b_ord"),
-                 F.col("score").alias("b_score"), "food_id")
-    bchoice = F.broadcast(choices.select(F.col("choice").alias("_bc")))
-    new_custom = (custom.join(bchoice, custom["name"] == F.col("_bc"), "left_anti")
+    fnames = F.broadcast(foods.select("food_id", F.col("name").alias("b_key"), F.struct(*values).alias("_bf")))
+    mentions = names.select("mention").distinct()
+    b = fuzzy.best_match(mentions, F.broadcast(choices), query_col="mention", choice_col="choice", ord_col="ord", cutoff=cutoff,
+                         lower_query=True, payload=("food_id",), passing_only=True).join(fnames, "food_id")
+    b = b.select("mention", F.col("matched").alias("b_choice"), F.col("score").alias("b_score"), "b_key", "_bf")
+    est = estimates.select(F.col("name_key").alias("_ek"), F.struct(*values).alias("_es"))
+    b = (mentions.join(b, "mention", "left").withColumn("_ek", F.lower(strip("mention"))).join(est, "_ek", "left"))
+    row = F.struct(*values).alias("_cu")
+    bchoice = F.broadcast(choices.select(F.col("choice").alias("name")).distinct())
+    new_custom = (custom.join(bchoice, "name", "left_anti")
                         .withColumn("ord", F.lit(n_builtin) + F.dense_rank().over(
                             Window.partitionBy("user_id").orderBy("cpos")) - 1))
-    c = fuzzy.best_match(names, new_custom.select("user_id", "name", "ord"),
+    c = fuzzy.best_match(names, new_custom.select("user_id", "name", "ord", row),
                          query_col="mention", choice_col="name", ord_col="ord", cutoff=cutoff, keys=("user_id",),
-                         lower_query=True)
-    c = c.select("user_id", "mention", F.col("matched").alias("c_name"), F.col("score").alias("c_score"))
-    fnames = F.broadcast(foods.select("food_id", F.col("name").alias("b_key")))
-    it = (names.join(b, "mention", "left").join(fnames, "food_id", "left")
-               .join(c, ["user_id", "mention"], "left"))
+                         lower_query=True, payload=("_cu",), passing_only=True)
+    c = c.select("user_id", "mention", F.col("matched").alias("c_name"), F.col("score").alias("c_score"), F.col("_cu").alias("_new"))
+    own = (custom.join(bchoice, "name").groupBy("user_id")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("name", row))).alias("_own")))
+    it = names.join(c, ["user_id", "mention"], "left").join(b, "mention", "left").join(own, "user_id", "left")
     use_c = F.col("c_score").isNotNull() & (F.col("b_score").isNull() | (F.col("c_score") > F.col("b_score")))
-    cu = custom.select("user_id", "name", *[F.col(x).alias(f"cu_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
-    # key: custom new name; or a built-in choice string the user re-saved;
-    # or the built-in key of the matched string.
-    it = it.join(cu.withColumnRenamed("name", "b_choice").select("user_id", "b_choice", F.lit(1).alias("_own")),
-                 ["user_id", "b_choice"], "left")
-    key = (F.when(use_c, F.col("c_name"))
-            .when(F.col("b_score").isNotNull() & F.col("_own").isNotNull(), F.col("b_choice"))
-            .when(F.col("b_score").isNotNull(), F.col("b_key")))
-    it = it.withColumn("item_key", key)
-    bf = F.broadcast(foods.select(F.col("name").alias("item_key"),
-                                  *[F.col(x).alias(f"bf_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")]))
-    it = (it.join(cu.withColumnRenamed("name", "item_key"), ["user_id", "item_key"], "left")
-            .join(bf, "item_key", "left"))
-    est = estimates.select(F.col("name_key").alias("_ek"),
-                           *[F.col(x).alias(f"es_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
-    it = it.withColumn("_ek", F.lower(strip("mention"))).join(est, "_ek", "left")
+    # A custom name; or a built-in choice string the user re-saved; or the built-in key
+    # of the matched string, with the user's values if they re-saved that.
+    saved, saved_key = (F.try_element_at("_own", F.col(x)) for x in ("b_choice", "b_key"))
+    it = it.select("user_id", "mention", "b_key", "_bf", "_ek", "_es", F.inline(F.array(F.struct(
+        F.when(use_c, F.col("c_name")).when(saved.isNotNull(), F.col("b_choice")).otherwise(F.col("b_key")).alias("item_key"),
+        F.when(use_c, F.col("_new")).otherwise(F.coalesce(saved, saved_key)).alias("_cu")))))
+    it = it.withColumn("_bf", F.when(F.col("item_key") == F.col("b_key"), F.col("_bf")))
     matched = F.col("item_key").isNotNull()
-    src = (F.when(matched & F.col("bf_kcal").isNull(), F.lit("custom"))
+    src = (F.when(matched & F.col("_bf.kcal").isNull(), F.lit("custom"))
             .when(matched, F.lit("built-in")).otherwise(F.lit("AI estimate")))
 
     def pick(x):
-        return (F.when(matched, F.coalesce(F.col(f"cu_{x}"), F.col(f"bf_{x}")) if x != "units" else
-                       F.when(F.col("cu_kcal").isNotNull(), F.col("cu_units")).otherwise(F.col("bf_units")))
-                 .otherwise(F.col(f"es_{x}")))
-    it = it.where(matched | F.col("es_kcal").isNotNull())
+        return (F.when(matched, F.coalesce(F.col(f"_cu.{x}"), F.col(f"_bf.{x}")) if x != "units" else
+                       F.when(F.col("_cu.kcal").isNotNull(), F.col("_cu.units")).otherwise(F.col("_bf.units")))
+                 .otherwise(F.col(f"_es.{x}")))
+    it = it.where(matched | F.col("_es.kcal").isNotNull())
     return it.select("user_id", "mention", F.when(matched, F.col("item_key")).otherwise(F.col("_ek")).alias("item"),
-                     src.alias("_src"), *[pick(x).alias(f"_p_{x}") for x in ("kcal", "protein", "carbs", "fat", "units")])
+                     src.alias("_src"), *[pick(x).alias(f"_p_{x}") for x in values])
 
 
 def save_estimates(custom: DataFrame, resolved: DataFrame) -> DataFrame:

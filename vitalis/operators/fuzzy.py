@@ -1,25 +1,22 @@
 """Best fuzzy match of free names against a choice list (foods, exercises,
 lab markers): token-sort ratio, a cutoff, first-best wins ties.
 
-No all-pairs join. Candidate pairs come from an equi-join on character
-tokens (prefix filtering, as in set-similarity joins): a passing pair must
-share at least ``t`` characters (LCS <= multiset overlap), and ``t`` has a
-lower bound that depends on one string's length only. Ordering every
-string's character tokens by one global order, two strings sharing ``t``
-tokens must share a token among the first ``len - t + 1`` of each -- so
-joining on those prefix tokens finds every pair that can pass, exactly.
-Candidates are then verified with the exact LCS (``functions.similarity``).
-
-One vocabulary that all keys share can be large, and single characters then meet too
-many names. There the pairs come from segments: a pair that passes differs by at most
-``d`` insertions and deletions, ``d`` bounded by the lengths, so of ``d + 1`` segments of
-the choice at least one stands unchanged in the query, shifted by no more than the
-differences before it. Names meet on (length, segment number, text).
-
-Names are compared once per *distinct* pair of normalised names, equal ones
-without a score; the passing pairs are then joined back to the queries and to
-the choices of their keys. Where all keys draw on one vocabulary (markers,
-exercises, the built-in foods) pairs are found once for all of them.
+Where all keys draw on one vocabulary there is no all-pairs join: a pair that passes
+differs by at most ``d`` insertions and deletions, ``d`` bounded by the lengths, so of
+``d + 1`` segments of the choice at least one stands unchanged in the query, shifted by
+no more than the differences before it. Names meet on (length, segment number, text).
+
+Each user's own names are few beside the queries, and single characters or segments
+would make more rows than there are pairs. There a query meets the choices of its keys,
+and a pair goes on only if its character counts allow the cutoff: every insertion or
+deletion changes one count by one. The counts of 16 classes of characters are packed
+into two whole numbers, so this is a few shifts a pair and loses none that passes. A
+user's choices are met in 16 parts by hashes of the queries, so that a user with very many
+queries is spread over tasks.
+
+In one vocabulary (markers, exercises, the built-in foods) names are compared once per
+*distinct* pair of normalised names, over all keys; the passing pairs are then joined
+back to the queries and to the choices of their keys. Equal names need no score.
 """
 from __future__ import annotations
 
@@ -29,29 +26,34 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.expr import let, strip
 
-# Global token order: characters that are rare in names come first so
-# prefixes hold selective tokens. Correctness does not depend on the order.
-RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate "
+# Classes of characters; every other character belongs to a sixteenth. Correctness does
+# not depend on them.
+CLASSES = (" ", "e", "a", "i", "o", "r", "n", "t", "s", "l", "cd", "uh", "mgp", "bfy", "wkvxjqz")
+_BITS, _HELD = 8, 255
 
 
-def _prefix_tokens(norm_col: str, len_col: str, cutoff: float):
-    """Array of prefix tokens of a normalised string, computed inside the
-    row: token = character + its occurrence number; tokens sorted by the
-    global order; the first ``len - min_overlap + 1`` kept. The characters
-    are sorted first, so a character's occurrence number is its distance
-    from its first position in the sorted array (native
-    ``array_position``), one pass, no shuffle."""
-    def tokens(srt):
-        def tok(c, i):
-            occ = (i + 2 - F.array_position(srt, c)).cast("int")
-            rank = F.instr(F.lit(RARE_TO_COMMON), F.lower(c)) - 40 * (occ - 1)
-            return F.struct(rank.alias("r"), c.alias("ch"), occ.alias("occ"))
-        return F.array_sort(F.transform(srt, tok))
+def _described(df: DataFrame, name: str, letter: str) -> DataFrame:
+    """``df`` with the length ``_<letter>l`` of a normalised name and its profile: two whole
+    numbers ``_<letter>_0`` and ``_<letter>_1`` of eight counts each, at most 255, of how
+    often each class of characters occurs."""
+    merged = [(x, c[0]) for c in CLASSES for x in c[1:]]
+    df = df.withColumn("_x", F.translate(F.col(name), "".join(x for x, _ in merged), "".join(c for _, c in merged)))
+    length = F.length("_x")
+    df = df.withColumns({f"_n{i}": length - F.length(F.replace("_x", F.lit(c[0]), F.lit(""))) for i, c in enumerate(CLASSES)})
+    counts = [F.col(f"_n{i}") for i in range(len(CLASSES))]
+    counts.append(length - sum(counts[1:], counts[0]))
+    packed = [F.shiftleft(F.least(n, F.lit(_HELD)).cast("long"), _BITS * (i % 8)) for i, n in enumerate(counts)]
+    words = {f"_{letter}_{j}": sum(packed[8 * j + 1:8 * j + 8], packed[8 * j]) for j in range(2)}
+    return df.withColumns({f"_{letter}l": length, **words}).drop("_x", *[f"_n{i}" for i in range(len(CLASSES))])
 
-    keep = (F.col(len_col) - sim.min_overlap(len_col, cutoff) + 1).cast("int")
-    toks = let(F.array_sort(sim.chars(norm_col)), tokens)
-    prefix = F.when(keep > 0, F.slice(toks, 1, F.greatest(keep, F.lit(1))))
-    return F.transform(prefix, lambda t: F.concat(t["ch"], F.lit("#"), t["occ"].cast("string")))
+
+def _changes(a: str, b: str) -> Column:
+    """Insertions and deletions that the profiles in columns ``a``/``b`` + ``_0``, ``_1`` ask
+    for at least."""
+    def count(name, i):
+        return F.shiftrightunsigned(F.col(f"{name}_{i // 8}"), _BITS * (i % 8)).bitwiseAND(F.lit(_HELD).cast("long"))
+    differences = [F.abs(count(a, i) - count(b, i)) for i in range(len(CLASSES) + 1)]
+    return sum(differences[1:], differences[0])
 
 
 EPS = 1e-9  # a bound on a whole number is never lowered by a rounding error
@@ -116,24 +118,34 @@ def _pairs_by_segments(qv: DataFrame, cv: DataFrame, cutoff: float) -> DataFrame
     return q.join(c, ["_cl", "_i", "_text"]).where(~earlier)
 
 
-def _pairs_by_characters(qv: DataFrame, cv: DataFrame, scope: list[str], cutoff: float) -> DataFrame:
-    """Candidate pairs inside their scope: each once, at the first prefix token both have."""
-    q = qv.withColumn("_qp", _prefix_tokens("_qn", "_ql", cutoff))
-    c = cv.withColumn("_cp", _prefix_tokens("_cn", "_cl", cutoff))
-    # explode_outer: explode would add a filter on its array, computed on raw rows.
-    return (q.withColumn("_tok", F.explode_outer("_qp"))
-             .join(c.withColumn("_tok", F.explode_outer("_cp")), [*scope, "_tok"])
-             .where((200 * F.least("_ql", "_cl") >= F.lit(cutoff) * (F.col("_ql") + F.col("_cl")))
-                    & (F.col("_tok") == F.try_element_at(F.array_intersect("_qp", "_cp"), F.lit(1)))))
+PARTS = 16
+
+
+def _matches_in_keys(q: DataFrame, c: DataFrame, keys: list[str], query_col: str, payload: tuple[str, ...],
+                     cutoff: float) -> DataFrame:
+    """(keys, query_col, _b) of the queries that have a passing choice in their keys: the
+    best one as (matched, ord, payload, score)."""
+    qd = _described(q, "_qn", "q").withColumn("_part", F.pmod(F.hash("_qn"), F.lit(PARTS)))
+    cd = _described(c, "_cn", "c").withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    total = F.col("_ql") + F.col("_cl")
+    near = qd.where("_ql > 0").join(cd.where("_cl > 0"), [*keys, "_part"]).where(
+        (200 * F.least("_ql", "_cl") >= F.lit(cutoff) * total) & (100 * _changes("_q", "_c") <= F.lit(100 - cutoff) * total + EPS))
+    # Behind a generator, so that the filter on it does not compute it again.
+    lcs = F.when(F.col("_qn") == F.col("_cn"), F.col("_ql")).otherwise(
+        let(sim.pattern_masks("_cn"), lambda masks: sim.lcs("_cl", masks, "_qn")))
+    scored = near.select(*keys, query_col, "matched", "ord", *payload, "_ql", "_cl", F.inline(F.array(F.struct(lcs.alias("_lcs")))))
+    score = sim.ratio_from_lcs("_lcs", "_ql", "_cl").alias("score")
+    return (scored.where(sim.passes_cutoff("_lcs", "_ql", "_cl", cutoff)).groupBy(*keys, query_col)
+            .agg(F.max_by(F.struct("matched", "ord", *payload, score), F.struct(score, -F.col("ord"), "matched")).alias("_b")))
 
 
 def _passing_pairs(q: DataFrame, c: DataFrame, scope: list[str], cutoff: float) -> DataFrame:
-    """(scope, _qn, _cn, score) of the distinct normalised names that pass the
-    cutoff. Each candidate pair is scored once."""
+    """(scope, _qn, _cn, score) of the distinct normalised names of one vocabulary that
+    pass the cutoff; ``scope`` is empty. Each candidate pair is scored once."""
     qv = q.select(*scope, "_qn").distinct().withColumn("_ql", F.length("_qn"))
     cv = (c.select(*scope, "_cn").distinct().withColumn("_cl", F.length("_cn"))
            .withColumn("_masks", sim.pattern_masks("_cn")))
-    cand = _pairs_by_characters(qv, cv, scope, cutoff) if scope else _pairs_by_segments(qv, cv, cutoff)
+    cand = _pairs_by_segments(qv, cv, cutoff)
     # Behind a generator, so that the filter on it does not compute it again.
     lcs = F.when(F.col("_qn") == F.col("_cn"), F.col("_ql")).otherwise(sim.lcs("_cl", "_masks", "_qn"))
     scored = cand.select(*scope, "_qn", "_cn", "_ql", "_cl", F.inline(F.array(F.struct(lcs.alias("_lcs")))))
@@ -143,7 +155,7 @@ def _passing_pairs(q: DataFrame, c: DataFrame, scope: list[str], cutoff: float)
 
 def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice_col: str, ord_col: str,
                cutoff: float, keys: tuple[str, ...] = (), lower_query: bool = False,
-               payload: tuple[str, ...] = (), one_vocabulary: bool = False) -> DataFrame:
+               payload: tuple[str, ...] = (), one_vocabulary: bool = False, passing_only: bool = False) -> DataFrame:
     """For each distinct (keys, query) the best choice with score >= cutoff.
 
     ``queries``: keys + query_col. ``choices``: keys + choice_col + ord_col
@@ -154,21 +166,26 @@ def best_match(queries: DataFrame, choices: DataFrame, *, query_col: str, choice
     ``one_vocabulary`` says that the choices of all keys come from one list of
     names: names are then compared over all keys together, once a pair, and
     the keys only decide which passing pairs count. Without it (each user's own
-    names) names are compared inside their keys.
+    names) names are compared inside their keys. ``passing_only`` leaves out the queries
+    for which nothing passes.
     """
     keys = list(keys)
-    scope = [] if one_vocabulary else keys
     # The generator keeps this distinct: without it the distinct of _qn would
     # take its place and normalise every row of the log.
     q = (queries.select(*keys, query_col).where(F.col(query_col).isNotNull()).distinct()
                 .select("*", F.inline(F.array(F.struct(sim.token_sort(query_col, lower=lower_query).alias("_qn"))))))
     c = (choices.select(*keys, F.col(choice_col).alias("matched"), F.col(ord_col).alias("ord"), *payload)
                 .withColumn("_cn", sim.token_sort("matched")))
-    pairs = _passing_pairs(q, c, scope, cutoff)
-    found = q.join(pairs, [*scope, "_qn"], "left").join(c, [*keys, "_cn"], "left")
-    ranked = F.when(F.col("matched").isNotNull(),
-                    F.struct("score", (-F.col("ord")).alias("_nord"), "matched", "ord", *payload))
-    best = found.groupBy(*keys, query_col).agg(F.max(ranked).alias("_b"))
+    if keys and not one_vocabulary:
+        best = _matches_in_keys(q, c, keys, query_col, payload, cutoff)
+        if not passing_only:
+            best = q.select(*keys, query_col).join(best, [*keys, query_col], "left")
+    else:
+        pairs, how = _passing_pairs(q, c, [], cutoff), "inner" if passing_only else "left"
+        found = q.join(pairs, "_qn", how).join(c, [*keys, "_cn"], how)
+        ranked = F.when(F.col("matched").isNotNull(),
+                        F.struct("score", (-F.col("ord")).alias("_nord"), "matched", "ord", *payload))
+        best = found.groupBy(*keys, query_col).agg(F.max(ranked).alias("_b"))
     return best.select(*keys, query_col, F.col("_b.matched").alias("matched"), F.col("_b.ord").alias("ord"),
                        *[F.col(f"_b.{p}").alias(p) for p in payload], F.col("_b.score").alias("score"))
 

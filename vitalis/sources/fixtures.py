@@ -478,6 +478,16 @@ def plan_outputs(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFr
                       profile.alias("equipment"), text.alias("text")))
 
 
+def food_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimates of all parts: (p_partkey, name, kcal, protein, carbs, fat, units). A
+    table of parts is a few files of short rows, and reading one estimate is much work:
+    the texts are dealt over tasks before, and the rows after, so that a query that needs
+    them twice shares them."""
+    from . import model_json
+    out = estimate_outputs(spark, sf_dir)
+    return model_json.food_estimates(out.repartition("p_partkey"), ["p_partkey", "name"]).repartition("p_partkey", "name")
+
+
 def custom_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foods users saved from estimates: (user_id, name, cpos, kcal, protein,
     carbs, fat, units). Every tenth part is saved under a built-in key or
@@ -485,8 +495,8 @@ def custom_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
     the lower-cased part name. The parts are dealt over all users (suppliers);
     saving a name again replaces it (highest part key wins); ``cpos`` is the
     save order."""
-    from . import dims, model_json
-    est = model_json.food_estimates(estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
+    from . import dims
+    est = food_estimates(spark, sf_dir)
     ch = F.broadcast(dims.food_choice_df(spark).select(F.col("ord").alias("_o"), F.col("choice").alias("_c")))
     e = est.join(ch, (F.col("p_partkey") * 7) % 121 == F.col("_o"), "left")
     nm = F.when(F.col("p_partkey") % 10 == 0, F.col("_c")).otherwise(F.lower("name"))
@@ -502,8 +512,7 @@ def custom_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def food_estimate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates available for unmatched names: (name_key, kcal, protein,
     carbs, fat, units), one per lower-cased part name (lowest part key)."""
-    from . import model_json
-    est = model_json.food_estimates(estimate_outputs(spark, sf_dir), ["p_partkey", "name"])
+    est = food_estimates(spark, sf_dir)
     return (est.groupBy(F.lower("name").alias("name_key"))
                .agg(F.min_by(F.struct("kcal", "protein", "carbs", "fat", "units"), "p_partkey").alias("r"))
                .select("name_key", "r.*"))
