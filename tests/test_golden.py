@@ -179,3 +179,20 @@ def test_current_plan_reads_the_plans_once(spark):
     now = workouts.current_plan(plans)
     assert sorted((r.user_id, r.plan_id, r.id) for r in now.collect()) == [(0, 2, 4), (1, 1, 3)]
     assert now._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_plan_names_and_rows_come_from_one_reading(spark):
+    """The model's texts are parsed once, behind the shuffle that names and rows share."""
+    from vitalis.operators import workouts
+    from vitalis.sources import dims, model_json
+    text = '{"days": [{"day": "Mon", "focus": "a", "exercises": [{"name": "%s", "sets": 2}, {"name": "no such", "sets": 9}]}]}'
+    lib = dims.exercise_df(spark)
+    name = lib.first().name
+    out = spark.createDataFrame([(1, 7, "Full gym", text % name), (1, 7, "Full gym", text % name.upper())],
+                                "user_id long, plan_id long, equipment string, text string")
+    raw = model_json.plan_days(out, ["user_id", "plan_id", "equipment"], dims.WEEKDAYS)
+    rows = workouts.normalise_plan(raw, workouts.allowed_exercises(lib, dims.equipment_kind_df(spark)), ["user_id", "plan_id"])
+    got = rows.collect()
+    assert {(r.day, r.weekday_idx, r.ex_pos, r.name, r.sets) for r in got} <= {("Mon", 0, 0, name, 2)} and got
+    final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Generate posexplode(") == 2, final.count("Generate posexplode(")

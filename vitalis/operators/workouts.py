@@ -35,14 +35,19 @@ def normalise_plan(raw: DataFrame, allowed: DataFrame, id_cols: list[str], cutof
     library-checked plan rows: each exercise name replaced by its library
     match for the equipment profile (cutoff 90, case kept), unmatched
     exercises dropped, days left without exercises dropped (an inner join
-    does both). ``weekday_idx`` gives the Mon..Sun order."""
+    does both). ``weekday_idx`` gives the Mon..Sun order.
+
+    The rows are dealt by document once, behind a generator that keeps every column:
+    their names and they themselves come from that one shuffle, so that the model's
+    texts are read once and not again for the names."""
     from ..sources import dims
     from . import fuzzy
+    doc = ["_doc"] if "_doc" in raw.columns else list(id_cols)
+    raw = raw.repartition(*doc).select(F.inline(F.array(F.struct(*raw.columns))))
     m = fuzzy.match_exercise(raw.select("equipment", F.col("raw_name").alias("mention")), allowed, cutoff)
     m = m.where(F.col("matched").isNotNull()).select("equipment", F.col("mention").alias("raw_name"), "matched")
     j = raw.join(m, ["equipment", "raw_name"])
     idx = F.array_position(F.array(*[F.lit(d) for d in dims.WEEKDAYS]), F.col("day")).cast("int") - 1
-    doc = ["_doc"] if "_doc" in raw.columns else list(id_cols)
     w = Window.partitionBy(*doc, "day_pos").orderBy("ex_pos")
     return j.select(*id_cols, "day_pos", idx.alias("weekday_idx"), "day", "focus",
                     (F.row_number().over(w) - 1).alias("ex_pos"), F.col("matched").alias("name"),
