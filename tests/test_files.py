@@ -61,3 +61,10 @@ def test_a_task_takes_few_packed_bytes(spark):
     from vitalis.session import _DEFAULTS
     assert int(_DEFAULTS["spark.sql.adaptive.advisoryPartitionSizeInBytes"].rstrip("m")) <= 16
     assert int(_DEFAULTS["spark.sql.files.maxPartitionBytes"].rstrip("m")) <= 32
+
+
+def test_export_lines_number_their_files_once(spark):
+    """One window over the readings: the first lines of a file come with its first reading."""
+    from vitalis.sources import fixtures as fx
+    plan = fx.band_export_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1

@@ -426,15 +426,18 @@ def band_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               .unionByName(readings("stress", None, "com.samsung.shealth.stress.csv", "start_time,score,time_offset")))
     w = Window.partitionBy("file").orderBy("_o")
     body = body.withColumn("_rn", F.row_number().over(w))
-    first = body.where(F.col("_rn") == 1)
+    # The lines before a file's first reading come with it: one window for all, and every
+    # line of a file stands where the others do.
+    first, meta = F.col("_rn") == 1, F.col("_m")
     bom = F.when((F.col("user_id") % 4 == 2) & F.col("file").endswith("sleep.csv"), F.lit("﻿")).otherwise(F.lit(""))
-    meta = first.where(F.col("_m")).select(
-        "file", "user_id", F.lit(0).alias("line_no"), F.concat(bom, F.lit("com.samsung.shealth.export,6313")).alias("text"))
-    head = first.select("file", "user_id", F.when(F.col("_m"), 1).otherwise(0).alias("line_no"),
-                        F.when(F.col("_m"), F.col("_h")).otherwise(F.concat(bom, F.col("_h"))).alias("text"))
-    rows = body.select("file", "user_id",
-                       F.when(F.col("_m"), F.col("_rn") + 1).otherwise(F.col("_rn")).alias("line_no"), "text")
-    return meta.unionByName(head).unionByName(rows)
+
+    def line(number, value):
+        return F.struct(number.cast("int").alias("line_no"), value.alias("text"))
+    row = line(F.when(meta, F.col("_rn") + 1).otherwise(F.col("_rn")), F.col("text"))
+    lines = (F.when(first & meta, F.array(line(F.lit(0), F.concat(bom, F.lit("com.samsung.shealth.export,6313"))),
+                                          line(F.lit(1), F.col("_h")), row))
+              .when(first, F.array(line(F.lit(0), F.concat(bom, F.col("_h"))), row)).otherwise(F.array(row)))
+    return body.select("file", "user_id", F.inline(lines))
 
 
 REQUESTED_DAYS = ["Mon", "Tue", "Thu", "Fri", "Sat"]

@@ -26,11 +26,16 @@ BATCH_ROWS = 10_000
 # one, behind a quote in a quoted one.
 START, FIELD, QUOTED, QUOTE = range(4)
 _SPECIAL = re.compile(rb'[",\n]')
+_BREAK = re.compile(rb"\n")
 
 
 def breaks(data: bytes, state: int) -> tuple[list[int], int]:
     """Places of the line breaks in ``data`` that end a record, and the state behind
     it, if ``state`` is the one before it."""
+    if b'"' not in data:  # only line breaks count, and all or none of them
+        if state == QUOTED or not data:
+            return [], state
+        return [m.start() for m in _BREAK.finditer(data)], START if data[-1:] in (b",", b"\n") else FIELD
     found: list[int] = []
     last = 0
     for m in _SPECIAL.finditer(data):
