@@ -687,6 +687,56 @@ def test_passages_of_a_table_against_all_pairs(spark):
     assert due > 1000
 
 
+def test_words_around_chains_are_written_once(spark, monkeypatch):
+    rnd = random.Random(29)
+    p = prose(rnd, 90)
+    rows = [(i, " ".join(prose(rnd, 60) + p + prose(rnd, 60))) for i in range(9)]
+    tables, keep = {}, passages.written
+
+    def spy(df, name):
+        out = keep(df, name)
+        kinds = {k for _, k in out.dtypes}
+        ranges = out.select("src", "src_tag", "y0", "y1").distinct().count() if name == "chains" else 0
+        tables.setdefault(name, []).append((out.count(), "binary" in kinds, ranges))
+        return out
+
+    monkeypatch.setattr(passages, "written", spy)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(1, 9))
+    assert "seeds" not in tables  # a row for every seed: they go to their tasks at once
+    chains = tables["chains"]
+    assert sum(n for n, _, _ in chains) >= 8
+    # A row for each chain and one for each range of a source.
+    assert sum(n for v in tables.values() for n, words, _ in v if words) == sum(n + ranges for n, _, ranges in chains)
+
+
+def test_seeds_of_a_batch_are_those_of_its_texts():
+    rnd = random.Random(31)
+    sizes = [rnd.choice([0, 3, 5, 6, 11, 12, 13, 20, 45, 200]) for _ in range(120)]
+    texts = [" ".join(f"w{rnd.randrange(10 ** 9)}" for _ in range(n)) if n else rnd.choice([None, ""]) for n in sizes]
+    of, h, at, _ = passages.seeds_of(texts)
+    for i, t in enumerate(texts):
+        _, every, place, _ = passages.seeds_of([t], window=1)
+        every = every.tolist()
+        assert place.tolist() == list(range(len(every)))
+        least = {min(range(k, min(k + passages.WINDOW, len(every))), key=every.__getitem__)
+                 for k in range(max(len(every) - passages.WINDOW + 1, 1)) if every}
+        assert sorted(zip(at[of == i].tolist(), h[of == i].tolist())) == [(k, every[k]) for k in sorted(least)]
+
+
+def test_steps_and_ends_against_common_subsequences():
+    rnd = random.Random(37)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randint(0, 12))] for _ in "ab")
+        assert passages._prefixes(a, b) == [passages._common(a[:n], b[:n]) for n in range(min(len(a), len(b)) + 1)]
+        best = passages._common(a, b)
+        i = min(n for n in range(len(a) + 1) if passages._common(a[:n], b) == best)
+        j = min(n for n in range(len(b) + 1) if passages._common(a[:i], b[:n]) == best)
+        assert passages._end(a, b) == (i, j)
+        both = sum(min(a.count(w), b.count(w)) for w in set(a))
+        assert [passages.hopeless(a, b, n) for n in range(1, 13)] == [both < n for n in range(1, 13)]
+
+
 def test_fingerprints_of_one_anchor_are_compared_in_small_pieces():
     import numpy as np
     import pandas as pd
