@@ -68,3 +68,29 @@ def test_export_lines_number_their_files_once(spark):
     from vitalis.sources import fixtures as fx
     plan = fx.band_export_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") == 1
+
+
+def _archive(root, user, lines):
+    d = root / f"user_id={user}"
+    d.mkdir(parents=True)
+    with zipfile.ZipFile(d / "export.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("export/com.samsung.shealth.sleep.csv", "\n".join(lines))
+
+
+def test_lines_of_small_lists_are_not_broadcast(spark, tmp_path):
+    """The lines that tasks read are many times the list of archives they are read from,
+    which is the size Spark takes for theirs: they meet their headers in a merge join, and
+    their file names are routed once a file."""
+    _archive(tmp_path, 1, SLEEP[:2] + SLEEP[2:3] * 5_000)
+    daily = band_csv.daily_from_lines(archives.read_archives(spark, str(tmp_path)))
+    assert [(str(r.day), r.sleep_score) for r in daily.collect()] == [("2024-01-02", 70.0)]
+    run = daily._jdf.queryExecution()
+    assert "Broadcast" not in run.executedPlan().toString()
+    assert not [x for x in run.optimizedPlan().toString().splitlines() if "Filter" in x and "regexp_extract" in x]
+
+
+def test_archives_are_read_once(spark, tmp_path):
+    _archive(tmp_path, 1, SLEEP)
+    lines = archives.read_archives(spark, str(tmp_path)).where("error is null")
+    (tmp_path / "user_id=1" / "export.zip").write_bytes(b"another upload")
+    assert lines.count() == 4 and band_csv.import_summary(lines).first().days_saved == 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .records import CHUNK, START, breaks, line_batches, record_text, user_of
-from .storage import Published, filesystem, fresh, listing
+from .storage import Published, filesystem, kept, listing
 
 MEMBER = ("path string, user_id long, member string, method int, flags int, offset long, packed long, size long, crc long, "
           "error string")
@@ -53,9 +53,7 @@ def members(spark: SparkSession, path: str, pattern: str = "*.[zZ][iI][pP]") ->
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER.split(", ")], dtype=object)
             yield out
 
-    table = fresh(spark, "members")
-    files.select("path").repartition(tasks, "path").mapInPandas(read, MEMBER).write.parquet(table)
-    return spark.read.schema(MEMBER).parquet(table)
+    return kept(spark, files.select("path").repartition(tasks, "path").mapInPandas(read, MEMBER), "members")
 
 
 def pieces(f, offset: int, packed: int, method: int):
@@ -111,7 +109,8 @@ def member_records(chunks):
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Zip uploads under ``path`` (``.../user_id=<id>/*.zip``) -> (file, user_id,
     line_no, text, error); ``file`` is ``archive!/member``, line_no is exact. A row
-    with ``error`` has no line; lines before the place where a member breaks stand."""
+    with ``error`` has no line; lines before the place where a member breaks stand. The
+    archives are read once: the lines are a written table."""
     table = members(spark, path)
     size = table.agg(F.count("*"), F.sum("size")).first()
     tasks = max(1, min(size[0] or 1, max(8, (size[1] or 0) // (32 << 20)), 100_000))
@@ -155,7 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                  pa.nulls(len(errors), pa.int64()), pa.nulls(len(errors), pa.string()), pa.array([e[2] for e in errors])],
                 names=["file", "user_id", "line_no", "text", "error"])
 
-    return table.repartition(tasks, "path", "member").mapInArrow(read, LINES)
+    return kept(spark, table.repartition(tasks, "path", "member").mapInArrow(read, LINES), "lines")
 
 
 def rejected(lines: DataFrame) -> DataFrame:

@@ -68,15 +68,17 @@ def headers(lines: DataFrame) -> DataFrame:
     meta = F.col("_l1").isNotNull() & (commas("_l0") < commas("_l1"))
     header = F.when(meta, F.col("_l1")).otherwise(F.col("_l0"))
     names = F.transform(F.split(header, ","), lambda x: F.trim(F.element_at(F.split(x, r"\."), -1)))
-    h = h.select("file", F.when(meta, 2).otherwise(1).alias("data_from"), names.alias("names"),
-                 route("file").alias("kind"), "_n")
+    # Behind a generator: from a plain projection Spark takes the filter on the kind over
+    # to the lines that are joined on the file, and routes every line by its file's name.
+    h = h.where("_n >= 2").select("file", F.inline(F.array(F.struct(
+        F.when(meta, 2).otherwise(1).alias("data_from"), names.alias("names"), route("file").alias("kind")))))
 
     def pos(name):
         return F.array_position("names", name).cast("int") - 1  # first occurrence; -1 when absent
 
     wanted = ["start_time", "end_time", "sleep_score", "time_offset", "heart_rate", "day_time", "count",
               "step_count", "score"]
-    return (h.where((F.col("_n") >= 2) & F.col("kind").isNotNull())
+    return (h.where(F.col("kind").isNotNull())
              .select("file", "kind", "data_from",
                      *[F.when(pos(w) >= 0, pos(w)).alias(f"p_{w}") for w in wanted]))
 
@@ -91,7 +93,9 @@ def parse_long(lines: DataFrame) -> DataFrame:
     shifted, 0 < hours < 16, day = local wake-up date); heart, steps and
     stress rows carry the reading and the local day. A file lacking a kind's
     required columns yields nothing."""
-    h = headers(lines)  # one row a file; AQE broadcasts it when it measures it small
+    # Merged: lines come out of readers whose size Spark takes for that of the short list
+    # they read, and would be sent to the driver as the smaller side.
+    h = headers(lines).hint("merge")  # one row a file
     body = lines.join(h, "file").where(F.col("line_no") >= F.col("data_from"))
     key_cols = ["file", "user_id"] if "user_id" in lines.columns else ["file"]
     kind = F.col("kind")

@@ -14,6 +14,14 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that what Python reads
+    is read once, and its size is known to Spark."""
+    where = fresh(spark, name)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a Hadoop-style URI or a plain path."""
     from pyarrow import fs
@@ -36,7 +44,11 @@ def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     def listed(frames):
         import pandas as pd
         from pyarrow import fs
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["path", "length"]).astype({"length": "Int64"})
         for f in frames:
+            rows = []
             for uri in f["path"]:
                 system, where = filesystem(uri)
                 info = system.get_file_info(where)
@@ -44,10 +56,13 @@ def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
                     raise FileNotFoundError(uri)
                 found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where))
                 head = uri[:len(uri) - len(where)] if uri.endswith(where) else ""
-                rows = [(head + i.path, None if i.type == fs.FileType.Directory else i.size) for i in found
-                        if i.base_name[:1] not in ("_", ".")
-                        and (i.type == fs.FileType.Directory or fnmatch.fnmatchcase(i.base_name, pattern))]
-                yield pd.DataFrame(rows, columns=["path", "length"]).astype({"length": "Int64"})
+                rows += [(head + i.path, None if i.type == fs.FileType.Directory else i.size) for i in found
+                         if i.base_name[:1] not in ("_", ".")
+                         and (i.type == fs.FileType.Directory or fnmatch.fnmatchcase(i.base_name, pattern))]
+                if len(rows) >= 10_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     folders, level = spark.createDataFrame([(path.rstrip("/"),)], "path string"), 0
     while True:
