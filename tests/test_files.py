@@ -94,3 +94,16 @@ def test_archives_are_read_once(spark, tmp_path):
     lines = archives.read_archives(spark, str(tmp_path)).where("error is null")
     (tmp_path / "user_id=1" / "export.zip").write_bytes(b"another upload")
     assert lines.count() == 4 and band_csv.import_summary(lines).first().days_saved == 1
+
+
+def test_files_are_read_once_and_not_broadcast(spark, tmp_path):
+    d = tmp_path / "user_id=4"
+    d.mkdir()
+    path = d / "com.samsung.shealth.sleep.csv"
+    path.write_text("\n".join(SLEEP[:2] + SLEEP[2:3] * 5_000) + "\n")
+    lines = band_csv.read_lines(spark, str(tmp_path), range_bytes=1 << 14)
+    path.write_text("another\nupload\n")
+    daily = band_csv.daily_from_lines(lines)
+    assert [(str(r.day), r.sleep_score) for r in daily.collect()] == [("2024-01-02", 70.0)]
+    assert lines.count() == 5_002 and lines.agg({"line_no": "max"}).first()[0] == 5_001
+    assert "Broadcast" not in daily._jdf.queryExecution().executedPlan().toString()

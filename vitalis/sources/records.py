@@ -17,9 +17,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Published, filesystem, listing
+from .storage import Published, filesystem, kept, listing
 
 RANGE_BYTES = 64 << 20
+#: Bytes of ranges that a task takes at least, where there are enough of them.
+TASK_BYTES = 16 << 20
 CHUNK = 1 << 20
 BATCH_ROWS = 10_000
 # Where a byte stands: at the start of a field, inside a plain one, inside a quoted
@@ -138,13 +140,15 @@ def user_of(path: str) -> int | None:
 def read_records(spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of the files under ``path`` (``.../user_id=<id>/<name>.csv``): file,
     user_id (null without one in the path), line_no (from 0, exact) and text. Empty
-    files have none; a line break at the end of a file begins no record."""
+    files have none; a line break at the end of a file begins no record. The files are
+    surveyed and read once: the records are a written table."""
     files = listing(spark, path, pattern).where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"),
                           "length").select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"))
     # Ranges are dealt by bytes; their rows are too small for Spark to see the work.
-    size = files.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, min(-(-size // range_bytes), 100_000), min(8, ranges.count()))
+    size, n = files.agg(F.sum("length"), F.sum(F.ceil(F.col("length") / range_bytes))).first()
+    cores = max(8, 2 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(-(-(size or 0) // max(range_bytes, TASK_BYTES)), 100_000), min(cores, n or 0))
 
     def surveyed(frames):
         import pandas as pd
@@ -184,7 +188,7 @@ def read_records(spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]"
     plan = (ranges.repartition(tasks, "path", "start")
             .mapInPandas(surveyed, "path string, start long, end long, exits array<int>, breaks array<long>, newline boolean")
             .repartition("path").sortWithinPartitions("path", "start").mapInPandas(folded, "path string, start long, end long, state int, number long, begins boolean"))
-    return plan.repartition(tasks, "path", "start").mapInArrow(read, LINES)
+    return kept(spark, plan.repartition(tasks, "path", "start").mapInArrow(read, LINES), "lines")
 
 
 def write_lines(lines: DataFrame, root: str) -> int:
