@@ -99,3 +99,23 @@ def test_a_numbered_batch_is_not_numbered_again(spark):
     out = band_stream.lines_of_batch(batch)
     assert sorted((r.line_no, r.text) for r in out.collect()) == [(0, "meta"), (1, "a,b"), (2, "1,2")]
     assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_files_share_tasks(spark, monkeypatch):
+    """A batch of many small files is a few tasks, not one for every few files; the settings
+    for it are the stream's own."""
+    root = tempfile.mkdtemp(prefix="vitalis-stream-in-")
+    table = tempfile.mkdtemp(prefix="vitalis-stream-tbl-")
+    for user in range(200):
+        _write(root, user, "com.samsung.shealth.step_daily_trend.csv",
+               ["meta", "day_time,count", f"2024-01-02 00:00:00,{user}", "2024-01-02 00:00:00,0"])
+    tasks, numbered, cost = [], band_stream.lines_of_batch, spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def counted(batch):
+        tasks.append(batch.rdd.getNumPartitions())
+        return numbered(batch)
+    monkeypatch.setattr(band_stream, "lines_of_batch", counted)
+    band_stream.start(spark, root, table_root=table, name="t-small").awaitTermination(120)
+    assert len(tasks) == 1 and tasks[0] <= 8
+    assert sorted((r.user_id, r.steps) for r in band_stream.latest_snapshot(spark, table).collect()) == [(u, u) for u in range(200)]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
