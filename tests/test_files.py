@@ -2,6 +2,7 @@
 import os
 import tempfile
 import zipfile
+from types import SimpleNamespace
 
 from vitalis.sources import archives, band_csv
 
@@ -107,3 +108,26 @@ def test_files_are_read_once_and_not_broadcast(spark, tmp_path):
     assert [(str(r.day), r.sleep_score) for r in daily.collect()] == [("2024-01-02", 70.0)]
     assert lines.count() == 5_002 and lines.agg({"line_no": "max"}).first()[0] == 5_001
     assert "Broadcast" not in daily._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcasts_follow_measured_sizes(spark, tmp_path):
+    """Rows that their file packs to a few bytes are many times that in the driver: they are
+    not broadcast by the size of the file. A bound that a cluster sets holds for both sizes."""
+    from vitalis.session import _ESTIMATED, _MEASURED, apply_defaults
+    path = str(tmp_path / "packed")
+    spark.range(400_000).selectExpr("id as k", "repeat('x', 60) as text").coalesce(1).write.parquet(path)
+    assert 256 << 10 < sum(f.stat().st_size for f in (tmp_path / "packed").glob("*.parquet")) < 8 << 20
+    a, b = spark.read.parquet(path), spark.read.parquet(path).withColumnRenamed("text", "other")
+    both = a.join(b, "k").where("text = other")
+    assert both.count() == 400_000 and len(both.take(1)) == 1
+    plan = both._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    class Conf(dict):  # a session that a cluster has given its own bound
+        set = dict.__setitem__
+    own = SimpleNamespace(conf=Conf({_ESTIMATED: "1m"}))
+    apply_defaults(own)
+    assert own.conf[_ESTIMATED] == "1m" and _MEASURED not in own.conf
+    own.conf = Conf()
+    apply_defaults(own)
+    apply_defaults(own)
+    assert (own.conf[_ESTIMATED], own.conf[_MEASURED]) == ("256k", "16m")
